@@ -42,3 +42,22 @@ def fill_template(template: str, **fields: Column) -> Column:
                 raise KeyError(f"template placeholder {{{name}}} has no column")
             pieces.append(F.coalesce(fields[name].cast("string"), F.lit("")))
     return F.concat(*pieces) if pieces else F.lit("")
+
+
+# Default patch prompt (our own wording; callers pass their own template with the same placeholders).
+DEFAULT_PATCH_TEMPLATE = (
+    "Fix the security issue in the code below without changing what it does.\n\n"
+    "CODE:\n{code_snippet}\n\nISSUE AND STRATEGY:\n{fix_strategy}\n\n"
+    "Answer with the corrected code only."
+)
+
+
+def attach_responses(prompts: DataFrame, responses: DataFrame, keys, reply_col: str = "reply") -> DataFrame:
+    """Left join of each request to its reply (null when the reply is missing) and the X2 clean-up."""
+    from ..functions.text import clean_reply
+    return prompts.join(responses, list(keys), "left").withColumn("reply_clean", clean_reply(F.col(reply_col)))
+
+
+def respond_with(prompts: DataFrame, responder, schema: str) -> DataFrame:
+    """bring-your-own responder, called on Arrow batches of prompts (``mapInPandas``)."""
+    return prompts.mapInPandas(responder, schema)

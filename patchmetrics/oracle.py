@@ -235,3 +235,144 @@ AUDIT_SQL["kpi_report"] = _kpi_sql()
 def oracle_sql() -> dict[str, str]:
     out = {k: with_(ATTEMPTS, v) for k, v in AUDIT_SQL.items()}
     return out
+
+
+# ----------------------------------------------------------------------------------------------- documents, pages
+NL = "chr(10)"
+RAW_SAMPLES = r"""
+raw AS (
+  SELECT doc_id, lang, CASE WHEN doc_id % 7 = 0 THEN '```python' || chr(10) || '   ' || chr(10) || '```'
+    WHEN doc_id % 3 = 0 THEN '```python' || chr(10) || text || chr(10) || '```'
+    WHEN doc_id % 3 = 1 THEN '```' || chr(10) || text || chr(10) || '```  '
+    ELSE text END AS chosen
+  FROM documents)
+"""
+CLEAN = r"regexp_replace(regexp_replace(regexp_replace(chosen, '^\s+|\s+$', '', 'g'), '^```(?:python)?\s*', ''), '\s*```$', '')"
+LINES = r"""
+doc_lines AS (
+  SELECT doc_id, CAST(generate_subscripts(string_split(text, chr(10)), 1) AS INTEGER) AS line_no,
+         unnest(string_split(text, chr(10))) AS line FROM documents),
+edited AS (
+  SELECT doc_id, line_no, CASE WHEN line_no % 5 = 2 THEN upper(line) ELSE line END AS line
+  FROM doc_lines WHERE line_no % 7 <> 3),
+rules AS (
+  SELECT * FROM (VALUES ('R001', 'HIGH', 'token = "[0-9a-f]{40}"'), ('R002', 'LOW', 'License'),
+                        ('R003', 'MEDIUM', '[a-z0-9.]+@[a-z]+')) AS t(test_id, severity, pattern)),
+fb AS (SELECT l.doc_id, l.line_no, r.test_id, r.severity FROM doc_lines l JOIN rules r ON regexp_matches(l.line, r.pattern)),
+fa AS (SELECT l.doc_id, l.line_no, r.test_id, r.severity FROM edited l JOIN rules r ON regexp_matches(l.line, r.pattern)),
+spans AS (
+  SELECT doc_id, line_no AS start_line, line_no + 9 AS end_line FROM doc_lines WHERE line_no % 10 = 1
+  UNION ALL SELECT doc_id, line_no, line_no + 2 FROM doc_lines WHERE line_no % 10 = 4),
+kparts AS (
+  SELECT doc_id, CAST(generate_subscripts(string_split(text, chr(10)), 1) AS INTEGER) AS line_no,
+         unnest(string_split(text, chr(10))) AS part, len(string_split(text, chr(10))) AS n FROM documents),
+klines AS (
+  SELECT doc_id, line_no, CASE WHEN line_no < n THEN part || chr(10) ELSE part END AS line
+  FROM kparts WHERE NOT (line_no = n AND part = ''))
+"""
+REPORTS = r"""
+reports AS (
+  SELECT doc_id, CASE WHEN doc_id % 50 = 0 THEN 'not json' WHEN doc_id % 50 = 1 THEN '{"errors":[]}'
+   ELSE concat('{"results":[{"test_id":"B', CAST(100 + doc_id % 20 AS VARCHAR), '","issue_severity":"HIGH","line_range":[',
+     CAST(1 + doc_id % 9 AS VARCHAR), ',', CAST(3 + doc_id % 9 AS VARCHAR),
+     '],"more_info":"https://b.example/en/1.9.2/x.html"},{"test_id":"B', CAST(100 + doc_id % 7 AS VARCHAR),
+     '","issue_severity":"LOW","line_range":[2]}]}') END AS report FROM documents),
+arrs AS (SELECT doc_id, CAST(json_extract(CASE WHEN json_valid(report) THEN report END, '$.results') AS JSON[]) AS arr
+         FROM reports),
+ex AS (SELECT doc_id, CAST(generate_subscripts(arr, 1) AS INTEGER) AS finding_idx, unnest(arr) AS r FROM arrs)
+"""
+DOC_REWRITE = r"regexp_replace({u}, '/en/[0-9]+(\.[0-9]+)*', '/en/latest', 'g')"
+H1 = r"array_to_string(regexp_extract_all(html, '<h1[^>]*>([^<]*)</h1>', 1), chr(10))"
+STRIP = r"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
+REPLY_UNFENCE = "replace(replace({x}, '```python', ''), '```', '')"
+
+
+def _template_sql(code: str, strategy: str) -> str:
+    from .operators.cascade import DEFAULT_PATCH_TEMPLATE
+    import string
+    parts = []
+    for literal, name, _s, _c in string.Formatter().parse(DEFAULT_PATCH_TEMPLATE):
+        if literal:
+            parts.append("'" + literal.replace("'", "''").replace("\n", "' || chr(10) || '") + "'")
+        if name is not None:
+            parts.append(f"coalesce({code if name == 'code_snippet' else strategy}, '')")
+    return " || ".join(parts)
+
+
+DOC_SQL = {
+    "corpus_language_filter": with_(RAW_SAMPLES, "SELECT doc_id, lang, chosen FROM raw WHERE lang = 'en'"),
+    "corpus_prepare": with_(RAW_SAMPLES + f""",
+        idx AS (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS sample_id FROM raw WHERE lang = 'en'),
+        cl AS (SELECT sample_id, doc_id, {CLEAN} AS code FROM idx)""",
+        f"""SELECT CAST(sample_id AS BIGINT) AS sample_id, doc_id, 'sample_' || CAST(sample_id AS VARCHAR) || '.py' AS filename,
+            code FROM cl WHERE length({STRIP.format(x='code')}) > 0"""),
+    "fence_strip": with_(RAW_SAMPLES, f"SELECT doc_id, {CLEAN} AS code FROM raw"),
+    "reply_fence_clean": with_(r"""
+        rep AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN '```python' || chr(10) || text || chr(10) || '```'
+            WHEN turn % 3 = 1 THEN '  ```' || text || '```  ' ELSE text END AS reply
+          FROM conversations WHERE role = 'assistant')""",
+        f"SELECT conv_id, turn, {STRIP.format(x=REPLY_UNFENCE.format(x='reply'))} AS code FROM rep"),
+    "split_lines": with_(LINES, "SELECT doc_id, line_no, line FROM klines"),
+    "word_count": r"""SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) AS INTEGER)
+        AS n_words FROM documents""",
+    "systematic_sample": "SELECT doc_id, lang, source, n_chars FROM documents WHERE doc_id IN (SELECT range FROM range(0, 420, 5))",
+    "url_version_rewrite": f"SELECT page_id, url, {DOC_REWRITE.format(u='url')} AS doc_url FROM pages",
+    "props_json_field": "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events",
+    "scan_report_explode": with_(REPORTS, r"""SELECT doc_id, finding_idx,
+        json_extract_string(r, '$.issue_confidence') AS issue_confidence,
+        json_extract_string(r, '$.issue_severity') AS issue_severity, json_extract_string(r, '$.issue_text') AS issue_text,
+        array_to_string(CAST(json_extract(r, '$.line_range') AS INTEGER[]), ',') AS line_range,
+        json_extract_string(r, '$.test_id') AS test_id, json_extract_string(r, '$.test_name') AS test_name,
+        json_extract_string(r, '$.more_info') AS more_info_url, json_extract_string(r, '$.code') AS code_snippet FROM ex"""),
+    "finding_first_line": with_(REPORTS, r"""SELECT doc_id, finding_idx, json_extract_string(r, '$.test_id') AS test_id,
+        CAST(json_extract(r, '$.line_range[0]') AS INTEGER) AS line_num,
+        json_extract_string(r, '$.issue_severity') AS severity, json_extract_string(r, '$.issue_confidence') AS confidence
+        FROM ex"""),
+    "rule_scan_findings": with_(LINES, "SELECT * FROM fb"),
+    "findings_per_doc": with_(LINES, """SELECT d.doc_id, CAST(count(fa.test_id) AS BIGINT) AS n_findings
+        FROM documents d LEFT JOIN fa ON fa.doc_id = d.doc_id GROUP BY d.doc_id"""),
+    "verify_patch": with_(LINES, """SELECT fb.*, NOT EXISTS (SELECT 1 FROM fa WHERE fa.doc_id = fb.doc_id
+        AND fa.test_id = fb.test_id) AS is_patched FROM fb"""),
+    "finding_doc_join": with_(f"""
+        docs AS (SELECT {DOC_REWRITE.format(u='url')} AS k, arg_min({H1}, url) AS t FROM pages GROUP BY 1),
+        f AS (SELECT page_id AS finding_id, CASE WHEN page_id % 10 = 0 THEN NULL ELSE url END AS u FROM pages)""",
+        f"""SELECT finding_id, CASE WHEN u IS NULL OR u = '' THEN 'No documentation URL provided.'
+            WHEN docs.t IS NULL THEN 'docs not found' ELSE docs.t END AS scraped, {DOC_REWRITE.format(u='u')} AS doc_url
+            FROM f LEFT JOIN docs ON docs.k = {DOC_REWRITE.format(u='u')}"""),
+    "innermost_span": with_(LINES, """SELECT fb.doc_id, fb.line_no, fb.test_id, fb.severity,
+        CAST(max(s.start_line) AS INTEGER) AS span_start, CAST(min(s.end_line) AS INTEGER) AS span_end
+        FROM fb LEFT JOIN spans s ON s.doc_id = fb.doc_id AND fb.line_no BETWEEN s.start_line AND s.end_line
+        GROUP BY fb.doc_id, fb.line_no, fb.test_id, fb.severity"""),
+    "line_window_context": with_(LINES + """,
+        nl AS (SELECT doc_id, max(line_no) AS n FROM klines GROUP BY doc_id),
+        b AS (SELECT fb.*, CAST(greatest(0, fb.line_no - 6) + 1 AS INTEGER) AS start_line,
+                     CAST(least(coalesce(nl.n, 0), fb.line_no + 5) AS INTEGER) AS end_line
+              FROM fb LEFT JOIN nl ON nl.doc_id = fb.doc_id)""",
+        """SELECT b.*, coalesce((SELECT string_agg(k.line, '' ORDER BY k.line_no) FROM klines k
+            WHERE k.doc_id = b.doc_id AND k.line_no BETWEEN b.start_line AND b.end_line), '') AS code FROM b"""),
+    "line_window_frame": with_(LINES, """SELECT doc_id, line_no, line,
+        array_to_string(list(line) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING), '')
+        AS context FROM klines"""),
+    "multiset_line_churn": with_(LINES + """,
+        cb AS (SELECT doc_id, line, count(*) AS cb FROM doc_lines GROUP BY ALL),
+        ca AS (SELECT doc_id, line, count(*) AS ca FROM edited GROUP BY ALL),
+        j AS (SELECT coalesce(cb.doc_id, ca.doc_id) AS doc_id, coalesce(ca.ca, 0) - coalesce(cb.cb, 0) AS d
+              FROM cb FULL OUTER JOIN ca ON ca.doc_id = cb.doc_id AND ca.line = cb.line)""",
+        """SELECT doc_id, CAST(sum(greatest(d, 0)) AS BIGINT) AS added, CAST(sum(greatest(-d, 0)) AS BIGINT) AS removed,
+            CAST(greatest(sum(greatest(d, 0)), sum(greatest(-d, 0))) AS BIGINT) AS churn FROM j GROUP BY doc_id"""),
+    "page_headings": f"SELECT page_id, {H1} AS headings FROM pages",
+    "prompt_projection": f"""SELECT u.conv_id, u.turn, {_template_sql('u.text', 'a.text')} AS prompt
+        FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn + 1 = u.turn
+        WHERE u.role = 'user' AND a.role = 'assistant'""",
+    "attach_responses": f"""SELECT u.conv_id, u.turn, CAST(length(u.text) AS INTEGER) AS prompt_chars, a.text AS reply,
+        {STRIP.format(x=REPLY_UNFENCE.format(x='a.text'))} AS reply_clean
+        FROM conversations u LEFT JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
+          AND a.role = 'assistant'
+        WHERE u.role = 'user'""",
+}
+
+
+def oracle_sql() -> dict[str, str]:  # noqa: F811 -- extends the audit oracles above
+    out = {k: with_(ATTEMPTS, v) for k, v in AUDIT_SQL.items()}
+    out.update(DOC_SQL)
+    return out

@@ -162,3 +162,207 @@ def q_kpi_report(spark, sf):
 @query("kpi_rendered")
 def q_kpi_rendered(spark, sf):
     return report.render_report(report.kpi_report(ap.audit_log(spark, sf))).select("section", "metric", "key", "line")
+
+
+# ------------------------------------------------------------------ corpus and text (C1, X-functions)
+from .functions import text as T  # noqa: E402
+from .operators import churn, context, corpus, findings, pages  # noqa: E402
+from .operators.cascade import DEFAULT_PATCH_TEMPLATE, fill_template  # noqa: E402
+from .sources.tables import read_table  # noqa: E402
+
+
+@query("corpus_language_filter")
+def q_corpus_language_filter(spark, sf):
+    return corpus.filter_language(fixtures.raw_samples(spark, sf), "en").select("doc_id", "lang", "chosen")
+
+
+@query("corpus_prepare")
+def q_corpus_prepare(spark, sf):
+    prepared = corpus.prepare_corpus(fixtures.raw_samples(spark, sf), lang="en", code_col="chosen",
+                                     order_cols=["doc_id"])
+    return prepared.select("sample_id", "doc_id", "filename", "code")
+
+
+@query("fence_strip")
+def q_fence_strip(spark, sf):
+    return fixtures.raw_samples(spark, sf).select("doc_id", T.strip_fences(F.col("chosen")).alias("code"))
+
+
+def _fenced_replies(spark, sf):
+    c = read_table(spark, sf, "conversations", ["conv_id", "turn", "role", "text"])
+    reply = (F.when(F.col("turn") % 3 == 0, F.concat(F.lit("```python\n"), F.col("text"), F.lit("\n```")))
+             .when(F.col("turn") % 3 == 1, F.concat(F.lit("  ```"), F.col("text"), F.lit("```  ")))
+             .otherwise(F.col("text")))
+    return c.filter(F.col("role") == "assistant").select("conv_id", "turn", reply.alias("reply"))
+
+
+@query("reply_fence_clean")
+def q_reply_fence_clean(spark, sf):
+    return _fenced_replies(spark, sf).select("conv_id", "turn", T.clean_reply(F.col("reply")).alias("code"))
+
+
+@query("split_lines")
+def q_split_lines(spark, sf):
+    return context.explode_lines(read_table(spark, sf, "documents", ["doc_id", "text"]), keepends=True)
+
+
+@query("word_count")
+def q_word_count(spark, sf):
+    d = read_table(spark, sf, "documents", ["doc_id", "text"])
+    return d.select("doc_id", T.word_count(F.col("text")).alias("n_words"))
+
+
+@query("systematic_sample")
+def q_systematic_sample(spark, sf):
+    d = read_table(spark, sf, "documents", ["doc_id", "lang", "source", "n_chars"])
+    return corpus.systematic_sample(d, "doc_id", 0, 420, 5)
+
+
+@query("url_version_rewrite")
+def q_url_version_rewrite(spark, sf):
+    p = read_table(spark, sf, "pages", ["page_id", "url"])
+    return p.select("page_id", "url", T.rewrite_doc_version(F.col("url")).alias("doc_url"))
+
+
+@query("props_json_field")
+def q_props_json_field(spark, sf):
+    e = read_table(spark, sf, "events", ["event_id", "props"])
+    return e.select("event_id", F.get_json_object("props", "$.k").alias("k"))
+
+
+# ------------------------------------------------------------------ findings
+@query("scan_report_explode")
+def q_scan_report_explode(spark, sf):
+    ex = findings.explode_scan_report(fixtures.scan_reports(spark, sf))
+    return ex.withColumn("line_range", F.array_join(F.col("line_range").cast("array<string>"), ","))
+
+
+@query("finding_first_line")
+def q_finding_first_line(spark, sf):
+    return findings.first_line_projection(findings.explode_scan_report(fixtures.scan_reports(spark, sf)))
+
+
+@query("rule_scan_findings")
+def q_rule_scan_findings(spark, sf):
+    return fixtures.rule_findings(spark, sf)
+
+
+@query("findings_per_doc")
+def q_findings_per_doc(spark, sf):
+    after = fixtures.rule_findings(spark, sf, fixtures.edited_lines(spark, sf))
+    return findings.findings_per_doc(after, read_table(spark, sf, "documents", ["doc_id"]))
+
+
+@query("verify_patch")
+def q_verify_patch(spark, sf):
+    before = fixtures.rule_findings(spark, sf)
+    after = fixtures.rule_findings(spark, sf, fixtures.edited_lines(spark, sf))
+    return findings.verify_findings(before, after)
+
+
+@query("finding_doc_join")
+def q_finding_doc_join(spark, sf):
+    p = read_table(spark, sf, "pages", ["page_id", "url", "html"])
+    f = p.select(F.col("page_id").alias("finding_id"),
+                 F.when(F.col("page_id") % 10 == 0, F.lit(None)).otherwise(F.col("url")).alias("more_info_url"))
+    docs = p.select("url", pages.h1_headings("html").alias("text"))
+    return findings.attach_docs(f, docs)
+
+
+# ------------------------------------------------------------------ context
+_FKEYS = ["doc_id", "line_no", "test_id"]
+
+
+def _keepends_lines(spark, sf):
+    return context.explode_lines(read_table(spark, sf, "documents", ["doc_id", "text"]), keepends=True)
+
+
+@query("innermost_span")
+def q_innermost_span(spark, sf):
+    return context.innermost_span(fixtures.rule_findings(spark, sf), fixtures.nested_spans(spark, sf), _FKEYS)
+
+
+@query("line_window_context")
+def q_line_window_context(spark, sf):
+    return context.line_window_context(fixtures.rule_findings(spark, sf), _keepends_lines(spark, sf), _FKEYS)
+
+
+@query("line_window_frame")
+def q_line_window_frame(spark, sf):
+    return context.line_window_frame(_keepends_lines(spark, sf))
+
+
+@query("function_context")
+def q_function_context(spark, sf):
+    return churn.function_spans(fixtures.python_sources(spark, sf))
+
+
+# ------------------------------------------------------------------ churn and code statistics
+@query("multiset_line_churn")
+def q_multiset_line_churn(spark, sf):
+    return churn.multiset_line_churn(fixtures.doc_lines(spark, sf), fixtures.edited_lines(spark, sf))
+
+
+@query("ast_tokens")
+def q_ast_tokens(spark, sf):
+    return churn.ast_token_table(fixtures.python_sources(spark, sf))
+
+
+@query("logical_lines")
+def q_logical_lines(spark, sf):
+    return churn.logical_line_table(fixtures.python_sources(spark, sf))
+
+
+@query("line_churn")
+def q_line_churn(spark, sf):
+    return churn.churn(fixtures.python_pairs(spark, sf)).select("doc_id", "normalized_loc_churn")
+
+
+@query("ast_churn")
+def q_ast_churn(spark, sf):
+    return churn.churn(fixtures.python_pairs(spark, sf)).select("doc_id", "ast_churn")
+
+
+@query("code_stats")
+def q_code_stats(spark, sf):
+    return churn.code_stats(fixtures.python_sources(spark, sf))
+
+
+# ------------------------------------------------------------------ pages
+@query("page_headings")
+def q_page_headings(spark, sf):
+    p = read_table(spark, sf, "pages", ["page_id", "html"])
+    return p.select("page_id", pages.h1_headings("html").alias("headings"))
+
+
+@query("page_text_extract")
+def q_page_text_extract(spark, sf):
+    p = read_table(spark, sf, "pages", ["page_id", "url", "html"])
+    return pages.extract_doc_text(p, container=("article", {}))
+
+
+# ------------------------------------------------------------------ prompts and replies
+def _turns(spark, sf):
+    return read_table(spark, sf, "conversations", ["conv_id", "turn", "role", "text"])
+
+
+@query("prompt_projection")
+def q_prompt_projection(spark, sf):
+    c = _turns(spark, sf)
+    user = c.filter(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("code_snippet"))
+    plan = c.filter(F.col("role") == "assistant").select(
+        "conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("fix_strategy"))
+    j = user.join(plan, ["conv_id", "turn"], "inner")
+    return j.select("conv_id", "turn", fill_template(DEFAULT_PATCH_TEMPLATE, code_snippet=F.col("code_snippet"),
+                                                     fix_strategy=F.col("fix_strategy")).alias("prompt"))
+
+
+@query("attach_responses")
+def q_attach_responses(spark, sf):
+    from .operators.cascade import attach_responses
+    c = _turns(spark, sf)
+    prompts = c.filter(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("prompt"))
+    replies = c.filter(F.col("role") == "assistant").select(
+        "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("reply"))
+    return attach_responses(prompts, replies, ["conv_id", "turn"]).select(
+        "conv_id", "turn", F.length("prompt").alias("prompt_chars"), "reply", "reply_clean")
