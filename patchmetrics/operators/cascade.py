@@ -61,3 +61,124 @@ def attach_responses(prompts: DataFrame, responses: DataFrame, keys, reply_col:
 def respond_with(prompts: DataFrame, responder, schema: str) -> DataFrame:
     """bring-your-own responder, called on Arrow batches of prompts (``mapInPandas``)."""
     return prompts.mapInPandas(responder, schema)
+
+
+# ---------------------------------------------------------------------------------------------- X7: splicing
+def apply_patches(docs: DataFrame, patches: DataFrame, key: str = "doc_id", code_col: str = "code",
+                  order_col: str = "patch_seq", mode: str = "original") -> DataFrame:
+    """X7 over many documents: splice every patch ``(key, order_col, start_line, end_line, block)`` into its document.
+
+    ``mode="sequential"`` (reference behaviour, D6): patches in ``order_col`` order, line numbers never re-based,
+    each block stays ONE list element (so a multi-line block shifts later indices). ``mode="original"``: edits are
+    in original coordinates and applied from the highest start line down, so they do not disturb each other;
+    ``overlapping`` flags documents whose edits overlap. Blocks get a trailing newline if they lack one.
+
+    Patches are collected per document (a document is one row anyway) and folded with ``aggregate``; the
+    document side and the patch lists meet in one join on ``key`` (one row per document on both sides).
+    Output: ``key, code, n_patches, overlapping, wiped`` (``wiped`` = P20, the result is empty).
+    """
+    from ..functions.text import split_lines_keepends, splice_lines
+
+    if mode not in ("original", "sequential"):
+        raise ValueError("mode must be 'original' or 'sequential'")
+    p = F.struct(F.col(order_col).alias("o"), F.col("start_line").alias("s"), F.col("end_line").alias("e"),
+                 F.col("block").alias("b"))
+    if mode == "original":
+        p = F.struct(F.col("start_line").alias("s"), F.col("end_line").alias("e"), F.col(order_col).alias("o"),
+                     F.col("block").alias("b"))
+    per_doc = patches.groupBy(key).agg(F.array_sort(F.collect_list(p)).alias("_p"))
+    j = docs.select(key, code_col).join(per_doc, key, "left")
+    arr = F.coalesce(F.col("_p"), F.array().cast(per_doc.schema["_p"].dataType))
+    ordered = F.reverse(arr) if mode == "original" else arr
+    lines = split_lines_keepends(F.coalesce(F.col(code_col), F.lit("")))
+    folded = F.aggregate(ordered, lines, lambda acc, x: splice_lines(acc, x["s"], x["e"], x["b"]))
+    asc = arr  # for "original" the array is sorted by start line
+    overlap = F.exists(F.sequence(F.lit(2), F.greatest(F.size(asc), F.lit(2))),
+                       lambda i: (F.size(asc) >= 2) & (F.element_at(asc, i - 1)["e"] >= F.element_at(asc, i)["s"]))
+    out = j.select(key, F.when(F.col("_p").isNull(), F.coalesce(F.col(code_col), F.lit("")))
+                   .otherwise(F.array_join(folded, "")).alias(code_col),
+                   F.size(arr).alias("n_patches"),
+                   (overlap if mode == "original" else F.lit(False)).alias("overlapping"))
+    return out.withColumn("wiped", F.length(F.col(code_col)) == 0)
+
+
+# ---------------------------------------------------------------------------------------------- C2: the cascade
+def remediate(docs: DataFrame, findings: DataFrame, responder, rescan, levels=(1, 2), models=None,
+              template: str = DEFAULT_PATCH_TEMPLATE, mode: str = "original", key: str = "doc_id",
+              code_col: str = "code"):
+    """Batch remediation cascade over all documents at once.
+
+    ``findings``: ``key, finding_id, test_id, line_num, severity, confidence`` (+ optional ``strategy``).
+    ``responder``: a DataFrame of replies ``key, finding_id, level, reply, finish_reason, prompt_tokens,
+    completion_tokens, duration_s`` or a function for ``mapInPandas`` over the prompt table (F7) returning those
+    columns. ``rescan``: ``DataFrame(key, code) -> DataFrame(key, test_id)`` (e.g. a rule scan, J11).
+
+    Per level: context (innermost function else +-5 lines, J5/J6) -> prompt (X14) -> reply (J8/F7) -> clean (X2)
+    -> splice (X7) -> re-scan and verify (J3) -> route leftovers (P13/P14). Errored attempts (no reply) are
+    neither fixed nor escalated (D2). The patched documents are checkpointed between levels so each level's plan
+    starts from stored data.
+
+    Difference from the reference loop, by design: within a level all patches are applied and then verified
+    together (the reference re-scans after each splice), and spans come from the level's input code.
+    Returns ``(attempts, patched_docs, leftovers)``; ``attempts`` has the raw-attempt columns of
+    ``operators.audit`` (``file_uid`` = ``key``).
+    """
+    from .churn import function_spans
+    from .context import explode_lines, function_or_window_context
+    from .findings import verify_findings
+    from ..session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(docs.sparkSession)
+    models = models or {}
+    fkeys = [key, "finding_id"]
+    current = docs.select(key, code_col)
+    pending = findings
+    all_attempts = []
+    for level in levels:
+        lines = explode_lines(current, code_col, key)
+        spans = function_spans(current, key, code_col)
+        f = pending.withColumn("line_no", F.col("line_num"))
+        ctx = function_or_window_context(f, spans, lines, fkeys, key)
+        strategy = F.col("strategy") if "strategy" in pending.columns else F.col("test_id")
+        prompts = ctx.withColumn("prompt", fill_template(template, code_snippet=F.col("code"), fix_strategy=strategy)) \
+            .withColumn("level", F.lit(level))
+        if isinstance(responder, DataFrame):
+            replies = responder.filter(F.col("level") == level).drop("level")
+        else:
+            replies = respond_with(prompts.select(*fkeys, "level", "prompt", F.col("code").alias("code_snippet")),
+                                   responder, _REPLY_DDL.format(key=key, ktype=docs.schema[key].dataType.simpleString()))
+            replies = replies.drop("level")
+        att = attach_responses(prompts, replies, fkeys)
+        errored = F.col("reply").isNull()
+        patches = att.filter(~errored).select(key, F.col("finding_id").alias("patch_seq"), "start_line", "end_line",
+                                              F.col("reply_clean").alias("block"))
+        patched = apply_patches(current, patches, key, code_col, "patch_seq", mode).checkpoint(eager=True)
+        found = rescan(patched.select(key, code_col))
+        verified = verify_findings(att, found, key=key)
+        status = (F.when(errored, F.lit(RAW_ERROR)).when(F.col("is_patched"), F.lit(RAW_SUCCESS))
+                  .otherwise(F.lit(raw_status_for_level(level))))
+        attempts = verified.select(
+            F.col(key).alias("file_uid"), F.col("test_id").alias("vulnerability_id"),
+            (F.lit(level * 10 ** 9) + F.col("finding_id")).cast("bigint").alias("attempt_seq"),
+            F.lit(level).alias("level_attempted"), F.lit(models.get(level)).cast("string").alias("model"),
+            status.alias("status"),
+            F.when(errored, F.lit("no reply")).otherwise(F.col("finish_reason")).alias("finish_reason"),
+            F.col("prompt_tokens").cast("bigint").alias("prompt_tokens"),
+            F.col("completion_tokens").cast("bigint").alias("completion_tokens"),
+            (F.coalesce(F.col("prompt_tokens"), F.lit(0)) + F.coalesce(F.col("completion_tokens"), F.lit(0)))
+            .cast("bigint").alias("total_tokens"),
+            F.coalesce(F.col("duration_s"), F.lit(0.0)).cast("double").alias("llm_time_taken"),
+            "severity", "confidence", "finding_id", "line_num")
+        all_attempts.append(attempts)
+        left = route_leftovers(attempts, "status", level + 1)
+        pending = left.select(F.col("file_uid").alias(key), "finding_id", F.col("vulnerability_id").alias("test_id"),
+                              "line_num", "severity", "confidence")
+        current = patched.select(key, code_col)
+    out = all_attempts[0]
+    for a in all_attempts[1:]:
+        out = out.unionByName(a)
+    return out, current, pending
+
+
+_REPLY_DDL = ("{key} {ktype}, finding_id bigint, level int, reply string, finish_reason string, prompt_tokens bigint, "
+              "completion_tokens bigint, duration_s double")

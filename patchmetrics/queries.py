@@ -366,3 +366,67 @@ def q_attach_responses(spark, sf):
         "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("reply"))
     return attach_responses(prompts, replies, ["conv_id", "turn"]).select(
         "conv_id", "turn", F.length("prompt").alias("prompt_chars"), "reply", "reply_clean")
+
+
+# ------------------------------------------------------------------ splicing and the cascade
+def _numbered_findings(spark, sf):
+    f = fixtures.rule_findings(spark, sf)
+    fid = (F.col("line_no") * 10 + F.substring("test_id", 2, 3).cast("int")).cast("bigint")
+    return f.select("doc_id", fid.alias("finding_id"), "test_id", F.col("line_no").alias("line_num"), "severity",
+                    F.lit("HIGH").alias("confidence"))
+
+
+@query("apply_patches")
+def q_apply_patches(spark, sf):
+    from .operators.cascade import apply_patches
+    docs = read_table(spark, sf, "documents", ["doc_id", "text"]).withColumnRenamed("text", "code")
+    f = _numbered_findings(spark, sf)
+    lines = fixtures.doc_lines(spark, sf)
+    patches = f.join(lines, (f["doc_id"] == lines["doc_id"]) & (f["line_num"] == lines["line_no"])).select(
+        f["doc_id"], F.col("finding_id").alias("patch_seq"), F.col("line_num").alias("start_line"),
+        F.col("line_num").alias("end_line"), F.upper(lines["line"]).alias("block"))
+    return apply_patches(docs, patches, mode="original")
+
+
+def demo_responder(batches):
+    """Deterministic stand-in for a patching model (F7): redacts what the fixture rules look for.
+
+    Level 1 fixes e-mail findings, leaves licence lines as they are (so they escalate) and gives no reply for
+    token findings (an errored attempt); level 2 also rewrites licence lines.
+    """
+    import re
+
+    import pandas as pd
+    email = re.compile(r"[a-z0-9.]+@[a-z]+")
+    for pdf in batches:
+        replies, reasons = [], []
+        for rule, level, code in zip(pdf["finding_id"] % 10, pdf["level"], pdf["code_snippet"]):
+            if rule == 1:
+                replies.append(None)
+                reasons.append(None)
+                continue
+            out = email.sub("[email]", code)
+            if level >= 2:
+                out = out.replace("License", "licence")
+            replies.append("```python\n" + out + "\n```")
+            reasons.append("stop")
+        n = len(pdf)
+        yield pd.DataFrame({"doc_id": pdf["doc_id"], "finding_id": pdf["finding_id"], "level": pdf["level"],
+                            "reply": replies, "finish_reason": reasons,
+                            "prompt_tokens": pdf["prompt"].str.len().astype("int64"),
+                            "completion_tokens": pd.Series([len(r or "") for r in replies], dtype="int64"),
+                            "duration_s": [0.5] * n})
+
+
+@query("remediation_cascade")
+def q_remediation_cascade(spark, sf):
+    from .operators.cascade import remediate
+    docs = read_table(spark, sf, "documents", ["doc_id", "text"]).withColumnRenamed("text", "code")
+    rule_table = fixtures.rules(spark)
+
+    def rescan(patched):
+        return findings.scan_lines(context.explode_lines(patched, "code", keepends=False), rule_table)
+
+    attempts, _docs, _left = remediate(docs, _numbered_findings(spark, sf), demo_responder, rescan,
+                                       models={1: fixtures.LEVEL1_MODEL, 2: fixtures.LEVEL2_MODEL})
+    return attempts
