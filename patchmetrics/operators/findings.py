@@ -118,12 +118,14 @@ def attach_docs(findings: DataFrame, docs: DataFrame, url_col: str = "more_info_
     """Findings left-join documentation text by normalised URL; sentinel texts for no URL / no page.
 
     ``docs`` has ``url, text`` (e.g. ``pages.extract_doc_text`` output); one text per normalised URL is kept
-    (smallest URL wins on collisions). Findings often share one URL (every finding of a rule), so the docs side is
-    pre-aggregated to one row per key and the join relies on AQE's skew split for hot URLs. ``url_col`` is
+    (the page at the normalised URL itself, else the smallest URL). Findings often share one URL (every finding
+    of a rule), so the docs side is pre-aggregated to one row per key and the join relies on AQE's skew split for hot URLs. ``url_col`` is
     dropped afterwards (P7).
     """
-    per_url = docs.groupBy(doc_url_key(F.col("url")).alias("_doc_key")).agg(
-        F.min_by("text", "url").alias("_doc_text"))
+    keyed = docs.withColumn("_doc_key", doc_url_key(F.col("url")))
+    # The page living at the normalised URL itself is the one the reference fetches; otherwise smallest URL.
+    pick = F.struct((F.col("url") != F.col("_doc_key")).alias("moved"), F.col("url"))
+    per_url = keyed.groupBy("_doc_key").agg(F.min_by("text", pick).alias("_doc_text"))
     f = findings.withColumn("_doc_key", doc_url_key(F.col(url_col)))
     j = f.join(per_url, "_doc_key", "left")
     scraped = (F.when(F.col(url_col).isNull() | (F.col(url_col) == ""), F.lit(NO_URL_TEXT))

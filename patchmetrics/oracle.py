@@ -334,7 +334,8 @@ DOC_SQL = {
     "verify_patch": with_(LINES, """SELECT fb.*, NOT EXISTS (SELECT 1 FROM fa WHERE fa.doc_id = fb.doc_id
         AND fa.test_id = fb.test_id) AS is_patched FROM fb"""),
     "finding_doc_join": with_(f"""
-        docs AS (SELECT {DOC_REWRITE.format(u='url')} AS k, arg_min({H1}, url) AS t FROM pages GROUP BY 1),
+        pk AS (SELECT url, html, {DOC_REWRITE.format(u='url')} AS k FROM pages),
+        docs AS (SELECT k, arg_min({H1}, {{'moved': url <> k, 'url': url}}) AS t FROM pk GROUP BY k),
         f AS (SELECT page_id AS finding_id, CASE WHEN page_id % 10 = 0 THEN NULL ELSE url END AS u FROM pages)""",
         f"""SELECT finding_id, CASE WHEN u IS NULL OR u = '' THEN 'No documentation URL provided.'
             WHEN docs.t IS NULL THEN 'docs not found' ELSE docs.t END AS scraped, {DOC_REWRITE.format(u='u')} AS doc_url

@@ -33,9 +33,12 @@ def read_audit_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_text_files(spark: SparkSession, path_glob: str) -> DataFrame:
-    """One row per file, ``(path, text)`` with the whole UTF-8 content."""
-    df = spark.read.option("wholetext", True).text(path_glob)
-    return df.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    """One row per file, ``(path, text)`` with the whole UTF-8 content, byte-exact.
+
+    The ``binaryFile`` source keeps every byte (the text source's whole-file mode drops a final newline).
+    """
+    df = spark.read.format("binaryFile").load(path_glob)
+    return df.select(F.col("path"), F.decode(F.col("content"), "UTF-8").alias("text"))
 
 
 def write_corpus(prepared: DataFrame, path: str, as_text_files: bool = False) -> None:

@@ -1,0 +1,92 @@
+"""Parser-based jobs on the inline code corpus (FIXTURES 3) and against the stdlib helpers they wrap."""
+
+from patchmetrics.functions import pycode
+from patchmetrics.operators import churn
+
+NESTED = "x = 1\n\ndef outer(a):\n    y = a\n\n    def inner(b):\n        return b + 1\n\n    return inner(y)\n"
+DECORATED = "@decorator(\n    arg=1,\n)\ndef f():\n    pass\n"
+ASYNC_AND_METHOD = "class K:\n    def m(self):\n        return 1\n\nasync def g():\n    await h()\n"
+BROKEN = "def broken(:\n    pass\n"
+BAD_DEDENT = "if x:\n    a\n  b\n"
+UNTERMINATED = "x = (1,\n"
+
+
+def test_function_spans():
+    assert [(k, n, s, e) for k, n, s, e, _ in pycode.function_spans(NESTED)] == [
+        ("function", "outer", 3, 9), ("function", "inner", 6, 7)]
+    assert [(n, s, e) for _, n, s, e, _ in pycode.function_spans(DECORATED)] == [("f", 1, 5)]
+    assert [(k, n, s, e) for k, n, s, e, _ in pycode.function_spans(ASYNC_AND_METHOD)] == [
+        ("async_function", "g", 5, 6), ("function", "m", 2, 3)]
+    assert pycode.function_spans(BROKEN) == []
+
+
+def test_ast_tokens_rules():
+    assert pycode.ast_tokens("") == ["Module"]
+    assert pycode.ast_tokens(BROKEN) == []
+    toks = pycode.ast_tokens("def f(a):\n    '''doc'''\n    return a.b\n")
+    assert "FunctionDef:f" in toks and "Constant:doc" in toks and "Attribute:b" in toks and "Load" in toks
+    assert "arg" in toks and not any(t.startswith("arg:") for t in toks)
+    assert "Constant:0" in pycode.ast_tokens("x = 0")            # str(0) is truthy
+    assert "Constant" in pycode.ast_tokens("x = ''")              # empty value -> bare type
+
+
+def test_canonical_lines_and_fallbacks():
+    assert pycode.canonical_lines("def f():\n    return 1  # c\n") == ["def f ( ) :", "return 1", ""]
+    assert pycode.canonical_lines(BAD_DEDENT) == ["if x:", "a", "b"]       # IndentationError path (D9)
+    assert pycode.canonical_lines(UNTERMINATED) == ["x = (1,"]             # TokenError path
+
+
+def test_churn_rules():
+    before = "def f():\n    return 1\n"
+    assert pycode.line_churn(before, "def f():\n        return 1  # only a comment\n") == 0
+    doc_b, doc_a = "def f():\n    '''old'''\n    return 1\n", "def f():\n    '''new'''\n    return 1\n"
+    assert pycode.line_churn(doc_b, doc_a) > 0 and pycode.ast_churn(doc_b, doc_a) > 0
+    assert pycode.ast_churn("x = y\n", "x = z\n") == 1                     # Name value
+    assert pycode.ast_churn("v = a.b\n", "v = a.c\n") == 1                 # Attribute value
+    assert pycode.ast_churn("class A:\n    pass\n", "class B:\n    pass\n") == 0
+    assert pycode.ast_churn("def f(a):\n    pass\n", "def f(b):\n    pass\n") == 0
+    assert pycode.ast_churn(BROKEN, "x = 1\n") == len(BROKEN.split())      # D11
+    assert pycode.ast_churn("x = 1\n", BROKEN) == len(BROKEN.split())
+
+
+def test_complexity_and_sloc():
+    code = "def f(x):\n    # c\n    if x and y:\n        return 1\n    for i in x:\n        pass\n"
+    assert pycode.function_complexities(code) == [("f", 1, 4)]
+    assert pycode.code_stats(code) == (4.0, 5, 1)
+    assert pycode.code_stats(BROKEN) == (0.0, 0, 0)
+    assert pycode.code_stats("x = 1\n") == (0.0, 1, 0)
+
+
+def test_spark_jobs_equal_direct_calls(spark):
+    codes = [NESTED, DECORATED, ASYNC_AND_METHOD, BROKEN, BAD_DEDENT, UNTERMINATED, ""]
+    docs = spark.createDataFrame(list(enumerate(codes)), "doc_id long, code string")
+    spans = sorted((r.doc_id, r.name, r.start_line, r.end_line) for r in churn.function_spans(docs).collect())
+    assert spans == sorted((i, n, s, e) for i, c in enumerate(codes) for _, n, s, e, _ in pycode.function_spans(c))
+    toks = sorted((r.doc_id, r.pos, r.token) for r in churn.ast_token_table(docs).collect())
+    assert toks == sorted((i, p, t) for i, c in enumerate(codes) for p, t in enumerate(pycode.ast_tokens(c)))
+    ll = sorted((r.doc_id, r.pos, r.line) for r in churn.logical_line_table(docs).collect())
+    assert ll == sorted((i, p, t) for i, c in enumerate(codes) for p, t in enumerate(pycode.canonical_lines(c)))
+    pairs = spark.createDataFrame([(i, c, codes[(i + 1) % len(codes)]) for i, c in enumerate(codes)],
+                                  "doc_id long, before string, after string")
+    got = {r.doc_id: (r.normalized_loc_churn, r.ast_churn) for r in churn.churn(pairs).collect()}
+    for i, c in enumerate(codes):
+        a = codes[(i + 1) % len(codes)]
+        assert got[i] == (pycode.line_churn(c, a), pycode.ast_churn(c, a))
+    stats = {r.doc_id: (r.avg_cyclomatic_complexity, r.sloc) for r in churn.code_stats(docs).collect()}
+    assert stats == {i: pycode.code_stats(c)[:2] for i, c in enumerate(codes)}
+
+
+def test_multiset_bound_never_exceeds_sequence_churn(spark):
+    import random
+    rnd = random.Random(3)
+    rows_b, rows_a, truth = [], [], {}
+    for d in range(40):
+        a = [rnd.choice("abcde") for _ in range(rnd.randint(0, 15))]
+        b = [rnd.choice("abcdef") for _ in range(rnd.randint(0, 15))]
+        rows_b += [(d, i, x) for i, x in enumerate(a)]
+        rows_a += [(d, i, x) for i, x in enumerate(b)]
+        truth[d] = pycode.opcode_churn(a, b)
+    bl = spark.createDataFrame(rows_b, "doc_id int, line_no int, line string")
+    al = spark.createDataFrame(rows_a, "doc_id int, line_no int, line string")
+    for r in churn.multiset_line_churn(bl, al).collect():
+        assert r.churn <= truth[r.doc_id]
