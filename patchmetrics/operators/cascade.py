@@ -134,7 +134,12 @@ def remediate(docs: DataFrame, findings: DataFrame, responder, rescan, levels=(1
     current = docs.select(key, code_col)
     pending = findings
     all_attempts = []
+    done = []            # documents no longer touched by later levels
     for level in levels:
+        # Only documents with pending findings are parsed, patched and re-scanned at this level.
+        touched = current.join(pending.select(key).distinct(), key, "left_semi")
+        done.append(current.join(pending.select(key).distinct(), key, "left_anti"))
+        current = touched
         lines = explode_lines(current, code_col, key)
         spans = function_spans(current, key, code_col)
         f = pending.withColumn("line_no", F.col("line_num"))
@@ -148,7 +153,9 @@ def remediate(docs: DataFrame, findings: DataFrame, responder, rescan, levels=(1
             replies = respond_with(prompts.select(*fkeys, "level", "prompt", F.col("code").alias("code_snippet")),
                                    responder, _REPLY_DDL.format(key=key, ktype=docs.schema[key].dataType.simpleString()))
             replies = replies.drop("level")
-        att = attach_responses(prompts, replies, fkeys)
+        # Contexts, prompts and replies of this level are stored once: the splice, the verification and the
+        # attempt rows all read them, and the responder must not run twice.
+        att = attach_responses(prompts, replies, fkeys).drop("prompt").checkpoint(eager=True)
         errored = F.col("reply").isNull()
         patches = att.filter(~errored).select(key, F.col("finding_id").alias("patch_seq"), "start_line", "end_line",
                                               F.col("reply_clean").alias("block"))
@@ -168,7 +175,7 @@ def remediate(docs: DataFrame, findings: DataFrame, responder, rescan, levels=(1
             (F.coalesce(F.col("prompt_tokens"), F.lit(0)) + F.coalesce(F.col("completion_tokens"), F.lit(0)))
             .cast("bigint").alias("total_tokens"),
             F.coalesce(F.col("duration_s"), F.lit(0.0)).cast("double").alias("llm_time_taken"),
-            "severity", "confidence", "finding_id", "line_num")
+            "severity", "confidence", "finding_id", "line_num").checkpoint(eager=True)
         all_attempts.append(attempts)
         left = route_leftovers(attempts, "status", level + 1)
         pending = left.select(F.col("file_uid").alias(key), "finding_id", F.col("vulnerability_id").alias("test_id"),
@@ -177,7 +184,10 @@ def remediate(docs: DataFrame, findings: DataFrame, responder, rescan, levels=(1
     out = all_attempts[0]
     for a in all_attempts[1:]:
         out = out.unionByName(a)
-    return out, current, pending
+    final = current
+    for d in done:
+        final = final.unionByName(d)
+    return out, final, pending
 
 
 _REPLY_DDL = ("{key} {ktype}, finding_id bigint, level int, reply string, finish_reason string, prompt_tokens bigint, "

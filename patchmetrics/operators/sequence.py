@@ -6,8 +6,8 @@ key split across tasks:
 
 1. range-partition on ``(k, o)`` so a hot key spans several partitions, then sort within partitions;
 2. one Arrow pass per partition numbers rows inside each key run (a partition is one task, rows arrive sorted);
-3. a per-partition summary (one row per partition: first key, last key, length of the last run) gives, through a
-   window over at most ``num_partitions`` rows, how many rows of a key precede the partition;
+3. a per-partition summary (its first and last row: first key, last key, length of the last run) gives,
+   through a window over at most ``num_partitions`` rows, how many rows of a key precede the partition;
 4. that carry table is broadcast -- its size is bounded by the partition count, not by the data -- and added to the
    rows of each partition's first run.
 
@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from ..session import ensure_checkpoint_dir, shuffle_partitions
 
-_PID, _POS, _LSEQ, _HEAD = "_sq_pid", "_sq_pos", "_sq_lseq", "_sq_head"
+_PID, _POS, _LSEQ, _HEAD, _LAST = "_sq_pid", "_sq_pos", "_sq_lseq", "_sq_head", "_sq_last"
 
 
 def _same_key(a: tuple, b: tuple) -> bool:
@@ -43,16 +43,20 @@ def _same_key(a: tuple, b: tuple) -> bool:
 
 
 def _number_runs(keys: list[str]):
-    """Per-partition numbering of key runs; rows arrive sorted by (keys, order)."""
+    """Per-partition numbering of key runs; rows arrive sorted by (keys, order).
+
+    One batch is held back so the partition's very last row can be marked (``_sq_last``).
+    """
 
     def run(batches):
         from pyspark import TaskContext
 
         pid = TaskContext.get().partitionId()
-        seen = 0            # rows of this partition already emitted
-        prev = None         # key tuple of the last emitted row
-        carry_len = 0       # length of the run the last emitted row belongs to
+        seen = 0            # rows of this partition already numbered
+        prev = None         # key tuple of the last numbered row
+        carry_len = 0       # length of the run the last numbered row belongs to
         last_run = -1       # index of that run within the partition
+        pending = None
         for pdf in batches:
             m = len(pdf)
             if m == 0:
@@ -78,11 +82,17 @@ def _number_runs(keys: list[str]):
             out[_POS] = seen + idx
             out[_LSEQ] = lseq.astype(np.int64)
             out[_HEAD] = run_index == 0
-            yield out
+            out[_LAST] = False
+            if pending is not None:
+                yield pending
+            pending = out
             seen += m
             last_run = int(run_index[-1])
             carry_len = int(lseq[-1])
             prev = tuple(pdf[keys].iloc[-1].tolist()) if keys else ()
+        if pending is not None:
+            pending.iloc[-1, pending.columns.get_loc(_LAST)] = True
+            yield pending
 
     return run
 
@@ -102,15 +112,15 @@ def sequence_within(df: DataFrame, keys: Sequence[str], order: Sequence[str], na
     ranged = df.repartitionByRange(n, *by).sortWithinPartitions(*by)
     schema = T.StructType(df.schema.fields + [
         T.StructField(_PID, T.IntegerType(), False), T.StructField(_POS, T.LongType(), False),
-        T.StructField(_LSEQ, T.LongType(), False), T.StructField(_HEAD, T.BooleanType(), False)])
+        T.StructField(_LSEQ, T.LongType(), False), T.StructField(_HEAD, T.BooleanType(), False),
+        T.StructField(_LAST, T.BooleanType(), False)])
     numbered = ranged.mapInPandas(_number_runs(keys), schema).checkpoint(eager=True)
 
     key = F.struct(*[F.col(k) for k in keys]) if keys else F.struct(F.lit(0).alias("_k"))
-    summary = numbered.groupBy(_PID).agg(
-        F.min_by(key, F.col(_POS)).alias("_first"),
-        F.max_by(key, F.col(_POS)).alias("_last"),
-        F.max_by(F.col(_LSEQ), F.col(_POS)).alias("_last_len"))
-    # At most num_partitions rows: a single ordered window is bounded and cheap.
+    # Summary = first and last row of every partition: at most 2 * num_partitions rows, no sort of the data.
+    first = numbered.filter(F.col(_POS) == 0).select(_PID, key.alias("_first"))
+    last = numbered.filter(F.col(_LAST)).select(_PID, key.alias("_last"), F.col(_LSEQ).alias("_last_len"))
+    summary = first.join(last, _PID)
     by_last = Window.partitionBy("_last").orderBy(_PID).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     in_order = Window.partitionBy(F.lit(0)).orderBy(_PID)
     carry = (summary

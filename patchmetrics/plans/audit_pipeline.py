@@ -17,12 +17,20 @@ def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.vuln_traces(priced_attempts(spark, sf_dir))
 
 
-def audit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nested audit log, one record per order (file); dataset = order priority, fixed timestamp for determinism."""
+def build_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested audit log, one record per order (file); dataset = order priority, fixed timestamp."""
     from pyspark.sql import functions as F
     return audit.build_audit_log(priced_attempts(spark, sf_dir), fixtures.file_facts(spark, sf_dir),
                                  timestamp=F.lit("1970-01-01T00:00:00"))
 
 
+def audit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report stage's input: the audit log, built once per session and checkpointed.
+
+    The reference's report reads a stored log file; here the stored copy lives in ``spark.checkpoint.dir``.
+    """
+    return fixtures.memo(spark, sf_dir, "audit_log", lambda: build_log(spark, sf_dir).checkpoint(eager=True))
+
+
 def valid_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.valid_entries(audit_log(spark, sf_dir))

@@ -77,7 +77,7 @@ def q_file_summary(spark, sf):
 
 @query("audit_log_nested")
 def q_audit_log_nested(spark, sf):
-    return ap.audit_log(spark, sf)
+    return ap.build_log(spark, sf)
 
 
 # ------------------------------------------------------------------ report (C4)

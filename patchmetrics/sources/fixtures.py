@@ -26,7 +26,7 @@ from .tables import read_table
 _MEMO: dict[tuple, DataFrame] = {}
 
 
-def _memo(spark: SparkSession, sf_dir: str, name: str, build):
+def memo(spark: SparkSession, sf_dir: str, name: str, build):
     key = (spark.sparkContext.applicationId, id(spark), sf_dir.rstrip("/"), name)
     if key not in _MEMO:
         _MEMO[key] = build()
@@ -75,9 +75,9 @@ def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.when(F.col("l_returnflag") == "A", "HIGH").when(F.col("l_returnflag") == "N", "MEDIUM")
             .otherwise("LOW").alias("severity"),
             F.when(F.col("l_partkey") % 2 == 0, "HIGH").otherwise("MEDIUM").alias("confidence"),
-        )
+        ).checkpoint(eager=True)
 
-    return _memo(spark, sf_dir, "attempts", build)
+    return memo(spark, sf_dir, "attempts", build)
 
 
 def file_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
