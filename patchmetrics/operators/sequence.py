@@ -11,7 +11,7 @@ key split across tasks:
 4. that carry table is broadcast -- its size is bounded by the partition count, not by the data -- and added to the
    rows of each partition's first run.
 
-The pass-2 output is checkpointed to ``spark.checkpoint.dir`` before it is read twice, so the summary and the rows
+The pass-2 output is written under ``spark.checkpoint.dir`` before it is read twice, so the summary and the rows
 always describe the same partitions (AQE coalescing or a lost executor cannot desynchronise them).
 ``dense_index`` is the key-less case: a contiguous 0-based id in a global order (never a one-partition window).
 """
@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import ensure_checkpoint_dir, shuffle_partitions
+from ..sources.store import materialize
 
 _PID, _POS, _LSEQ, _HEAD, _LAST = "_sq_pid", "_sq_pos", "_sq_lseq", "_sq_head", "_sq_last"
 
@@ -114,7 +115,7 @@ def sequence_within(df: DataFrame, keys: Sequence[str], order: Sequence[str], na
         T.StructField(_PID, T.IntegerType(), False), T.StructField(_POS, T.LongType(), False),
         T.StructField(_LSEQ, T.LongType(), False), T.StructField(_HEAD, T.BooleanType(), False),
         T.StructField(_LAST, T.BooleanType(), False)])
-    numbered = ranged.mapInPandas(_number_runs(keys), schema).checkpoint(eager=True)
+    numbered = materialize(ranged.mapInPandas(_number_runs(keys), schema), "sequence")
 
     key = F.struct(*[F.col(k) for k in keys]) if keys else F.struct(F.lit(0).alias("_k"))
     # Summary = first and last row of every partition: at most 2 * num_partitions rows, no sort of the data.

@@ -27,9 +27,11 @@ def build_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 def audit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The report stage's input: the audit log, built once per session and checkpointed.
 
-    The reference's report reads a stored log file; here the stored copy lives in ``spark.checkpoint.dir``.
+    The reference's report reads a stored log file; here the stored copy is a parquet table under
+    ``spark.checkpoint.dir``.
     """
-    return fixtures.memo(spark, sf_dir, "audit_log", lambda: build_log(spark, sf_dir).checkpoint(eager=True))
+    from ..sources.store import materialize
+    return fixtures.memo(spark, sf_dir, "audit_log", lambda: materialize(build_log(spark, sf_dir), "audit_log"))
 
 
 def valid_entries(spark: SparkSession, sf_dir: str) -> DataFrame:

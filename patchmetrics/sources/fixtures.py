@@ -12,7 +12,8 @@ whose size grows with the scale factor:
   parser-based jobs (spans, AST tokens, logical lines, churn, complexity) see real code whose volume is the
   corpus's.
 
-Derived tables that are expensive (sequence numbers) are checkpointed once per session and scale factor.
+Derived tables that are expensive (sequence numbers) are written once per session and scale factor under
+``spark.checkpoint.dir`` (``sources.store.materialize``).
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.sequence import sequence_within
+from .store import materialize
 from .tables import read_table
 
 _MEMO: dict[tuple, DataFrame] = {}
@@ -60,7 +62,7 @@ def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
         p = F.when(qty50, F.lit(None)).otherwise(F.floor(F.col("l_quantity") * 40).cast("bigint")
                                                  + F.col("l_partkey") % 97)
         c = F.when(qty50, F.lit(None)).otherwise(F.floor(F.col("l_extendedprice")).cast("bigint") % 3000)
-        return seqd.select(
+        out = seqd.select(
             "file_uid", "vulnerability_id", F.col("attempt_seq").cast("bigint").alias("attempt_seq"),
             F.when(first, 1).otherwise(2).alias("level_attempted"),
             F.when(F.col("l_suppkey") % 10 == 0, F.lit(UNLISTED_MODEL)).when(first, F.lit(LEVEL1_MODEL))
@@ -75,7 +77,8 @@ def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.when(F.col("l_returnflag") == "A", "HIGH").when(F.col("l_returnflag") == "N", "MEDIUM")
             .otherwise("LOW").alias("severity"),
             F.when(F.col("l_partkey") % 2 == 0, "HIGH").otherwise("MEDIUM").alias("confidence"),
-        ).checkpoint(eager=True)
+        )
+        return materialize(out, "attempts")
 
     return memo(spark, sf_dir, "attempts", build)
 

@@ -66,3 +66,30 @@ def test_routing_and_cascade(spark):
     assert final.first().code == ("def f():\n    key = env()\n    return key\n" + filler.replace(tail, "")
                                   + tail + "log(f())\nz = 1\n")
     assert left.count() == 0
+
+
+def test_run_sample_end_to_end(spark, tmp_path):
+    from patchmetrics.operators.audit import pricing_table
+    from patchmetrics.plans.pipelines import run_sample
+    from patchmetrics.sources.io import read_audit_log
+    corpus = spark.createDataFrame([(0, "def f():\n    x = 'secret'\n    return x\n"), (3, "y = 1\n"),
+                                    (5, "print('secret')\n")], "sample_id long, code string")
+    findings = spark.createDataFrame([(0, 1, "S1", 2, "HIGH", "HIGH"), (5, 1, "S1", 1, "LOW", "LOW")],
+                                     "doc_id long, finding_id long, test_id string, line_num int, severity string, "
+                                     "confidence string")
+    replies = spark.createDataFrame(
+        [(0, 1, 1, "def f():\n    x = env()\n    return x", "stop", 10, 5, 1.0)],
+        "doc_id long, finding_id long, level int, reply string, finish_reason string, prompt_tokens long, "
+        "completion_tokens long, duration_s double")
+
+    def rescan(patched):
+        return patched.filter(F.col("code").contains("secret")).select("doc_id", F.lit("S1").alias("test_id"))
+
+    log = run_sample(corpus, findings, replies, rescan, pricing_table(spark), str(tmp_path / "log"),
+                     str(tmp_path / "code"), models={1: "alibaba-qwen3-32b", 2: "deepseek-r1-distill-llama-70b"})
+    rec = {r.meta.file_uid: r for r in read_audit_log(spark, str(tmp_path / "log")).collect()}
+    assert set(rec) == {"0", "5"}                       # sample 3 is not in range(0, 420, 5)
+    assert rec["0"].security_summary.fixed_count == 1 and rec["0"].vulnerabilities[0].status == "FIXED"
+    assert rec["5"].vulnerabilities[0].attempts[0].status == "FAILED"      # no reply -> error -> FAILED, not leftover
+    assert rec["5"].input_stats.vuln_count == 0
+    assert log.count() == 2

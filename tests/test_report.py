@@ -100,3 +100,12 @@ def test_round_trip_report(spark):
     a = sorted(tuple(r) for r in report.kpi_report(log).collect())
     b = sorted(tuple(r) for r in report.kpi_report(back).collect())
     assert a == b and len(a) > 10
+
+
+def test_validation_splits_rejects(spark):
+    from patchmetrics.schemas import reject_invalid_audit_rows
+    bad = dict(LOG[0])
+    bad = {**bad, "vulnerabilities": [{**LOG[0]["vulnerabilities"][0], "status": "MAYBE"}]}
+    nouid = {**LOG[3], "meta": {**LOG[3]["meta"], "file_uid": None}}
+    valid, rejected = reject_invalid_audit_rows(log_df(spark, [LOG[1], bad, nouid]))
+    assert valid.count() == 1 and rejected.count() == 2
