@@ -60,20 +60,23 @@ def extract_ranges(ranges: DataFrame, lines: DataFrame, range_keys: Sequence[str
                    sep: str = "") -> DataFrame:
     """X6 over a line table: text of lines ``[start, end]`` per range (``''`` when the range is empty).
 
-    Each range expands to its line numbers and meets the line table on ``(key, line_no)``; with few ranges AQE
-    turns this into a broadcast join and the line table is only scanned.
+    Many findings share one context (every finding inside a function), so each *distinct* ``(doc, start, end)``
+    is expanded to its line numbers, met with the line table on ``(key, line_no)`` and assembled once; the text then
+    joins back to the ranges. With few ranges AQE turns the line join into a broadcast and the line table is only
+    scanned. ``range_keys`` is kept for API compatibility (the output has one row per input range).
     """
-    want = ranges.select(*range_keys, F.col(key).alias("_dk"),
-                         F.explode(F.sequence(F.col(start_col), F.greatest(F.col(end_col), F.col(start_col))))
-                         .alias("_ln"), F.col(end_col).alias("_end"))
-    want = want.filter(F.col("_ln") <= F.col("_end"))
+    del range_keys
+    spans = ranges.select(F.col(key).alias("_dk"), F.col(start_col).alias("_s"), F.col(end_col).alias("_e")).distinct()
+    want = spans.filter(F.col("_s") <= F.col("_e")).select(
+        "_dk", "_s", "_e", F.explode(F.sequence(F.col("_s"), F.col("_e"))).alias("_ln"))
     got = want.join(lines.select(F.col(key).alias("_dk"), F.col("line_no").alias("_ln"), F.col("line").alias("_t")),
                     ["_dk", "_ln"], "inner")
-    texts = got.groupBy(*range_keys).agg(
+    texts = got.groupBy("_dk", "_s", "_e").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_ln", "_t"))), lambda x: x["_t"]), sep)
-        .alias(out_col))
-    return ranges.join(texts, list(range_keys), "left") \
-        .withColumn(out_col, F.coalesce(F.col(out_col), F.lit("")))
+        .alias("_text"))
+    cond = ((F.col(key) == F.col("_dk")) & (F.col(start_col) == F.col("_s")) & (F.col(end_col) == F.col("_e")))
+    out = ranges.join(texts, cond, "left")
+    return out.withColumn(out_col, F.coalesce(F.col("_text"), F.lit(""))).drop("_dk", "_s", "_e", "_text")
 
 
 def line_window_context(findings: DataFrame, lines: DataFrame, finding_keys: Sequence[str], key: str = "doc_id",

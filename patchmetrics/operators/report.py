@@ -184,70 +184,75 @@ def _row(section: str, metric: str, key: Column, num: Column, den: Column, value
             value.cast("double").alias("value")]
 
 
+def _report_row(section: str, metric: str, key: Column, num: Column, den: Column, value: Column) -> Column:
+    return F.struct(F.lit(section).alias("section"), F.lit(metric).alias("metric"), key.cast("string").alias("key"),
+                    num.cast("decimal(38,6)").alias("numerator"), den.cast("decimal(38,6)").alias("denominator"),
+                    value.cast("double").alias("value"))
+
+
+def _ratio(num: Column, den: Column) -> Column:
+    return F.try_divide(num.cast("double"), den.cast("double"))
+
+
 def kpi_report(log: DataFrame) -> DataFrame:
     """Every KPI section as ``(section, metric, key, numerator, denominator, value)`` rows.
 
-    File-level metrics come from one aggregate over the valid files, attempt-level from one grouping by level,
-    vulnerability-level from one grouping-sets pass over (severity) and (test_id).
+    Three aggregations in total: all file-level metrics in one pass over the log (one row, unpivoted), the
+    attempt-level metrics in one grouping by level, the vulnerability-level metrics in one grouping-sets pass over
+    (severity) and (test_id).
     """
-    files = valid_files(log)
-    entries = valid_entries(log)
+    c = F.col
+    valid = c("input_stats.vuln_count") > 0
+    on_valid = lambda x: F.when(valid, x)
+    lc = column_or_null(log, "security_summary.normalized_loc_churn", "bigint")
+    ac = column_or_null(log, "security_summary.ast_churn", "bigint")
+    ccd = (c("security_summary.final_code_stats.avg_cyclomatic_complexity").cast("decimal(18,2)")
+           - c("input_stats.avg_cyclomatic_complexity").cast("decimal(18,2)"))
+    fl = log.agg(
+        F.count(F.lit(1)).alias("loaded"), F.count_if(valid).alias("analyzed"),
+        F.sum(on_valid(c("security_summary.fixed_count"))).alias("fixed"),
+        F.sum(on_valid(c("input_stats.vuln_count"))).alias("detected"),
+        F.count_if(valid & (c("input_stats.vuln_count") == c("security_summary.fixed_count"))).alias("remediated"),
+        F.sum(on_valid(c("total_cost_usd"))).cast("decimal(18,6)").alias("cost"),
+        F.sum(on_valid(lc)).alias("lc_sum"), F.count(on_valid(lc)).alias("lc_n"),
+        F.sum(on_valid(ac)).alias("ac_sum"), F.count(on_valid(ac)).alias("ac_n"),
+        F.sum(on_valid(ccd)).cast("decimal(18,2)").alias("cc_sum"), F.count(on_valid(ccd)).alias("cc_n"))
     nul = F.lit(None)
+    file_rows = fl.select(F.explode(F.array(
+        _report_row("dataset", "loaded", nul, c("loaded"), nul, c("loaded")),
+        _report_row("dataset", "analyzed", nul, c("analyzed"), nul, c("analyzed")),
+        _report_row("dataset", "excluded", nul, c("loaded") - c("analyzed"), nul, c("loaded") - c("analyzed")),
+        _report_row("effectiveness", "vuln_fix_rate", nul, c("fixed"), c("detected"), _pct(c("fixed"), c("detected"))),
+        _report_row("effectiveness", "file_remediation_rate", nul, c("remediated"), c("analyzed"),
+                    _pct(c("remediated"), c("analyzed"))),
+        _report_row("cost", "cost_per_fix", nul, c("cost"), c("fixed"),
+                    F.coalesce(_ratio(c("cost"), c("fixed")), F.lit(0.0))),
+        _report_row("quality", "avg_loc_churn", nul, c("lc_sum"), c("lc_n"), _ratio(c("lc_sum"), c("lc_n"))),
+        _report_row("quality", "avg_ast_churn", nul, c("ac_sum"), c("ac_n"), _ratio(c("ac_sum"), c("ac_n"))),
+        _report_row("quality", "avg_complexity_change", nul, c("cc_sum"), c("cc_n"), _ratio(c("cc_sum"), c("cc_n"))),
+    )).alias("r")).select("r.*")
 
-    fl = log.agg(
-        F.count(F.lit(1)).alias("loaded"),
-        F.count_if(F.col("input_stats.vuln_count") > 0).alias("analyzed"),
-        F.sum(F.when(F.col("input_stats.vuln_count") > 0, F.col("security_summary.fixed_count"))).alias("fixed"),
-        F.sum(F.when(F.col("input_stats.vuln_count") > 0, F.col("input_stats.vuln_count"))).alias("detected"),
-        F.count_if((F.col("input_stats.vuln_count") > 0)
-                   & (F.col("input_stats.vuln_count") == F.col("security_summary.fixed_count"))).alias("remediated"),
-        F.sum(F.when(F.col("input_stats.vuln_count") > 0, F.col("total_cost_usd"))).cast("decimal(18,6)").alias("cost"),
-    )
-    churn = avg_churn(files)
-    cc = complexity_delta(files)
-    dataset_rows = fl.select(F.explode(F.array(
-        F.struct(F.lit("loaded").alias("m"), F.col("loaded").alias("n")),
-        F.struct(F.lit("analyzed").alias("m"), F.col("analyzed").alias("n")),
-        F.struct(F.lit("excluded").alias("m"), (F.col("loaded") - F.col("analyzed")).alias("n")))).alias("r"))
-    parts = [
-        dataset_rows.select(F.lit("dataset").alias("section"), F.col("r.m").alias("metric"),
-                            F.lit(None).cast("string").alias("key"), F.col("r.n").cast("decimal(38,6)").alias("numerator"),
-                            F.lit(None).cast("decimal(38,6)").alias("denominator"),
-                            F.col("r.n").cast("double").alias("value")),
-        fl.select(*_row("effectiveness", "vuln_fix_rate", nul, F.col("fixed"), F.col("detected"),
-                        _pct(F.col("fixed"), F.col("detected")))),
-        fl.select(*_row("effectiveness", "file_remediation_rate", nul, F.col("remediated"), F.col("analyzed"),
-                        _pct(F.col("remediated"), F.col("analyzed")))),
-        fl.select(*_row("cost", "cost_per_fix", nul, F.col("cost"), F.col("fixed"), F.coalesce(
-            F.try_divide(F.col("cost").cast("double"), F.col("fixed").cast("double")), F.lit(0.0)))),
-        churn.select(*_row("quality", "avg_loc_churn", nul, F.col("loc_churn_sum"), F.col("loc_churn_n"),
-                           F.col("avg_loc_churn"))),
-        churn.select(*_row("quality", "avg_ast_churn", nul, F.col("ast_churn_sum"), F.col("ast_churn_n"),
-                           F.col("avg_ast_churn"))),
-        cc.select(*_row("quality", "avg_complexity_change", nul, F.col("cc_delta_sum"), F.col("cc_delta_n"),
-                        F.col("avg_cc_delta"))),
-    ]
-    atts = explode_attempts(entries)
-    lv = level_success_rate(atts)
-    parts.append(lv.select(*_row("tiers", "level_success_rate", F.col("level"), F.col("successes"),
-                                 F.col("attempts"), F.col("success_rate_pct"))))
-    tok = avg_tokens_per_fix(atts)
-    parts.append(tok.select(*_row("cost", "avg_tokens_per_fix", nul, F.col("success_tokens"), F.col("successes"),
-                                  F.col("avg_tokens_per_fix"))))
-    vulns = explode_vulnerabilities(entries)
-    by = vulns.groupingSets([["severity"], ["test_id"]], "severity", "test_id").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col("status") == "FIXED").alias("fixed"),
-        F.grouping_id().alias("gid"))
-    sev = by.filter(F.col("gid") == 1)
-    rule = by.filter(F.col("gid") == 2)
-    parts.append(sev.select(*_row("severity", "fixed_share_pct", F.col("severity"), F.col("fixed"), F.col("n"),
-                                  half_even_ratio(F.col("fixed"), F.col("n"), 2))))
-    parts.append(rule.select(*_row("rule", "success_rate_pct", F.col("test_id"), F.col("fixed"), F.col("n"),
-                                   half_even_ratio(F.col("fixed"), F.col("n"), 1))))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    entries = valid_entries(log)
+    ok = c("status") == "SUCCESS"
+    per_level = explode_attempts(entries).groupBy("level").agg(
+        F.count(F.lit(1)).alias("attempts"), F.count_if(ok).alias("successes"),
+        F.sum(F.when(ok, c("total_tokens"))).alias("success_tokens"))
+    levels = log.sparkSession.createDataFrame([(lv,) for lv in LEVELS], "level int")
+    lv = F.broadcast(levels).join(per_level, "level", "left").select(
+        "level", F.coalesce("attempts", F.lit(0)).alias("attempts"), F.coalesce("successes", F.lit(0)).alias("successes"))
+    level_rows = lv.select(_report_row("tiers", "level_success_rate", c("level"), c("successes"), c("attempts"),
+                                       _pct(c("successes"), c("attempts"))).alias("r")).select("r.*")
+    tok = per_level.agg(F.sum("success_tokens").alias("t"), F.sum("successes").alias("n"))
+    token_rows = tok.select(_report_row("cost", "avg_tokens_per_fix", nul, c("t"), c("n"), _ratio(c("t"), c("n")))
+                            .alias("r")).select("r.*")
+
+    by = explode_vulnerabilities(entries).groupingSets([["severity"], ["test_id"]], "severity", "test_id").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(c("status") == "FIXED").alias("fixed"), F.grouping_id().alias("gid"))
+    vuln_rows = by.select(F.when(c("gid") == 1, _report_row("severity", "fixed_share_pct", c("severity"), c("fixed"),
+                                                             c("n"), half_even_ratio(c("fixed"), c("n"), 2)))
+                          .otherwise(_report_row("rule", "success_rate_pct", c("test_id"), c("fixed"), c("n"),
+                                                 half_even_ratio(c("fixed"), c("n"), 1))).alias("r")).select("r.*")
+    return file_rows.unionByName(level_rows).unionByName(token_rows).unionByName(vuln_rows)
 
 
 # Labels and number formats of the printed report, in print order.

@@ -21,6 +21,9 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Skip per-Column Python call-site capture (only used to decorate error messages); it dominates the
+    # construction time of wide plans such as the KPI report.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     # Document-sized rows: keep Arrow batches small for the Python jobs.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "1024",
 }
