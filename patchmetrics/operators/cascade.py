@@ -115,8 +115,8 @@ def remediate(docs: DataFrame, findings: DataFrame, responder, rescan, levels=(1
 
     Per level: context (innermost function else +-5 lines, J5/J6) -> prompt (X14) -> reply (J8/F7) -> clean (X2)
     -> splice (X7) -> re-scan and verify (J3) -> route leftovers (P13/P14). Errored attempts (no reply) are
-    neither fixed nor escalated (D2). The patched documents are checkpointed between levels so each level's plan
-    starts from stored data.
+    neither fixed nor escalated (D2). Each level's inputs, replies, patched documents and attempts are written
+    under ``spark.checkpoint.dir``, so every level's plan starts from stored data and the responder runs once.
 
     Difference from the reference loop, by design: within a level all patches are applied and then verified
     together (the reference re-scans after each splice), and spans come from the level's input code.
@@ -128,18 +128,21 @@ def remediate(docs: DataFrame, findings: DataFrame, responder, rescan, levels=(1
     from .findings import verify_findings
     from ..session import ensure_checkpoint_dir
 
+    from ..sources.store import materialize
+
     ensure_checkpoint_dir(docs.sparkSession)
     models = models or {}
     fkeys = [key, "finding_id"]
     current = docs.select(key, code_col)
-    pending = findings
+    # The findings and, per level, the documents they touch are read by several jobs: store them once.
+    pending = materialize(findings, "cascade_findings")
     all_attempts = []
     done = []            # documents no longer touched by later levels
     for level in levels:
         # Only documents with pending findings are parsed, patched and re-scanned at this level.
-        touched = current.join(pending.select(key).distinct(), key, "left_semi")
-        done.append(current.join(pending.select(key).distinct(), key, "left_anti"))
-        current = touched
+        keys_df = pending.select(key).distinct()
+        done.append(current.join(keys_df, key, "left_anti"))
+        current = materialize(current.join(keys_df, key, "left_semi"), "cascade_docs")
         lines = explode_lines(current, code_col, key)
         spans = function_spans(current, key, code_col)
         f = pending.withColumn("line_no", F.col("line_num"))
@@ -155,11 +158,11 @@ def remediate(docs: DataFrame, findings: DataFrame, responder, rescan, levels=(1
             replies = replies.drop("level")
         # Contexts, prompts and replies of this level are stored once: the splice, the verification and the
         # attempt rows all read them, and the responder must not run twice.
-        att = attach_responses(prompts, replies, fkeys).drop("prompt").checkpoint(eager=True)
+        att = materialize(attach_responses(prompts, replies, fkeys).drop("prompt"), "cascade_replies")
         errored = F.col("reply").isNull()
         patches = att.filter(~errored).select(key, F.col("finding_id").alias("patch_seq"), "start_line", "end_line",
                                               F.col("reply_clean").alias("block"))
-        patched = apply_patches(current, patches, key, code_col, "patch_seq", mode).checkpoint(eager=True)
+        patched = materialize(apply_patches(current, patches, key, code_col, "patch_seq", mode), "cascade_patched")
         found = rescan(patched.select(key, code_col))
         verified = verify_findings(att, found, key=key)
         status = (F.when(errored, F.lit(RAW_ERROR)).when(F.col("is_patched"), F.lit(RAW_SUCCESS))
@@ -175,7 +178,8 @@ def remediate(docs: DataFrame, findings: DataFrame, responder, rescan, levels=(1
             (F.coalesce(F.col("prompt_tokens"), F.lit(0)) + F.coalesce(F.col("completion_tokens"), F.lit(0)))
             .cast("bigint").alias("total_tokens"),
             F.coalesce(F.col("duration_s"), F.lit(0.0)).cast("double").alias("llm_time_taken"),
-            "severity", "confidence", "finding_id", "line_num").checkpoint(eager=True)
+            "severity", "confidence", "finding_id", "line_num")
+        attempts = materialize(attempts, "cascade_attempts")
         all_attempts.append(attempts)
         left = route_leftovers(attempts, "status", level + 1)
         pending = left.select(F.col("file_uid").alias(key), "finding_id", F.col("vulnerability_id").alias("test_id"),

@@ -21,13 +21,11 @@ def ensure_parallelism(df: DataFrame, key: str | None = None) -> DataFrame:
     """Spread a scan that arrives in fewer splits than the cluster has cores (e.g. one large row group).
 
     With many input splits -- the normal case on a cluster -- this is a no-op; otherwise the rows are
-    hash-partitioned on ``key`` (round-robin without one) into ``spark.sql.shuffle.partitions`` parts, so the
-    per-row work that follows (regexes, explodes, Python jobs) runs on every core.
+    hash-partitioned on ``key`` (round-robin without one) into as many parts as the cluster has cores
+    (``defaultParallelism``), so the per-row work that follows (regexes, explodes, Python jobs) runs on every core.
     """
-    spark = df.sparkSession
-    target = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    have = df.rdd.getNumPartitions()
-    if have >= min(target, spark.sparkContext.defaultParallelism):
+    target = max(df.sparkSession.sparkContext.defaultParallelism, 1)
+    if df.rdd.getNumPartitions() >= target:
         return df
     return df.repartition(target, key) if key and key in df.columns else df.repartition(target)
 
