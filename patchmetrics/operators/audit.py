@@ -92,14 +92,19 @@ def normalize_attempts(raw: DataFrame) -> DataFrame:
     )
 
 
-def price_attempts(norm: DataFrame, pricing: DataFrame) -> DataFrame:
+def price_attempts(norm: DataFrame, pricing=None) -> DataFrame:
     """J1 + X8: left lookup of the model's rates (unknown model -> 0) and the exact attempt cost.
 
-    The pricing side is a rate card (a handful of rows): broadcast after a bounded count, so no shuffle of the
-    attempts happens for this join.
+    ``pricing`` is a rate card: ``None`` (the built-in seven models), a list of ``(model, input, output)`` rows,
+    or a DataFrame with ``model, input, output``. Rows are bounded by construction and broadcast directly; a
+    DataFrame is broadcast only after a bounded count. Either way the attempts are never shuffled for this join.
     """
-    rates = bounded_broadcast(pricing.select(F.col("model").alias("pricing_model"),
-                                             F.col("input").alias("_rate_in"), F.col("output").alias("_rate_out")))
+    if isinstance(pricing, DataFrame):
+        card = bounded_broadcast(pricing)
+    else:
+        card = F.broadcast(pricing_table(norm.sparkSession, pricing))
+    rates = card.select(F.col("model").alias("pricing_model"), F.col("input").alias("_rate_in"),
+                        F.col("output").alias("_rate_out"))
     joined = norm.join(rates, "pricing_model", "left")
     return (joined.withColumn("cost_usd", attempt_cost(F.col("prompt_tokens"), F.col("completion_tokens"),
                                                        F.col("_rate_in"), F.col("_rate_out")))

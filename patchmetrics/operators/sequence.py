@@ -121,7 +121,7 @@ def sequence_within(df: DataFrame, keys: Sequence[str], order: Sequence[str], na
     # Summary = first and last row of every partition: at most 2 * num_partitions rows, no sort of the data.
     first = numbered.filter(F.col(_POS) == 0).select(_PID, key.alias("_first"))
     last = numbered.filter(F.col(_LAST)).select(_PID, key.alias("_last"), F.col(_LSEQ).alias("_last_len"))
-    summary = first.join(last, _PID)
+    summary = first.join(F.broadcast(last), _PID)          # both sides: one row per partition
     by_last = Window.partitionBy("_last").orderBy(_PID).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     in_order = Window.partitionBy(F.lit(0)).orderBy(_PID)
     carry = (summary

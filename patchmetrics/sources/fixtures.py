@@ -96,10 +96,15 @@ def file_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("o_orderkey") % 120).alias("ast_churn"), (F.col("o_orderkey") % 4).alias("vuln_count_after"))
 
 
+def pricing_fixture_rows() -> list[tuple[str, str, str]]:
+    """The two rate-card rows the fixtures use (the library default has all seven models)."""
+    from ..operators.audit import PRICING_PER_1M
+    return [r for r in PRICING_PER_1M if r[0] in (LEVEL1_MODEL, LEVEL2_MODEL)]
+
+
 def pricing_fixture(spark: SparkSession) -> DataFrame:
-    """The two-row pricing table the fixtures use (the library default has all seven models)."""
     from ..operators.audit import pricing_table
-    return pricing_table(spark).filter(F.col("model").isin(LEVEL1_MODEL, LEVEL2_MODEL))
+    return pricing_table(spark, pricing_fixture_rows())
 
 
 def raw_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
