@@ -147,15 +147,16 @@ AUDIT_SQL = {
         vuln_count_after AS "security_summary.final_code_stats.vuln_count",
         normalized_loc_churn AS "security_summary.normalized_loc_churn", ast_churn AS "security_summary.ast_churn",
         total_cost_usd FROM logf""",
-    "audit_dataset_counts": """SELECT count(*) AS loaded, count_if(vuln_count > 0) AS analyzed,
-        count(*) - count_if(vuln_count > 0) AS excluded FROM logf""",
+    "audit_dataset_counts": """SELECT count(*) AS loaded, CAST(count_if(vuln_count > 0) AS BIGINT) AS analyzed,
+        CAST(count(*) - count_if(vuln_count > 0) AS BIGINT) AS excluded FROM logf""",
     "valid_file_semi_join": """SELECT file_uid, vuln_count, fixed_count, n_traces FROM logf
         WHERE file_uid IN (SELECT DISTINCT file_uid FROM valid)""",
     "explode_vulnerabilities": "SELECT * FROM vvulns",
     "explode_attempts": "SELECT * FROM vatts",
     "vuln_fix_rate": f"""SELECT CAST(sum(fixed_count) AS BIGINT) AS fixed, CAST(sum(vuln_count) AS BIGINT) AS detected,
         {pct('sum(fixed_count)', 'sum(vuln_count)')} AS fix_rate_pct FROM valid""",
-    "file_remediation_rate": f"""SELECT count_if(vuln_count = fixed_count) AS remediated_files, count(*) AS files,
+    "file_remediation_rate": f"""SELECT CAST(count_if(vuln_count = fixed_count) AS BIGINT) AS remediated_files,
+        count(*) AS files,
         {pct('count_if(vuln_count = fixed_count)', 'count(*)')} AS remediation_rate_pct FROM valid""",
     "level_success_rate": f"""SELECT l.level, CAST(coalesce(a.attempts, 0) AS BIGINT) AS attempts,
         CAST(coalesce(a.successes, 0) AS BIGINT) AS successes,
@@ -164,7 +165,7 @@ AUDIT_SQL = {
         LEFT JOIN (SELECT level, count(*) AS attempts, count_if(status = 'SUCCESS') AS successes FROM vatts GROUP BY level) a
         ON a.level = l.level""",
     "avg_tokens_per_fix": """SELECT CAST(sum(total_tokens) FILTER (WHERE status = 'SUCCESS') AS BIGINT) AS success_tokens,
-        count_if(status = 'SUCCESS') AS successes,
+        CAST(count_if(status = 'SUCCESS') AS BIGINT) AS successes,
         CAST(sum(total_tokens) FILTER (WHERE status = 'SUCCESS') AS DOUBLE)
           / NULLIF(CAST(count_if(status = 'SUCCESS') AS DOUBLE), 0) AS avg_tokens_per_fix FROM vatts""",
     "cost_per_fix": """SELECT CAST(sum(total_cost_usd) AS DECIMAL(18,6)) AS total_cost_usd,
@@ -180,12 +181,12 @@ AUDIT_SQL = {
         CAST(sum(CAST(cc_after AS DECIMAL(18,2)) - CAST(cc_before AS DECIMAL(18,2))) AS DOUBLE)
           / NULLIF(CAST(count(CAST(cc_after AS DECIMAL(18,2)) - CAST(cc_before AS DECIMAL(18,2))) AS DOUBLE), 0)
           AS avg_cc_delta FROM valid""",
-    "severity_breakdown": f"""SELECT severity, count(*) AS total, count_if(status = 'FIXED') AS fixed,
-        count_if(status = 'FAILED') AS failed,
+    "severity_breakdown": f"""SELECT severity, count(*) AS total, CAST(count_if(status = 'FIXED') AS BIGINT) AS fixed,
+        CAST(count_if(status = 'FAILED') AS BIGINT) AS failed,
         {half_even("count_if(status = 'FIXED')", 'count(*)', 2)} AS fixed_pct,
         {half_even("count_if(status = 'FAILED')", 'count(*)', 2)} AS failed_pct
         FROM vvulns GROUP BY severity""",
-    "success_by_test_id": f"""SELECT test_id, count(*) AS total_cases, count_if(status = 'FIXED') AS fixed,
+    "success_by_test_id": f"""SELECT test_id, count(*) AS total_cases, CAST(count_if(status = 'FIXED') AS BIGINT) AS fixed,
         {half_even("count_if(status = 'FIXED')", 'count(*)', 1)} AS success_rate
         FROM vvulns GROUP BY test_id ORDER BY total_cases DESC, success_rate DESC, test_id""",
 }
