@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import split_lines_keepends, split_newlines, window_bounds
@@ -55,17 +55,15 @@ def innermost_span(findings: DataFrame, spans: DataFrame, finding_keys: Sequence
     return agg.select(*findings.columns, F.col("_best.s").alias("span_start"), F.col("_best.e").alias("span_end"))
 
 
-def extract_ranges(ranges: DataFrame, lines: DataFrame, range_keys: Sequence[str], key: str = "doc_id",
-                   start_col: str = "start_line", end_col: str = "end_line", out_col: str = "code",
-                   sep: str = "") -> DataFrame:
+def extract_ranges(ranges: DataFrame, lines: DataFrame, key: str = "doc_id", start_col: str = "start_line",
+                   end_col: str = "end_line", out_col: str = "code", sep: str = "") -> DataFrame:
     """X6 over a line table: text of lines ``[start, end]`` per range (``''`` when the range is empty).
 
     Many findings share one context (every finding inside a function), so each *distinct* ``(doc, start, end)``
     is expanded to its line numbers, met with the line table on ``(key, line_no)`` and assembled once; the text then
-    joins back to the ranges. With few ranges AQE turns the line join into a broadcast and the line table is only
-    scanned. ``range_keys`` is kept for API compatibility (the output has one row per input range).
+    joins back to the ranges (one output row per input row). With few ranges AQE turns the line join into a
+    broadcast and the line table is only scanned.
     """
-    del range_keys
     spans = ranges.select(F.col(key).alias("_dk"), F.col(start_col).alias("_s"), F.col(end_col).alias("_e")).distinct()
     want = spans.filter(F.col("_s") <= F.col("_e")).select(
         "_dk", "_s", "_e", F.explode(F.sequence(F.col("_s"), F.col("_e"))).alias("_ln"))
@@ -90,7 +88,7 @@ def line_window_context(findings: DataFrame, lines: DataFrame, finding_keys: Seq
     f = findings.join(n, key, "left").withColumn("n_lines", F.coalesce(F.col("n_lines"), F.lit(0)))
     s, e = window_bounds(F.col(line_col), F.col("n_lines"), window)
     f = f.withColumn("start_line", s).withColumn("end_line", e).drop("n_lines")
-    return extract_ranges(f, lines, finding_keys, key)
+    return extract_ranges(f, lines, key)
 
 
 def function_or_window_context(findings: DataFrame, spans: DataFrame, lines: DataFrame, finding_keys: Sequence[str],
@@ -108,7 +106,7 @@ def function_or_window_context(findings: DataFrame, spans: DataFrame, lines: Dat
          .withColumn("start_line", F.when(has, F.col("span_start")).otherwise(ws))
          .withColumn("end_line", F.when(has, F.col("span_end")).otherwise(we))
          .drop("n_lines", "span_start", "span_end"))
-    return extract_ranges(f, lines, finding_keys, key)
+    return extract_ranges(f, lines, key)
 
 
 def line_window_frame(lines: DataFrame, key: str = "doc_id", window: int = WINDOW, block: int = FRAME_BLOCK,

@@ -178,12 +178,6 @@ def success_by_test_id(vulns: DataFrame) -> DataFrame:
 REPORT_DDL = "section string, metric string, key string, numerator decimal(38,6), denominator decimal(38,6), value double"
 
 
-def _row(section: str, metric: str, key: Column, num: Column, den: Column, value: Column) -> list[Column]:
-    return [F.lit(section).alias("section"), F.lit(metric).alias("metric"), key.cast("string").alias("key"),
-            num.cast("decimal(38,6)").alias("numerator"), den.cast("decimal(38,6)").alias("denominator"),
-            value.cast("double").alias("value")]
-
-
 def _report_row(section: str, metric: str, key: Column, num: Column, den: Column, value: Column) -> Column:
     return F.struct(F.lit(section).alias("section"), F.lit(metric).alias("metric"), key.cast("string").alias("key"),
                     num.cast("decimal(38,6)").alias("numerator"), den.cast("decimal(38,6)").alias("denominator"),

@@ -2,7 +2,6 @@
 
 import ast
 
-from pyspark.sql import functions as F
 
 from patchmetrics.operators import churn, context
 from tests.test_pycode import ASYNC_AND_METHOD, BROKEN, DECORATED, NESTED
