@@ -246,3 +246,24 @@ def build_audit_log(priced: DataFrame, facts: DataFrame, dataset: str | None = N
 def _trace_ddl() -> str:
     from ..schemas import TRACE_DDL
     return TRACE_DDL
+
+
+def long_form_log(priced: DataFrame, facts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The audit log in long form -- ``(files, vulns, attempts)`` -- built only with map-side-combined aggregates.
+
+    Same content as ``build_audit_log`` without nesting, so a file holding a third of all attempts never becomes
+    one giant record; feed it to ``report.kpi_report_flat(..., restrict_to_valid=True)``.
+    """
+    traces = vuln_traces(priced)
+    summary = file_summary(traces, facts)
+    files = summary.join(facts.select("file_uid", "normalized_loc_churn", "ast_churn", "cc_before", "cc_after"),
+                         "file_uid").select(
+        F.col("file_uid").cast("string").alias("file_uid"), "vuln_count", "fixed_count", "total_cost_usd",
+        F.col("normalized_loc_churn").cast("bigint").alias("normalized_loc_churn"),
+        F.col("ast_churn").cast("bigint").alias("ast_churn"),
+        F.col("cc_before").cast("double").alias("cc_before"), F.col("cc_after").cast("double").alias("cc_after"))
+    vulns = traces.select(F.col("file_uid").cast("string").alias("file_uid"),
+                          F.col("vulnerability_id").alias("test_id"), "severity", "status")
+    attempts = priced.select(F.col("file_uid").cast("string").alias("file_uid"),
+                             F.col("vulnerability_id").alias("test_id"), "level", "status", "total_tokens")
+    return files, vulns, attempts

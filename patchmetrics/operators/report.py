@@ -188,28 +188,55 @@ def _ratio(num: Column, den: Column) -> Column:
     return F.try_divide(num.cast("double"), den.cast("double"))
 
 
+def log_tables(log: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The nested audit log as the three long-form tables the report needs: ``(files, vulns, attempts)``.
+
+    ``vulns`` and ``attempts`` are restricted to entries of valid file ids (J2). ``files`` has ``file_uid,
+    vuln_count, fixed_count, total_cost_usd, normalized_loc_churn, ast_churn, cc_before, cc_after``.
+    """
+    lc = column_or_null(log, "security_summary.normalized_loc_churn", "bigint")
+    ac = column_or_null(log, "security_summary.ast_churn", "bigint")
+    files = log.select(
+        F.col("meta.file_uid").alias("file_uid"), F.col("input_stats.vuln_count").alias("vuln_count"),
+        F.col("security_summary.fixed_count").alias("fixed_count"), "total_cost_usd",
+        lc.alias("normalized_loc_churn"), ac.alias("ast_churn"),
+        F.col("input_stats.avg_cyclomatic_complexity").alias("cc_before"),
+        F.col("security_summary.final_code_stats.avg_cyclomatic_complexity").alias("cc_after"))
+    entries = valid_entries(log)
+    return files, explode_vulnerabilities(entries), explode_attempts(entries)
+
+
 def kpi_report(log: DataFrame) -> DataFrame:
+    """A25 over the nested audit log (the reference's input): ``kpi_report_flat(*log_tables(log))``."""
+    return kpi_report_flat(*log_tables(log))
+
+
+def kpi_report_flat(files: DataFrame, vulns: DataFrame, attempts: DataFrame,
+                    restrict_to_valid: bool = False) -> DataFrame:
     """Every KPI section as ``(section, metric, key, numerator, denominator, value)`` rows.
 
-    Three aggregations in total: all file-level metrics in one pass over the log (one row, unpivoted), the
-    attempt-level metrics in one grouping by level, the vulnerability-level metrics in one grouping-sets pass over
-    (severity) and (test_id).
+    Inputs are long-form: one row per file record, per trace, per attempt (``log_tables`` or
+    ``audit.long_form_log``). Three aggregations in total: all file-level metrics in one pass (one row,
+    unpivoted), the attempt-level metrics in one grouping by level, the vulnerability-level metrics in one
+    grouping-sets pass over (severity) and (test_id). Every aggregate combines map-side, so no file, trace or rule
+    -- however hot -- is gathered into one task. ``restrict_to_valid`` applies J2 to ``vulns``/``attempts``
+    (semi join on the distinct ids of files with vulnerabilities) when they are not already restricted.
     """
     c = F.col
-    valid = c("input_stats.vuln_count") > 0
+    if restrict_to_valid:
+        ids = files.filter(c("vuln_count") > 0).select("file_uid").distinct()
+        vulns = vulns.join(ids, "file_uid", "left_semi")
+        attempts = attempts.join(ids, "file_uid", "left_semi")
+    valid = c("vuln_count") > 0
     on_valid = lambda x: F.when(valid, x)
-    lc = column_or_null(log, "security_summary.normalized_loc_churn", "bigint")
-    ac = column_or_null(log, "security_summary.ast_churn", "bigint")
-    ccd = (c("security_summary.final_code_stats.avg_cyclomatic_complexity").cast("decimal(18,2)")
-           - c("input_stats.avg_cyclomatic_complexity").cast("decimal(18,2)"))
-    fl = log.agg(
+    ccd = c("cc_after").cast("decimal(18,2)") - c("cc_before").cast("decimal(18,2)")
+    fl = files.agg(
         F.count(F.lit(1)).alias("loaded"), F.count_if(valid).alias("analyzed"),
-        F.sum(on_valid(c("security_summary.fixed_count"))).alias("fixed"),
-        F.sum(on_valid(c("input_stats.vuln_count"))).alias("detected"),
-        F.count_if(valid & (c("input_stats.vuln_count") == c("security_summary.fixed_count"))).alias("remediated"),
+        F.sum(on_valid(c("fixed_count"))).alias("fixed"), F.sum(on_valid(c("vuln_count"))).alias("detected"),
+        F.count_if(valid & (c("vuln_count") == c("fixed_count"))).alias("remediated"),
         F.sum(on_valid(c("total_cost_usd"))).cast("decimal(18,6)").alias("cost"),
-        F.sum(on_valid(lc)).alias("lc_sum"), F.count(on_valid(lc)).alias("lc_n"),
-        F.sum(on_valid(ac)).alias("ac_sum"), F.count(on_valid(ac)).alias("ac_n"),
+        F.sum(on_valid(c("normalized_loc_churn"))).alias("lc_sum"), F.count(on_valid(c("normalized_loc_churn"))).alias("lc_n"),
+        F.sum(on_valid(c("ast_churn"))).alias("ac_sum"), F.count(on_valid(c("ast_churn"))).alias("ac_n"),
         F.sum(on_valid(ccd)).cast("decimal(18,2)").alias("cc_sum"), F.count(on_valid(ccd)).alias("cc_n"))
     nul = F.lit(None)
     file_rows = fl.select(F.explode(F.array(
@@ -226,12 +253,11 @@ def kpi_report(log: DataFrame) -> DataFrame:
         _report_row("quality", "avg_complexity_change", nul, c("cc_sum"), c("cc_n"), _ratio(c("cc_sum"), c("cc_n"))),
     )).alias("r")).select("r.*")
 
-    entries = valid_entries(log)
     ok = c("status") == "SUCCESS"
-    per_level = explode_attempts(entries).groupBy("level").agg(
+    per_level = attempts.groupBy("level").agg(
         F.count(F.lit(1)).alias("attempts"), F.count_if(ok).alias("successes"),
         F.sum(F.when(ok, c("total_tokens"))).alias("success_tokens"))
-    levels = log.sparkSession.createDataFrame([(lv,) for lv in LEVELS], "level int")
+    levels = files.sparkSession.createDataFrame([(lv,) for lv in LEVELS], "level int")
     lv = F.broadcast(levels).join(per_level, "level", "left").select(
         "level", F.coalesce("attempts", F.lit(0)).alias("attempts"), F.coalesce("successes", F.lit(0)).alias("successes"))
     level_rows = lv.select(_report_row("tiers", "level_success_rate", c("level"), c("successes"), c("attempts"),
@@ -240,7 +266,7 @@ def kpi_report(log: DataFrame) -> DataFrame:
     token_rows = tok.select(_report_row("cost", "avg_tokens_per_fix", nul, c("t"), c("n"), _ratio(c("t"), c("n")))
                             .alias("r")).select("r.*")
 
-    by = explode_vulnerabilities(entries).groupingSets([["severity"], ["test_id"]], "severity", "test_id").agg(
+    by = vulns.groupingSets([["severity"], ["test_id"]], "severity", "test_id").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(c("status") == "FIXED").alias("fixed"), F.grouping_id().alias("gid"))
     vuln_rows = by.select(F.when(c("gid") == 1, _report_row("severity", "fixed_share_pct", c("severity"), c("fixed"),
                                                              c("n"), half_even_ratio(c("fixed"), c("n"), 2)))

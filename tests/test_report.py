@@ -109,3 +109,14 @@ def test_validation_splits_rejects(spark):
     nouid = {**LOG[3], "meta": {**LOG[3]["meta"], "file_uid": None}}
     valid, rejected = reject_invalid_audit_rows(log_df(spark, [LOG[1], bad, nouid]))
     assert valid.count() == 1 and rejected.count() == 2
+
+
+def test_long_form_report_equals_nested(spark):
+    from patchmetrics.operators import audit
+    from patchmetrics.plans import audit_pipeline as ap
+    from tests.conftest import SF_SMALL
+    from patchmetrics.sources import fixtures
+    files, vulns, atts = audit.long_form_log(ap.priced_attempts(spark, SF_SMALL), fixtures.file_facts(spark, SF_SMALL))
+    flat = sorted(tuple(r) for r in report.kpi_report_flat(files, vulns, atts, restrict_to_valid=True).collect())
+    nested = sorted(tuple(r) for r in report.kpi_report(ap.build_log(spark, SF_SMALL)).collect())
+    assert flat == nested
