@@ -16,7 +16,8 @@ WS_CLASS = r"[\s\x1c-\x1f]"
 STRIP_RE = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z"
 FENCE_HEAD_RE = r"(?U)^```(?:python)?[\s\x1c-\x1f]*"
 FENCE_TAIL_RE = r"(?U)[\s\x1c-\x1f]*```\z"
-SPLITLINES_RE = r"(?<=\n)|(?<=[\x0b\x0c\x1c\x1d\x1e\x85  ])|(?<=\r)(?!\n)"
+SPLITLINES_RE = r"(?<=\n)|(?<=[\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029])|(?<=\r)(?!\n)"
+OTHER_SEPARATORS_RE = "[\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"  # line separators other than \n
 WORD_SPLIT_RE = r"(?U)[\s\x1c-\x1f]+"
 DOC_VERSION_RE = r"(?<=/en/)[0-9]+(?:\.[0-9]+)*"
 DOC_VERSION_REPLACEMENT = "latest"
@@ -56,8 +57,18 @@ def rewrite_doc_version(c) -> Column:
 
 
 def split_lines_keepends(c) -> Column:
-    """``s.splitlines(keepends=True)`` as ``array<string>``."""
-    return F.filter(F.split(_c(c), SPLITLINES_RE, -1), lambda x: x != F.lit(""))
+    """``s.splitlines(keepends=True)`` as ``array<string>``.
+
+    Texts whose only line separator is ``\n`` (the common case) take a plain split with the terminators put
+    back; the lookbehind split, which tests every character, runs only for texts holding another separator.
+    """
+    c = _c(c)
+    parts = F.split(c, "\n", -1)
+    n = F.size(parts)
+    plain = F.transform(parts, lambda x, i: F.when(i < n - 1, F.concat(x, F.lit("\n"))).otherwise(x))
+    general = F.split(c, SPLITLINES_RE, -1)
+    arr = F.when(c.rlike(OTHER_SEPARATORS_RE), general).otherwise(plain)
+    return F.filter(arr, lambda x: x != F.lit(""))
 
 
 def split_newlines(c) -> Column:
