@@ -4,7 +4,8 @@
   or a report without results yields no rows (PERMISSIVE ``from_json`` + ``explode``).
 * ``scan_lines`` (J11, default of F8): match every line against a caller-supplied rule table. The rules are
   size-checked and inlined as literal patterns, so each pattern compiles once per task and the scan is a narrow
-  projection over the lines (no join, no shuffle, no pair explosion).
+  projection over the lines (no join, no shuffle, no pair explosion); a literal every match must contain is
+  checked first with ``contains``, so the regex only runs on lines that can match.
 * ``verify_findings`` (J3): a finding is patched iff the re-scan of its document has no finding with the same
   rule anywhere in the document and the re-scan parsed; a left join against the de-duplicated re-scan keys.
 * ``attach_docs`` (J4): normalised documentation URL -> page text, with the reference's sentinel texts.
@@ -51,6 +52,81 @@ def first_line_projection(findings: DataFrame, keys=("doc_id", "finding_idx")) -
                            F.col("issue_severity").alias("severity"), F.col("issue_confidence").alias("confidence"))
 
 
+_CLASS_ESCAPES = set("dDwWsSbBAzZGhHvVR")
+_META = set(".^$[](){}|*+?\\")
+
+
+def required_literal(pattern: str) -> str | None:
+    """Longest literal substring every match of ``pattern`` must contain, or None when unsure.
+
+    Conservative: groups, alternation, and escapes that take arguments (``\\x``, ``\\u``, ``\\p``, ``\\Q`` ...)
+    give None. Used as a ``contains`` prefilter so the regex only runs on lines that can match.
+    """
+    if any(ch in pattern for ch in "()|"):
+        return None
+    runs, cur, i, n = [], "", 0, len(pattern)
+    while i < n:
+        ch = pattern[i]
+        literal = None
+        if ch == "[":
+            j = i + 1
+            if j < n and pattern[j] == "^":
+                j += 1
+            if j < n and pattern[j] == "]":
+                j += 1
+            while j < n and pattern[j] != "]":
+                j += 2 if pattern[j] == "\\" else 1
+            if j >= n:
+                return None
+            i = j + 1
+        elif ch == "\\":
+            if i + 1 >= n:
+                return None
+            nxt = pattern[i + 1]
+            if nxt.isalnum():
+                if nxt not in _CLASS_ESCAPES:
+                    return None
+            else:
+                literal = nxt
+            i += 2
+        elif ch in ".^$":
+            i += 1
+        elif ch in "*+?{":
+            return None            # quantifier without an operand: not a pattern we understand
+        else:
+            literal = ch
+            i += 1
+        # quantifier on the token just read
+        lo = 1
+        if i < n and pattern[i] in "*+?{":
+            q = pattern[i]
+            if q == "{":
+                j = pattern.find("}", i)
+                if j < 0:
+                    return None
+                body = pattern[i + 1:j].split(",")[0]
+                if not body.isdigit():
+                    return None
+                lo, i = int(body), j + 1
+            else:
+                lo, i = (0 if q in "*?" else 1), i + 1
+            if i < n and pattern[i] in "?+":
+                i += 1              # lazy / possessive suffix
+            if literal is not None and lo >= 1:
+                cur += literal
+            runs.append(cur)
+            cur = ""
+            continue
+        if literal is None:
+            runs.append(cur)
+            cur = ""
+        else:
+            cur += literal
+    runs.append(cur)
+    best = max(runs, key=len)
+    return best or None
+
+
 def scan_lines(lines: DataFrame, rules: DataFrame, line_col: str = "line",
                keys=("doc_id", "line_no"), max_rules: int = MAX_INLINE_RULES) -> DataFrame:
     """``lines JOIN rules ON regexp_like(line, pattern)`` as a narrow map.
@@ -66,8 +142,13 @@ def scan_lines(lines: DataFrame, rules: DataFrame, line_col: str = "line",
         return lines.select(*keys, F.lit(None).cast("string").alias("test_id"),
                             F.lit(None).cast("string").alias("severity")).limit(0)
     line = F.col(line_col)
-    hits = F.array(*[F.when(line.rlike(r["pattern"]), F.struct(F.lit(r["test_id"]).alias("test_id"),
-                                                                F.lit(r["severity"]).alias("severity")))
+
+    def matches(pattern: str):
+        lit = required_literal(pattern)
+        return (line.contains(lit) & line.rlike(pattern)) if lit else line.rlike(pattern)
+
+    hits = F.array(*[F.when(matches(r["pattern"]), F.struct(F.lit(r["test_id"]).alias("test_id"),
+                                                             F.lit(r["severity"]).alias("severity")))
                      for r in rows])
     matched = lines.select(*keys, F.explode(F.filter(hits, lambda h: h.isNotNull())).alias("_h"))
     return matched.select(*keys, F.col("_h.test_id").alias("test_id"), F.col("_h.severity").alias("severity"))

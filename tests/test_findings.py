@@ -54,3 +54,23 @@ def test_doc_lookup_sentinels(spark):
     got = {r.finding_id: r.scraped for r in findings.attach_docs(f, docs).collect()}
     assert got == {1: "A text", 2: "No documentation URL provided.", 3: "docs not found",
                    4: "No documentation URL provided."}
+
+
+def test_required_literal_is_sound():
+    import random
+    import re
+    rnd = random.Random(5)
+    atoms = ["a", "b", "c", "@", r"\.", ".", "[ab]", r"\d", "[^a]", "x"]
+    quants = ["", "", "", "?", "*", "+", "{0,2}", "{1,2}", "{2}", "+?"]
+    checked = 0
+    for _ in range(3000):
+        p = "".join(rnd.choice(atoms) + rnd.choice(quants) for _ in range(rnd.randint(1, 5)))
+        lit = findings.required_literal(p)
+        if lit is None:
+            continue
+        for _ in range(20):
+            s = "".join(rnd.choice("abc@.1x ") for _ in range(rnd.randint(0, 12)))
+            if re.search(p, s):
+                assert lit in s, (p, lit, s)
+                checked += 1
+    assert checked > 1000
