@@ -140,8 +140,8 @@ def level_success_rate(attempts: DataFrame, spark: SparkSession | None = None) -
     levels = spark.createDataFrame([(lv,) for lv in LEVELS], "level int")
     per = attempts.groupBy("level").agg(F.count(F.lit(1)).alias("attempts"),
                                         F.count_if(F.col("status") == "SUCCESS").alias("successes"))
-    # `levels` has two rows built from literals: broadcast is bounded by construction.
-    j = F.broadcast(levels).join(per, "level", "left")
+    # Both sides are tiny (two literal rows; one row per level): a plain join, AQE picks the strategy.
+    j = levels.join(per, "level", "left")
     return j.select("level", F.coalesce("attempts", F.lit(0)).alias("attempts"),
                     F.coalesce("successes", F.lit(0)).alias("successes")) \
         .withColumn("success_rate_pct", _pct(F.col("successes"), F.col("attempts")))
@@ -258,7 +258,7 @@ def kpi_report_flat(files: DataFrame, vulns: DataFrame, attempts: DataFrame,
         F.count(F.lit(1)).alias("attempts"), F.count_if(ok).alias("successes"),
         F.sum(F.when(ok, c("total_tokens"))).alias("success_tokens"))
     levels = files.sparkSession.createDataFrame([(lv,) for lv in LEVELS], "level int")
-    lv = F.broadcast(levels).join(per_level, "level", "left").select(
+    lv = levels.join(per_level, "level", "left").select(
         "level", F.coalesce("attempts", F.lit(0)).alias("attempts"), F.coalesce("successes", F.lit(0)).alias("successes"))
     level_rows = lv.select(_report_row("tiers", "level_success_rate", c("level"), c("successes"), c("attempts"),
                                        _pct(c("successes"), c("attempts"))).alias("r")).select("r.*")
