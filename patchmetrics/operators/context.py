@@ -13,10 +13,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import split_lines_keepends, split_newlines, window_bounds
+from ..sources.store import materialize
+from .common import bounded_broadcast
 
 WINDOW = 5            # fixed value: lines of context on each side (reference default)
 SPAN_BUCKET = 256     # lines per bucket for the span range join
 FRAME_BLOCK = 1024    # lines per block for the per-line frame
+MAX_WANTED_LINES = 1_000_000   # wanted (doc, line) references broadcast to the line scan, at most
 
 
 def explode_lines(docs: DataFrame, text_col: str = "text", key: str = "doc_id", keepends: bool = True) -> DataFrame:
@@ -61,12 +64,17 @@ def extract_ranges(ranges: DataFrame, lines: DataFrame, key: str = "doc_id", sta
 
     Many findings share one context (every finding inside a function), so each *distinct* ``(doc, start, end)``
     is expanded to its line numbers, met with the line table on ``(key, line_no)`` and assembled once; the text then
-    joins back to the ranges (one output row per input row). With few ranges AQE turns the line join into a
-    broadcast and the line table is only scanned.
+    joins back to the ranges (one output row per input row).
     """
+    # Ranges are few next to the corpus's line table, and read three times below (size check, lookup side,
+    # join-back): store them once so their upstream (findings, line counts) is computed once.
+    ranges = materialize(ranges, "ranges")
     spans = ranges.select(F.col(key).alias("_dk"), F.col(start_col).alias("_s"), F.col(end_col).alias("_e")).distinct()
     want = spans.filter(F.col("_s") <= F.col("_e")).select(
         "_dk", "_s", "_e", F.explode(F.sequence(F.col("_s"), F.col("_e"))).alias("_ln"))
+    # Broadcast the wanted line numbers when a bounded count allows it: the line table is then scanned in place
+    # instead of shuffled. Beyond the bound the join stays sort-merge.
+    want = bounded_broadcast(want, MAX_WANTED_LINES)
     got = want.join(lines.select(F.col(key).alias("_dk"), F.col("line_no").alias("_ln"), F.col("line").alias("_t")),
                     ["_dk", "_ln"], "inner")
     texts = got.groupBy("_dk", "_s", "_e").agg(
