@@ -60,3 +60,18 @@ def test_innermost_span_with_small_buckets(spark):
     got = {r.line_no: (r.span_start, r.span_end)
            for r in context.innermost_span(f, spans, ["doc_id", "line_no"], bucket=8).collect()}
     assert got == {5: (1, 100), 15: (10, 60), 25: (20, 30), 61: (1, 100), 150: (None, None), 205: (200, 210)}
+
+
+def test_window_context_hot_document(spark):
+    text = "".join(f"row {i}\n" for i in range(1, 401))
+    docs = spark.createDataFrame([(1, text), (2, "only\n")], "doc_id long, text string")
+    lines = context.explode_lines(docs)
+    finds = [(1, ln, f"T{k}") for ln in range(1, 420, 3) for k in range(2)] + [(2, 1, "T0"), (2, 9, "T0")]
+    f = spark.createDataFrame(finds, "doc_id long, line_no int, test_id string")
+    out = context.line_window_context(f, lines, ["doc_id", "line_no", "test_id"]).collect()
+    assert len(out) == len(finds)
+    texts = {1: text.splitlines(keepends=True), 2: ["only\n"]}
+    for r in out:
+        ls = texts[r.doc_id]
+        s0, e = max(0, r.line_no - 6), min(len(ls), r.line_no + 5)
+        assert (r.start_line, r.end_line, r.code) == (s0 + 1, e, "".join(ls[s0:e]))
