@@ -17,4 +17,50 @@ QUERIES = {f.__name__: f for f in (
     op1_personal_data, op2_syncmer_fingerprints, op3_pattern_packing, op4_mix_sources, op5_language_id,
     op6_arc_to_warc, op7_toxicity, op8_near_dedup, op9_host_rules, op10_quality_fm)}
 
-ORACLES: dict[str, str] = {}
+WORDS = r"regexp_extract_all(coalesce({}, ''), '[^\x20\x09-\x0D]+')"
+
+ORACLES = {
+    "op6_arc_to_warc": """
+WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest
+           FROM pages),
+g AS (SELECT payload_digest, max(page_id) AS best FROM p WHERE payload_bytes >= 1000 GROUP BY 1)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN best <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN best <> page_id THEN best END AS refers_to
+FROM p LEFT JOIN g USING (payload_digest)""",
+    "op8_near_dedup": f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, {WORDS.format("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+        ELSE [w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] for i in range(1, len(w) - 1)] END) AS sh FROM d),
+n AS (SELECT doc_id, count(*)::BIGINT AS n FROM s GROUP BY 1),
+links AS (SELECT a.doc_id AS u, b.doc_id AS v FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id <> b.doc_id
+          JOIN n na ON na.doc_id = a.doc_id JOIN n nb ON nb.doc_id = b.doc_id
+          GROUP BY a.doc_id, b.doc_id, na.n, nb.n HAVING 100 * count(*) >= 85 * (na.n + nb.n - count(*))),
+reach AS (SELECT u, v FROM links UNION SELECT r.u, l.v FROM reach r JOIN links l ON r.v = l.u),
+c AS (SELECT u, min(v) AS v FROM reach GROUP BY 1)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(least(c.v, d.doc_id), d.doc_id) AS component_id,
+       coalesce(least(c.v, d.doc_id), d.doc_id) = d.doc_id AS kept
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.u = d.doc_id""",
+    "op9_host_rules": rf"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text, {WORDS.format("text")} AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS x
+        FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM d WHERE len(w) >= 8)),
+twice AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, x) > 1),
+rep AS (SELECT doc_id, count(DISTINCT p)::BIGINT AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM twice) GROUP BY 1),
+lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d),
+dup AS (SELECT doc_id, (count(*) - count(DISTINCT line))::BIGINT AS n FROM lines
+        WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY 1),
+m AS (SELECT doc_id, source, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+             (length(text) - length(translate(text, '#*$%&|<>', '')))::BIGINT AS n_symbols,
+             coalesce(dup.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words
+      FROM d LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id)),
+b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m),
+h AS (SELECT source, count(*) AS n, sum(base_failed::INT) AS f FROM b GROUP BY 1),
+e AS (SELECT avg(f / n) AS mu, coalesce(var_samp(f / n), 0) AS v FROM h),
+k AS (SELECT mu, CASE WHEN v > 0 THEN greatest(1, mu * (1 - mu) / v - 1) ELSE 1 END AS k FROM e),
+r AS (SELECT source, (f + k * mu) / (n + k) AS rate FROM h, k)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND rate <= 0.5 AS kept
+FROM b JOIN r ON b.source IS NOT DISTINCT FROM r.source""",
+}
