@@ -15,7 +15,7 @@ def test_clauses_weigh_more_or_less_than_the_word():
     plain = score("what an idiot")
     assert score("you are an idiot") > plain > score("he is not an idiot, not an idiot") > 0
     assert score('she said idiot') < plain and score('the word "idiot" is old') < plain
-    assert score("i will kill you") > 0 and score("you, i will kill") > score("they beat the odds then kill")
+    assert score("i will kill you") > 0 and score("you, i will kill") > score("time will kill")
     assert score("the cat sat") == 0 and score(None) == 0
     assert score("idiot. you went home") == plain          # a clause does not reach into the next
 
