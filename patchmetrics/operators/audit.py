@@ -24,7 +24,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.money import COST_TYPE, RATE_TYPE, attempt_cost
-from .common import bounded_broadcast
 
 # USD per 1M tokens (input, output) per model, as published by the reference.
 PRICING_PER_1M = [
@@ -43,6 +42,7 @@ DEFAULT_MODEL = "unknown"
 STATUS_SUCCESS, STATUS_FAILED, STATUS_SYNTAX = "SUCCESS", "FAILED", "SYNTAX_ERROR"
 TRACE_FIXED, TRACE_FAILED = "FIXED", "FAILED"
 RAW_ERROR = "error"
+LAST_LEVEL = 2            # level whose failures stay unresolved (the default cascade has two levels)
 
 
 def pricing_table(spark: SparkSession, rows=None) -> DataFrame:
@@ -96,13 +96,10 @@ def price_attempts(norm: DataFrame, pricing=None) -> DataFrame:
     """J1 + X8: left lookup of the model's rates (unknown model -> 0) and the exact attempt cost.
 
     ``pricing`` is a rate card: ``None`` (the built-in seven models), a list of ``(model, input, output)`` rows,
-    or a DataFrame with ``model, input, output``. Rows are bounded by construction and broadcast directly; a
-    DataFrame is broadcast only after a bounded count. Either way the attempts are never shuffled for this join.
+    or a DataFrame with ``model, input, output``. Rows are bounded by construction and broadcast; how a DataFrame is
+    joined is left to Spark's size rules.
     """
-    if isinstance(pricing, DataFrame):
-        card = bounded_broadcast(pricing)
-    else:
-        card = F.broadcast(pricing_table(norm.sparkSession, pricing))
+    card = pricing if isinstance(pricing, DataFrame) else F.broadcast(pricing_table(norm.sparkSession, pricing))
     rates = card.select(F.col("model").alias("pricing_model"), F.col("input").alias("_rate_in"),
                         F.col("output").alias("_rate_out"))
     joined = norm.join(rates, "pricing_model", "left")
@@ -115,8 +112,12 @@ def _is_success() -> Column:
     return F.col("status") == STATUS_SUCCESS
 
 
-def trace_aggregates() -> list[Column]:
-    """A2-A6 as partial-aggregatable expressions (map-side combine; a hot trace never gathers its rows)."""
+def trace_aggregates(last_level: int = LAST_LEVEL) -> list[Column]:
+    """A2-A6 as partial-aggregatable expressions (map-side combine; a hot trace never gathers its rows).
+
+    ``n_leftover`` counts finding instances, not rules: every attempt that failed at the last level is one unresolved
+    finding, also when another finding of its rule was fixed.
+    """
     ok = _is_success()
     return [
         F.min_by("severity", "attempt_seq").alias("severity"),
@@ -128,6 +129,7 @@ def trace_aggregates() -> list[Column]:
         F.min("attempt_seq").alias("first_seq"),
         F.count(F.lit(1)).alias("n_attempts"),
         F.max_by("raw_status", "attempt_seq").alias("last_raw_status"),
+        F.count_if(F.col("raw_status") == f"failed_level_{last_level}").alias("n_leftover"),
     ]
 
 
@@ -165,21 +167,32 @@ def attempt_struct() -> Column:
 
 
 def file_rollup(traces: DataFrame) -> DataFrame:
-    """A7 + leftover/errored counts per file (partial aggregation; one row per file)."""
+    """A7 + leftover instances and errored traces per file (partial aggregation; one row per file)."""
     return traces.groupBy("file_uid").agg(
         F.sum("total_cost_usd").cast(COST_TYPE).alias("total_cost_usd"),
         F.count_if(F.col("status") == TRACE_FIXED).alias("fixed_count"),
-        F.count_if("is_leftover").alias("leftover_count"),
+        F.sum("n_leftover").alias("leftover_count"),
         F.count_if("is_errored").alias("errored_count"),
         F.count(F.lit(1)).alias("n_traces"))
 
 
-def file_summary(traces: DataFrame, facts: DataFrame) -> DataFrame:
+def with_leftovers(per_file: DataFrame, leftovers: DataFrame | None) -> DataFrame:
+    """Replace ``leftover_count`` by the rows per ``file_uid`` of ``leftovers`` (one row per unresolved finding)."""
+    if leftovers is None:
+        return per_file
+    n = leftovers.groupBy("file_uid").agg(F.count(F.lit(1)).alias("_left"))
+    return (per_file.join(n, "file_uid", "full_outer")
+            .withColumn("leftover_count", F.coalesce(F.col("_left"), F.lit(0))).drop("_left"))
+
+
+def file_summary(traces: DataFrame, facts: DataFrame, leftovers: DataFrame | None = None) -> DataFrame:
     """A7 + A8 for every file in ``facts`` (files without attempts get zero counts).
 
-    ``vuln_count = fixed + leftovers``; ``new_issues_introduced = vuln_count_after - vuln_count + fixed``.
+    ``vuln_count = fixed + leftovers``; ``new_issues_introduced = vuln_count_after - vuln_count + fixed``. Leftovers
+    are finding instances: the rows of ``leftovers(file_uid, ...)`` if given, else the attempts that failed at the
+    last level.
     """
-    roll = file_rollup(traces)
+    roll = with_leftovers(file_rollup(traces), leftovers)
     j = facts.select("file_uid", "vuln_count_after").join(roll, "file_uid", "left")
     z = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint")
     return j.select(
@@ -194,7 +207,8 @@ def file_summary(traces: DataFrame, facts: DataFrame) -> DataFrame:
 
 def build_audit_log(priced: DataFrame, facts: DataFrame, dataset: str | None = None,
                     implementation_version: str = "v1.0.0", language: str = "python",
-                    timestamp: Column | None = None, pipeline_duration: Column | None = None) -> DataFrame:
+                    timestamp: Column | None = None, pipeline_duration: Column | None = None,
+                    leftovers: DataFrame | None = None) -> DataFrame:
     """One nested record per file (schema of ``schemas.AUDIT_LOG_DDL``).
 
     ``facts`` carries per-file code statistics: ``file_uid, loc_before, loc_after, cc_before, cc_after,
@@ -214,9 +228,9 @@ def build_audit_log(priced: DataFrame, facts: DataFrame, dataset: str | None = N
     per_file = per_trace.groupBy("file_uid").agg(
         F.sum("total_cost_usd").cast(COST_TYPE).alias("total_cost_usd"),
         F.count_if(F.col("status") == TRACE_FIXED).alias("fixed_count"),
-        F.count_if("is_leftover").alias("leftover_count"),
+        F.sum("n_leftover").alias("leftover_count"),
         F.collect_list(F.struct(F.col("first_seq"), trace.alias("t"))).alias("_traces"))
-    j = facts.join(per_file, "file_uid", "left")
+    j = facts.join(with_leftovers(per_file, leftovers), "file_uid", "left")
     z = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint")
     vuln_count = z("fixed_count") + z("leftover_count")
     ts = timestamp if timestamp is not None else F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
@@ -248,14 +262,14 @@ def _trace_ddl() -> str:
     return TRACE_DDL
 
 
-def long_form_log(priced: DataFrame, facts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def long_form_log(priced: DataFrame, facts: DataFrame, leftovers: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The audit log in long form -- ``(files, vulns, attempts)`` -- built only with map-side-combined aggregates.
 
     Same content as ``build_audit_log`` without nesting, so a file holding a third of all attempts never becomes
     one giant record; feed it to ``report.kpi_report_flat(..., restrict_to_valid=True)``.
     """
     traces = vuln_traces(priced)
-    summary = file_summary(traces, facts)
+    summary = file_summary(traces, facts, leftovers)
     files = summary.join(facts.select("file_uid", "normalized_loc_churn", "ast_churn", "cc_before", "cc_after"),
                          "file_uid").select(
         F.col("file_uid").cast("string").alias("file_uid"), "vuln_count", "fixed_count", "total_cost_usd",

@@ -1,126 +1,42 @@
-"""Parser-based jobs over a table of code documents (F1-F5), plus the order-free churn bound.
+"""Code statistics and churn over tables of lines and blocks.
 
-Every job maps Arrow batches of ``(key, code)`` rows to output rows inside Spark tasks (``mapInPandas`` /
-``pandas_udf``); the corpus is partitioned and shuffled by Spark, never funnelled through the driver. The
-per-document pieces live in ``functions.pycode``.
+Parsers stay with the caller: a block table ``(key, name, complexity)`` and line tables come in as DataFrames (for
+instance from a caller's ``mapInPandas`` job), and everything here is relational.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
 
-from ..functions import pycode
+from ..functions.money import half_even_ratio
 
 
-def _key_type(df: DataFrame, key: str) -> str:
-    return df.schema[key].dataType.simpleString()
+def code_stats(blocks: DataFrame, lines: DataFrame, key: str = "doc_id", line_col: str = "line") -> DataFrame:
+    """``(key, avg_cyclomatic_complexity, n_blocks, sloc)`` per document.
 
-
-def function_spans(docs: DataFrame, key: str = "doc_id", code_col: str = "code") -> DataFrame:
-    """``(key, kind, name, start_line, end_line, walk_index)``; unparsable documents yield no spans."""
-    schema = f"{key} {_key_type(docs, key)}, kind string, name string, start_line int, end_line int, walk_index int"
-
-    def run(batches):
-        for pdf in batches:
-            rows = [(k, *s) for k, c in zip(pdf[key], pdf[code_col]) if c is not None
-                    for s in pycode.function_spans(c)]
-            yield pd.DataFrame(rows, columns=[key, "kind", "name", "start_line", "end_line", "walk_index"])
-
-    return docs.select(key, code_col).mapInPandas(run, schema)
-
-
-def ast_token_table(docs: DataFrame, key: str = "doc_id", code_col: str = "code") -> DataFrame:
-    """``(key, pos, token)`` in breadth-first order (0-based ``pos``)."""
-    schema = f"{key} {_key_type(docs, key)}, pos int, token string"
-
-    def run(batches):
-        for pdf in batches:
-            rows = [(k, i, t) for k, c in zip(pdf[key], pdf[code_col]) if c is not None
-                    for i, t in enumerate(pycode.ast_tokens(c))]
-            yield pd.DataFrame(rows, columns=[key, "pos", "token"])
-
-    return docs.select(key, code_col).mapInPandas(run, schema)
-
-
-def logical_line_table(docs: DataFrame, key: str = "doc_id", code_col: str = "code") -> DataFrame:
-    """``(key, pos, line)`` canonical logical lines (0-based ``pos``)."""
-    schema = f"{key} {_key_type(docs, key)}, pos int, line string"
-
-    def run(batches):
-        for pdf in batches:
-            rows = [(k, i, t) for k, c in zip(pdf[key], pdf[code_col]) if c is not None
-                    for i, t in enumerate(pycode.canonical_lines(c))]
-            yield pd.DataFrame(rows, columns=[key, "pos", "line"])
-
-    return docs.select(key, code_col).mapInPandas(run, schema)
-
-
-@F.pandas_udf(LongType())
-def _line_churn_udf(before: pd.Series, after: pd.Series) -> pd.Series:
-    return pd.Series([pycode.line_churn(b or "", a or "") for b, a in zip(before, after)], dtype="int64")
-
-
-@F.pandas_udf(LongType())
-def _ast_churn_udf(before: pd.Series, after: pd.Series) -> pd.Series:
-    return pd.Series([pycode.ast_churn(b or "", a or "") for b, a in zip(before, after)], dtype="int64")
-
-
-def churn(pairs: DataFrame, before_col: str = "before", after_col: str = "after") -> DataFrame:
-    """adds ``normalized_loc_churn`` (logical lines) and ``ast_churn`` (AST tokens) per (before, after) pair."""
-    return pairs.withColumn("normalized_loc_churn", _line_churn_udf(F.col(before_col), F.col(after_col))) \
-        .withColumn("ast_churn", _ast_churn_udf(F.col(before_col), F.col(after_col)))
-
-
-def code_block_table(docs: DataFrame, key: str = "doc_id", code_col: str = "code") -> DataFrame:
-    """F5 blocks: ``(key, name, start_line, complexity)`` per function (none for unparsable documents)."""
-    schema = f"{key} {_key_type(docs, key)}, name string, start_line int, complexity int"
-
-    def run(batches):
-        for pdf in batches:
-            rows = []
-            for k, c in zip(pdf[key], pdf[code_col]):
-                blocks = pycode.function_complexities(c) if c is not None else None
-                rows.extend((k, n, s, cx) for n, s, cx in (blocks or []))
-            yield pd.DataFrame(rows, columns=[key, "name", "start_line", "complexity"])
-
-    return docs.select(key, code_col).mapInPandas(run, schema)
-
-
-def code_stats(docs: DataFrame, key: str = "doc_id", code_col: str = "code") -> DataFrame:
-    """F5 + A24 per document: ``(key, avg_cyclomatic_complexity, sloc, n_blocks)``.
-
-    A document's blocks all come from its own row, so the per-document mean is taken in the same pass
-    (Python ``round`` to 2, 0 without blocks, ``(0.0, 0)`` when unparsable) -- no shuffle.
+    Mean block complexity, half-even to two places, 0 without blocks; ``sloc`` = lines that hold more than white
+    space. Both sides are pre-aggregated to one row per document before they meet.
     """
-    schema = f"{key} {_key_type(docs, key)}, avg_cyclomatic_complexity double, sloc long, n_blocks int"
-
-    def run(batches):
-        for pdf in batches:
-            rows = []
-            for k, c in zip(pdf[key], pdf[code_col]):
-                avg, n, blocks = pycode.code_stats(c or "")
-                rows.append((k, avg, n, blocks))
-            yield pd.DataFrame(rows, columns=[key, "avg_cyclomatic_complexity", "sloc", "n_blocks"])
-
-    return docs.select(key, code_col).mapInPandas(run, schema)
+    b = blocks.groupBy(key).agg(F.sum("complexity").alias("_sum"), F.count(F.lit(1)).alias("n_blocks"))
+    n = lines.groupBy(key).agg(F.count_if(F.col(line_col).rlike(r"\S")).alias("sloc"))
+    mean = half_even_ratio(F.col("_sum"), F.col("n_blocks"), 2, percent=False)
+    return n.join(b, key, "left").select(
+        key, F.coalesce(mean, F.lit(0).cast("decimal(18,2)")).alias("avg_cyclomatic_complexity"),
+        F.coalesce("n_blocks", F.lit(0)).cast("bigint").alias("n_blocks"), F.col("sloc").cast("bigint").alias("sloc"))
 
 
 def multiset_line_churn(before_lines: DataFrame, after_lines: DataFrame, key: str = "doc_id",
                         line_col: str = "line") -> DataFrame:
     """Order-free churn bound per document: ``max(added, removed)`` over line multisets.
 
-    Per ``(doc, line)`` counts on each side (map-side combined, so a line repeated a million times is one row
-    per task), a full outer join of the two count tables, then sums per document. Any edit script needs at
-    least this many line edits, so it bounds F4 from below on the same lines.
+    The two sides are one stream of +1 and -1 rows, summed per ``(doc, line)`` (map-side combined, so a line repeated
+    a million times is one row per task) and then per document. Any edit script needs at least this many edits.
     """
-    cb = before_lines.groupBy(key, line_col).agg(F.count(F.lit(1)).alias("cb"))
-    ca = after_lines.groupBy(key, line_col).agg(F.count(F.lit(1)).alias("ca"))
-    j = cb.join(ca, [key, line_col], "full_outer")
-    d = F.coalesce(F.col("ca"), F.lit(0)) - F.coalesce(F.col("cb"), F.lit(0))
-    out = j.groupBy(key).agg(F.sum(F.greatest(d, F.lit(0))).alias("added"),
-                             F.sum(F.greatest(-d, F.lit(0))).alias("removed"))
+    both = before_lines.select(key, line_col, F.lit(-1).alias("_d")).unionByName(
+        after_lines.select(key, line_col, F.lit(1).alias("_d")))
+    net = both.groupBy(key, line_col).agg(F.sum("_d").alias("_d"))
+    out = net.groupBy(key).agg(F.sum(F.greatest("_d", F.lit(0))).alias("added"),
+                               F.sum(F.greatest(-F.col("_d"), F.lit(0))).alias("removed"))
     return out.select(key, F.col("added").cast("bigint").alias("added"), F.col("removed").cast("bigint").alias("removed"),
                       F.greatest("added", "removed").cast("bigint").alias("churn"))

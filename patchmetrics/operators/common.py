@@ -3,21 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-# A lookup side is broadcast only when a count proves it small; beyond this the join shuffles and AQE
-# (skew join on) splits hot keys.
-MAX_BROADCAST_ROWS = 100_000
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """``F.broadcast(df)`` if ``df`` has at most ``max_rows`` rows, else ``df`` unchanged.
-
-    The check runs ``limit(max_rows + 1).count()``, which stops reading once the bound is passed.
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
 
 def require_columns(df: DataFrame, cols, what: str) -> None:
     missing = [c for c in cols if c not in df.columns]

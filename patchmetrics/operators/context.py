@@ -14,12 +14,10 @@ from pyspark.sql import functions as F
 
 from ..functions.text import split_lines_keepends, split_newlines, window_bounds
 from ..sources.store import materialize
-from .common import bounded_broadcast
 
 WINDOW = 5            # fixed value: lines of context on each side (reference default)
 SPAN_BUCKET = 256     # lines per bucket for the span range join
 FRAME_BLOCK = 1024    # lines per block for the per-line frame
-MAX_WANTED_LINES = 1_000_000   # wanted (doc, line) references broadcast to the line scan, at most
 
 
 def explode_lines(docs: DataFrame, text_col: str = "text", key: str = "doc_id", keepends: bool = True) -> DataFrame:
@@ -30,6 +28,11 @@ def explode_lines(docs: DataFrame, text_col: str = "text", key: str = "doc_id",
         .select(key, (F.col("_p") + 1).alias("line_no"), "line")
 
 
+def document_line_counts(docs: DataFrame, text_col: str = "text", key: str = "doc_id") -> DataFrame:
+    """``(key, n_lines)`` from the document rows themselves: a narrow pass, no exploded line."""
+    return docs.select(key, F.size(split_lines_keepends(F.coalesce(F.col(text_col), F.lit("")))).alias("n_lines"))
+
+
 def line_counts(lines: DataFrame, key: str = "doc_id") -> DataFrame:
     return lines.groupBy(key).agg(F.max("line_no").alias("n_lines"))
 
@@ -66,15 +69,14 @@ def extract_ranges(ranges: DataFrame, lines: DataFrame, key: str = "doc_id", sta
     is expanded to its line numbers, met with the line table on ``(key, line_no)`` and assembled once; the text then
     joins back to the ranges (one output row per input row).
     """
-    # Ranges are few next to the corpus's line table, and read three times below (size check, lookup side,
-    # join-back): store them once so their upstream (findings, line counts) is computed once.
+    # Ranges are read twice below (lookup side, join-back): store them once so their upstream is computed once.
     ranges = materialize(ranges, "ranges")
     spans = ranges.select(F.col(key).alias("_dk"), F.col(start_col).alias("_s"), F.col(end_col).alias("_e")).distinct()
     want = spans.filter(F.col("_s") <= F.col("_e")).select(
         "_dk", "_s", "_e", F.explode(F.sequence(F.col("_s"), F.col("_e"))).alias("_ln"))
-    # Broadcast the wanted line numbers when a bounded count allows it: the line table is then scanned in place
-    # instead of shuffled. Beyond the bound the join stays sort-merge.
-    want = bounded_broadcast(want, MAX_WANTED_LINES)
+    # Stored, so that Spark knows the size of the wanted lines in bytes: small ones are broadcast to the scan of the
+    # line table, large ones meet it in a sort-merge join.
+    want = materialize(want, "wanted_lines")
     got = want.join(lines.select(F.col(key).alias("_dk"), F.col("line_no").alias("_ln"), F.col("line").alias("_t")),
                     ["_dk", "_ln"], "inner")
     texts = got.groupBy("_dk", "_s", "_e").agg(
@@ -86,13 +88,14 @@ def extract_ranges(ranges: DataFrame, lines: DataFrame, key: str = "doc_id", sta
 
 
 def line_window_context(findings: DataFrame, lines: DataFrame, finding_keys: Sequence[str], key: str = "doc_id",
-                        line_col: str = "line_no", window: int = WINDOW) -> DataFrame:
+                        line_col: str = "line_no", window: int = WINDOW, counts: DataFrame | None = None) -> DataFrame:
     """J6 + X5 + X6: the +-``window`` slice around each finding's line.
 
     ``start_line = max(0, l-1-window) + 1``, ``end_line = min(n, l+window)``; text = lines joined as stored
     (keepends lines -> exact source text). ``l > n + window`` gives ``start_line > end_line`` and ``''``.
+    ``counts`` (``document_line_counts``) saves a pass over the line table.
     """
-    n = line_counts(lines, key)
+    n = line_counts(lines, key) if counts is None else counts
     f = findings.join(n, key, "left").withColumn("n_lines", F.coalesce(F.col("n_lines"), F.lit(0)))
     s, e = window_bounds(F.col(line_col), F.col("n_lines"), window)
     f = f.withColumn("start_line", s).withColumn("end_line", e).drop("n_lines")
@@ -100,13 +103,14 @@ def line_window_context(findings: DataFrame, lines: DataFrame, finding_keys: Seq
 
 
 def function_or_window_context(findings: DataFrame, spans: DataFrame, lines: DataFrame, finding_keys: Sequence[str],
-                               key: str = "doc_id", line_col: str = "line_no", window: int = WINDOW) -> DataFrame:
+                               key: str = "doc_id", line_col: str = "line_no", window: int = WINDOW,
+                               counts: DataFrame | None = None) -> DataFrame:
     """The reference's ``get_function_context``: innermost function span if any, else the +-window slice.
 
     Output adds ``context_type`` (``function``/``window``), ``start_line``, ``end_line``, ``code``.
     """
     inner = innermost_span(findings, spans, finding_keys, key, line_col)
-    n = line_counts(lines, key)
+    n = line_counts(lines, key) if counts is None else counts
     f = inner.join(n, key, "left").withColumn("n_lines", F.coalesce(F.col("n_lines"), F.lit(0)))
     ws, we = window_bounds(F.col(line_col), F.col("n_lines"), window)
     has = F.col("span_start").isNotNull()

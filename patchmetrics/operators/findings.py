@@ -3,9 +3,9 @@
 * ``explode_scan_report`` (S3 + P5): parse each document's report JSON and unnest its ``results``; malformed JSON
   or a report without results yields no rows (PERMISSIVE ``from_json`` + ``explode``).
 * ``scan_lines`` (J11, default of F8): match every line against a caller-supplied rule table. The rules are
-  size-checked and inlined as literal patterns, so each pattern compiles once per task and the scan is a narrow
-  projection over the lines (no join, no shuffle, no pair explosion); a literal every match must contain is
-  checked first with ``contains``, so the regex only runs on lines that can match.
+  inlined as literal patterns, ``RULES_PER_SCAN`` to a projection, so each pattern compiles once per task and the
+  scan is narrow over the lines (no join, no shuffle, no pair explosion); larger catalogues are the union of several
+  such scans. A literal every match must contain is checked first with ``contains``.
 * ``verify_findings`` (J3): a finding is patched iff the re-scan of its document has no finding with the same
   rule anywhere in the document and the re-scan parsed; a left join against the de-duplicated re-scan keys.
 * ``attach_docs`` (J4): normalised documentation URL -> page text, with the reference's sentinel texts.
@@ -21,9 +21,7 @@ from pyspark.sql import functions as F
 from ..functions.text import rewrite_doc_version
 from ..schemas import SCAN_REPORT_DDL
 
-# Rule tables larger than this are rejected by scan_lines: inlining is the fast path; a larger catalogue
-# should be split by the caller into several scans.
-MAX_INLINE_RULES = 5_000
+RULES_PER_SCAN = 500   # rules inlined into one projection; more rules are more projections, unioned
 
 # Documentation lookup outcomes (sentinel texts).
 NO_URL_TEXT = "No documentation URL provided."
@@ -59,8 +57,8 @@ _META = set(".^$[](){}|*+?\\")
 def required_literal(pattern: str) -> str | None:
     """Longest literal substring every match of ``pattern`` must contain, or None when unsure.
 
-    Conservative: groups, alternation, and escapes that take arguments (``\\x``, ``\\u``, ``\\p``, ``\\Q`` ...)
-    give None. Used as a ``contains`` prefilter so the regex only runs on lines that can match.
+    Conservative: groups, alternation, nested or intersected character classes, and escapes that take arguments
+    (``\\x``, ``\\u``, ``\\p``, ``\\Q`` ...) give None. Used as a ``contains`` prefilter so the regex only runs on lines that can match.
     """
     if any(ch in pattern for ch in "()|"):
         return None
@@ -75,6 +73,10 @@ def required_literal(pattern: str) -> str | None:
             if j < n and pattern[j] == "]":
                 j += 1
             while j < n and pattern[j] != "]":
+                if pattern[j] == "[" or pattern.startswith("&&", j):
+                    return None    # Java nests and intersects classes
+                if pattern[j] == "\\" and pattern[j + 1:j + 2].isalnum() and pattern[j + 1] not in _CLASS_ESCAPES:
+                    return None
                 j += 2 if pattern[j] == "\\" else 1
             if j >= n:
                 return None
@@ -128,15 +130,12 @@ def required_literal(pattern: str) -> str | None:
 
 
 def scan_lines(lines: DataFrame, rules: DataFrame, line_col: str = "line",
-               keys=("doc_id", "line_no"), max_rules: int = MAX_INLINE_RULES) -> DataFrame:
+               keys=("doc_id", "line_no")) -> DataFrame:
     """``lines JOIN rules ON regexp_like(line, pattern)`` as a narrow map.
 
-    ``rules`` has ``test_id, severity, pattern``. The rule table is a catalogue, not data: it is counted
-    (bounded by ``max_rules``) and its rows become literal patterns in one projection.
+    ``rules`` has ``test_id, severity, pattern``: a catalogue of patterns, read on the driver since patterns are code.
+    Any number of rules is scanned, ``RULES_PER_SCAN`` to a projection. Add ``line_col`` to ``keys`` to keep the text.
     """
-    n = rules.limit(max_rules + 1).count()
-    if n > max_rules:
-        raise ValueError(f"rule table has more than {max_rules} rows; split it and union the scans")
     rows = rules.select("test_id", "severity", "pattern").collect()
     if not rows:
         return lines.select(*keys, F.lit(None).cast("string").alias("test_id"),
@@ -147,10 +146,15 @@ def scan_lines(lines: DataFrame, rules: DataFrame, line_col: str = "line",
         lit = required_literal(pattern)
         return (line.contains(lit) & line.rlike(pattern)) if lit else line.rlike(pattern)
 
-    hits = F.array(*[F.when(matches(r["pattern"]), F.struct(F.lit(r["test_id"]).alias("test_id"),
-                                                             F.lit(r["severity"]).alias("severity")))
-                     for r in rows])
-    matched = lines.select(*keys, F.explode(F.filter(hits, lambda h: h.isNotNull())).alias("_h"))
+    def scan(some) -> DataFrame:
+        hits = F.array(*[F.when(matches(r["pattern"]), F.struct(F.lit(r["test_id"]).alias("test_id"),
+                                                                F.lit(r["severity"]).alias("severity")))
+                         for r in some])
+        return lines.select(*keys, F.explode(F.filter(hits, lambda h: h.isNotNull())).alias("_h"))
+
+    matched = scan(rows[:RULES_PER_SCAN])
+    for at in range(RULES_PER_SCAN, len(rows), RULES_PER_SCAN):
+        matched = matched.unionByName(scan(rows[at:at + RULES_PER_SCAN]))
     return matched.select(*keys, F.col("_h.test_id").alias("test_id"), F.col("_h.severity").alias("severity"))
 
 
@@ -198,7 +202,7 @@ def doc_url_key(url: Column) -> Column:
 def attach_docs(findings: DataFrame, docs: DataFrame, url_col: str = "more_info_url") -> DataFrame:
     """Findings left-join documentation text by normalised URL; sentinel texts for no URL / no page.
 
-    ``docs`` has ``url, text`` (e.g. ``pages.extract_doc_text`` output); one text per normalised URL is kept
+    ``docs`` has ``url, text`` (e.g. ``pages.article_text`` output); one text per normalised URL is kept
     (the page at the normalised URL itself, else the smallest URL). Findings often share one URL (every finding
     of a rule), so the docs side is pre-aggregated to one row per key and the join relies on AQE's skew split for hot URLs. ``url_col`` is
     dropped afterwards (P7).
@@ -208,7 +212,10 @@ def attach_docs(findings: DataFrame, docs: DataFrame, url_col: str = "more_info_
     pick = F.struct((F.col("url") != F.col("_doc_key")).alias("moved"), F.col("url"))
     per_url = keyed.groupBy("_doc_key").agg(F.min_by("text", pick).alias("_doc_text"))
     f = findings.withColumn("_doc_key", doc_url_key(F.col(url_col)))
-    j = f.join(per_url, "_doc_key", "left")
+    # Findings without a URL need no page: they skip the join, so their common null key is no hot partition.
+    has = F.col(url_col).isNotNull() & (F.col(url_col) != "")
+    j = f.where(has).join(per_url, "_doc_key", "left").unionByName(
+        f.where(~F.coalesce(has, F.lit(False))).withColumn("_doc_text", F.lit(None).cast("string")))
     scraped = (F.when(F.col(url_col).isNull() | (F.col(url_col) == ""), F.lit(NO_URL_TEXT))
                .when(F.col("_doc_text").isNull(), F.lit(DOCS_NOT_FOUND_TEXT))
                .otherwise(F.col("_doc_text")))

@@ -1,141 +1,39 @@
-"""Documentation pages -> text (F6) and headings; URL normalisation (X3) lives in ``functions.text``.
+"""Documentation pages to text with SQL string functions (F6); URL normalisation (X3) lives in ``functions.text``.
 
-``extract_doc_text`` reproduces the reference's extraction with the stdlib ``html.parser`` and a minimal tree
-that behaves like the usual html.parser-based soup builder: void elements never nest, an end tag closes the
-most recent open element of that name (unmatched end tags are ignored), unclosed ``<p>`` elements therefore
-nest and repeat their inner text in the outer paragraph (D15), entity references are decoded, and
-``<script>``/``<style>``/``<template>`` text and comments are not text. ``get_text(strip=True)`` = every text
-node stripped, empty ones dropped, joined without a separator.
+``article_text`` reads the first container element of a page: paragraphs outside lists and without a ``class``, one
+per line, then the headings h1-h3, one per line; tags inside them are dropped, entities stay encoded. Pages without
+the container give the "not found" text, containers without any text give null. The regular expressions see tags,
+not a tree: an unclosed paragraph ends at the next closing tag of its kind.
 """
 
 from __future__ import annotations
 
-from html.parser import HTMLParser
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Outcome texts and default container of the documentation pages.
-DOCS_NOT_FOUND_TEXT = "docs not found"
-EXTRACT_ERROR_PREFIX = "Failed to extract docs: "
-DEFAULT_CONTAINER = ("div", {"itemprop": "articleBody"})
-
-_VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "keygen", "link", "menuitem", "meta", "param",
-         "source", "track", "wbr", "basefont", "bgsound", "command", "frame", "image", "isindex", "nextid", "spacer"}
-_NON_TEXT = {"script", "style", "template"}
-
-
-class _Node:
-    __slots__ = ("tag", "attrs", "parent", "children")
-
-    def __init__(self, tag, attrs, parent):
-        self.tag, self.attrs, self.parent, self.children = tag, attrs, parent, []
-
-    def iter(self):
-        """Descendant elements in document (pre-)order."""
-        stack = list(reversed([c for c in self.children if isinstance(c, _Node)]))
-        while stack:
-            n = stack.pop()
-            yield n
-            stack.extend(reversed([c for c in n.children if isinstance(c, _Node)]))
-
-    def text(self) -> str:
-        parts = []
-        stack = [self]
-        out = []
-        while stack:
-            n = stack.pop()
-            if isinstance(n, str):
-                out.append(n)
-                continue
-            if n.tag in _NON_TEXT:
-                continue
-            stack.extend(reversed(n.children))
-        for s in out:
-            s = s.strip()
-            if s:
-                parts.append(s)
-        return "".join(parts)
-
-    def has_ancestor(self, tag: str) -> bool:
-        p = self.parent
-        while p is not None:
-            if p.tag == tag:
-                return True
-            p = p.parent
-        return False
-
-
-class _TreeBuilder(HTMLParser):
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.root = _Node("[document]", {}, None)
-        self.stack = [self.root]
-
-    def handle_starttag(self, tag, attrs):
-        node = _Node(tag, dict(attrs), self.stack[-1])
-        self.stack[-1].children.append(node)
-        if tag not in _VOID:
-            self.stack.append(node)
-
-    def handle_startendtag(self, tag, attrs):
-        node = _Node(tag, dict(attrs), self.stack[-1])
-        self.stack[-1].children.append(node)
-
-    def handle_endtag(self, tag):
-        for i in range(len(self.stack) - 1, 0, -1):
-            if self.stack[i].tag == tag:
-                del self.stack[i:]
-                return
-
-    def handle_data(self, data):
-        self.stack[-1].children.append(data)
-
-
-def parse_html(html: str) -> _Node:
-    b = _TreeBuilder()
-    b.feed(html)
-    b.close()
-    return b.root
-
+from .findings import DOCS_NOT_FOUND_TEXT
 
-def extract_text(html: str | None, container=DEFAULT_CONTAINER) -> str | None:
-    """One page: paragraphs (not under ``li``, without ``class``) joined by newlines, then h1-h3 joined by
-    newlines, concatenated without a separator; ``docs not found`` without a container; None when empty."""
-    if html is None:
-        return None
-    try:
-        root = parse_html(html)
-        tag, attrs = container
-        box = next((n for n in root.iter() if n.tag == tag and all(n.attrs.get(k) == v for k, v in attrs.items())),
-                   None)
-        if box is None:
-            return DOCS_NOT_FOUND_TEXT
-        nodes = list(box.iter())
-        paragraphs = "\n".join(p.text() for p in nodes
-                               if p.tag == "p" and not p.has_ancestor("li") and "class" not in p.attrs)
-        headings = "\n".join(h.text() for h in nodes if h.tag in ("h1", "h2", "h3"))
-        content = paragraphs + headings
-        return content or None
-    except Exception as e:  # noqa: BLE001 -- the reference turns any failure into an outcome text
-        return f"{EXTRACT_ERROR_PREFIX}{e}"
+DEFAULT_CONTAINER = "article"
 
 
-def extract_doc_text(pages: DataFrame, html_col: str = "html", keys=("page_id", "url"),
-                     container=DEFAULT_CONTAINER, out_col: str = "text") -> DataFrame:
-    """F6 over a pages table: ``keys..., text`` (one Arrow pass per batch of pages)."""
-    keys = list(keys)
-    schema = ", ".join(f"{k} {pages.schema[k].dataType.simpleString()}" for k in keys) + f", {out_col} string"
+def _texts(html: Column, pattern: str, group: int) -> Column:
+    found = F.transform(F.regexp_extract_all(html, F.lit(pattern), group),
+                        lambda x: F.trim(F.regexp_replace(x, "<[^>]*>", "")))
+    return F.array_join(F.filter(found, lambda x: x != ""), "\n")
 
-    def run(batches):
-        for pdf in batches:
-            out = pdf[keys].copy()
-            out[out_col] = [extract_text(h, container) for h in pdf[html_col]]
-            yield out
 
-    return pages.select(*keys, html_col).mapInPandas(run, schema)
+def article_text(html_col: str = "html", container: str = DEFAULT_CONTAINER) -> Column:
+    """Text of the page's first ``container`` element."""
+    html = F.regexp_replace(F.col(html_col), r"(?s)<!--.*?-->|<script.*?</script>|<style.*?</style>", "")
+    whole = rf"(?s)<{container}(\s[^>]*)?>(.*?)</{container}>"
+    inside = F.regexp_extract(html, whole, 2)
+    plain = F.regexp_replace(inside, r"(?s)<li(\s[^>]*)?>.*?</li>|<p\s[^>]*class[^>]*>.*?</p>", "")
+    paragraphs = _texts(plain, r"(?s)<p(\s[^>]*)?>(.*?)</p>", 2)
+    headings = _texts(inside, r"(?s)<h[1-3](\s[^>]*)?>(.*?)</h[1-3]>", 2)
+    text = F.array_join(F.filter(F.array(paragraphs, headings), lambda x: x != ""), "\n")
+    return (F.when(~html.rlike(whole), F.lit(DOCS_NOT_FOUND_TEXT)).otherwise(F.nullif(text, F.lit(""))))
 
 
-def h1_headings(html_col: str = "html") -> F.Column:
+def h1_headings(html_col: str = "html") -> Column:
     """Headings key: text of every ``<h1>`` without nested tags, newline-joined, entities left encoded."""
     return F.array_join(F.regexp_extract_all(F.col(html_col), F.lit(r"<h1[^>]*>([^<]*)</h1>"), 1), "\n")

@@ -127,8 +127,13 @@ def complexity_delta(files: DataFrame) -> DataFrame:
 
     Complexities carry two decimals (rounded at the source), so the sum is taken in ``DECIMAL(18,2)`` and is exact.
     """
-    d = (F.col("security_summary.final_code_stats.avg_cyclomatic_complexity").cast("decimal(18,2)")
-         - F.col("input_stats.avg_cyclomatic_complexity").cast("decimal(18,2)"))
+    return complexity_delta_of(files, F.col("input_stats.avg_cyclomatic_complexity"),
+                               F.col("security_summary.final_code_stats.avg_cyclomatic_complexity"))
+
+
+def complexity_delta_of(files: DataFrame, before: Column, after: Column) -> DataFrame:
+    """A21 over any two complexity columns of ``files``."""
+    d = after.cast("decimal(18,2)") - before.cast("decimal(18,2)")
     return files.agg(F.sum(d).cast("decimal(18,2)").alias("cc_delta_sum"), F.count(d).alias("cc_delta_n")) \
         .withColumn("avg_cc_delta", F.try_divide(F.col("cc_delta_sum").cast("double"), F.col("cc_delta_n").cast("double")))
 
@@ -140,8 +145,7 @@ def level_success_rate(attempts: DataFrame, spark: SparkSession | None = None) -
     levels = spark.createDataFrame([(lv,) for lv in LEVELS], "level int")
     per = attempts.groupBy("level").agg(F.count(F.lit(1)).alias("attempts"),
                                         F.count_if(F.col("status") == "SUCCESS").alias("successes"))
-    # Both sides are tiny (two literal rows; one row per level): a plain join, AQE picks the strategy.
-    j = levels.join(per, "level", "left")
+    j = levels.join(F.broadcast(per), "level", "left")   # one row per level on either side
     return j.select("level", F.coalesce("attempts", F.lit(0)).alias("attempts"),
                     F.coalesce("successes", F.lit(0)).alias("successes")) \
         .withColumn("success_rate_pct", _pct(F.col("successes"), F.col("attempts")))

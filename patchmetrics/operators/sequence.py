@@ -1,18 +1,15 @@
-"""Ordinal numbering without a hot task.
+"""Ordinal numbering without a hot task, in DataFrame operations only (no value ever leaves the JVM).
 
 ``row_number() OVER (PARTITION BY k ORDER BY o)`` sends every row of one key to one task; if a single file holds a
 third of all attempts, that task sorts a third of the data. ``sequence_within`` computes the same numbers with the
 key split across tasks:
 
-1. range-partition on ``(k, o)`` so a hot key spans several partitions, then sort within partitions;
-2. one Arrow pass per partition numbers rows inside each key run (a partition is one task, rows arrive sorted);
-3. a per-partition summary (its first and last row: first key, last key, length of the last run) gives,
-   through a window over at most ``num_partitions`` rows, how many rows of a key precede the partition;
-4. that carry table is broadcast -- its size is bounded by the partition count, not by the data -- and added to the
-   rows of each partition's first run.
+1. range-partition on ``(k, o)``, so a hot key spans several partitions, and write the rows with their partition
+   number under ``spark.checkpoint.dir`` (AQE or a lost executor cannot change the partitions afterwards);
+2. number the rows of each ``(partition, key)`` with ``row_number``;
+3. only keys that span partitions need a carry: they are at most as many as partitions, and so are their counts per
+   partition; the running sum of those counts is broadcast and added.
 
-The pass-2 output is written under ``spark.checkpoint.dir`` before it is read twice, so the summary and the rows
-always describe the same partitions (AQE coalescing or a lost executor cannot desynchronise them).
 ``dense_index`` is the key-less case: a contiguous 0-based id in a global order (never a one-partition window).
 """
 
@@ -20,82 +17,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..session import ensure_checkpoint_dir, shuffle_partitions
 from ..sources.store import materialize
 
-_PID, _POS, _LSEQ, _HEAD, _LAST = "_sq_pid", "_sq_pos", "_sq_lseq", "_sq_head", "_sq_last"
-
-
-def _same_key(a: tuple, b: tuple) -> bool:
-    for x, y in zip(a, b):
-        xn, yn = pd.isna(x), pd.isna(y)
-        if xn or yn:
-            if not (xn and yn):
-                return False
-        elif x != y:
-            return False
-    return True
-
-
-def _number_runs(keys: list[str]):
-    """Per-partition numbering of key runs; rows arrive sorted by (keys, order).
-
-    One batch is held back so the partition's very last row can be marked (``_sq_last``).
-    """
-
-    def run(batches):
-        from pyspark import TaskContext
-
-        pid = TaskContext.get().partitionId()
-        seen = 0            # rows of this partition already numbered
-        prev = None         # key tuple of the last numbered row
-        carry_len = 0       # length of the run the last numbered row belongs to
-        last_run = -1       # index of that run within the partition
-        pending = None
-        for pdf in batches:
-            m = len(pdf)
-            if m == 0:
-                continue
-            change = np.zeros(m, dtype=bool)
-            if keys:
-                cur = pdf[keys]
-                shifted = cur.shift(1)
-                equal = (cur == shifted) | (cur.isna() & shifted.isna())
-                change[1:] = ~equal.all(axis=1).to_numpy()[1:]
-                first = tuple(cur.iloc[0].tolist())
-            else:
-                first = ()
-            change[0] = prev is None or not _same_key(prev, first)
-            r = np.cumsum(change)                       # 0 = continues the previous batch's run
-            starts = np.flatnonzero(change)
-            idx = np.arange(m)
-            start_idx = np.where(r > 0, starts[np.maximum(r - 1, 0)] if len(starts) else 0, 0)
-            lseq = idx - start_idx + 1 + np.where(r == 0, carry_len, 0)
-            run_index = last_run + r
-            out = pdf.copy()
-            out[_PID] = np.int32(pid)
-            out[_POS] = seen + idx
-            out[_LSEQ] = lseq.astype(np.int64)
-            out[_HEAD] = run_index == 0
-            out[_LAST] = False
-            if pending is not None:
-                yield pending
-            pending = out
-            seen += m
-            last_run = int(run_index[-1])
-            carry_len = int(lseq[-1])
-            prev = tuple(pdf[keys].iloc[-1].tolist()) if keys else ()
-        if pending is not None:
-            pending.iloc[-1, pending.columns.get_loc(_LAST)] = True
-            yield pending
-
-    return run
+_PID, _OWN = "_sq_pid", "_sq_own"
 
 
 def sequence_within(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "seq",
@@ -109,31 +37,23 @@ def sequence_within(df: DataFrame, keys: Sequence[str], order: Sequence[str], na
     ensure_checkpoint_dir(spark)
     keys, order = list(keys), list(order)
     n = num_partitions or shuffle_partitions(spark)
-    by = [*keys, *order]
-    ranged = df.repartitionByRange(n, *by).sortWithinPartitions(*by)
-    schema = T.StructType(df.schema.fields + [
-        T.StructField(_PID, T.IntegerType(), False), T.StructField(_POS, T.LongType(), False),
-        T.StructField(_LSEQ, T.LongType(), False), T.StructField(_HEAD, T.BooleanType(), False),
-        T.StructField(_LAST, T.BooleanType(), False)])
-    numbered = materialize(ranged.mapInPandas(_number_runs(keys), schema), "sequence")
-
-    key = F.struct(*[F.col(k) for k in keys]) if keys else F.struct(F.lit(0).alias("_k"))
-    # Summary = first and last row of every partition: at most 2 * num_partitions rows, no sort of the data.
-    first = numbered.filter(F.col(_POS) == 0).select(_PID, key.alias("_first"))
-    last = numbered.filter(F.col(_LAST)).select(_PID, key.alias("_last"), F.col(_LSEQ).alias("_last_len"))
-    summary = first.join(F.broadcast(last), _PID)          # both sides: one row per partition
-    by_last = Window.partitionBy("_last").orderBy(_PID).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    in_order = Window.partitionBy(F.lit(0)).orderBy(_PID)
-    carry = (summary
-             .withColumn("_cum", F.sum("_last_len").over(by_last))
-             .withColumn("_prev_last", F.lag("_last").over(in_order))
-             .withColumn("_prev_cum", F.lag("_cum").over(in_order))
-             .select(_PID, F.when(F.col("_prev_last").eqNullSafe(F.col("_first")), F.col("_prev_cum"))
-                     .otherwise(F.lit(0)).cast("long").alias("_carry")))
-    out = (numbered.join(F.broadcast(carry), _PID, "left")
-           .withColumn(name, F.col(_LSEQ) + F.when(F.col(_HEAD), F.coalesce(F.col("_carry"), F.lit(0)))
-                       .otherwise(F.lit(0))))
-    return out.select(*df.columns, name)
+    parts = materialize(df.repartitionByRange(n, *keys, *order).withColumn(_PID, F.spark_partition_id()), "sequence")
+    numbered = parts.withColumn(_OWN, F.row_number().over(Window.partitionBy(_PID, *keys).orderBy(*order)))
+
+    names = [f"_sq_k{i}" for i in range(len(keys))]
+    narrow = parts.select(F.col(_PID).alias("_sq_p"), *[F.col(k).alias(a) for k, a in zip(keys, names)])
+    if keys:
+        split = (narrow.groupBy(*names).agg(F.min("_sq_p").alias("lo"), F.max("_sq_p").alias("hi"))
+                 .where("lo < hi").select(*[F.col(a).alias(f"{a}s") for a in names]))   # at most n keys
+        same = [F.col(a).eqNullSafe(F.col(f"{a}s")) for a in names]
+        narrow = narrow.join(F.broadcast(split), same, "left_semi")
+    counts = narrow.groupBy("_sq_p", *names).agg(F.count(F.lit(1)).alias("_sq_n"))
+    earlier = Window.partitionBy(*names).orderBy("_sq_p") if keys else Window.partitionBy(F.lit(0)).orderBy("_sq_p")
+    carry = counts.withColumn("_sq_before", F.sum("_sq_n").over(earlier) - F.col("_sq_n")).drop("_sq_n")
+    on = [F.col(_PID) == F.col("_sq_p"), *[F.col(k).eqNullSafe(F.col(a)) for k, a in zip(keys, names)]]
+    out = numbered.join(F.broadcast(carry), on, "left")
+    return out.withColumn(name, (F.col(_OWN) + F.coalesce(F.col("_sq_before"), F.lit(0))).cast("bigint")) \
+        .select(*df.columns, name)
 
 
 def dense_index(df: DataFrame, order: Sequence[str], name: str = "idx", num_partitions: int | None = None) -> DataFrame:

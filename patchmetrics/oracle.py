@@ -60,7 +60,8 @@ traces AS (
     CAST(sum(duration_s) AS DOUBLE) AS time_to_remediation_s,
     CAST(sum(cost_usd) AS DECIMAL(18,6)) AS total_cost_usd,
     min(attempt_seq) AS first_seq, count(*) AS n_attempts,
-    arg_max(raw_status, attempt_seq) AS last_raw_status
+    arg_max(raw_status, attempt_seq) AS last_raw_status,
+    CAST(count_if(raw_status = 'failed_level_2') AS BIGINT) AS n_leftover
   FROM priced GROUP BY file_uid, vulnerability_id),
 traces2 AS (
   SELECT *, (status = 'FAILED' AND coalesce(starts_with(last_raw_status, 'failed'), false)) AS is_leftover,
@@ -76,7 +77,7 @@ facts AS (
   FROM orders),
 roll AS (
   SELECT file_uid, CAST(sum(total_cost_usd) AS DECIMAL(18,6)) AS total_cost_usd,
-    count_if(status = 'FIXED') AS fixed_count, count_if(is_leftover) AS leftover_count,
+    count_if(status = 'FIXED') AS fixed_count, CAST(sum(n_leftover) AS BIGINT) AS leftover_count,
     count_if(is_errored) AS errored_count, count(*) AS n_traces
   FROM traces2 GROUP BY file_uid),
 logf AS (
@@ -233,11 +234,6 @@ def _kpi_sql() -> str:
 AUDIT_SQL["kpi_report"] = _kpi_sql()
 
 
-def oracle_sql() -> dict[str, str]:
-    out = {k: with_(ATTEMPTS, v) for k, v in AUDIT_SQL.items()}
-    return out
-
-
 # ----------------------------------------------------------------------------------------------- documents, pages
 NL = "chr(10)"
 RAW_SAMPLES = r"""
@@ -300,6 +296,44 @@ def _template_sql(code: str, strategy: str) -> str:
     return " || ".join(parts)
 
 
+def _cascade_sql() -> str:
+    """Two levels over one-line contexts: reply per finding, last reply of a line wins, verify per document and rule."""
+    mask = "regexp_replace(s.line, '[a-z0-9.]+@[a-z]+', '[email]', 'g')"
+    answer = {1: f"CASE WHEN s.test_id = 'R003' THEN {mask} ELSE s.line END", 2: f"replace({mask}, 'License', 'licence')"}
+
+    def level(n: int, before: str, todo: str) -> str:
+        clean = STRIP.format(x=REPLY_UNFENCE.format(x="reply"))
+        return f"""
+        q{n} AS (SELECT f.*, k.line FROM {todo} f JOIN {before} k ON k.doc_id = f.doc_id AND k.line_no = f.line_num),
+        r{n} AS (SELECT s.*, CASE WHEN s.test_id = 'R001' THEN NULL
+                   ELSE '```python' || chr(10) || {answer[n]} || chr(10) || '```' END AS reply FROM q{n} s),
+        p{n} AS (SELECT doc_id, line_num, arg_max({clean}, finding_id) AS block FROM r{n} WHERE reply IS NOT NULL GROUP BY ALL),
+        l{n} AS (SELECT k.doc_id, k.line_no, CASE WHEN p.block IS NULL THEN k.line WHEN ends_with(p.block, chr(10)) THEN p.block
+                   ELSE p.block || chr(10) END AS line
+                 FROM {before} k LEFT JOIN p{n} p ON p.doc_id = k.doc_id AND p.line_num = k.line_no),
+        s{n} AS (SELECT DISTINCT l.doc_id, r.test_id FROM l{n} l JOIN rules r ON regexp_matches(l.line, r.pattern)),
+        a{n} AS (SELECT r.doc_id, r.finding_id, r.test_id, r.line_num, r.severity, {n} AS level_attempted,
+                   CASE WHEN r.reply IS NULL THEN 'error' WHEN s.test_id IS NULL THEN 'success' ELSE 'failed_level_{n}' END AS status,
+                   CASE WHEN r.reply IS NULL THEN 0 ELSE length(r.line) END AS p_tokens,
+                   CASE WHEN r.reply IS NULL THEN 0 ELSE length(r.reply) END AS c_tokens
+                 FROM r{n} r LEFT JOIN s{n} s ON s.doc_id = r.doc_id AND s.test_id = r.test_id),
+        t{n} AS (SELECT doc_id, finding_id, test_id, line_num, severity FROM a{n} WHERE status = 'failed_level_{n}')"""
+
+    first = """,
+        t0 AS (SELECT doc_id, line_no::BIGINT * 1000 + CAST(substr(test_id, 2, 3) AS INTEGER) AS finding_id, test_id,
+                      line_no AS line_num, severity FROM fb),"""
+    return with_(LINES + first + level(1, "klines", "t0") + "," + level(2, "l1", "t1"), """
+        SELECT doc_id AS file_uid, test_id AS vulnerability_id,
+          row_number() OVER (PARTITION BY doc_id ORDER BY level_attempted, finding_id) AS attempt_seq, level_attempted,
+          CASE level_attempted WHEN 1 THEN 'alibaba-qwen3-32b' ELSE 'deepseek-r1-distill-llama-70b' END AS model, status,
+          CASE WHEN status = 'error' THEN 'no reply' ELSE 'stop' END AS finish_reason,
+          CAST(p_tokens AS BIGINT) AS prompt_tokens, CAST(c_tokens AS BIGINT) AS completion_tokens,
+          CAST(p_tokens + c_tokens AS BIGINT) AS total_tokens,
+          CAST(CASE WHEN status = 'error' THEN 0 ELSE 0.5 END AS DOUBLE) AS llm_time_taken, severity, 'HIGH' AS confidence,
+          finding_id, line_num, false AS wiped, true AS rescan_ok
+        FROM (SELECT * FROM a1 UNION ALL SELECT * FROM a2)""")
+
+
 DOC_SQL = {
     "corpus_language_filter": with_(RAW_SAMPLES, "SELECT doc_id, lang, chosen FROM raw WHERE lang = 'en'"),
     "corpus_prepare": with_(RAW_SAMPLES + f""",
@@ -355,6 +389,49 @@ DOC_SQL = {
     "line_window_frame": with_(LINES, """SELECT doc_id, line_no, line,
         array_to_string(list(line) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING), '')
         AS context FROM klines"""),
+    "function_context": with_(LINES + """,
+        nl AS (SELECT doc_id, max(line_no) AS n FROM klines GROUP BY doc_id),
+        f AS (SELECT fb.doc_id, fb.line_no, fb.test_id, fb.severity, max(s.start_line) AS ss, min(s.end_line) AS se
+              FROM fb LEFT JOIN spans s ON s.doc_id = fb.doc_id AND fb.line_no BETWEEN s.start_line AND s.end_line
+              GROUP BY ALL),
+        b AS (SELECT f.doc_id, f.line_no, f.test_id, f.severity,
+                     CASE WHEN ss IS NULL THEN 'window' ELSE 'function' END AS context_type,
+                     CAST(coalesce(ss, greatest(0, f.line_no - 6) + 1) AS INTEGER) AS start_line,
+                     CAST(coalesce(se, least(coalesce(nl.n, 0), f.line_no + 5)) AS INTEGER) AS end_line
+              FROM f LEFT JOIN nl ON nl.doc_id = f.doc_id)""",
+        """SELECT b.*, coalesce((SELECT string_agg(k.line, '' ORDER BY k.line_no) FROM klines k
+            WHERE k.doc_id = b.doc_id AND k.line_no BETWEEN b.start_line AND b.end_line), '') AS code FROM b"""),
+    "code_stats": with_(LINES + f""",
+        bl AS (SELECT doc_id, (line_no - 1) // 10 AS b, count_if(contains(line, 'the')) + 1 AS complexity
+               FROM doc_lines GROUP BY ALL),
+        m AS (SELECT doc_id, {half_even('sum(complexity)', 'count(*)', 2, percent=False)} AS avg_cyclomatic_complexity,
+                     count(*) AS n_blocks FROM bl GROUP BY doc_id)""",
+        r"""SELECT l.doc_id, coalesce(any_value(m.avg_cyclomatic_complexity), 0) AS avg_cyclomatic_complexity,
+            coalesce(any_value(m.n_blocks), 0) AS n_blocks,
+            CAST(count_if(regexp_matches(l.line, '\S')) AS BIGINT) AS sloc
+            FROM doc_lines l LEFT JOIN m ON m.doc_id = l.doc_id GROUP BY l.doc_id"""),
+    "page_text_extract": with_(r"""
+        h AS (SELECT page_id, url, regexp_replace(html, '(?s)<!--.*?-->|<script.*?</script>|<style.*?</style>', '', 'g') AS html
+              FROM pages),
+        i AS (SELECT *, regexp_extract(html, '(?s)<article(\s[^>]*)?>(.*?)</article>', 2) AS body FROM h),
+        t AS (SELECT *, regexp_extract_all(regexp_replace(body, '(?s)<li(\s[^>]*)?>.*?</li>|<p\s[^>]*class[^>]*>.*?</p>', '', 'g'),
+                       '(?s)<p(\s[^>]*)?>(.*?)</p>', 2) AS p,
+                     regexp_extract_all(body, '(?s)<h[1-3](\s[^>]*)?>(.*?)</h[1-3]>', 2) AS q FROM i),
+        c AS (SELECT *, array_to_string([x for x in [trim(regexp_replace(y, '<[^>]*>', '', 'g')) for y in p] if x <> ''], chr(10)) AS a,
+                     array_to_string([x for x in [trim(regexp_replace(y, '<[^>]*>', '', 'g')) for y in q] if x <> ''], chr(10)) AS b FROM t)""",
+        """SELECT page_id, url, CASE WHEN NOT regexp_matches(html, '(?s)<article(\\s[^>]*)?>(.*?)</article>') THEN 'docs not found'
+            ELSE nullif(array_to_string([x for x in [a, b] if x <> ''], chr(10)), '') END AS text FROM c"""),
+    "apply_patches": with_(LINES + """,
+        hit AS (SELECT DISTINCT doc_id, line_no FROM fb),
+        up AS (SELECT k.doc_id, k.line_no, CASE WHEN hit.line_no IS NULL THEN k.line ELSE
+                 translate(rtrim(k.line, chr(10)), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') || chr(10) END AS line,
+                 (hit.line_no IS NOT NULL)::INT AS edited
+               FROM klines k LEFT JOIN hit ON hit.doc_id = k.doc_id AND hit.line_no = k.line_no)""",
+        """SELECT d.doc_id, coalesce(string_agg(up.line, '' ORDER BY up.line_no), '') AS code,
+            CAST(coalesce(sum(up.edited), 0) AS INTEGER) AS n_patches, false AS overlapping,
+            coalesce(length(string_agg(up.line, '')), 0) = 0 AS wiped, CAST(0 AS INTEGER) AS n_skipped
+            FROM documents d LEFT JOIN up ON up.doc_id = d.doc_id GROUP BY d.doc_id"""),
+    "remediation_cascade": _cascade_sql(),
     "multiset_line_churn": with_(LINES + """,
         cb AS (SELECT doc_id, line, count(*) AS cb FROM doc_lines GROUP BY ALL),
         ca AS (SELECT doc_id, line, count(*) AS ca FROM edited GROUP BY ALL),
@@ -374,7 +451,7 @@ DOC_SQL = {
 }
 
 
-def oracle_sql() -> dict[str, str]:  # noqa: F811 -- extends the audit oracles above
+def oracle_sql() -> dict[str, str]:
     out = {k: with_(ATTEMPTS, v) for k, v in AUDIT_SQL.items()}
     out.update(DOC_SQL)
     return out

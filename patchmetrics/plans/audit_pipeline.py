@@ -10,7 +10,7 @@ from ..sources import fixtures
 
 def priced_attempts(spark: SparkSession, sf_dir: str, pricing=None) -> DataFrame:
     norm = audit.normalize_attempts(fixtures.attempts(spark, sf_dir))
-    return audit.price_attempts(norm, fixtures.pricing_fixture_rows() if pricing is None else pricing)
+    return audit.price_attempts(norm, pricing)
 
 
 def traces(spark: SparkSession, sf_dir: str) -> DataFrame:

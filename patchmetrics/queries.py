@@ -44,11 +44,11 @@ def q_attempt_sequence(spark, sf):
 
 @query("attempt_union_levels")
 def q_attempt_union_levels(spark, sf):
-    priced = ap.priced_attempts(spark, sf)
+    """The attempts of two producers (first tries and escalations, priced apart) as one table."""
+    norm = audit.normalize_attempts(fixtures.attempts(spark, sf))
     cols = ["file_uid", "vulnerability_id", "attempt_seq", "level", "model", "status", "cost_usd"]
-    level1 = priced.filter(F.col("level") == 1).select(*cols)
-    level2 = priced.filter(F.col("level") == 2).select(*cols)
-    return level1.unionByName(level2)
+    first = audit.price_attempts(norm.filter(F.col("level") <= 1)).select(*cols)
+    return first.unionByName(audit.price_attempts(norm.filter(F.col("level") > 1)).select(*cols))
 
 
 @query("vuln_trace")
@@ -141,7 +141,12 @@ def q_avg_churn(spark, sf):
 
 @query("before_after_delta")
 def q_before_after_delta(spark, sf):
-    return report.complexity_delta(report.valid_files(ap.audit_log(spark, sf)))
+    from .plans.pipelines import before_after
+    facts = fixtures.file_facts(spark, sf)
+    sides = before_after(facts.select("file_uid", F.col("cc_before").alias("cc")),
+                         facts.select("file_uid", F.col("cc_after").alias("cc")))
+    valid = audit.file_summary(ap.traces(spark, sf), facts).filter("vuln_count > 0").select("file_uid")
+    return report.complexity_delta_of(sides.join(valid, "file_uid", "left_semi"), F.col("cc_before"), F.col("cc_after"))
 
 
 @query("severity_breakdown")
@@ -284,7 +289,9 @@ def q_innermost_span(spark, sf):
 
 @query("line_window_context")
 def q_line_window_context(spark, sf):
-    return context.line_window_context(fixtures.rule_findings(spark, sf), _keepends_lines(spark, sf), _FKEYS)
+    d = read_table(spark, sf, "documents", ["doc_id", "text"])
+    return context.line_window_context(fixtures.rule_findings(spark, sf), _keepends_lines(spark, sf), _FKEYS,
+                                       counts=context.document_line_counts(d))
 
 
 @query("line_window_frame")
@@ -294,38 +301,21 @@ def q_line_window_frame(spark, sf):
 
 @query("function_context")
 def q_function_context(spark, sf):
-    return churn.function_spans(fixtures.python_sources(spark, sf))
+    d = read_table(spark, sf, "documents", ["doc_id", "text"])
+    return context.function_or_window_context(fixtures.rule_findings(spark, sf), fixtures.nested_spans(spark, sf),
+                                              _keepends_lines(spark, sf), _FKEYS,
+                                              counts=context.document_line_counts(d))
 
 
-# ------------------------------------------------------------------ churn and code statistics
+# ------------------------------------------------------------------ churn and code statistics
 @query("multiset_line_churn")
 def q_multiset_line_churn(spark, sf):
     return churn.multiset_line_churn(fixtures.doc_lines(spark, sf), fixtures.edited_lines(spark, sf))
 
 
-@query("ast_tokens")
-def q_ast_tokens(spark, sf):
-    return churn.ast_token_table(fixtures.python_sources(spark, sf))
-
-
-@query("logical_lines")
-def q_logical_lines(spark, sf):
-    return churn.logical_line_table(fixtures.python_sources(spark, sf))
-
-
-@query("line_churn")
-def q_line_churn(spark, sf):
-    return churn.churn(fixtures.python_pairs(spark, sf)).select("doc_id", "normalized_loc_churn")
-
-
-@query("ast_churn")
-def q_ast_churn(spark, sf):
-    return churn.churn(fixtures.python_pairs(spark, sf)).select("doc_id", "ast_churn")
-
-
 @query("code_stats")
 def q_code_stats(spark, sf):
-    return churn.code_stats(fixtures.python_sources(spark, sf))
+    return churn.code_stats(fixtures.code_blocks(spark, sf), fixtures.doc_lines(spark, sf))
 
 
 # ------------------------------------------------------------------ pages
@@ -338,7 +328,7 @@ def q_page_headings(spark, sf):
 @query("page_text_extract")
 def q_page_text_extract(spark, sf):
     p = read_table(spark, sf, "pages", ["page_id", "url", "html"])
-    return pages.extract_doc_text(p, container=("article", {}))
+    return p.select("page_id", "url", pages.article_text("html").alias("text"))
 
 
 # ------------------------------------------------------------------ prompts and replies
@@ -369,64 +359,28 @@ def q_attach_responses(spark, sf):
 
 
 # ------------------------------------------------------------------ splicing and the cascade
-def _numbered_findings(spark, sf):
-    f = fixtures.rule_findings(spark, sf)
-    fid = (F.col("line_no") * 10 + F.substring("test_id", 2, 3).cast("int")).cast("bigint")
-    return f.select("doc_id", fid.alias("finding_id"), "test_id", F.col("line_no").alias("line_num"), "severity",
-                    F.lit("HIGH").alias("confidence"))
+def _codes(spark, sf):
+    return read_table(spark, sf, "documents", ["doc_id", "text"]).withColumnRenamed("text", "code")
 
 
 @query("apply_patches")
 def q_apply_patches(spark, sf):
     from .operators.cascade import apply_patches
-    docs = read_table(spark, sf, "documents", ["doc_id", "text"]).withColumnRenamed("text", "code")
-    f = _numbered_findings(spark, sf)
-    lines = fixtures.doc_lines(spark, sf)
-    patches = f.join(lines, (f["doc_id"] == lines["doc_id"]) & (f["line_num"] == lines["line_no"])).select(
-        f["doc_id"], F.col("finding_id").alias("patch_seq"), F.col("line_num").alias("start_line"),
-        F.col("line_num").alias("end_line"), F.upper(lines["line"]).alias("block"))
-    return apply_patches(docs, patches, mode="original")
-
-
-def demo_responder(batches):
-    """Deterministic stand-in for a patching model (F7): redacts what the fixture rules look for.
-
-    Level 1 fixes e-mail findings, leaves licence lines as they are (so they escalate) and gives no reply for
-    token findings (an errored attempt); level 2 also rewrites licence lines.
-    """
-    import re
-
-    import pandas as pd
-    email = re.compile(r"[a-z0-9.]+@[a-z]+")
-    for pdf in batches:
-        replies, reasons = [], []
-        for rule, level, code in zip(pdf["finding_id"] % 10, pdf["level"], pdf["code_snippet"]):
-            if rule == 1:
-                replies.append(None)
-                reasons.append(None)
-                continue
-            out = email.sub("[email]", code)
-            if level >= 2:
-                out = out.replace("License", "licence")
-            replies.append("```python\n" + out + "\n```")
-            reasons.append("stop")
-        n = len(pdf)
-        yield pd.DataFrame({"doc_id": pdf["doc_id"], "finding_id": pdf["finding_id"], "level": pdf["level"],
-                            "reply": replies, "finish_reason": reasons,
-                            "prompt_tokens": pdf["prompt"].str.len().astype("int64"),
-                            "completion_tokens": pd.Series([len(r or "") for r in replies], dtype="int64"),
-                            "duration_s": [0.5] * n})
+    lower, upper = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    patches = fixtures.numbered_findings(spark, sf, with_line=True).select(
+        "doc_id", F.col("finding_id").alias("patch_seq"), F.col("line_num").alias("start_line"),
+        F.col("line_num").alias("end_line"), F.translate("line", lower, upper).alias("block"))
+    return apply_patches(_codes(spark, sf), patches, mode="original").withColumn("n_skipped", F.size("skipped")).drop("skipped")
 
 
 @query("remediation_cascade")
 def q_remediation_cascade(spark, sf):
     from .operators.cascade import remediate
-    docs = read_table(spark, sf, "documents", ["doc_id", "text"]).withColumnRenamed("text", "code")
     rule_table = fixtures.rules(spark)
 
     def rescan(patched):
         return findings.scan_lines(context.explode_lines(patched, "code", keepends=False), rule_table)
 
-    attempts, _docs, _left = remediate(docs, _numbered_findings(spark, sf), demo_responder, rescan,
-                                       models={1: fixtures.LEVEL1_MODEL, 2: fixtures.LEVEL2_MODEL})
+    attempts, _docs, _left = remediate(_codes(spark, sf), fixtures.numbered_findings(spark, sf), fixtures.fixture_replies,
+                                       rescan, models={1: fixtures.LEVEL1_MODEL, 2: fixtures.LEVEL2_MODEL}, window=0)
     return attempts

@@ -19,10 +19,7 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    # Broadcast only behind a measured size: no broadcast from static (file-size) estimates, which understate
-    # decompressed text; AQE converts a sort-merge join when a shuffled side's *actual* size is below 10 MB.
-    # Explicit F.broadcast is reserved for sides bounded by construction (rate card, level list, carry table).
-    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    # Spark's own size rules decide broadcasts; operators store small lookup sides first, so that their size is known.
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "10MB",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",

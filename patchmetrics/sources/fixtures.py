@@ -8,9 +8,7 @@ whose size grows with the scale factor:
 * ``raw_samples``: fenced code samples per ``documents`` row;
 * ``doc_lines`` / ``edited_lines``: documents split into lines, and an edited version;
 * ``rules`` / ``rule_findings`` / ``nested_spans`` / ``scan_reports``: scanner inputs and outputs;
-* ``python_sources``: each document rendered as a Python module (functions, branches, loops, comments), so the
-  parser-based jobs (spans, AST tokens, logical lines, churn, complexity) see real code whose volume is the
-  corpus's.
+* ``code_blocks``: block table of a document's lines; ``numbered_findings`` / ``fixture_replies``: the cascade's input.
 
 Derived tables that are expensive (sequence numbers) are written once per session and scale factor under
 ``spark.checkpoint.dir`` (``sources.store.materialize``).
@@ -18,7 +16,7 @@ Derived tables that are expensive (sequence numbers) are written once per sessio
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.sequence import sequence_within
@@ -96,17 +94,6 @@ def file_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("o_orderkey") % 120).alias("ast_churn"), (F.col("o_orderkey") % 4).alias("vuln_count_after"))
 
 
-def pricing_fixture_rows() -> list[tuple[str, str, str]]:
-    """The two rate-card rows the fixtures use (the library default has all seven models)."""
-    from ..operators.audit import PRICING_PER_1M
-    return [r for r in PRICING_PER_1M if r[0] in (LEVEL1_MODEL, LEVEL2_MODEL)]
-
-
-def pricing_fixture(spark: SparkSession) -> DataFrame:
-    from ..operators.audit import pricing_table
-    return pricing_table(spark, pricing_fixture_rows())
-
-
 def raw_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read_table(spark, sf_dir, "documents", ["doc_id", "lang", "text"])
     nl = F.lit("\n")
@@ -123,13 +110,6 @@ def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", (F.col("pos") + 1).alias("line_no"), "line"))
 
 
-def _edit(lines: Column) -> Column:
-    kept = F.filter(lines, lambda x, i: (i + 1) % 7 != 3)
-    # Positions in `kept` map back to original line numbers; recover them by filtering the index array too.
-    idx = F.filter(F.sequence(F.lit(1), F.size(lines)), lambda n: n % 7 != 3)
-    return F.transform(kept, lambda x, i: F.when(F.element_at(idx, i + 1) % 5 == 2, F.upper(x)).otherwise(x))
-
-
 def edited_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The "after" text: every line with ``line_no % 7 == 3`` deleted, ``line_no % 5 == 2`` upper-cased."""
     return (doc_lines(spark, sf_dir).filter(F.col("line_no") % 7 != 3)
@@ -137,12 +117,6 @@ def edited_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.when(F.col("line_no") % 5 == 2, F.upper("line")).otherwise(F.col("line")).alias("line")))
 
 
-def edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(doc_id, text)`` of the edited documents, built per row (no shuffle)."""
-    d = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
-    return d.select("doc_id", F.array_join(_edit(F.split("text", "\n", -1)), "\n").alias("text"))
-
-
 # Fixed rule table of the fixture (FIXTURES.md 2.4).
 RULES = [
     ("R001", "HIGH", 'token = "[0-9a-f]{40}"'),
@@ -181,42 +155,31 @@ def scan_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
                     .when(F.col("doc_id") % 50 == 1, F.lit('{"errors":[]}')).otherwise(report).alias("report"))
 
 
-def _py_literal(x: Column) -> Column:
-    return F.concat(F.lit("'"), F.replace(F.replace(x, F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("\\'")),
-                    F.lit("'"))
-
-
-def _as_python(lines: Column, broken: Column) -> Column:
-    """Render a line array as a Python module: a function every 8 lines, an ``if`` / ``for`` / comment / async def
-    sprinkled by position, each line's text as a string literal."""
-
-    def frag(x, i):
-        head = (F.when(i % 24 == 16, F.concat(F.lit("async def g"), i.cast("string"), F.lit("(x):\n")))
-                .when(i % 8 == 0, F.concat(F.lit("def f"), i.cast("string"), F.lit("(x):\n")))
-                .otherwise(F.lit("")))
-        stmt = (F.when(i % 8 == 3, F.concat(F.lit("    if x and x > "), i.cast("string"), F.lit(":\n        x = "),
-                                            _py_literal(x), F.lit("\n")))
-                .when(i % 8 == 5, F.concat(F.lit("    for c in x:  # loop\n        x = x + "), _py_literal(x),
-                                           F.lit("\n")))
-                .when(i % 8 == 6, F.concat(F.lit("    # "), F.regexp_replace(x, r"[\r\n]", " "), F.lit("\n    y = x.upper()\n")))
-                .otherwise(F.concat(F.lit("    x = "), _py_literal(x), F.lit("\n"))))
-        tail = F.when(i % 8 == 7, F.lit("    return x\n")).otherwise(F.lit(""))
-        return F.concat(head, stmt, tail)
-
-    body = F.array_join(F.transform(lines, frag), "")
-    return F.concat(body, F.when(broken, F.lit("def broken(:\n")).otherwise(F.lit("")))
-
-
-def python_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(doc_id, code)``: every document as a Python module; ``doc_id % 13 == 0`` gets a syntax error."""
-    d = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
-    return d.select("doc_id", _as_python(F.split("text", "\n", -1), F.col("doc_id") % 13 == 0).alias("code"))
+def code_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Block table ``(doc_id, name, complexity)``: ten lines to a block, complexity 1 + its lines holding ``the``."""
+    dl = doc_lines(spark, sf_dir)
+    block = F.floor((F.col("line_no") - 1) / 10).cast("int")
+    return (dl.groupBy("doc_id", block.alias("b")).agg((F.count_if(F.col("line").contains("the")) + 1).alias("complexity"))
+            .select("doc_id", F.concat(F.lit("b"), F.col("b").cast("string")).alias("name"), "complexity"))
 
 
-def python_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(doc_id, before, after)``: module of the document and of its edited version (per row, no shuffle)."""
-    d = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
-    lines = F.split("text", "\n", -1)
-    broken = F.col("doc_id") % 13 == 0
-    return d.select("doc_id", _as_python(lines, broken).alias("before"),
-                    _as_python(_edit(lines), broken & (F.col("doc_id") % 2 == 0)).alias("after"))
+def numbered_findings(spark: SparkSession, sf_dir: str, with_line: bool = False) -> DataFrame:
+    """Rule findings with a ``finding_id`` (line and rule number) and, on request, their line text as ``line``."""
+    from ..operators.findings import scan_lines
+    found = scan_lines(doc_lines(spark, sf_dir), rules(spark), keys=("doc_id", "line_no", "line"))
+    fid = F.col("line_no").cast("bigint") * 1000 + F.substring("test_id", 2, 3).cast("int")
+    return found.select("doc_id", fid.alias("finding_id"), "test_id", F.col("line_no").alias("line_num"), "severity",
+                        F.lit("HIGH").alias("confidence"), *(["line"] if with_line else []))
+
+
+def fixture_replies(prompts: DataFrame) -> DataFrame:
+    """Replies to patch prompts: level 1 masks e-mail addresses, leaves licence lines (they escalate) and does not
+    answer token findings (errored attempts); level 2 also rewrites licence lines."""
+    masked = F.regexp_replace("code_snippet", RULES[2][2], "[email]")
+    out = (F.when(F.col("test_id") == "R001", F.lit(None))
+           .when(F.col("level") >= 2, F.replace(masked, F.lit("License"), F.lit("licence")))
+           .when(F.col("test_id") == "R003", masked).otherwise(F.col("code_snippet")))
+    reply = F.concat(F.lit("```python\n"), out, F.lit("\n```"))
+    return prompts.select("doc_id", "finding_id", "level", reply.alias("reply"), F.lit("stop").alias("finish_reason"),
+                          F.length("code_snippet").cast("bigint").alias("prompt_tokens"),
+                          F.length(reply).cast("bigint").alias("completion_tokens"), F.lit(0.5).alias("duration_s"))

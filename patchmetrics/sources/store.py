@@ -6,16 +6,33 @@ RDD checkpoint, is read back with vectorised parquet scans, column pruning and f
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ensure_checkpoint_dir
 
 
+_WRITTEN: list[str] = []   # tables of this driver process; ``release`` empties it
+
+
+def release(spark: SparkSession) -> None:
+    """Delete every table written by ``materialize`` (runs when the driver's Python exits)."""
+    with contextlib.suppress(Exception):   # the JVM may be gone by then
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        while _WRITTEN:
+            at = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+            at.getFileSystem(conf).delete(at, True)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     base = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{base}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    if not _WRITTEN:
+        atexit.register(release, spark)
+    _WRITTEN.append(path)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

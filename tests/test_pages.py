@@ -1,20 +1,19 @@
-"""Documentation page extraction (F6, D15) and the headings key."""
+"""Documentation page text (F6) and the headings key; expected texts written by hand."""
 
-from patchmetrics.operators.pages import extract_doc_text, extract_text
-
-PAGE = ('<html><head><script>var t="</p>";</script></head><body><div itemprop="articleBody">'
-        '<h1>Title &amp; more</h1><p>foo <b>bar</b></p><ul><li><p>in li</p></li></ul>'
-        '<p class="x">classed</p><!-- hidden --><p>one<p>two</div><h2>outside</h2></body></html>')
+from pyspark.sql import functions as F
 
+from patchmetrics.operators.pages import article_text, h1_headings
 
-def test_extract_rules():
-    assert extract_text(PAGE) == "foobar\nonetwo\ntwoTitle & more"
-    assert extract_text("<html><body><p>x</p></body></html>") == "docs not found"
-    assert extract_text('<div itemprop="articleBody"><ul><li>x</li></ul></div>') is None
-    assert extract_text("<article><h1>A</h1><p>b<br>c</p></article>", container=("article", {})) == "bcA"
+PAGE = ('<html><head><script>var t="</p>";</script></head><body><article class="d">'
+        '<h1>Title &amp; more</h1><p>foo <b>bar</b></p><ul><li><p>in li</p></li></ul>'
+        '<p class="x">classed</p><!-- <p>hidden</p> --><p id="k">one</p>\n<h3> Sub </h3></article><h2>outside</h2></body></html>')
 
 
-def test_extract_job(spark):
-    pages = spark.createDataFrame([(1, "u1", PAGE), (2, "u2", None)], "page_id long, url string, html string")
-    got = {r.page_id: r.text for r in extract_doc_text(pages).collect()}
-    assert got == {1: "foobar\nonetwo\ntwoTitle & more", 2: None}
+def test_article_text(spark):
+    rows = [(1, PAGE), (2, None), (3, "<p>x</p>"), (4, "<article><ul><li>x</li></ul></article>"),
+            (5, "<article><h2>A</h2></article><article><p>second</p></article>")]
+    df = spark.createDataFrame(rows, "id int, html string")
+    got = {r[0]: r[1] for r in df.select("id", article_text("html")).collect()}
+    assert got == {1: "foo bar\none\nTitle &amp; more\nSub", 2: None, 3: "docs not found", 4: None, 5: "A"}
+    assert df.where("id = 1").select(h1_headings("html")).first()[0] == "Title &amp; more"
+    assert df.where("id = 1").select(F.length(article_text("html", "section"))).first()[0] == len("docs not found")
