@@ -116,8 +116,11 @@ def trace_aggregates(last_level: int = LAST_LEVEL) -> list[Column]:
     """A2-A6 as partial-aggregatable expressions (map-side combine; a hot trace never gathers its rows).
 
     ``n_leftover`` counts finding instances, not rules: every attempt that failed at the last level is one unresolved
-    finding, also when another finding of its rule was fixed.
+    finding, also when another finding of its rule was fixed. In a trace that never reached the last level (a run of
+    fewer levels) every failed attempt is.
     """
+    failed = F.coalesce(F.col("raw_status").startswith("failed"), F.lit(False))
+    at_last = failed & (F.col("level") >= last_level)
     ok = _is_success()
     return [
         F.min_by("severity", "attempt_seq").alias("severity"),
@@ -129,7 +132,7 @@ def trace_aggregates(last_level: int = LAST_LEVEL) -> list[Column]:
         F.min("attempt_seq").alias("first_seq"),
         F.count(F.lit(1)).alias("n_attempts"),
         F.max_by("raw_status", "attempt_seq").alias("last_raw_status"),
-        F.count_if(F.col("raw_status") == f"failed_level_{last_level}").alias("n_leftover"),
+        F.when(F.max("level") >= last_level, F.count_if(at_last)).otherwise(F.count_if(failed)).alias("n_leftover"),
     ]
 
 

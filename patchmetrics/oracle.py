@@ -61,7 +61,8 @@ traces AS (
     CAST(sum(cost_usd) AS DECIMAL(18,6)) AS total_cost_usd,
     min(attempt_seq) AS first_seq, count(*) AS n_attempts,
     arg_max(raw_status, attempt_seq) AS last_raw_status,
-    CAST(count_if(raw_status = 'failed_level_2') AS BIGINT) AS n_leftover
+    CAST(CASE WHEN max(level) >= 2 THEN count_if(starts_with(raw_status, 'failed') AND level >= 2)
+              ELSE count_if(starts_with(raw_status, 'failed')) END AS BIGINT) AS n_leftover
   FROM priced GROUP BY file_uid, vulnerability_id),
 traces2 AS (
   SELECT *, (status = 'FAILED' AND coalesce(starts_with(last_raw_status, 'failed'), false)) AS is_leftover,

@@ -7,7 +7,9 @@ folder is only invented when none is configured *and* the master is local (tests
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -71,3 +73,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors (``addPyFile``), for sessions whose workers cannot import it.
+
+    Needed when the package is only on the driver's ``sys.path``; with an installed wheel, ``--py-files`` or
+    ``PYTHONPATH`` on the workers there is nothing to do.
+    """
+    here = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="pm-ship-")     # Spark's file server reads it until the driver ends
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    spark.sparkContext.addPyFile(shutil.make_archive(os.path.join(folder, "patchmetrics"), "zip", os.path.dirname(here),
+                                                     os.path.basename(here)))

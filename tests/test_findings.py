@@ -38,12 +38,25 @@ def test_rule_scan_and_verification(spark):
     assert sorted(tuple(r) for r in counts.collect()) == [(1, 2), (2, 0)]
 
 
-def test_rule_table_is_bounded(spark):
-    lines = spark.createDataFrame([(1, 1, "x")], "doc_id long, line_no int, line string")
-    rules = spark.range(0, 20).select(F.col("id").cast("string").alias("test_id"), F.lit("LOW").alias("severity"),
-                                      F.lit("x").alias("pattern"))
-    with pytest.raises(ValueError):
-        findings.scan_lines(lines, rules, max_rules=10)
+def test_any_number_of_rules(spark):
+    lines = spark.createDataFrame([(1, 1, "x7x"), (1, 2, "x1204x")], "doc_id long, line_no int, line string")
+    rules = spark.range(0, 1300).select(F.col("id").cast("string").alias("test_id"), F.lit("LOW").alias("severity"),
+                                        F.concat(F.lit("x"), F.col("id"), F.lit("x")).alias("pattern"))
+    got = sorted((r.line_no, r.test_id) for r in findings.scan_lines(lines, rules).collect())
+    assert got == [(1, "7"), (2, "1204")]
+
+
+def test_prefilter_loses_no_match_of_java_classes(spark):
+    """Every pattern must find what Spark's own rlike finds, nested and intersected classes included."""
+    patterns = ["[a[bc]]x", "[a-z&&[^q]]k", "[]a]b", "[^[x]]y", r"[\]a]z", r"[\d[e]]x", "a[b]c", "ab+c", "a{2}b", "x?yz", r"a\.b",
+                "[a-c]{2}d", "^ab$", "q[^a]"]
+    texts = ["ax", "bx", "cx", "ek", "qk", "ab", "]b", "ay", "xy", "]z", "az", "5x", "ex", "abc", "abbc", "aab", "yz", "a.b",
+             "axb", "abd", "bcd", "qb", "", "k"]
+    lines = spark.createDataFrame([(1, i, t) for i, t in enumerate(texts)], "doc_id long, line_no int, line string")
+    rules = spark.createDataFrame([(str(i), "LOW", p) for i, p in enumerate(patterns)], "test_id string, severity string, pattern string")
+    got = {(r.line_no, int(r.test_id)) for r in findings.scan_lines(lines, rules).collect()}
+    want = {(r.line_no, i) for i, p in enumerate(patterns) for r in lines.where(F.col("line").rlike(p)).collect()}
+    assert got == want and len(want) > 15
 
 
 def test_doc_lookup_sentinels(spark):

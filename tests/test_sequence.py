@@ -26,3 +26,16 @@ def test_dense_index_is_contiguous_in_order(spark):
     df = spark.range(0, 5000).select((F.col("id") * 37 % 5000).alias("x"))
     got = dense_index(df, ["x"], "idx", num_partitions=7).collect()
     assert sorted((r.x, r.idx) for r in got) == [(i, i) for i in range(5000)]
+
+
+def test_payload_and_keys_are_untouched(spark):
+    """Integers beyond 2^53 beside nulls, NaN payloads and a key with a third of the rows come back as they were."""
+    big = 2**60
+    rows = [(big + i % 3 if i % 3 else None, i, 2**53 + 1 if i % 2 else None, float("nan") if i % 5 == 0 else i / 3) for i in range(300)]
+    df = spark.createDataFrame(rows, "k long, o long, p long, x double")
+    got = sequence_within(df, ["k"], ["o"], "n", num_partitions=7).collect()
+    assert sorted((r.o, r.k, r.p, str(r.x)) for r in got) == sorted((o, k, p, str(x)) for k, o, p, x in rows)
+    for k in {r[0] for r in rows}:
+        own = sorted((r.o, r.n) for r in got if r.k == k)
+        assert [n for _, n in own] == list(range(1, len(own) + 1))
+    assert "Python" not in sequence_within(df, ["k"], ["o"])._jdf.queryExecution().toString()
