@@ -131,6 +131,20 @@ AUDIT_SQL = {
         FROM priced WHERE level = 1 UNION ALL
         SELECT file_uid, vulnerability_id, attempt_seq, level, model, status, cost_usd FROM priced WHERE level = 2""",
     "vuln_trace": "SELECT * FROM traces2",
+    "vuln_trace_history": """SELECT file_uid, vulnerability_id,
+        min(attempt_seq) OVER (PARTITION BY file_uid, vulnerability_id) AS first_seq,
+        CAST(row_number() OVER (PARTITION BY file_uid, vulnerability_id ORDER BY attempt_seq) - 1 AS INTEGER) AS pos,
+        level, model, status, finish_reason, CAST(duration_s AS DOUBLE) AS duration_s, cost_usd, prompt_tokens,
+        completion_tokens, total_tokens FROM priced""",
+    "audit_log_nested": """SELECT l.file_uid, l.dataset, l.vuln_count, l.fixed_count, l.new_issues_introduced,
+        l.total_cost_usd AS file_cost_usd, t.trace_pos, t.vulnerability_id AS test_id, t.severity, t.confidence_score,
+        t.status AS trace_status, t.fixed_at_level, t.time_to_remediation_s, t.total_cost_usd AS trace_cost_usd, p.pos,
+        p.level, p.model, p.status, p.finish_reason, CAST(p.duration_s AS DOUBLE) AS duration_s, p.cost_usd,
+        p.prompt_tokens, p.completion_tokens, p.total_tokens
+        FROM logf l LEFT JOIN (SELECT *, CAST(row_number() OVER (PARTITION BY file_uid ORDER BY first_seq) - 1 AS INTEGER)
+            AS trace_pos FROM traces2) t ON CAST(t.file_uid AS VARCHAR) = l.file_uid
+        LEFT JOIN (SELECT *, CAST(row_number() OVER (PARTITION BY file_uid, vulnerability_id ORDER BY attempt_seq) - 1
+            AS INTEGER) AS pos FROM priced) p ON p.file_uid = t.file_uid AND p.vulnerability_id = t.vulnerability_id""",
     "escalation_routing": """SELECT file_uid, vulnerability_id, attempt_seq, severity, confidence, 2 AS next_level
         FROM norm WHERE level = 1 AND starts_with(raw_status, 'failed')""",
     "file_summary": """SELECT CAST(file_uid AS BIGINT) AS file_uid, vuln_count, fixed_count,
@@ -235,6 +249,32 @@ def _kpi_sql() -> str:
 AUDIT_SQL["kpi_report"] = _kpi_sql()
 
 
+def _rendered_sql() -> str:
+    from .operators.report import NO_ATTEMPTS, NOT_AVAILABLE, REPORT_FORMATS, REPORT_LABELS
+    lb = {k: "'" + v + "'" for k, v in REPORT_LABELS.items()}
+    f = lambda k, alt=None: (f"coalesce(printf('{REPORT_FORMATS[k]}', value), '{alt}')" if alt
+                             else f"printf('{REPORT_FORMATS[k]}', value)")
+    n, d = "CAST(CAST(numerator AS BIGINT) AS VARCHAR)", "CAST(CAST(denominator AS BIGINT) AS VARCHAR)"
+    level = "replace(" + lb["level_success_rate"] + ", '{}', key)"
+    return f"""SELECT section, metric, key, CASE
+        WHEN section = 'dataset' THEN metric || ': ' || {n}
+        WHEN metric = 'vuln_fix_rate' THEN {lb['vuln_fix_rate']} || {f('pct')} || ' (' || {n} || '/' || {d} || ')'
+        WHEN metric = 'file_remediation_rate' THEN {lb['file_remediation_rate']} || {f('pct')} || ' (' || {n} || '/' || {d} || ' files clean)'
+        WHEN metric = 'level_success_rate' AND denominator = 0 THEN {level} || '{NO_ATTEMPTS}'
+        WHEN metric = 'level_success_rate' THEN {level} || {f('pct')} || ' (' || {n} || '/' || {d} || ')'
+        WHEN metric = 'avg_tokens_per_fix' THEN {lb['avg_tokens_per_fix']} || {f('tokens', 'nan')}
+        WHEN metric = 'cost_per_fix' THEN {lb['cost_per_fix']} || {f('cost')}
+        WHEN metric = 'avg_loc_churn' THEN {lb['avg_loc_churn']} || {f('loc_churn', NOT_AVAILABLE)}
+        WHEN metric = 'avg_ast_churn' THEN {lb['avg_ast_churn']} || {f('ast_churn', NOT_AVAILABLE)}
+        WHEN metric = 'avg_complexity_change' THEN {lb['avg_complexity_change']} || {f('delta', 'nan')}
+        WHEN section = 'severity' THEN rpad(key, 10, ' ') || {f('pct')}
+        WHEN section = 'rule' THEN rpad(key, 20, ' ') || ' | ' || {f('rule_rate')} || '   | ' || rpad({d}, 5, ' ')
+        END AS line FROM ({AUDIT_SQL["kpi_report"]})"""
+
+
+AUDIT_SQL["kpi_rendered"] = _rendered_sql()
+
+
 # ----------------------------------------------------------------------------------------------- documents, pages
 NL = "chr(10)"
 RAW_SAMPLES = r"""

@@ -58,7 +58,15 @@ def q_vuln_trace(spark, sf):
 
 @query("vuln_trace_history")
 def q_vuln_trace_history(spark, sf):
-    return audit.vuln_trace_history(ap.priced_attempts(spark, sf))
+    """A1 unnested again: one row per attempt with its place in the trace."""
+    history = audit.vuln_trace_history(ap.priced_attempts(spark, sf))
+    return history.select("file_uid", "vulnerability_id", "first_seq", F.posexplode("attempts").alias("pos", "a")).select(
+        "file_uid", "vulnerability_id", "first_seq", "pos", *_attempt_columns("a"))
+
+
+def _attempt_columns(a: str) -> list:
+    return [*[F.col(f"{a}.{c}").alias(c) for c in ("level", "model", "status", "finish_reason", "duration_s", "cost_usd")],
+            *[F.col(f"{a}.tokens.{c}").alias(c) for c in ("prompt_tokens", "completion_tokens", "total_tokens")]]
 
 
 @query("escalation_routing")
@@ -77,7 +85,19 @@ def q_file_summary(spark, sf):
 
 @query("audit_log_nested")
 def q_audit_log_nested(spark, sf):
-    return ap.build_log(spark, sf)
+    """A10 unnested again: one row per attempt (or per file without any), with its file and trace."""
+    log = ap.build_log(spark, sf)
+    traces = log.select(F.col("meta.file_uid").alias("file_uid"), F.col("meta.dataset").alias("dataset"),
+                        F.col("input_stats.vuln_count").alias("vuln_count"),
+                        F.col("security_summary.fixed_count").alias("fixed_count"),
+                        F.col("security_summary.new_issues_introduced").alias("new_issues_introduced"),
+                        F.col("total_cost_usd").alias("file_cost_usd"), F.posexplode_outer("vulnerabilities").alias("trace_pos", "t"))
+    rows = traces.select("*", F.posexplode_outer("t.attempts").alias("pos", "a"))
+    return rows.select(*traces.columns[:7], F.col("t.test_id").alias("test_id"), F.col("t.severity").alias("severity"),
+                       F.col("t.confidence_score").alias("confidence_score"), F.col("t.status").alias("trace_status"),
+                       F.col("t.fixed_at_level").alias("fixed_at_level"),
+                       F.col("t.time_to_remediation_s").alias("time_to_remediation_s"),
+                       F.col("t.total_cost_usd").alias("trace_cost_usd"), "pos", *_attempt_columns("a"))
 
 
 # ------------------------------------------------------------------ report (C4)
