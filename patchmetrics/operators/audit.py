@@ -275,7 +275,7 @@ def long_form_log(priced: DataFrame, facts: DataFrame, leftovers: DataFrame | No
     summary = file_summary(traces, facts, leftovers)
     files = summary.join(facts.select("file_uid", "normalized_loc_churn", "ast_churn", "cc_before", "cc_after"),
                          "file_uid").select(
-        F.col("file_uid").cast("string").alias("file_uid"), "vuln_count", "fixed_count", "total_cost_usd",
+        F.col("file_uid").cast("string").alias("file_uid"), "vuln_count", "fixed_count", "n_traces", "total_cost_usd",
         F.col("normalized_loc_churn").cast("bigint").alias("normalized_loc_churn"),
         F.col("ast_churn").cast("bigint").alias("ast_churn"),
         F.col("cc_before").cast("double").alias("cc_before"), F.col("cc_after").cast("double").alias("cc_after"))

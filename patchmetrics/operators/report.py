@@ -63,6 +63,22 @@ def valid_entries(log: DataFrame) -> DataFrame:
     return log.join(ids, F.col("meta.file_uid") == F.col("_uid"), "left_semi")
 
 
+def of_valid_files(files: DataFrame, rows: DataFrame) -> DataFrame:
+    """J2 + A12 over long-form rows: those whose ``file_uid`` is among the ids of files with vulnerabilities."""
+    ids = files.filter(F.col("vuln_count") > 0).select("file_uid").distinct()
+    return rows.join(ids, "file_uid", "left_semi")
+
+
+def as_records(files: DataFrame) -> DataFrame:
+    """Long-form file rows with the column paths of log records (and no nested list), for the file-level sections."""
+    return files.select(
+        F.struct("file_uid").alias("meta"),
+        F.struct("vuln_count", F.col("cc_before").alias("avg_cyclomatic_complexity")).alias("input_stats"),
+        F.struct("fixed_count", "normalized_loc_churn", "ast_churn",
+                 F.struct(F.col("cc_after").alias("avg_cyclomatic_complexity")).alias("final_code_stats"))
+        .alias("security_summary"), "total_cost_usd")
+
+
 def dataset_counts(log: DataFrame) -> DataFrame:
     """Loaded / analysed / excluded file records."""
     return log.agg(F.count(F.lit(1)).alias("loaded"),
@@ -221,16 +237,14 @@ def kpi_report_flat(files: DataFrame, vulns: DataFrame, attempts: DataFrame,
 
     Inputs are long-form: one row per file record, per trace, per attempt (``log_tables`` or
     ``audit.long_form_log``). Three aggregations in total: all file-level metrics in one pass (one row,
-    unpivoted), the attempt-level metrics in one grouping by level, the vulnerability-level metrics in one
+    unpivoted), all attempt-level metrics in another, the vulnerability-level metrics in one
     grouping-sets pass over (severity) and (test_id). Every aggregate combines map-side, so no file, trace or rule
     -- however hot -- is gathered into one task. ``restrict_to_valid`` applies J2 to ``vulns``/``attempts``
     (semi join on the distinct ids of files with vulnerabilities) when they are not already restricted.
     """
     c = F.col
     if restrict_to_valid:
-        ids = files.filter(c("vuln_count") > 0).select("file_uid").distinct()
-        vulns = vulns.join(ids, "file_uid", "left_semi")
-        attempts = attempts.join(ids, "file_uid", "left_semi")
+        vulns, attempts = of_valid_files(files, vulns), of_valid_files(files, attempts)
     valid = c("vuln_count") > 0
     on_valid = lambda x: F.when(valid, x)
     ccd = c("cc_after").cast("decimal(18,2)") - c("cc_before").cast("decimal(18,2)")
@@ -258,17 +272,14 @@ def kpi_report_flat(files: DataFrame, vulns: DataFrame, attempts: DataFrame,
     )).alias("r")).select("r.*")
 
     ok = c("status") == "SUCCESS"
-    per_level = attempts.groupBy("level").agg(
-        F.count(F.lit(1)).alias("attempts"), F.count_if(ok).alias("successes"),
-        F.sum(F.when(ok, c("total_tokens"))).alias("success_tokens"))
-    levels = files.sparkSession.createDataFrame([(lv,) for lv in LEVELS], "level int")
-    lv = levels.join(per_level, "level", "left").select(
-        "level", F.coalesce("attempts", F.lit(0)).alias("attempts"), F.coalesce("successes", F.lit(0)).alias("successes"))
-    level_rows = lv.select(_report_row("tiers", "level_success_rate", c("level"), c("successes"), c("attempts"),
-                                       _pct(c("successes"), c("attempts"))).alias("r")).select("r.*")
-    tok = per_level.agg(F.sum("success_tokens").alias("t"), F.sum("successes").alias("n"))
-    token_rows = tok.select(_report_row("cost", "avg_tokens_per_fix", nul, c("t"), c("n"), _ratio(c("t"), c("n")))
-                            .alias("r")).select("r.*")
+    at = attempts.agg(
+        F.sum(F.when(ok, c("total_tokens"))).alias("t"), F.count_if(ok).alias("n"),
+        *[F.count_if(c("level") == lv).alias(f"a{lv}") for lv in LEVELS],
+        *[F.count_if(ok & (c("level") == lv)).alias(f"s{lv}") for lv in LEVELS])
+    attempt_rows = at.select(F.explode(F.array(
+        *[_report_row("tiers", "level_success_rate", F.lit(lv), c(f"s{lv}"), c(f"a{lv}"), _pct(c(f"s{lv}"), c(f"a{lv}")))
+          for lv in LEVELS],
+        _report_row("cost", "avg_tokens_per_fix", nul, c("t"), c("n"), _ratio(c("t"), c("n"))))).alias("r")).select("r.*")
 
     by = vulns.groupingSets([["severity"], ["test_id"]], "severity", "test_id").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(c("status") == "FIXED").alias("fixed"), F.grouping_id().alias("gid"))
@@ -276,7 +287,7 @@ def kpi_report_flat(files: DataFrame, vulns: DataFrame, attempts: DataFrame,
                                                              c("n"), half_even_ratio(c("fixed"), c("n"), 2)))
                           .otherwise(_report_row("rule", "success_rate_pct", c("test_id"), c("fixed"), c("n"),
                                                  half_even_ratio(c("fixed"), c("n"), 1))).alias("r")).select("r.*")
-    return file_rows.unionByName(level_rows).unionByName(token_rows).unionByName(vuln_rows)
+    return file_rows.unionByName(attempt_rows).unionByName(vuln_rows)
 
 
 # Labels and number formats of the printed report, in print order.

@@ -34,5 +34,21 @@ def audit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixtures.memo(spark, sf_dir, "audit_log", lambda: materialize(build_log(spark, sf_dir), "audit_log"))
 
 
-def valid_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.valid_entries(audit_log(spark, sf_dir))
+def long_form(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The report's input: ``(files, traces of valid files, attempts of valid files)``, stored once per session.
+
+    Flat rows only: no nested record of a hot file is ever built, shuffled or read for the report.
+    """
+    from ..sources.store import materialize
+
+    def build():
+        files, vulns, attempts = audit.long_form_log(priced_attempts(spark, sf_dir), fixtures.file_facts(spark, sf_dir))
+        files = materialize(files, "report_files")
+        return (files, materialize(report.of_valid_files(files, vulns), "report_traces"),
+                materialize(report.of_valid_files(files, attempts), "report_attempts"))
+
+    return fixtures.memo(spark, sf_dir, "long_form", build)
+
+
+def valid_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.valid_files(report.as_records(long_form(spark, sf_dir)[0]))

@@ -108,55 +108,53 @@ def q_audit_flatten(spark, sf):
 
 @query("audit_dataset_counts")
 def q_audit_dataset_counts(spark, sf):
-    return report.dataset_counts(ap.audit_log(spark, sf))
+    return report.dataset_counts(report.as_records(ap.long_form(spark, sf)[0]))
 
 
 @query("valid_file_semi_join")
 def q_valid_file_semi_join(spark, sf):
-    e = ap.valid_entries(spark, sf)
-    return e.select(F.col("meta.file_uid").alias("file_uid"), F.col("input_stats.vuln_count").alias("vuln_count"),
-                    F.col("security_summary.fixed_count").alias("fixed_count"),
-                    F.size("vulnerabilities").cast("bigint").alias("n_traces"))
+    files = ap.long_form(spark, sf)[0].select("file_uid", "vuln_count", "fixed_count", "n_traces")
+    return report.of_valid_files(files, files)
 
 
 @query("explode_vulnerabilities")
 def q_explode_vulnerabilities(spark, sf):
-    return report.explode_vulnerabilities(ap.valid_entries(spark, sf))
+    return ap.long_form(spark, sf)[1]
 
 
 @query("explode_attempts")
 def q_explode_attempts(spark, sf):
-    return report.explode_attempts(ap.valid_entries(spark, sf))
+    return ap.long_form(spark, sf)[2]
 
 
 @query("vuln_fix_rate")
 def q_vuln_fix_rate(spark, sf):
-    return report.vuln_fix_rate(report.valid_files(ap.audit_log(spark, sf)))
+    return report.vuln_fix_rate(ap.valid_records(spark, sf))
 
 
 @query("file_remediation_rate")
 def q_file_remediation_rate(spark, sf):
-    return report.file_remediation_rate(report.valid_files(ap.audit_log(spark, sf)))
+    return report.file_remediation_rate(ap.valid_records(spark, sf))
 
 
 @query("level_success_rate")
 def q_level_success_rate(spark, sf):
-    return report.level_success_rate(report.explode_attempts(ap.valid_entries(spark, sf)))
+    return report.level_success_rate(ap.long_form(spark, sf)[2])
 
 
 @query("avg_tokens_per_fix")
 def q_avg_tokens_per_fix(spark, sf):
-    return report.avg_tokens_per_fix(report.explode_attempts(ap.valid_entries(spark, sf)))
+    return report.avg_tokens_per_fix(ap.long_form(spark, sf)[2])
 
 
 @query("cost_per_fix")
 def q_cost_per_fix(spark, sf):
-    return report.cost_per_fix(report.valid_files(ap.audit_log(spark, sf)))
+    return report.cost_per_fix(ap.valid_records(spark, sf))
 
 
 @query("avg_churn")
 def q_avg_churn(spark, sf):
-    return report.avg_churn(report.valid_files(ap.audit_log(spark, sf)))
+    return report.avg_churn(ap.valid_records(spark, sf))
 
 
 @query("before_after_delta")
@@ -171,22 +169,22 @@ def q_before_after_delta(spark, sf):
 
 @query("severity_breakdown")
 def q_severity_breakdown(spark, sf):
-    return report.severity_breakdown(report.explode_vulnerabilities(ap.valid_entries(spark, sf)))
+    return report.severity_breakdown(ap.long_form(spark, sf)[1])
 
 
 @query("success_by_test_id")
 def q_success_by_test_id(spark, sf):
-    return report.success_by_test_id(report.explode_vulnerabilities(ap.valid_entries(spark, sf)))
+    return report.success_by_test_id(ap.long_form(spark, sf)[1])
 
 
 @query("kpi_report")
 def q_kpi_report(spark, sf):
-    return report.kpi_report(ap.audit_log(spark, sf))
+    return report.kpi_report_flat(*ap.long_form(spark, sf))
 
 
 @query("kpi_rendered")
 def q_kpi_rendered(spark, sf):
-    return report.render_report(report.kpi_report(ap.audit_log(spark, sf))).select("section", "metric", "key", "line")
+    return report.render_report(report.kpi_report_flat(*ap.long_form(spark, sf))).select("section", "metric", "key", "line")
 
 
 # ------------------------------------------------------------------ corpus and text (C1, X-functions)
