@@ -156,10 +156,11 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     share = min(1.0, sample_rows / max(1, marked.count()))
     at = F.pmod(F.xxhash64("doc_id", F.lit("quality sample")), F.lit(1_000_000)) / 1_000_000
     rows = (_plain(docs).join(marked.where(at < share), "doc_id").select("doc_id", "text", "n_chars", "y")
-            .mapInPandas(_sparse_rows, "y double, ids array<int>, x array<double>").toPandas())
-    order = sorted(range(len(rows)), key=lambda i: (rows["y"][i], rows["ids"][i].tobytes()))
-    sparse = [(np.asarray(rows["ids"][i], np.int32), np.asarray(rows["x"][i])) for i in order]
-    return fit(sparse, rows["y"].to_numpy(float)[order] if len(rows) else np.empty(0))
+            .mapInPandas(_sparse_rows, "y double, ids array<int>, x array<double>").toArrow())
+    sparse = [(i.values.to_numpy(), x.values.to_numpy()) for i, x in zip(rows["ids"], rows["x"])]
+    y = rows["y"].to_numpy()
+    order = sorted(range(len(y)), key=lambda i: (y[i], sparse[i][0].tobytes()))   # the same rows, the same machine
+    return fit([sparse[i] for i in order], y[order])
 
 
 def score_quality(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
