@@ -70,7 +70,7 @@ def train(rows: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
     sums = (rows.where("lang is not null").select(F.col("lang").cast("string").alias("lang"),
                                                   F.col("text").cast("string").alias("text"))
             .mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-            .toPandas())
+            .toArrow().to_pandas())
     langs = sorted(sums["lang"].unique())
     counts, docs = np.zeros((BUCKETS, len(langs))), np.ones(len(langs))
     for i, lang in enumerate(langs):
