@@ -81,7 +81,8 @@ def sample_words(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """``doc_id, size, source_size, target, copies, taken`` per row of ``docs(doc_id, text, source)``."""
     spark = docs.sparkSession
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    u = (F.pmod(F.xxhash64(F.lit(SEED), F.col("doc_id")), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    name = F.concat(F.lit(SEED + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    u = (F.conv(F.substring(F.md5(name), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
                        text.alias("text")).withColumn("size", word_count(F.col("text")))
     rows = rows.select("doc_id", "source", "size", (-F.log(u) / quality(F.col("text"), F.col("size"))).alias("key"))

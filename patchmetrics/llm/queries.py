@@ -19,7 +19,46 @@ QUERIES = {f.__name__: f for f in (
 
 WORDS = r"regexp_extract_all(coalesce({}, ''), '[^\x20\x09-\x0D]+')"
 
+def _mix_sql() -> str:
+    """Targets by water filling over sources ordered by cap per weight; then prefix sums in key order, pass by pass."""
+    from .mixing import NOISE, PASSES, SEED
+
+    head = f"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text, len({WORDS.format("text")})::BIGINT AS size FROM documents),
+k AS (SELECT doc_id, source, size,
+        -ln((('0x' || substr(md5('{SEED}:' || doc_id), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496::DOUBLE)
+        / greatest(0.05::DOUBLE, (1 - least(1::DOUBLE, (length(text) - length(translate(text, '{NOISE}', '')))::DOUBLE / greatest(size, 1)))
+                           * least(1::DOUBLE, (size + 5) / 25::DOUBLE)) AS key FROM d),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS r FROM k GROUP BY source),
+w AS (SELECT *, CASE (r - 1) % 3 WHEN 0 THEN 3::DOUBLE WHEN 1 THEN 1::DOUBLE ELSE 2::DOUBLE END AS weight,
+             source_size * 2::DOUBLE AS cap FROM s),
+o AS (SELECT *, row_number() OVER (ORDER BY cap / weight, r) AS pos,
+             sum(cap) OVER (ORDER BY cap / weight, r) - cap AS full_before,
+             sum(weight) OVER () - sum(weight) OVER (ORDER BY cap / weight, r) + weight AS open_weight FROM w),
+v AS (SELECT arg_min(level, pos) AS level FROM (
+        SELECT (1.5::DOUBLE * (SELECT sum(source_size)::DOUBLE FROM w) - full_before) / open_weight AS level, cap / weight AS c, pos
+        FROM o) WHERE level <= c),
+t0 AS (SELECT source, source_size, least(cap, weight * level) AS target FROM w, v),
+t AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size + 1e-12) ELSE 0 END AS epochs FROM t0),
+b0 AS (SELECT source, target - epochs * source_size AS budget FROM t),
+c0 AS (SELECT doc_id, source, size FROM k WHERE false)"""
+    for i in range(1, PASSES + 1):
+        head += f""",
+l{i} AS (SELECT k.* FROM k JOIN b{i - 1} b ON b.source IS NOT DISTINCT FROM k.source
+         WHERE k.size > 0 {"AND k.size <= b.budget" if i > 1 else ""} AND k.doc_id NOT IN (SELECT doc_id FROM c{i - 1})),
+c{i} AS (SELECT * FROM c{i - 1} UNION ALL
+         SELECT x.doc_id, x.source, x.size FROM (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY key) AS upto FROM l{i}) x
+         JOIN b{i - 1} b ON b.source IS NOT DISTINCT FROM x.source WHERE x.upto <= b.budget),
+b{i} AS (SELECT b.source, b.budget - coalesce(u.n, 0) AS budget FROM b0 b
+         LEFT JOIN (SELECT source, sum(size)::BIGINT AS n FROM c{i} GROUP BY 1) u ON u.source IS NOT DISTINCT FROM b.source)"""
+    return head + f"""
+SELECT k.doc_id, k.size, t.source_size, t.target,
+       (k.size * (t.epochs + CASE WHEN c.doc_id IS NULL THEN 0 ELSE 1 END))::BIGINT AS taken
+FROM k JOIN t ON t.source IS NOT DISTINCT FROM k.source LEFT JOIN c{PASSES} c ON c.doc_id = k.doc_id"""
+
+
 ORACLES = {
+    "op4_mix_sources": _mix_sql(),
     "op6_arc_to_warc": """
 WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest
            FROM pages),
