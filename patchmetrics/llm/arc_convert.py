@@ -297,7 +297,7 @@ def choose_responses(index: DataFrame, scratch: Scratch) -> DataFrame:
     """``path, record, refers_to`` of the records that revisit the largest page id with their payload."""
     large = index.where(F.col("payload_bytes") >= REVISIT_BYTES)
     groups = scratch.save(large.groupBy("digest").agg(F.count("*").alias("n"), F.max("page_id").alias("refers_to"))
-                          .where("n > 1").drop("n"), "groups")
+                          .where("n > 1").drop("n"), "groups", narrow=True)
     return (large.join(groups, "digest").where(~F.col("page_id").eqNullSafe(F.col("refers_to")))
             .select("path", "record", "refers_to"))
 
@@ -305,7 +305,7 @@ def choose_responses(index: DataFrame, scratch: Scratch) -> DataFrame:
 def convert(manifest: DataFrame, revisits: DataFrame, scratch: Scratch) -> DataFrame:
     """Manifest of the WARC twins. The revisits of one archive are at most its records."""
     per_file = revisits.groupBy("path").agg(F.collect_list(F.struct("record", "refers_to")).alias("revisits"))
-    work = manifest.select("path", "version").join(scratch.save(per_file, "revisits"), "path", "left")
+    work = manifest.select("path", "version").join(scratch.save(per_file, "revisits", narrow=True), "path", "left")
     return scratch.save(_one_by_one(work).mapInArrow(_convert(f"{scratch.path}/warc"), ARCHIVE), "warc-manifest")
 
 
@@ -313,7 +313,7 @@ def read_warc(manifest: DataFrame, scratch: Scratch) -> DataFrame:
     """``page_id, payload_bytes, payload_digest, record_type, refers_to`` of every record in the archives."""
     rows = scratch.save(_one_by_one(manifest.select("path")).mapInArrow(_read_warc, WARC_ROW), "warc-rows")
     first = rows.where("record_type = 'response'")
-    ids = scratch.save(first.groupBy("record_id").agg(F.max("page_id").alias("refers_to")), "ids")
+    ids = scratch.save(first.groupBy("record_id").agg(F.max("page_id").alias("refers_to")), "ids", narrow=True)
     again = (rows.where("record_type = 'revisit'")
              .join(ids.withColumnRenamed("record_id", "refers_to_id"), "refers_to_id", "left"))
     cols = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]

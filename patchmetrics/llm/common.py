@@ -15,6 +15,7 @@ from ..session import ensure_checkpoint_dir
 
 #: Letters of the word pattern ``[^\x20\x09-\x0D]+``: every run without ASCII white space is a word.
 WHITE_SPACE = " \t\n\x0b\x0c\r"
+TASKS_PER_CORE = 3
 NON_SPACE = r"[^\x20\x09-\x0D]+"
 
 
@@ -43,9 +44,15 @@ class Scratch:
         self._n = 0
         atexit.register(self.drop)
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` and return the written table."""
+    def save(self, df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
+        """Write ``df`` and return the written table.
+
+        ``narrow`` tables (a few numbers a row) are written by at most ``TASKS_PER_CORE`` tasks per core of the
+        cluster: as parallel as it can run, without a file and a task for each of many near-empty partitions.
+        """
         self._n += 1
+        if narrow:
+            df = df.coalesce(TASKS_PER_CORE * max(1, self.spark.sparkContext.defaultParallelism))
         path = f"{self.path}/{self._n:02d}-{name}"
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)

@@ -45,7 +45,7 @@ def source_targets(sizes: DataFrame, scratch: Scratch) -> DataFrame:
     pick = F.element_at(F.array(*[F.lit(float(w)) for w in WEIGHTS]), (F.col("rank") % len(WEIGHTS) + 1).cast("int"))
     src = scratch.save(global_rank(sums, ["source"], scratch)
                        .select("source", "source_size", pick.alias("weight"),
-                               (F.col("source_size") * CAP).alias("cap")), "sources")
+                               (F.col("source_size") * CAP).alias("cap")), "sources", narrow=True)
     budget = SHARE * (src.agg(F.sum("source_size")).first()[0] or 0)
     level, capped = 0.0, -1
     while True:
@@ -68,7 +68,7 @@ def _take(rows: DataFrame, budgets: DataFrame, scratch: Scratch, ranges: int) ->
             .groupBy("source").agg(F.min_by(F.struct("range", (F.col("upto") - F.col("n")).alias("before")), "range").alias("e")))
     ends = scratch.save(budgets.withColumnRenamed("source", "s").join(ends, F.col("s").eqNullSafe(F.col("source")), "left")
                         .select("s", "budget", F.coalesce("e.range", F.lit(ranges)).alias("end"),
-                                F.coalesce("e.before", F.lit(0)).alias("before")), "ends")
+                                F.coalesce("e.before", F.lit(0)).alias("before")), "ends", narrow=True)
     at = placed.join(ends, F.col("source").eqNullSafe(F.col("s")))
     inside = at.where(F.col("range") < F.col("end")).select("row", "source", "size")
     w = Window.partitionBy("source").orderBy("key", "row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -87,7 +87,7 @@ def sample_words(docs: DataFrame, scratch: Scratch) -> DataFrame:
                        text.alias("text")).withColumn("size", word_count(F.col("text")))
     rows = rows.select("doc_id", "source", "size", (-F.log(u) / quality(F.col("text"), F.col("size"))).alias("key"))
     rows = scratch.save(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
-    targets = scratch.save(source_targets(rows, scratch), "targets")
+    targets = scratch.save(source_targets(rows, scratch), "targets", narrow=True)
     share = F.col("target") / F.col("source_size")
     epochs = F.when(F.col("source_size") > 0, F.floor(share + 1e-12)).otherwise(0)
     targets = targets.withColumn("epochs", epochs)
@@ -97,15 +97,15 @@ def sample_words(docs: DataFrame, scratch: Scratch) -> DataFrame:
     chosen = None
     for _ in range(PASSES):
         got = _take(left, budgets, scratch, ranges)
-        chosen = scratch.save(got if chosen is None else chosen.unionByName(got), "chosen")
+        chosen = scratch.save(got if chosen is None else chosen.unionByName(got), "chosen", narrow=True)
         used = chosen.groupBy("source").agg(F.sum("size").alias("used")).withColumnRenamed("source", "s")
         all_ = targets.select("source", (F.col("target") - F.col("epochs") * F.col("source_size")).alias("all"))
         budgets = scratch.save(all_.join(used, F.col("source").eqNullSafe(F.col("s")), "left")
-                               .select("source", (F.col("all") - F.coalesce("used", F.lit(0))).alias("budget")), "budgets")
+                               .select("source", (F.col("all") - F.coalesce("used", F.lit(0))).alias("budget")), "budgets", narrow=True)
         rest = rows.where("size > 0").join(chosen.select("row"), "row", "left_anti")
         fits = budgets.withColumnRenamed("source", "s")
         left = scratch.save(rest.join(fits, F.col("source").eqNullSafe(F.col("s"))).where("size <= budget")
-                            .select("row", "source", "size", "key"), "left")
+                            .select("row", "source", "size", "key"), "left", narrow=True)
     t = targets.withColumnRenamed("source", "s")
     out = (rows.join(chosen.select("row", F.lit(1).alias("more")), "row", "left")
            .join(t, F.col("source").eqNullSafe(F.col("s"))))
@@ -119,7 +119,7 @@ def mix(docs: DataFrame) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "mix")
     copies = (sample_words(docs, scratch).where("taken > 0").groupBy("doc_id").agg(F.max("copies").alias("_copies"))
               .withColumnRenamed("doc_id", "_of"))
-    out = docs.join(scratch.save(copies, "copies"), F.col("doc_id").eqNullSafe(F.col("_of")))
+    out = docs.join(scratch.save(copies, "copies", narrow=True), F.col("doc_id").eqNullSafe(F.col("_of")))
     return (out.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
             .drop("_copy", "_copies", "_of"))
 

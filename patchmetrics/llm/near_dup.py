@@ -5,11 +5,14 @@ Steps, each a Spark job over written tables:
 1. one pass over the texts gives each document the size and a 128-bit digest of its shingle set and its MinHash
    signature; documents with equal sets form one class, named by its smallest id (copies are never paired);
 2. class signatures are cut into bands; classes meeting in a band bucket are candidates;
-3. candidates are compared as stars, not as all pairs: every member with one hub of its bucket. Pairs pass a signature
-   check and are confirmed on the full shingle sets; confirmed links are merged by alternating large-star/small-star;
-4. further star rounds with other hubs look only at buckets that still hold several components, and a last exhaustive
-   round compares, in those buckets, every member outside the largest component with every member of another
-   component. So no link between two components is lost, and a bucket of one component costs nothing more.
+3. candidates are compared as stars, not as all pairs: every member with one hub of its bucket, the member that meets
+   most others over all its bands (of a group of edited copies, that is the original). Candidates and pairs too rich in
+   shingles that no other candidate has are left out, exactly. The others pass a signature check and
+   are confirmed on the full shingle sets; confirmed links are merged by alternating large-star/small-star;
+4. a further star round with hubs of the largest component looks only at buckets that still hold several components,
+   and a last exhaustive round compares, in those buckets, every member outside the largest component with every member
+   of another component, by size and by one bit of each signature row inside the join. So no link between two
+   components is lost, a bucket of one component costs nothing more, and unlike members of a bucket are never paired.
 
 The bands are chosen so that a pair at the threshold is missed with probability below ``MISS``.
 Defined cases: a null, empty or word-less text has the empty set and is linked with nothing; a text with fewer words
@@ -33,6 +36,8 @@ ROWS = 5                 # signature rows of a band
 MISS = 1e-8              # probability that a pair at the threshold shares no band
 SIGMAS = 6               # signature check: so many standard errors below the threshold still go to the full check
 STAR_ROUNDS = 2
+RARE = 64                # rarest shingles of a member that the last round compares
+SKETCH_BITS = 60         # signature rows whose last bits share a number of the sketch
 SEED = 20240817
 WORD_CACHE = 200_000     # distinct words whose hashes a task remembers
 MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -125,36 +130,35 @@ def _sets(size: int):
 
 def _is_star_forest(edges: DataFrame) -> bool:
     """Whether every node has one edge to a smaller centre and no centre has one: then the stars are the components."""
-    if edges.isEmpty():
-        return True
-    twice = edges.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").select("u")
-    chained = edges.select(F.col("v").alias("u")).distinct().join(edges.select("u").distinct(), "u", "left_semi")
-    return twice.unionByName(chained).isEmpty()
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
+        edges.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    nodes = ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return nodes.where("up > 1 or (up > 0 and down > 0)").isEmpty()
 
 
 def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """``(id, component)`` of every end of ``edges(u, v)``: alternating large-star and small-star until nothing moves.
+    """``(id, component)`` of every end of ``edges(u, v)`` that is not itself the smallest of its component, by
+    alternating large-star and small-star until every component is a star.
 
     Each star joins the edges of a node with its smallest neighbour; both sides are read from written tables, so a hub
     with very many edges is split by the skew-join rule instead of meeting in one task.
     """
     least = scratch.save(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-                         .where("u <> v").distinct(), "edges")
+                         .where("u <> v").distinct(), "edges", narrow=True)
     while not _is_star_forest(least):
         both = least.unionByName(least.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = scratch.save(both.groupBy("u").agg(F.min("v").alias("m"))
-                           .select("u", F.least("u", "m").alias("m")), "large")
+                           .select("u", F.least("u", "m").alias("m")), "large", narrow=True)
         large = (both.join(low, "u").where("v > u and v <> m")
                  .select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        large = scratch.save(large, "large-star")
-        low2 = scratch.save(large.groupBy("u").agg(F.min("v").alias("m")), "small")
+        large = scratch.save(large, "large-star", narrow=True)
+        low2 = scratch.save(large.groupBy("u").agg(F.min("v").alias("m")), "small", narrow=True)
         small = (large.join(low2, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .unionByName(low2.select("u", F.col("m").alias("v"))).distinct())
-        small = scratch.save(small, "small-star")
+        small = scratch.save(small, "small-star", narrow=True)
         scratch.drop(low, large, low2, least)
         least = small
-    members = least.select(F.col("u").alias("id"), F.col("v").alias("component"))
-    return members.unionByName(members.select(F.col("component").alias("id"), "component").distinct())
+    return least.select(F.col("u").alias("id"), F.col("v").alias("component"))
 
 
 def _confirmed(pairs: DataFrame, reps: DataFrame, sets: DataFrame, percent: int, bands: int) -> DataFrame:
@@ -178,6 +182,27 @@ def _confirmed(pairs: DataFrame, reps: DataFrame, sets: DataFrame, percent: int,
             .where(both * 100 >= (F.size("shingles_u") + F.size("shingles_v") - both) * percent).select("u", "v"))
 
 
+def _common(sets: DataFrame, percent: int) -> DataFrame:
+    """``id, size, common``: shingles of a candidate and how many of them any other candidate has.
+
+    A link needs an intersection of at least ``percent`` of either set, and shingles of one candidate alone are in
+    none; candidates with too few common shingles have no link and go. ``_possible`` is the same bound for a pair.
+    """
+    alone = (sets.select("id", F.explode("shingles").alias("s")).groupBy("s")
+             .agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1")
+             .groupBy("id").agg(F.count("*").alias("alone")))
+    sizes = sets.groupBy("id").agg(F.max(F.size("shingles")).alias("size"))
+    common = F.col("size") - F.coalesce("alone", F.lit(0))
+    return (sizes.join(alone, "id", "left").select("id", "size", common.alias("common"))
+            .where(F.col("common") * 100 >= F.col("size") * percent))
+
+
+def _possible(a: str, b: str, percent: int) -> Column:
+    """Whether two sets may be linked: no intersection exceeds the smaller count of common shingles, or set."""
+    most = F.least(*[F.col(f"{c}{e}") for c in ("size", "common") for e in (a, b)])
+    return most * 100 >= (F.col(f"size{a}") + F.col(f"size{b}") - most) * percent
+
+
 def _labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     if labels is None:
         return members.withColumn("component", F.col("id"))
@@ -198,36 +223,39 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     profile = scratch.save(texts.mapInArrow(_profile(shingle, ROWS * bands),
                                             "doc_id long, n_shingles long, digest string, sig array<int>"), "profile")
     classes = scratch.save(profile.where("digest is not null and doc_id is not null").groupBy("digest")
-                           .agg(F.min("doc_id").alias("rep")), "classes")
+                           .agg(F.min("doc_id").alias("rep")), "classes", narrow=True)
     reps = scratch.save(profile.withColumnRenamed("doc_id", "rep").join(classes, ["rep", "digest"])
                         .select(F.col("rep").alias("id"), F.col("n_shingles").alias("n"), "sig"), "reps")
     band = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)),
                        lambda i: F.xxhash64(i, F.slice("sig", i * ROWS + 1, ROWS)))
     keyed = reps.select("id", F.explode(band).alias("key"))
-    shared = scratch.save(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "shared")
-    members = scratch.save(keyed.join(shared, "key").select("key", "id"), "members")
-    nodes = scratch.save(members.select("id").distinct(), "nodes")
-    sets = scratch.save(texts.join(nodes, texts["doc_id"] == nodes["id"], "left_semi")
+    shared = scratch.save(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared", narrow=True)
+    met = scratch.save(keyed.join(shared, "key").select("key", "id", "n"), "met", narrow=True)
+    score = scratch.save(met.groupBy("id").agg(F.sum("n").alias("score")), "score", narrow=True)
+    sets = scratch.save(texts.join(score, texts["doc_id"] == score["id"], "left_semi")
                         .mapInArrow(_sets(shingle), "id long, shingles array<long>"), "sets")
+    common = scratch.save(_common(sets, percent).join(score, "id"), "common", narrow=True)
+    members = scratch.save(met.select("key", "id").join(common, "id"), "members", narrow=True)
 
     links = labels = None
     for turn in range(STAR_ROUNDS + 1):
         at = _labelled(members, labels)
         if turn:
             mixed = at.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-            open_keys = scratch.save(mixed.where("lo <> hi").select("key"), "open-keys")
-            at = scratch.save(at.join(open_keys, "key"), "open")
+            open_keys = scratch.save(mixed.where("lo <> hi").select("key"), "open-keys", narrow=True)
+            at = scratch.save(at.join(open_keys, "key"), "open", narrow=True)
             if at.isEmpty():
                 break
-        pairs = _star_pairs(at, turn, scratch) if turn < STAR_ROUNDS else _rest_pairs(at, scratch)
-        new = scratch.save(_confirmed(scratch.save(pairs, "pairs"), reps, sets, percent, bands), "links")
+        pairs = (_star_pairs(at, turn, percent, scratch) if turn < STAR_ROUNDS
+                 else _rest_pairs(at, sets, _sketches(reps, bands), percent, bands, scratch))
+        new = scratch.save(_confirmed(scratch.save(pairs, "pairs", narrow=True), reps, sets, percent, bands), "links", narrow=True)
         if new.isEmpty():
             continue
         links = new if links is None else links.unionByName(new)
-        labels = scratch.save(connected_components(links, scratch), "labels")
+        labels = connected_components(links, scratch)
 
     of_class = scratch.save(_labelled(classes.withColumnRenamed("rep", "id"), labels).select("digest", "component"),
-                            "of-class")
+                            "of-class", narrow=True)
     alone = F.concat(F.lit("alone-"), F.coalesce(F.col("doc_id").cast("string"),
                                                   F.monotonically_increasing_id().cast("string")))
     narrow = profile.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNull(), alone)
@@ -238,38 +266,85 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
                       F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def _hub(turn: int) -> Column:
-    """The first round's hub is the smallest id; later rounds take other members."""
-    return F.col("id") if turn == 0 else F.xxhash64("id", "key", F.lit(turn))
+def _central() -> Column:
+    """The member of a group that meets most others over all its bands; the smallest id of equals."""
+    return F.max(F.struct(F.col("score").alias("score"), (-F.col("id")).alias("low"), F.col("size").alias("size"),
+                          F.col("common").alias("common"))).alias("c")
 
 
-def _star_pairs(at: DataFrame, turn: int, scratch: Scratch) -> DataFrame:
+def _star_pairs(at: DataFrame, turn: int, percent: int, scratch: Scratch) -> DataFrame:
     """Each member of a bucket with the bucket's hub; in the first round only with the hub met in most bands.
 
     The hubs are written before the join, so that a bucket holding very many members can be split by the skew rule.
     """
     if turn == 0:
-        hubs = at.groupBy("key").agg(F.min("id").alias("hub"))
+        hubs = at.groupBy("key").agg(_central()).withColumn("hub_component", F.lit(None).cast("long"))
     else:
-        most = at.groupBy("key", "component").agg(F.count("*").alias("n"), F.min(_hub(turn)).alias("h"))
-        largest = most.groupBy("key").agg(F.max_by("h", F.struct("n", "component")).alias("h"))
-        hubs = (at.withColumn("h", _hub(turn)).join(largest, ["key", "h"])
-                .groupBy("key").agg(F.min("id").alias("hub"), F.min("component").alias("hub_component")))
-    star = at.join(scratch.save(hubs, "hubs"), "key").where("id <> hub")
-    star = star if turn == 0 else star.where("component <> hub_component")
+        most = at.groupBy("key", "component").agg(F.count("*").alias("n"), _central())
+        largest = most.groupBy("key").agg(F.max_by(F.struct("c", "component"), F.struct("n", "component")).alias("b"))
+        hubs = largest.select("key", "b.c", F.col("b.component").alias("hub_component"))
+    hubs = hubs.select("key", (-F.col("c.low")).alias("hub"), F.col("c.size").alias("size_h"),
+                       F.col("c.common").alias("common_h"), "hub_component")
+    other = F.col("id") != F.col("hub") if turn == 0 else F.col("component") != F.col("hub_component")
+    star = at.join(scratch.save(hubs, "hubs", narrow=True), "key").where(other & _possible("", "_h", percent))
     met = star.groupBy("id", "hub").agg(F.count("*").alias("n"))
     if turn == 0:
         met = met.groupBy("id").agg(F.max_by("hub", F.struct(F.col("n"), -F.col("hub"))).alias("hub"))
     return met.select(F.col("hub").alias("u"), F.col("id").alias("v"))
 
 
-def _rest_pairs(at: DataFrame, scratch: Scratch) -> DataFrame:
-    """In buckets of several components: members outside the largest one, with all members of other components."""
-    counts = at.groupBy("key", "component").agg(F.count("*").alias("n"))
-    largest = counts.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("largest"))
+def _sketches(reps: DataFrame, bands: int) -> DataFrame:
+    """``id, w0, w1, ...``: the last bit of every signature row, ``SKETCH_BITS`` to a number."""
+    starts = range(1, ROWS * bands + 1, SKETCH_BITS)
+    word = lambda at: F.aggregate(F.slice("sig", at, SKETCH_BITS), F.lit(0).cast("bigint"),
+                                  lambda s, x: s * 2 + x.bitwiseAND(F.lit(1)))
+    return reps.select("id", *[word(at).alias(f"w{i}") for i, at in enumerate(starts)])
+
+
+def _across(at: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """``at`` with ``common`` counting only shingles found in several components, without members that thereby cannot
+    be linked to another component, and with ``rare``: the ``RARE`` shingles of a member found in fewest others."""
+    where = at.select("id", "component").distinct()
+    tokens = sets.join(where, "id").select("id", "component", F.explode("shingles").alias("s"))
+    spread = scratch.save(tokens.groupBy("s").agg(F.count("*").alias("df"), F.min("component").alias("lo"),
+                                                  F.max("component").alias("hi")), "spread")
+    own = tokens.join(spread, "s").groupBy("id").agg(
+        F.count_if(F.col("lo") < F.col("hi")).alias("common"),
+        F.slice(F.sort_array(F.collect_list(F.struct("df", "s"))), 1, RARE)["s"].alias("rare"))
+    own = scratch.save(own, "rare", narrow=True)
+    return at.drop("common").join(own, "id").where(F.col("common") * 100 >= F.col("size") * percent)
+
+
+def _share_rare(a: str, b: str, percent: int) -> Column:
+    """Whether two sets may be linked, by their rarest shingles in one order for all: linked sets have at least
+    ``o = percent (m + n) / (100 + percent)`` shingles in common, so at most ``max(m, n) - o`` of the first ``RARE`` of
+    either are missing from the first ``RARE`` of the other."""
+    longest = F.greatest(F.col(f"size{a}"), F.col(f"size{b}"))
+    least = F.ceil((F.col(f"size{a}") + F.col(f"size{b}")) * percent / (100 + percent))
+    return F.size(F.array_intersect(f"rare{a}", f"rare{b}")) >= F.least(F.lit(RARE), longest) - longest + least
+
+
+def _rest_pairs(at: DataFrame, sets: DataFrame, sketches: DataFrame, percent: int, bands: int, scratch: Scratch) -> DataFrame:
+    """In buckets of several components: members outside the largest one, with all members of other components.
+
+    A signature bit agrees with probability ``(1 + J) / 2``; pairs more than ``SIGMAS`` standard errors below the
+    threshold's share, or that ``_possible`` or ``_share_rare`` exclude, are refused by the join condition itself.
+    """
+    hashes, q = ROWS * bands, (1 + percent / 100) / 2
+    differ = hashes - math.floor(hashes * (q - SIGMAS * math.sqrt(q * (1 - q) / hashes)))
+    at = _across(at.drop("score"), sets, percent, scratch)
+    at = scratch.save(at.join(sketches, "id"), "sketched", narrow=True)
+    counts = at.groupBy("key", "component").agg(F.count("*").alias("c"))
+    largest = counts.groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("largest"))
+    words = [c for c in at.columns if c.startswith("w")]
     few = scratch.save(at.join(largest, "key").where("component <> largest")
-                       .select("key", F.col("id").alias("x"), F.col("component").alias("cx")), "few")
-    met = few.join(at, "key").where("cx <> component")
+                       .select("key", F.col("id").alias("x"), F.col("component").alias("cx"), F.col("size").alias("size_x"),
+                               F.col("common").alias("common_x"), F.col("rare").alias("rare_x"), *[F.col(w).alias(f"x{w}") for w in words]),
+                       "few", narrow=True)
+    unlike = sum(F.bit_count(F.col(w).bitwiseXOR(F.col(f"x{w}"))) for w in words)
+    alike = (F.col("cx") != F.col("component")) & _possible("", "_x", percent) & (unlike <= differ) \
+        & _share_rare("", "_x", percent)
+    met = few.join(at, (few["key"] == at["key"]) & alike)
     return met.select(F.greatest("id", "x").alias("u"), F.least("id", "x").alias("v")).distinct()
 
 
