@@ -34,7 +34,10 @@ def let(value: Column, body) -> Column:
 
 
 def anchors(text: Column, k: int = K) -> Column:
-    """Anchor hashes (32 bits, as bigint) of a text, in text order."""
+    """Anchor hashes (the high 32 bits, as int) of a text, in text order."""
+    def short(x: Column) -> Column:
+        return F.shiftright(F.xxhash64(x), 32).cast("int")
+
     hashes = F.transform(F.regexp_extract_all(text, F.lit(LETTER), 0), lambda w: F.xxhash64(w))
 
     def chosen(h: Column) -> Column:
@@ -42,15 +45,15 @@ def anchors(text: Column, k: int = K) -> Column:
             return let(F.array_min(F.slice(h, i, k)), lambda low: (low == h[i - 1]) | (low == h[i + (k - 2)]))
 
         starts = F.filter(F.sequence(F.lit(1), F.size(h) - (k - 1)), is_anchor)
-        windows = F.transform(starts, lambda i: F.xxhash64(F.slice(h, i, k)).bitwiseAND(F.lit(0xFFFFFFFF)))
-        whole = F.array(F.xxhash64(h).bitwiseAND(F.lit(0xFFFFFFFF)))
-        return (F.when(F.size(h) == 0, F.array().cast("array<bigint>")).when(F.size(h) < k, whole).otherwise(windows))
+        windows = F.transform(starts, lambda i: short(F.slice(h, i, k)))
+        whole = F.array(short(h))
+        return (F.when(F.size(h) == 0, F.array().cast("array<int>")).when(F.size(h) < k, whole).otherwise(windows))
 
     return let(hashes, chosen)
 
 
 def fingerprint_text(marks: Column) -> Column:
-    return F.array_join(F.transform(marks, lambda x: F.lpad(F.hex(x), 8, "0")), ",")
+    return F.array_join(F.transform(marks, lambda x: F.right(F.concat(F.lit("0000000"), F.hex(x)), F.lit(8))), ",")
 
 
 def likeness(a: Column, b: Column) -> Column:

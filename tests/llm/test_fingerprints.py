@@ -16,7 +16,7 @@ def chain(values):
     h = 42
     for v in values:
         h = xxhash.xxh64_intdigest((v % (1 << 64)).to_bytes(8, "little"), seed=h)
-    return h & 0xFFFFFFFF
+    return h >> 32
 
 
 def brute(text):
