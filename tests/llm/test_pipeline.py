@@ -31,7 +31,7 @@ def test_each_stage_on_what_the_one_before_kept(spark):
     for s, want in targets(goal).items():
         own = mixed.loc[mixed["source"] == s, "text"].map(size).sum()
         assert want - clean.loc[clean["source"] == s, "text"].map(size).max() <= own <= want + 1e-6
-    encode = packing.Encoder(packing.default_tokenizer())
+    encode = packing.Encoder(packing.default_ranks())
     ids = [np.frombuffer(encode(t) + b"\x02\0\0\0", "<u4") for t in mixed["text"]]
     packed([r.asDict() for r in docs.collect()], ids)
 
