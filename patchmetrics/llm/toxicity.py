@@ -37,7 +37,7 @@ SEEDS = {
     "report": "said says wrote writes quoted claimed called replied told reported dijo escribió dit écrit sagte schrieb",
 }
 SEED_WEIGHT = {"insult": 2.0, "threat": 1.0, "target": 0.0, "negation": 0.0, "report": 0.0}
-SAMPLE_ROWS = 20_000     # bound of the labelled rows that training reads
+SAMPLE_ROWS = 10_000     # bound of the labelled rows that training reads
 STEMS = (4, 5, 6)        # lengths of learned stems
 MIN_CONTEXTS = 3         # different left neighbours that a learned arc needs among toxic texts
 MIN_LOG_ODDS = 3.0
@@ -195,13 +195,12 @@ def learned_lexicon(rows: DataFrame) -> Lexicon:
     """Insult arcs from ``rows(text, toxic)``: words and stems much likelier in toxic texts, by distinct contexts."""
     word = F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\w+|[.!?;\n]"), 0)
     seen = (rows.select("toxic", word.alias("w"))
-            .select("toxic", F.explode(F.array_distinct(F.arrays_zip(
-                F.col("w").alias("t"), F.concat(F.array(F.lit("")), F.col("w")).alias("before")))).alias("x"))
-            .where("x.t is not null").select("toxic", "x.t", "x.before"))
-    tokens = F.array(F.col("t"), *[F.when(F.length("t") > k, F.concat(F.substring("t", 1, k), F.lit("*")))
-                                   for k in STEMS])
-    each = seen.select("toxic", F.xxhash64("before").alias("c"), F.explode(tokens).alias("arc")).where("arc is not null")
-    pairs = each.groupBy("arc", "c").agg(F.max("toxic").alias("a"), F.max(1 - F.col("toxic")).alias("b"))
+            .select("toxic", F.explode(F.arrays_zip(F.col("w").alias("t"), F.concat(F.array(F.lit("")), F.col("w")).alias("c"))).alias("x"))
+            .where("x.t is not null").groupBy(F.col("x.t").alias("t"), F.xxhash64("x.c").alias("c"))
+            .agg(F.max("toxic").alias("a"), F.max(1 - F.col("toxic")).alias("b")))
+    arcs = F.array(F.col("t"), *[F.when(F.length("t") > k, F.concat(F.substring("t", 1, k), F.lit("*"))) for k in STEMS])
+    pairs = (seen.select(F.explode(arcs).alias("arc"), "c", "a", "b").where("arc is not null")
+             .groupBy("arc", "c").agg(F.max("a").alias("a"), F.max("b").alias("b")))
     sums = pairs.groupBy("arc").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     total = rows.agg(F.sum("toxic"), F.sum(1 - F.col("toxic"))).first()
     bad, good = (total[0] or 0) + 1.0, (total[1] or 0) + 1.0
