@@ -47,11 +47,6 @@ def prepare_corpus(df: DataFrame, lang: str = "python", code_col: str = "chosen"
     return cleaned.filter(~is_blank(F.col("code"))).withColumn("filename", sample_filename("sample_id"))
 
 
-def file_map(prepared: DataFrame) -> DataFrame:
-    """The reference's ``filename -> index`` map as a two-column DataFrame."""
-    return prepared.select("filename", "sample_id")
-
-
 def systematic_sample(df: DataFrame, id_col: str, start: int = 0, stop: int = 420, step: int = 5) -> DataFrame:
     """S9 + J9: rows whose id is in ``range(start, stop, step)``.
 

@@ -39,7 +39,6 @@ CORPUS_DDL = "lang string, chosen string"
 # Allowed values.
 ATTEMPT_STATUSES = ("SUCCESS", "FAILED", "SYNTAX_ERROR")
 TRACE_STATUSES = ("FIXED", "FAILED")
-RAW_STATUSES_PREFIX = ("success", "failed_level_", "error")
 
 
 def reject_invalid_audit_rows(log: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -11,7 +11,7 @@ import sys
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-import __spark_entry__ as E  # noqa: E402
+from patchmetrics.queries import REGISTRY  # noqa: E402
 from patchmetrics.session import build_session  # noqa: E402
 
 PATTERNS = {
@@ -37,7 +37,7 @@ def main():
     print("materialised inputs (attempts, audit log, sequencing pass) appear as parquet scans.\n")
     print("| key | " + " | ".join(PATTERNS) + " | scans with pushed filters |")
     print("|---|" + "---|" * (len(PATTERNS) + 1))
-    for k, fn in E.queries().items():
+    for k, fn in REGISTRY.items():
         df = fn(spark, sf)
         plan = df._jdf.queryExecution().explainString(
             spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
