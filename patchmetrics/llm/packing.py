@@ -42,20 +42,33 @@ def default_ranks() -> str:
 class Encoder:
     """32-bit ids of a text, equal to those of the ``tokenizers`` file of the vocabulary (a test holds both together).
 
-    The rank-file encoder takes a quarter of the time, and no longer for a text that is one enormous word.
+    The rank-file encoder takes a quarter of the time, and no longer for a text that is one enormous word. It refuses
+    (``ValueError``) a run of about a million white-space characters; such a text is encoded whole with the
+    ``tokenizers`` file, the ``.json`` twin beside the rank file, read at the first such text.
     """
 
     def __init__(self, path: str):
         import public_tokenizers
         import tiktoken
 
+        self.twin, self.tokenizer = path.removesuffix(".tiktoken") + ".json", None
         with open(path, "rb") as f:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
         self.encoding = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks,
                                           special_tokens=SPECIAL)
 
     def __call__(self, text: str) -> bytes:
-        return self.encoding.encode_to_numpy(text, allowed_special="all").astype("<u4").tobytes()
+        try:
+            return self.encoding.encode_to_numpy(text, allowed_special="all").astype("<u4").tobytes()
+        except ValueError:
+            return self.whole(text)
+
+    def whole(self, text: str) -> bytes:
+        if self.tokenizer is None:
+            from tokenizers import Tokenizer
+
+            self.tokenizer = Tokenizer.from_file(self.twin)
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 def _pieces(path: str, max_len: int, end_id: int):

@@ -72,6 +72,15 @@ def test_encoder_equals_the_tokenizer(tokenizer):
             assert encode(t) == np.array(e.ids, "<u4").tobytes()
 
 
+def test_enormous_white_space_runs(spark, tokenizer):
+    texts = [" " * 2_000_000, "a <|endoftext|>" + " \n" * 1_000_000 + " b's", "plain text"]
+    encode = packing.Encoder(packing.default_ranks())
+    for t in texts:
+        assert encode(t) == plain_ids(tokenizer, t)[:-1].tobytes()
+    rows = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    check(rows, [plain_ids(tokenizer, t) for t in texts])
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.tuples(st.integers(1, 32), st.integers(1, 60)), max_size=20))
 def test_plan_holds_every_piece_once(lengths):
