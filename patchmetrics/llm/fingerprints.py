@@ -1,7 +1,9 @@
 """Document fingerprints from closed syncmers, in DataFrame functions only.
 
 A text is cut into letters of up to four non-space characters (words restart the cut, so an edit is forgotten at the
-next space). A window of ``K`` letters is an anchor when the smallest letter hash inside it stands at its first or its
+next space). In a longer run without spaces, a character that ``RUN`` others follow is a letter by itself and the last
+``RUN`` are cut in fours, counted from the run's end: an edit before them moves no cut, one inside them spoils at most
+``RUN / 4`` letters. A window of ``K`` letters is an anchor when the smallest letter hash inside it stands at its first or its
 last place -- a choice that looks at nothing outside the window, so equal passages give equal anchors wherever they
 stand. The fingerprint is the list of anchor hashes in text order; likeness is the Dice overlap of two anchor sets.
 
@@ -23,7 +25,8 @@ from pyspark.sql import functions as F
 from .common import documents, shuffle_partitions
 
 K = 8
-LETTER = r"\S{1,4}"
+RUN = 96                 # a multiple of four
+LETTER = rf"\S(?=\S{{{RUN}}})|\S{{1,4}}"
 COARSE = 64
 NO_ID = -(1 << 63)
 

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import xxhash
@@ -89,3 +90,16 @@ def test_odd_rows_and_empty_table(spark):
     assert len(out) == odd(spark).count() and out.drop(columns="doc_id").notna().all().all()
     assert out["near_edited"].between(0, 1).all() and out["near_next"].between(0, 1).all()
     assert fp.fingerprints(empty(spark)).count() == 0
+
+
+def test_near_copies_without_spaces(spark):
+    rng = random.Random(3)
+    text = "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(5000))
+    edits = [text[:10] + text[11:], text[:2500] + "xyz" + text[2500:], text[:4950] + text[4951:], "a" + text]
+    rows = [(2 * i + k, t) for i, e in enumerate(edits) for k, t in enumerate((e, text))]
+    got = {r["doc_id"]: r for r in fp.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[2 * i + 1]["near_next"] > 0.98 for i in range(len(edits)))
+    short = text[:fp.RUN]
+    rows = [(1, "a" + short), (0, short)]
+    got = {r["doc_id"]: r for r in fp.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1]["near_next"] > 0.8
