@@ -391,8 +391,7 @@ def q_apply_patches(spark, sf):
     return apply_patches(_codes(spark, sf), patches, mode="original").withColumn("n_skipped", F.size("skipped")).drop("skipped")
 
 
-@query("remediation_cascade")
-def q_remediation_cascade(spark, sf):
+def _cascade(spark, sf, **options):
     from .operators.cascade import remediate
     rule_table = fixtures.rules(spark)
 
@@ -400,5 +399,16 @@ def q_remediation_cascade(spark, sf):
         return findings.scan_lines(context.explode_lines(patched, "code", keepends=False), rule_table)
 
     attempts, _docs, _left = remediate(_codes(spark, sf), fixtures.numbered_findings(spark, sf), fixtures.fixture_replies,
-                                       rescan, models={1: fixtures.LEVEL1_MODEL, 2: fixtures.LEVEL2_MODEL}, window=0)
+                                       rescan, models={1: fixtures.LEVEL1_MODEL, 2: fixtures.LEVEL2_MODEL}, **options)
     return attempts
+
+
+@query("remediation_cascade")
+def q_remediation_cascade(spark, sf):
+    """One-line contexts, as the oracle has them; ``remediation_cascade_window`` runs the operator's own window."""
+    return _cascade(spark, sf, window=0)
+
+
+@query("remediation_cascade_window")
+def q_remediation_cascade_window(spark, sf):
+    return _cascade(spark, sf)

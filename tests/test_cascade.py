@@ -1,5 +1,8 @@
 """Splice modes (D6), routing (P13/P14) and the batch cascade on a tiny corpus."""
 
+import random
+import re
+
 from pyspark.sql import functions as F
 
 from patchmetrics.operators.cascade import apply_patches, remediate, route_leftovers
@@ -155,3 +158,58 @@ def test_run_sample_end_to_end(spark, tmp_path):
     assert rec["5"].vulnerabilities[0].attempts[0].status == "FAILED"      # no reply -> error -> FAILED, not leftover
     assert rec["5"].input_stats.vuln_count == 0
     assert log.count() == 2
+
+
+def brute_cascade(texts, window=5):
+    """Attempts of the fixture's two levels, file by file; and how many edits were left out for an overlap."""
+    from patchmetrics.sources.fixtures import RULES
+    scan = lambda text: [(n, t) for n, line in enumerate(text.split("\n"), 1) for t, _s, p in RULES if re.search(p, line)]
+    severity, out, left_out = {t: s for t, s, _p in RULES}, [], 0
+    for doc, code in texts.items():
+        pending = sorted((n * 1000 + int(t[1:]), t, n) for n, t in scan(code))
+        seq = 0
+        for level in (1, 2):
+            lines = [x for x in re.split(r"(?<=\n)", code) if x]
+            replies, ranges = {}, {}
+            for fid, rule, n in pending:
+                s, e = max(0, n - 1 - window) + 1, min(len(lines), n + window)
+                snippet = "".join(lines[s - 1:e])
+                masked = re.sub(RULES[2][2], "[email]", snippet)
+                if rule == "R001":
+                    continue
+                answer = masked.replace("License", "licence") if level == 2 else masked if rule == "R003" else snippet
+                replies[fid] = len(snippet), len(answer) + 14
+                ranges[s, e] = fid, answer.strip()          # findings in order: the last one stays
+            use, skipped = [], set()
+            for (s, e), (fid, block) in sorted(ranges.items()):
+                if use and use[-1][1] >= s:
+                    skipped.add(fid)
+                else:
+                    use.append((s, e, block))
+            for s, e, block in reversed(use):
+                lines[s - 1:max(e, s - 1)] = [block + "\n" * (not block.endswith("\n"))]
+            if pending:
+                code = "".join(lines)
+            still, todo = {t for _n, t in scan(code)}, []
+            for fid, rule, n in pending:
+                seq += 1
+                status = ("error" if fid not in replies else "success" if rule not in still and fid not in skipped
+                          else f"failed_level_{level}")
+                out.append((doc, rule, seq, level, status, *replies.get(fid, (0, 0)), severity[rule], fid, n))
+                todo += [(fid, rule, n)] * status.startswith("failed")
+            pending, left_out = todo, left_out + len(skipped)
+    return sorted(out), left_out
+
+
+def test_registered_cascade_with_windows_is_the_brute_force_result(spark, tmp_path):
+    from patchmetrics.queries import REGISTRY
+    rng = random.Random(5)
+    odd_lines = ["see the License", "mail joe.b@example now", 'token = "' + "0a" * 20 + '"', "License of a1@host"]
+    texts = {d: "\n".join(rng.choice(odd_lines) if rng.random() < share else f"line {i} of {d}" for i in range(size))
+             for d, (size, share) in enumerate([(40, 0.15), (60, 0.1), (25, 0.3), (4, 0.5), (80, 0.05), (30, 0.0), (50, 0.2)])}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    want, left_out = brute_cascade(texts)
+    assert left_out > 5 and {w[4] for w in want} == {"error", "success", "failed_level_1", "failed_level_2"}
+    rows = REGISTRY["remediation_cascade_window"](spark, str(tmp_path)).collect()
+    assert sorted((r.file_uid, r.vulnerability_id, r.attempt_seq, r.level_attempted, r.status, r.prompt_tokens,
+                   r.completion_tokens, r.severity, r.finding_id, r.line_num) for r in rows) == want
