@@ -82,7 +82,7 @@ def _valid(kind: str, s: str) -> bool:
     if kind == "email":
         return True
     if kind == "ip":
-        return all(len(p.lstrip("0")) <= 3 and int(p) <= 255 if len(p) < 20 else not p.strip("0") for p in s.split("."))
+        return all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in s.split("."))
     d = digits_of(s)
     return 13 <= len(d) <= 19 and luhn(d) if kind == "card" else 9 <= len(d) <= 15
 

@@ -47,6 +47,12 @@ def test_base_spans_on_glued_parts(parts):
     assert pii.base_spans(text) == brute(text)
 
 
+def test_zero_padded_ip_parts_of_any_length():
+    for text, valid in (("0" * 19 + "1.2.3.4", True), ("1.2.3." + "0" * 6000 + "255", True), ("0" * 19 + "256.2.3.4", False),
+                        ("0" * 30 + ".0.0.0", True), ("1" * 6000 + ".2.3.4", False)):
+        assert (("ip", 0, len(text)) in pii.base_spans(text)) == valid
+
+
 def test_long_runs_are_linear():
     for run in ("a" * 300_000, "1" * 300_000, "1." * 150_000, "+1 " * 100_000, "a@" * 100_000, "(" * 200_000):
         assert isinstance(pii.candidates(run), tuple)
