@@ -27,10 +27,10 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, blocks
+from .common import Scratch, blocks, global_rank
 
 ROWS = 5                 # signature rows of a band
 MISS = 1e-8              # probability that a pair at the threshold shares no band
@@ -349,12 +349,23 @@ def _rest_pairs(at: DataFrame, sets: DataFrame, sketches: DataFrame, percent: in
 
 
 def one_of_each(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` without near copies: of each component its smallest id, once; rows without an id stay."""
+    """The rows of ``docs`` without near copies: of each component its smallest id, once; rows without an id stay.
+
+    Where ids repeat, each distinct text of an id counts as a document of its own, in the order of id and text hash.
+    """
+    named = docs.where("doc_id is not null")
+    if not named.groupBy("doc_id").count().where("count > 1").isEmpty():
+        scratch = Scratch(docs.sparkSession, "one-of-each")
+        words = F.coalesce(F.col("text").cast("string"), F.lit(""))
+        fixed = Window.partitionBy("doc_id", words).orderBy(F.xxhash64(*docs.columns))
+        once = named.withColumn("_same", F.row_number().over(fixed)).where("_same = 1").drop("_same")
+        ranked = scratch.save(global_rank(once.withColumn("_hash", F.sha2(words, 256)), ["doc_id", "_hash"], scratch, "_row"), "ranked")
+        kept = (near_duplicates(ranked.select(F.col("_row").alias("doc_id"), "text"), shingle, percent)
+                .where("kept").select(F.col("doc_id").alias("_row")))
+        return ranked.join(kept, "_row", "left_semi").select(docs.columns).unionByName(docs.where("doc_id is null"))
     marks = near_duplicates(docs, shingle, percent)
     dropped = marks.where(~F.col("kept")).select(F.col("doc_id").alias("_dropped"))
-    left = docs.join(dropped, F.col("doc_id") == F.col("_dropped"), "left_anti")
-    named = left.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return named.unionByName(left.where("doc_id is null"))
+    return docs.join(dropped, F.col("doc_id") == F.col("_dropped"), "left_anti")
 
 
 def op8_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -103,3 +103,13 @@ def test_odd_rows_and_empty_table(spark):
     assert left.columns == odd(spark).columns
     ids = pd.Series([r["doc_id"] for r in left.select("doc_id").collect()])
     assert ids.isna().sum() == 2 and not ids.dropna().duplicated().any() and 11 not in set(ids.dropna())
+
+
+def test_distinct_texts_of_one_id_stay(spark):
+    one, two, three = (" ".join(f"{k}{i}" for i in range(60)) for k in "abc")
+    rows = [(5, one), (5, two), (5, one), (5, two + " end"), (3, three), (9, one), (4, three), (7, "alone")]
+    left = near_dup.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = sorted(map(tuple, left.collect()))
+    assert [r for r in got if r[0] != 5] == [(3, three), (7, "alone")]
+    mine = [t for d, t in got if d == 5]
+    assert len(mine) == 2 and one in mine and (two in mine or two + " end" in mine)
