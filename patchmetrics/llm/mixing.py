@@ -7,7 +7,7 @@ level that spends the budget; the level is found by rounds of one aggregate over
 Selection: a target holds whole epochs of its source first; the fraction that remains is sampled without replacement.
 Each document gets the exponential key ``-ln(u) / quality`` (``u`` from a hash of its id), so better documents tend to
 come first; documents are taken in key order while their running size stays within the budget. Documents too large
-for what then remains are passed over in ``PASSES - 1`` further runs. The running sum is two-level: sums per key range
+for what then remains are passed over, and further runs go on until no document left fits its source's budget. The running sum is two-level: sums per key range
 of a source, then rows only in the range where the budget ends, so a hot source never stands in one task.
 
 Defined cases: a null or empty text has size 0 and is taken 0 words; sources may be null; an empty table gives an
@@ -24,7 +24,7 @@ from .common import NON_SPACE, Scratch, documents, global_rank, shuffle_partitio
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 CAP = 2.0
-PASSES = 4
+PASSES = 4               # runs that the SQL twin spells out; the loop here ends by itself
 SEED = "mix-1"
 NOISE = "#*$%&|<>!"      # characters that lower the quality weight
 
@@ -95,7 +95,7 @@ def sample_words(docs: DataFrame, scratch: Scratch) -> DataFrame:
     ranges = max(64, shuffle_partitions(spark))
     left = rows.where("size > 0").select("row", "source", "size", "key")
     chosen = None
-    for _ in range(PASSES):
+    while chosen is None or not left.isEmpty():
         got = _take(left, budgets, scratch, ranges)
         chosen = scratch.save(got if chosen is None else chosen.unionByName(got), "chosen", narrow=True)
         used = chosen.groupBy("source").agg(F.sum("size").alias("used")).withColumnRenamed("source", "s")

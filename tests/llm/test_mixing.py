@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -59,6 +60,19 @@ def test_uneven_sources(spark):
     check(mixing.sample_words(df, Scratch(spark, "t")).collect(), {r[0]: r[2] for r in rows})
 
 
+def test_no_document_that_fits_is_passed_over(spark):
+    rng = random.Random(2)
+    rows = [(i, "w " * min(20_000, 1 + int(rng.lognormvariate(3, 2.5))), f"s{i % 20:02d}") for i in range(1600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    per = {}
+    for r in mixing.sample_words(df, Scratch(spark, "t")).collect():
+        per.setdefault(rows[r["doc_id"]][2], []).append(r)
+    for own in per.values():
+        left = own[0]["target"] - sum(r["taken"] for r in own)
+        epochs = int(own[0]["target"] / own[0]["source_size"] + 1e-12)
+        assert left > -1e-6 and all(r["size"] > left for r in own if r["size"] and r["taken"] == epochs * r["size"])
+
+
 def test_better_texts_come_first(spark):
     rows = [(i, ("good words here " if i % 2 else "b### a### c### ") * 20, "abc"[i // 800]) for i in range(2400)]
     got = mixing.sample_words(spark.createDataFrame(rows, "doc_id long, text string, source string"), Scratch(spark, "t")).collect()
