@@ -1,6 +1,9 @@
 import zlib
 
+from pyspark.sql import functions as F
+
 from patchmetrics.llm import toxicity as tox
+from patchmetrics.llm.common import crc32_mod
 
 from .data import auc, empty, odd, small
 
@@ -63,3 +66,15 @@ def test_odd_rows_and_empty_table(spark):
         out = tox.score_toxicity(odd(spark), tox.train(odd(spark), marks)).toPandas()
         assert len(out) == odd(spark).count() and out.drop(columns="doc_id").notna().all().all()
     assert tox.score_toxicity(empty(spark), tox.train(empty(spark), labels)).count() == 0
+
+
+def test_training_reads_up_to_20_000_rows(spark):
+    """A toxic word only in rows that a sample of 10,000 out of 16,000 would not read gets its arc."""
+    ids = spark.range(20_500).where(crc32_mod(F.col("id"), 5) != 0)
+    at = F.pmod(F.xxhash64("id", F.lit("toxic sample")), F.lit(1_000_000)) / 1_000_000
+    fourth = F.pmod(F.xxhash64("id", F.lit("layer")), F.lit(4)) == 0
+    rare = [r["id"] for r in ids.where((at > 0.7) & ~fourth).orderBy("id").limit(8).collect()]
+    rows = [(i, f"n{i} zorblax today" if i in set(rare) else "a plain line") for i in range(20_500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = docs.select("doc_id", F.col("text").contains("zorblax").cast("int").alias("toxic"))
+    assert "zorblax" in tox.train(docs, labels)[0]
