@@ -13,10 +13,12 @@ from .quality_fm import op10_quality_fm
 from .quality_rules import op9_host_rules
 from .token_counts import op13_token_counts
 from .toxicity import op7_toxicity
+from .vector_codes import op12_vector_codes
 
 QUERIES = {f.__name__: f for f in (
     op1_personal_data, op2_syncmer_fingerprints, op3_pattern_packing, op4_mix_sources, op5_language_id,
-    op6_arc_to_warc, op7_toxicity, op8_near_dedup, op9_host_rules, op10_quality_fm, op13_token_counts)}
+    op6_arc_to_warc, op7_toxicity, op8_near_dedup, op9_host_rules, op10_quality_fm,
+    op12_vector_codes, op13_token_counts)}
 
 WORDS = r"regexp_extract_all(coalesce({}, ''), '[^\x20\x09-\x0D]+')"
 
