@@ -60,7 +60,41 @@ SELECT k.doc_id, k.size, t.source_size, t.target,
 FROM k JOIN t ON t.source IS NOT DISTINCT FROM k.source LEFT JOIN c{PASSES} c ON c.doc_id = k.doc_id"""
 
 
+def _codes_sql() -> str:
+    """Codebooks by unrolled rounds; squared distances are exact in DOUBLE for components of this size."""
+    from .vector_codes import ENTRIES, PARTS, ROUNDS, SCALE
+
+    def nearest(book: str) -> str:
+        return f"""SELECT vec_id, r, label, k, min(dist)::BIGINT AS dist, arg_min(i, dist * {ENTRIES} + i) AS i FROM (
+    SELECT p.vec_id, p.r, p.label, p.k, b.i, list_inner_product(p.x, p.x) - 2 * list_inner_product(p.x, b.x) + list_inner_product(b.x, b.x) AS dist
+    FROM p JOIN {book} b ON b.k = p.k) GROUP BY vec_id, r, label, k"""
+
+    sql = f"""
+WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor({SCALE} * x::DOUBLE)) AS e,
+             row_number() OVER (ORDER BY vec_id) AS r FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: coalesce(isfinite(x), false))) = len(embedding)),
+p AS MATERIALIZED (SELECT vec_id, r, label, k::INT AS k, e[k * (len(e) // {PARTS}) + 1:(k + 1) * (len(e) // {PARTS})] AS x
+                   FROM v, range({PARTS}) t(k)),
+b0 AS MATERIALIZED (SELECT k, (r - 1)::INT AS i, x FROM p WHERE r <= {ENTRIES})"""
+    for n in range(1, ROUNDS + 1):
+        sql += f""",
+a{n} AS MATERIALIZED ({nearest(f"b{n - 1}")}),
+m{n} AS (SELECT k, i, list(c ORDER BY pos) AS x FROM (
+    SELECT a.k, a.i, pos, floor(sum(p.x[pos]) / count(*)) AS c FROM a{n} a JOIN p ON p.r = a.r AND p.k = a.k, range(1, len(p.x) + 1) t(pos)
+    GROUP BY a.k, a.i, pos) GROUP BY k, i),
+b{n} AS MATERIALIZED (SELECT b.k, b.i, coalesce(m.x, b.x) AS x FROM b{n - 1} b LEFT JOIN m{n} m ON m.k = b.k AND m.i = b.i)"""
+    return sql + f""",
+f AS MATERIALIZED ({nearest(f"b{ROUNDS}")}),
+c AS (SELECT vec_id, r, label, string_agg(lower(format('{{:02x}}', i)), '' ORDER BY k) AS code, sum(dist)::BIGINT AS error FROM f
+      GROUP BY vec_id, r, label)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+       (SELECT sha256(string_agg(list_aggregate(list_transform(x, lambda c: c::BIGINT::VARCHAR), 'string_agg', ','), ',' ORDER BY k, i))
+        FROM b{ROUNDS}) AS codebooks_sha256
+FROM c"""
+
+
 ORACLES = {
+    "op12_vector_codes": _codes_sql(),
     "op4_mix_sources": _mix_sql(),
     "op6_arc_to_warc": """
 WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest
