@@ -11,6 +11,7 @@ from .packing import op3_pattern_packing
 from .pii import op1_personal_data
 from .quality_fm import op10_quality_fm
 from .quality_rules import op9_host_rules
+from .spelling import op11_spelling_variants
 from .token_counts import op13_token_counts
 from .toxicity import op7_toxicity
 from .vector_codes import op12_vector_codes
@@ -18,7 +19,7 @@ from .vector_codes import op12_vector_codes
 QUERIES = {f.__name__: f for f in (
     op1_personal_data, op2_syncmer_fingerprints, op3_pattern_packing, op4_mix_sources, op5_language_id,
     op6_arc_to_warc, op7_toxicity, op8_near_dedup, op9_host_rules, op10_quality_fm,
-    op12_vector_codes, op13_token_counts)}
+    op11_spelling_variants, op12_vector_codes, op13_token_counts)}
 
 WORDS = r"regexp_extract_all(coalesce({}, ''), '[^\x20\x09-\x0D]+')"
 
@@ -93,7 +94,36 @@ SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS la
 FROM c"""
 
 
+def _spelling_sql() -> str:
+    """CRC-32 byte by byte from its table; near pairs by the words left when one code point is deleted."""
+    from .spelling import DELETE_EVERY, FORM_RATIO, LEAST_CHARS, LEAST_COUNT, LOWER, UPPER
+
+    return f"""
+WITH RECURSIVE crc AS MATERIALIZED (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
+    lambda c, step: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+runs AS (SELECT coalesce(doc_id::VARCHAR, '') AS d, unnest(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[a-zÀ-ÿ]+')) AS run
+         FROM documents),
+own AS (SELECT d, run, count(*) AS n FROM runs GROUP BY d, run),
+hashed AS (SELECT run, n, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(strlen(d || ':' || run)),
+      lambda i: ('0x' || substr(hex(encode(d || ':' || run)), 2 * i + 1, 2))::BIGINT)),
+      lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8))) AS h FROM own, crc),
+w AS MATERIALIZED (SELECT word, sum(n)::BIGINT AS n FROM (
+    SELECT CASE WHEN h % {DELETE_EVERY} = 0 THEN left(run, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, n
+    FROM hashed) WHERE length(word) >= {LEAST_CHARS} GROUP BY word HAVING sum(n) >= {LEAST_COUNT}),
+less AS MATERIALIZED (SELECT word, n, i, left(word, i::INT) || substr(word, i::INT + 2) AS rest FROM w, range(length(word)) t(i)),
+pairs AS (SELECT a.word, b.word AS near, b.n AS near_n FROM less a JOIN less b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+          UNION SELECT a.word, b.word, b.n FROM less a JOIN w b ON b.word = a.rest
+          UNION SELECT b.word, a.word, a.n FROM less a JOIN w b ON b.word = a.rest),
+best AS (SELECT word, count(*)::BIGINT AS n_near, first(near ORDER BY near_n DESC, near) AS near, max(near_n) AS near_n FROM pairs GROUP BY word),
+f AS MATERIALIZED (SELECT w.word, w.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN near_n >= {FORM_RATIO} * w.n THEN near END AS form,
+             CASE WHEN near_n >= {FORM_RATIO} * w.n THEN near_n END AS form_n FROM w LEFT JOIN best USING (word)),
+up AS (SELECT word, word AS at FROM f UNION SELECT up.word, f.form FROM up JOIN f ON f.word = up.at WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, up.at AS root, f.n, f.n_near, f.form_n
+FROM f JOIN up ON up.word = f.word JOIN f last ON last.word = up.at AND last.form IS NULL"""
+
+
 ORACLES = {
+    "op11_spelling_variants": _spelling_sql(),
     "op12_vector_codes": _codes_sql(),
     "op4_mix_sources": _mix_sql(),
     "op6_arc_to_warc": """
