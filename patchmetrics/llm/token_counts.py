@@ -1,8 +1,10 @@
 """Token counts by a map-side lookup of two tiers.
 
-A pre-token is a maximal run without ASCII white space. The vocabulary's normaliser and splitter treat such runs apart
-from each other (its special strings hold no white space either), so a text has as many tokens as its pre-tokens have,
-each encoded by itself by the library. That makes lengths worth keeping:
+The vocabulary's normaliser and splitter treat runs without ASCII white space apart from each other (its special strings
+hold no white space either), so a text has as many tokens as its runs have. A run of printable ASCII characters and
+letters of U+00C0 to U+00FF, without a special string's opening, is cut further into the splitter's own pieces of its
+lower-case form; any other run stays whole. These pieces and whole runs are the *pre-tokens*, each encoded by itself by
+the library. That makes lengths worth keeping:
 
 1. *Tier one*: a compact table (``TABLE_WORDS`` entries at most: one UTF-8 blob and 16-bit lengths) of the pre-tokens
    that are frequent in a sample of about ``SAMPLE_DOCS`` whole documents. The tasks return the frequent pre-tokens of
@@ -39,10 +41,13 @@ LIMIT = 2048
 SAMPLE_DOCS = 4096
 TABLE_WORDS = 1 << 16
 TASK_WORDS = 1 << 13
-CACHE_WORDS = 1 << 17
+CACHE_WORDS = 1 << 18
 CACHED_CHARS = 64
 SEED = 13
-_WORD = re.compile(r"[^ \t-\r]+")
+_RUN = re.compile(r"[^ \t-\r]+")
+_ODD = re.compile(r"[^ \t-\r!-~À-ÖØ-öø-ÿ]|<\|")       # what keeps a run whole
+# Fixed value: the splitter's rule, over the characters that are cut.
+_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^ \t-\ra-z0-9ß-öø-ÿ]+")
 
 
 def default_vocabulary() -> str:
@@ -51,6 +56,19 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def pre_tokens(text: str) -> list[str]:
+    """The pre-tokens of a whole text, in order."""
+    if not _ODD.search(text):
+        return _PIECE.findall(text.lower())
+    out: list[str] = []
+    for run in _RUN.findall(text):
+        if _ODD.search(run):
+            out.append(run)
+        else:
+            out += _PIECE.findall(run.lower())
+    return out
+
+
 class Lengths:
     """Token numbers of pre-tokens: the shared table, then the cache of this worker, then the library."""
 
@@ -74,15 +92,15 @@ class Lengths:
             cache.clear()
         totals, misses, open_words = [], {}, []
         for i, text in enumerate(texts):
-            n = 0
-            for w in _WORD.findall(text or ""):
-                k = table.get(w)
+            words = pre_tokens(text or "")
+            known = list(map(table.get, words))
+            n = sum(filter(None, known))
+            for w in (w for w, k in zip(words, known) if k is None):
+                k = cache.get(w)
                 if k is None:
-                    k = cache.get(w)
-                    if k is None:
-                        open_words.append((i, misses.setdefault(w, len(misses))))
-                        continue
-                n += k
+                    open_words.append((i, misses.setdefault(w, len(misses))))
+                else:
+                    n += k
             totals.append(n)
         if misses:
             sizes = self.encode(list(misses))
@@ -107,7 +125,7 @@ def _frequent(batches) -> Iterator[pa.RecordBatch]:
     counts: Counter[str] = Counter()
     for part in blocks(batches):
         for text in part.column("text").to_pylist():
-            counts.update(w for w in _WORD.findall(text or "") if len(w) <= CACHED_CHARS)
+            counts.update(w for w in pre_tokens(text or "") if len(w) <= CACHED_CHARS)
     if counts:
         top = sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:TASK_WORDS]
         yield pa.RecordBatch.from_pydict({"words": pa.array(["\n".join(w for w, _ in top)]),

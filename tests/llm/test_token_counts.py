@@ -33,8 +33,8 @@ def test_pre_tokens_are_encoded_apart(tokenizer):
     rng, lengths = random.Random(7), token_counts.Lengths(token_counts.default_vocabulary())
     odd_points = [9, 10, 11, 12, 13, 28, 29, 31, 32, 32, 32, 39, 45, 48, 0x85, 0xA0, 0x1680, 0x2000, 0x2003, 0x2028, 0x3000, 0x200B,
                   0x300, 0x301, 0x323, 0x660, 0x2167, 0x130, 0x3A3, 0x1F600, 0x1D7D8, 0x4E00, 0xE9, 0xAC00, 0x1100, 0x1161,
-                  115, 116, 108, 68]
-    texts = ["", " ", "it's 'standard' they'll", "a<|endoftext|>b <|startoftext|> <|endof text|>", "e ́ ́e", "x" * 70_000,
+                  0xD7, 0xDF, 0xF7, 0xFF, 0xC9, 0xB5, 60, 124, 76, 83, 84, 109, 39, 39, 115, 116, 108, 68]
+    texts = ["", " ", "É'S ÉÀ'tÖ ''s ×÷ x×y ÿ'LLÿ ªº µ'm 12'd3 ß're <|x <ÿ|", "it's 'standard' they'll", "a<|endoftext|>b <|startoftext|> <|endof text|>", "e ́ ́e", "x" * 70_000,
              "ΣΑΣ ΑΣ", "ÅB Å"]
     for _ in range(3000):
         points = [rng.choice(odd_points) if rng.random() < 0.8 else rng.randrange(33, 0xD7FF) for _ in range(rng.randrange(1, 16))]
