@@ -46,7 +46,7 @@ LETTERS = 26 + 64         # a-z, then U+00C0 to U+00FF
 SAMPLE_WORDS = 1 << 15
 LEAF_WORDS = 2048
 LEAF_SAMPLE = 16
-BUCKET = 24
+BUCKET = 48
 BLOCK = 1 << 22           # numbers in one block of differences
 
 
@@ -149,14 +149,17 @@ def near_pairs(words: list[str], asking: list[str]) -> Iterator[tuple[np.ndarray
     have, want = have[:, seen], want[:, seen]
     letters, asked = np.stack(code_points(words)), np.stack(code_points(asking))
     tree = Tree(have, BUCKET)
+    # Between the counts of words of these lengths the differences sum to 0 (or 1), so a squared distance of 2 (or 1) is
+    # one count up and one down (or one count up): no other vector has it.
+    x, y = have.astype(np.float64), want.astype(np.float64)
+    xx, yy = (x * x).sum(axis=1), (y * y).sum(axis=1)
     for leaf, rows in tree.reach(want, 1, 0 if longer else 1):
         bucket = tree.rows[leaf]
-        step = max(1, BLOCK // (len(bucket) * len(seen)))
+        step = max(1, BLOCK // len(bucket))
         for i in range(0, len(rows), step):
             some = rows[i:i + step]
-            diff = have[bucket][None] - want[some][:, None]
-            fits = np.abs(diff).sum(axis=2) == (1 if longer else 2)
-            q, w = np.nonzero(fits)
+            gap = yy[some][:, None] + xx[bucket][None] - 2 * (y[some] @ x[bucket].T)
+            q, w = np.nonzero(gap == (1 if longer else 2))
             q, w = some[q], bucket[w]
             for j in range(0, len(q), max(1, BLOCK // letters.shape[1])):
                 a, b = q[j:j + max(1, BLOCK // letters.shape[1])], w[j:j + max(1, BLOCK // letters.shape[1])]
