@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -16,6 +17,7 @@ from ..session import ensure_checkpoint_dir
 #: Letters of the word pattern ``[^\x20\x09-\x0D]+``: every run without ASCII white space is a word.
 WHITE_SPACE = " \t\n\x0b\x0c\r"
 TASKS_PER_CORE = 3
+ROW_GROUP = 16 << 20     # bytes a task holds before it writes them, for each table that it writes
 NON_SPACE = r"[^\x20\x09-\x0D]+"
 
 
@@ -54,7 +56,7 @@ class Scratch:
         if narrow:
             df = df.coalesce(TASKS_PER_CORE * max(1, self.spark.sparkContext.defaultParallelism))
         path = f"{self.path}/{self._n:02d}-{name}"
-        df.write.parquet(path)
+        df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
@@ -70,11 +72,31 @@ class Scratch:
                 at.getFileSystem(conf).delete(at, True)
 
 
+def give_back() -> None:
+    """Hand memory that this process has freed back to the system: a Python worker outlives its task, beside others."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):   # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def blocks(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
-    """Slices of at most ``rows`` rows, so that few Python strings live at once."""
+    """Slices of at most ``rows`` rows, so that few Python strings live at once; freed memory goes back before and after."""
+    give_back()
     for b in batches:
         for i in range(0, b.num_rows, rows):
             yield b.slice(i, rows)
+    give_back()
+
+
+def fresh(docs: DataFrame, *names: str) -> list[str]:
+    """Helper column names that ``docs`` does not have (underscores are put before a name that it has)."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def crc32_mod(col: Column, n: int) -> Column:

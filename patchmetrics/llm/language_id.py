@@ -11,7 +11,6 @@ Defined cases: a null text, or one without a letter, is ``und`` with score 0; wi
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +26,6 @@ BUCKETS = 1 << 15
 ALPHA = 0.5              # additive smoothing
 SLICE = 1 << 16
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def ngram_buckets(text: str) -> Iterator[np.ndarray]:
@@ -49,6 +47,10 @@ def ngram_buckets(text: str) -> Iterator[np.ndarray]:
         yield np.concatenate(out)
 
 
+def has_letter(text: str | None) -> bool:
+    return any(map(str.isalpha, text or ""))
+
+
 def _count(batches):
     schema = pa.schema([("lang", pa.string()), ("bucket", pa.int32()), ("n", pa.int64())])
     counts: dict[str, np.ndarray] = {}
@@ -84,7 +86,7 @@ def train(rows: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
 
 def posterior(text: str | None, log_p: np.ndarray, log_prior: np.ndarray) -> np.ndarray | None:
     """Posterior over the languages; None for a text without a letter."""
-    if not text or not len(log_prior) or not _LETTER.search(text):
+    if not text or not len(log_prior) or not has_letter(text):
         return None
     s = log_prior.copy()
     for b in ngram_buckets(text):
@@ -126,11 +128,15 @@ def identify(docs: DataFrame, model) -> DataFrame:
 
 
 def known_language(docs: DataFrame, least_score: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` whose language is recognised (not ``und``, posterior at least ``least_score``)."""
-    predict = predictor(docs.sparkSession, train(training_rows(docs)))
-    return (docs.withColumn("_language", predict(F.col("text")))
-            .where((F.col("_language.lang_pred") != UNKNOWN) & (F.col("_language.score") >= least_score))
-            .drop("_language"))
+    """The rows of ``docs`` whose language is recognised (not ``und``, posterior at least ``least_score``), unchanged."""
+    held = docs.sparkSession.sparkContext.broadcast(train(training_rows(docs))[1:])
+
+    def run(batches):
+        for part in blocks(batches):
+            found = (posterior(t, *held.value) for t in part.column("text").cast(pa.string()).to_pylist())
+            yield part.filter(pa.array([q is not None and float(q.max()) >= least_score for q in found], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op5_language_id(spark, sf_dir: str) -> DataFrame:

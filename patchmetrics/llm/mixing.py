@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NON_SPACE, Scratch, documents, global_rank, shuffle_partitions
+from .common import NON_SPACE, Scratch, documents, fresh, global_rank, shuffle_partitions
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -117,11 +117,11 @@ def sample_words(docs: DataFrame, scratch: Scratch) -> DataFrame:
 def mix(docs: DataFrame) -> DataFrame:
     """``docs`` with each row repeated as often as the mix takes it (rows of size 0 go)."""
     scratch = Scratch(docs.sparkSession, "mix")
-    copies = (sample_words(docs, scratch).where("taken > 0").groupBy("doc_id").agg(F.max("copies").alias("_copies"))
-              .withColumnRenamed("doc_id", "_of"))
-    out = docs.join(scratch.save(copies, "copies", narrow=True), F.col("doc_id").eqNullSafe(F.col("_of")))
-    return (out.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
-            .drop("_copy", "_copies", "_of"))
+    of, copies, copy = fresh(docs, "_of", "_copies", "_copy")
+    taken = (sample_words(docs, scratch).where("taken > 0").groupBy(F.col("doc_id").alias(of))
+             .agg(F.max("copies").alias(copies)))
+    out = docs.join(scratch.save(taken, "copies", narrow=True), F.col("doc_id").eqNullSafe(F.col(of)))
+    return out.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))).drop(copy, copies, of)
 
 
 def op4_mix_sources(spark, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, blocks, global_rank
+from .common import Scratch, blocks, fresh, global_rank
 
 ROWS = 5                 # signature rows of a band
 MISS = 1e-8              # probability that a pair at the threshold shares no band
@@ -357,15 +357,17 @@ def one_of_each(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFra
     if not named.groupBy("doc_id").count().where("count > 1").isEmpty():
         scratch = Scratch(docs.sparkSession, "one-of-each")
         words = F.coalesce(F.col("text").cast("string"), F.lit(""))
-        fixed = Window.partitionBy("doc_id", words).orderBy(F.xxhash64(*docs.columns))
-        once = named.withColumn("_same", F.row_number().over(fixed)).where("_same = 1").drop("_same")
-        ranked = scratch.save(global_rank(once.withColumn("_hash", F.sha2(words, 256)), ["doc_id", "_hash"], scratch, "_row"), "ranked")
-        kept = (near_duplicates(ranked.select(F.col("_row").alias("doc_id"), "text"), shingle, percent)
-                .where("kept").select(F.col("doc_id").alias("_row")))
-        return ranked.join(kept, "_row", "left_semi").select(docs.columns).unionByName(docs.where("doc_id is null"))
+        rows = named.select("doc_id", F.sha2(words, 256).alias("hash"), words.alias("text"), F.struct("*").alias("row"))
+        same = Window.partitionBy("doc_id", "hash").orderBy(F.xxhash64("row"))
+        once = rows.withColumn("same", F.row_number().over(same)).where("same = 1").drop("same")
+        ranked = scratch.save(global_rank(once, ["doc_id", "hash"], scratch, "rank"), "ranked")
+        kept = near_duplicates(ranked.select(F.col("rank").alias("doc_id"), "text"), shingle, percent).where("kept")
+        return (ranked.join(kept.select(F.col("doc_id").alias("rank")), "rank", "left_semi").select("row.*")
+                .unionByName(docs.where("doc_id is null")))
     marks = near_duplicates(docs, shingle, percent)
-    dropped = marks.where(~F.col("kept")).select(F.col("doc_id").alias("_dropped"))
-    return docs.join(dropped, F.col("doc_id") == F.col("_dropped"), "left_anti")
+    (dropped,) = fresh(docs, "_dropped")
+    gone = marks.where(~F.col("kept")).select(F.col("doc_id").alias(dropped))
+    return docs.join(gone, F.col("doc_id") == F.col(dropped), "left_anti")
 
 
 def op8_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -71,13 +71,24 @@ class Encoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+_WORKER: dict[str, Encoder] = {}
+
+
+def _encoder(path: str) -> Encoder:
+    """The one encoder of this worker process."""
+    if path not in _WORKER:
+        _WORKER.clear()
+        _WORKER[path] = Encoder(path)
+    return _WORKER[path]
+
+
 def _pieces(path: str, max_len: int, end_id: int):
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()),
                         ("ids_crc32", pa.int64())])
     end, width = np.array([end_id], "<u4").tobytes(), 4 * max_len
 
     def run(batches):
-        encode = Encoder(path)
+        encode = _encoder(path)
         for part in blocks(batches):
             out = []
             for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):

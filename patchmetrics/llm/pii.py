@@ -19,10 +19,8 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import Counter
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -288,12 +286,13 @@ def redacted(docs: DataFrame) -> DataFrame:
     """``docs`` with personal data replaced in ``text``; ``n_chars``, where present, follows the new text."""
     held = docs.sparkSession.sparkContext.broadcast(train(docs))
 
-    @F.pandas_udf("string")
-    def redact(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in parts:
-            yield pd.Series([redact_text(t, held.value) for t in texts], dtype=object)
+    def run(batches):
+        for part in blocks(batches):
+            clean = pa.array([redact_text(t, held.value) for t in part.column("text").to_pylist()], pa.string())
+            yield part.set_column(part.schema.get_field_index("text"), "text", clean)
 
-    out = docs.withColumn("text", redact(F.col("text").cast("string")))
+    plain = docs.withColumn("text", F.col("text").cast("string"))
+    out = plain.mapInArrow(run, plain.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 

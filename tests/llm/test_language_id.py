@@ -60,3 +60,11 @@ def test_odd_rows_and_empty_table(spark):
     assert {r["lang_pred"] for r in li.identify(odd(spark), li.train(empty(spark))).collect()} == {"und"}
     known = li.known_language(odd(spark))
     assert known.columns == odd(spark).columns and not known.where("doc_id in (0, 1, 2, 5)").count()
+
+
+def test_numerals_are_no_letters():
+    for text in ("½²", "①Ⅷ", "12 ³ ¼ ٣", "_ - ・"):
+        assert not li.has_letter(text)
+        assert li.posterior(text, np.zeros((li.BUCKETS, 2)), np.zeros(2)) is None
+    for text in ("ª", "é", "中", "½a"):
+        assert li.has_letter(text)
