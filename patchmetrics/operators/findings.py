@@ -4,8 +4,8 @@
   or a report without results yields no rows (PERMISSIVE ``from_json`` + ``explode``).
 * ``scan_lines`` (J11, default of F8): match every line against a caller-supplied rule table. The rules are
   inlined as literal patterns, ``RULES_PER_SCAN`` to a projection, so each pattern compiles once per task and the
-  scan is narrow over the lines (no join, no shuffle, no pair explosion); larger catalogues are the union of several
-  such scans. A literal every match must contain is checked first with ``contains``.
+  scan is narrow over the lines (no join, no shuffle, no pair explosion); a literal every match must contain is checked
+  first with ``contains``. Larger catalogues go through the q-gram index of ``operators.rule_index``.
 * ``verify_findings`` (J3): a finding is patched iff the re-scan of its document has no finding with the same
   rule anywhere in the document and the re-scan parsed; a left join against the de-duplicated re-scan keys.
 * ``attach_docs`` (J4): normalised documentation URL -> page text, with the reference's sentinel texts.
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ..functions.text import rewrite_doc_version
 from ..schemas import SCAN_REPORT_DDL
 
-RULES_PER_SCAN = 500   # rules inlined into one projection; more rules are more projections, unioned
+RULES_PER_SCAN = 500   # rules inlined into one projection; a larger catalogue is indexed
 
 # Documentation lookup outcomes (sentinel texts).
 NO_URL_TEXT = "No documentation URL provided."
@@ -134,27 +134,31 @@ def scan_lines(lines: DataFrame, rules: DataFrame, line_col: str = "line",
     """``lines JOIN rules ON regexp_like(line, pattern)`` as a narrow map.
 
     ``rules`` has ``test_id, severity, pattern``: a catalogue of patterns, read on the driver since patterns are code.
-    Any number of rules is scanned, ``RULES_PER_SCAN`` to a projection. Add ``line_col`` to ``keys`` to keep the text.
+    Up to ``RULES_PER_SCAN`` rules are tested in one projection; a larger catalogue goes through the q-gram index of
+    ``operators.rule_index``, again in one pass over the lines. Add ``line_col`` to ``keys`` to keep the text.
     """
-    rows = rules.select("test_id", "severity", "pattern").collect()
+    rows = rules.select("test_id", "severity", "pattern").where("pattern IS NOT NULL").collect()
     if not rows:
         return lines.select(*keys, F.lit(None).cast("string").alias("test_id"),
                             F.lit(None).cast("string").alias("severity")).limit(0)
+    literals = [required_literal(r["pattern"]) for r in rows]
+    if len(rows) > RULES_PER_SCAN:
+        from .rule_index import scan_catalogue
+        return scan_catalogue(lines, rows, literals, line_col, keys)
+    return scan_projected(lines, rows, literals, line_col, keys)
+
+
+def scan_projected(lines: DataFrame, rows: list, literals: list[str | None], line_col: str, keys) -> DataFrame:
+    """Every rule tested on every line in one projection, a required literal first."""
     line = F.col(line_col)
 
-    def matches(pattern: str):
-        lit = required_literal(pattern)
+    def matches(pattern: str, lit: str | None) -> Column:
         return (line.contains(lit) & line.rlike(pattern)) if lit else line.rlike(pattern)
 
-    def scan(some) -> DataFrame:
-        hits = F.array(*[F.when(matches(r["pattern"]), F.struct(F.lit(r["test_id"]).alias("test_id"),
-                                                                F.lit(r["severity"]).alias("severity")))
-                         for r in some])
-        return lines.select(*keys, F.explode(F.filter(hits, lambda h: h.isNotNull())).alias("_h"))
-
-    matched = scan(rows[:RULES_PER_SCAN])
-    for at in range(RULES_PER_SCAN, len(rows), RULES_PER_SCAN):
-        matched = matched.unionByName(scan(rows[at:at + RULES_PER_SCAN]))
+    hits = F.array(*[F.when(matches(r["pattern"], x), F.struct(F.lit(r["test_id"]).alias("test_id"),
+                                                               F.lit(r["severity"]).alias("severity")))
+                     for r, x in zip(rows, literals)])
+    matched = lines.select(*keys, F.explode(F.filter(hits, lambda h: h.isNotNull())).alias("_h"))
     return matched.select(*keys, F.col("_h.test_id").alias("test_id"), F.col("_h.severity").alias("severity"))
 
 

@@ -405,6 +405,13 @@ DOC_SQL = {
         json_extract_string(r, '$.issue_severity') AS severity, json_extract_string(r, '$.issue_confidence') AS confidence
         FROM ex"""),
     "rule_scan_findings": with_(LINES, "SELECT * FROM fb"),
+    "rule_catalogue_scan": """
+        WITH r AS (SELECT DISTINCT w FROM (SELECT unnest(regexp_extract_all(text, '[a-z]+')) AS w FROM benchmark) WHERE length(w) >= 3),
+        l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no
+              FROM documents),
+        p AS (SELECT doc_id, line_no, line, w FROM l JOIN r ON contains(line, w))
+        SELECT doc_id, 'W-' || w AS test_id, count(*)::BIGINT AS n_lines, min(line_no)::INTEGER AS first_line
+        FROM p WHERE regexp_matches(line, w || '[a-z]* [a-z]+') GROUP BY doc_id, w""",
     "findings_per_doc": with_(LINES, """SELECT d.doc_id, CAST(count(fa.test_id) AS BIGINT) AS n_findings
         FROM documents d LEFT JOIN fa ON fa.doc_id = d.doc_id GROUP BY d.doc_id"""),
     "verify_patch": with_(LINES, """SELECT fb.*, NOT EXISTS (SELECT 1 FROM fa WHERE fa.doc_id = fb.doc_id

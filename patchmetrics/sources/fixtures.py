@@ -129,6 +129,14 @@ def rules(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(RULES, "test_id string, severity string, pattern string")
 
 
+def rule_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A large catalogue: one rule per distinct word of three letters or more in the ``benchmark`` texts."""
+    words = read_table(spark, sf_dir, "benchmark", ["text"], spread=False).select(
+        F.explode(F.regexp_extract_all("text", F.lit("[a-z]+"), 0)).alias("w")).where("length(w) >= 3").distinct()
+    return words.select(F.concat(F.lit("W-"), "w").alias("test_id"), F.lit("LOW").alias("severity"),
+                        F.concat("w", F.lit("[a-z]* [a-z]+")).alias("pattern"))
+
+
 def rule_findings(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None) -> DataFrame:
     from ..operators.findings import scan_lines
     return scan_lines(doc_lines(spark, sf_dir) if lines is None else lines, rules(spark))
