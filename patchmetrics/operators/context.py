@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 
 from ..functions.text import split_lines_keepends, split_newlines, window_bounds
 from ..sources.store import materialize
+from .intervals import innermost_span
 
 WINDOW = 5            # fixed value: lines of context on each side (reference default)
-SPAN_BUCKET = 256     # lines per bucket for the span range join
 FRAME_BLOCK = 1024    # lines per block for the per-line frame
 
 
@@ -37,30 +37,6 @@ def line_counts(lines: DataFrame, key: str = "doc_id") -> DataFrame:
     return lines.groupBy(key).agg(F.max("line_no").alias("n_lines"))
 
 
-def innermost_span(findings: DataFrame, spans: DataFrame, finding_keys: Sequence[str], key: str = "doc_id",
-                   line_col: str = "line_no", bucket: int = SPAN_BUCKET) -> DataFrame:
-    """For each finding the tightest span with ``start_line <= line <= end_line`` (null if none).
-
-    Range join without a hot task: each span is replicated to the ``bucket``-line buckets it covers and joined on
-    ``(key, bucket)`` with the range as residual, so one document's findings and spans are spread over as many
-    join keys as the document has buckets. Innermost = max start, then min end (``max_by``, map-side combined).
-    Output: ``findings`` columns + ``span_start``, ``span_end``.
-    """
-    b = F.lit(bucket)
-    sp = spans.select(F.col(key).alias("_sk"), F.col("start_line").alias("_s"), F.col("end_line").alias("_e"),
-                      F.explode(F.sequence(F.floor((F.col("start_line") - 1) / b),
-                                           F.floor((F.col("end_line") - 1) / b))).alias("_sb"))
-    fi = findings.withColumn("_fb", F.floor((F.col(line_col) - 1) / b))
-    cond = ((fi[key] == sp["_sk"]) & (fi["_fb"] == sp["_sb"]) & (sp["_s"] <= fi[line_col])
-            & (fi[line_col] <= sp["_e"]))
-    j = fi.join(sp, cond, "left")
-    best = F.max_by(F.struct(F.col("_s").alias("s"), F.col("_e").alias("e")),
-                    F.when(F.col("_s").isNotNull(), F.struct(F.col("_s"), -F.col("_e"))))
-    others = [c for c in findings.columns if c not in finding_keys]
-    agg = j.groupBy(*finding_keys).agg(best.alias("_best"), *[F.first(c).alias(c) for c in others])
-    return agg.select(*findings.columns, F.col("_best.s").alias("span_start"), F.col("_best.e").alias("span_end"))
-
-
 def extract_ranges(ranges: DataFrame, lines: DataFrame, key: str = "doc_id", start_col: str = "start_line",
                    end_col: str = "end_line", out_col: str = "code", sep: str = "") -> DataFrame:
     """X6 over a line table: text of lines ``[start, end]`` per range (``''`` when the range is empty).
@@ -109,7 +85,7 @@ def function_or_window_context(findings: DataFrame, spans: DataFrame, lines: Dat
 
     Output adds ``context_type`` (``function``/``window``), ``start_line``, ``end_line``, ``code``.
     """
-    inner = innermost_span(findings, spans, finding_keys, key, line_col)
+    inner = innermost_span(findings, spans, key, line_col)
     n = line_counts(lines, key) if counts is None else counts
     f = inner.join(n, key, "left").withColumn("n_lines", F.coalesce(F.col("n_lines"), F.lit(0)))
     ws, we = window_bounds(F.col(line_col), F.col("n_lines"), window)

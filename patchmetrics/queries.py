@@ -310,7 +310,7 @@ def _keepends_lines(spark, sf):
 
 @query("innermost_span")
 def q_innermost_span(spark, sf):
-    return context.innermost_span(fixtures.rule_findings(spark, sf), fixtures.nested_spans(spark, sf), _FKEYS)
+    return context.innermost_span(fixtures.rule_findings(spark, sf), fixtures.nested_spans(spark, sf))
 
 
 @query("line_window_context")

@@ -32,12 +32,12 @@ def test_line_frame_with_small_blocks(spark):
             assert got[(d, i + 1)] == "".join(ls[max(0, i - 5):i + 6])
 
 
-def test_innermost_span_with_small_buckets(spark):
+def test_innermost_span(spark):
     spans = spark.createDataFrame([(1, 1, 100), (1, 10, 60), (1, 20, 30), (1, 200, 210)],
                                   "doc_id long, start_line int, end_line int")
     f = spark.createDataFrame([(1, ln) for ln in (5, 15, 25, 61, 150, 205)], "doc_id long, line_no int")
     got = {r.line_no: (r.span_start, r.span_end)
-           for r in context.innermost_span(f, spans, ["doc_id", "line_no"], bucket=8).collect()}
+           for r in context.innermost_span(f, spans).collect()}
     assert got == {5: (1, 100), 15: (10, 60), 25: (20, 30), 61: (1, 100), 150: (None, None), 205: (200, 210)}
 
 
