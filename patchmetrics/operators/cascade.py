@@ -70,6 +70,10 @@ def respond_with(prompts: DataFrame, responder, schema: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------------------------------------- X7: splicing
+def _type(df: DataFrame, name: str) -> str:
+    return df.schema[name].dataType.simpleString()
+
+
 def apply_patches(docs: DataFrame, patches: DataFrame, key: str = "doc_id", code_col: str = "code",
                   order_col: str = "patch_seq", mode: str = "original") -> DataFrame:
     """X7 over many documents: splice patches ``(key, order_col, start_line, end_line, block)`` into their document.
@@ -80,11 +84,12 @@ def apply_patches(docs: DataFrame, patches: DataFrame, key: str = "doc_id", code
     that starts before it is left out and listed in ``skipped``, so no line outside an edited range is ever lost.
     Blocks get a trailing newline if they lack one.
 
-    Patches are collected per document (a document is one row anyway) and folded with ``aggregate``; documents
-    without a patch pass through. Output: ``key, code, n_patches`` (applied edits)``, overlapping, skipped``
+    For texts of which each fits a row; ``operators.splice`` does the same on line tables, for documents of any size.
+    Patches are collected per document; the original mode walks once over them and the lines, the sequential mode folds
+    them. Documents without a patch pass through. Output: ``key, code, n_patches`` (applied edits)``, overlapping, skipped``
     (``order_col`` of the edits left out) ``, wiped`` (P20, the result is empty).
     """
-    from ..functions.text import split_lines_keepends, splice_lines
+    from ..functions.text import ensure_trailing_newline, split_lines_keepends, splice_lines
 
     if mode not in ("original", "sequential"):
         raise ValueError("mode must be 'original' or 'sequential'")
@@ -102,20 +107,27 @@ def apply_patches(docs: DataFrame, patches: DataFrame, key: str = "doc_id", code
     kind = per_doc.schema["_p"].dataType.simpleString()
     j = docs.select(key, code_col).join(per_doc, key, "left").withColumn(
         "_p", F.coalesce(F.col("_p"), F.array().cast(kind)))
+    lines = split_lines_keepends(F.coalesce(F.col(code_col), F.lit("")))
     if mode == "original":
-        # Accepted edits, last one first (as they are spliced), and the order numbers of those left out.
-        start = F.struct(F.array().cast(kind).alias("use"), F.array().cast(f"array<{order_type}>").alias("skip"))
+        # Applied edits in order, each with the end of the one before it, and the order numbers of those left out.
+        used = f"struct<s:{_type(patches, 'start_line')},e:{_type(patches, 'end_line')},b:string,after:{_type(patches, 'end_line')}>"
+        start = F.struct(F.array().cast(f"array<{used}>").alias("use"), F.array().cast(f"array<{order_type}>").alias("skip"))
 
         def choose(acc, x):
-            fits = (F.size(acc["use"]) == 0) | (F.get(acc["use"], F.lit(0))["e"] < x["s"])
-            return F.struct(F.when(fits, F.concat(F.array(x), acc["use"])).otherwise(acc["use"]).alias("use"),
+            end = F.try_element_at(acc["use"], F.lit(-1))["e"]
+            fits = end.isNull() | (end < x["s"])
+            one = F.array(F.struct(x["s"].alias("s"), x["e"].alias("e"), x["b"].alias("b"), F.coalesce(end, F.lit(0)).alias("after")))
+            return F.struct(F.when(fits, F.concat(acc["use"], one)).otherwise(acc["use"]).alias("use"),
                             F.when(fits, acc["skip"]).otherwise(F.concat(acc["skip"], F.array(x["o"]))).alias("skip"))
 
-        j = j.withColumn("_c", F.aggregate("_p", start, choose))
+        j = j.withColumn("_c", F.aggregate("_p", start, choose)).withColumn("_lines", lines)
+        kept = lambda a, b: F.slice("_lines", a + 1, F.greatest(F.least(b, F.size("_lines")) - a, F.lit(0)))
+        before = F.transform("_c.use", lambda x: F.concat(kept(x["after"], x["s"] - 1), F.array(ensure_trailing_newline(x["b"]))))
+        end = F.coalesce(F.try_element_at("_c.use", F.lit(-1))["e"], F.lit(0))
+        folded = F.concat(F.flatten(before), kept(end, F.size("_lines")))
     else:
         j = j.withColumn("_c", F.struct(F.col("_p").alias("use"), F.array().cast(f"array<{order_type}>").alias("skip")))
-    lines = split_lines_keepends(F.coalesce(F.col(code_col), F.lit("")))
-    folded = F.aggregate(F.col("_c.use"), lines, lambda acc, x: splice_lines(acc, x["s"], x["e"], x["b"]))
+        folded = F.aggregate(F.col("_c.use"), lines, lambda acc, x: splice_lines(acc, x["s"], x["e"], x["b"]))
     out = j.select(key, F.when(F.size("_p") == 0, F.coalesce(F.col(code_col), F.lit("")))
                    .otherwise(F.array_join(folded, "")).alias(code_col),
                    F.size("_c.use").alias("n_patches"), (F.size("_c.skip") > 0).alias("overlapping"),
