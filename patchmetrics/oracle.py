@@ -480,6 +480,25 @@ DOC_SQL = {
             coalesce(length(string_agg(up.line, '')), 0) = 0 AS wiped, CAST(0 AS INTEGER) AS n_skipped
             FROM documents d LEFT JOIN up ON up.doc_id = d.doc_id GROUP BY d.doc_id"""),
     "remediation_cascade": _cascade_sql(),
+    "splice_line_table": "WITH RECURSIVE " + LINES.strip() + r""",
+        edits AS (
+          SELECT doc_id, line_no AS s, line_no + doc_id % 4 AS e, line_no * 10 + 1 AS o, translate(line, 'aeiou', 'AEIOU') AS b
+            FROM doc_lines WHERE line_no % 7 = 3
+          UNION ALL SELECT doc_id, line_no, line_no + 1, line_no * 10 + 2, 'spliced' || chr(10) || 'twice' FROM doc_lines WHERE line_no % 11 = 5
+          UNION ALL SELECT doc_id, line_no, line_no - 1, line_no * 10 + 3, '' FROM doc_lines WHERE line_no % 13 = 1),
+        e1 AS MATERIALIZED (SELECT doc_id, s, e, arg_max(b, o) AS b FROM edits GROUP BY doc_id, s, e),
+        pick AS (
+          SELECT doc_id, min(s * 10000000 + e) AS c FROM e1 GROUP BY doc_id
+          UNION ALL
+          SELECT p.doc_id, min(x.s * 10000000 + x.e) FROM pick p JOIN e1 x ON x.doc_id = p.doc_id AND x.s > p.c % 10000000
+            AND x.s * 10000000 + x.e > p.c GROUP BY p.doc_id),
+        used AS (SELECT x.* FROM e1 x JOIN pick p ON p.doc_id = x.doc_id AND p.c = x.s * 10000000 + x.e),
+        parts AS (SELECT doc_id, s, e, string_split(CASE WHEN b LIKE '%' || chr(10) THEN left(b, length(b) - 1) ELSE b END, chr(10)) AS ls FROM used),
+        new AS (
+          SELECT doc_id, s AS place, 0 AS sub, e, generate_subscripts(ls, 1) AS i, unnest(ls) || chr(10) AS line FROM parts
+          UNION ALL SELECT doc_id, line_no, 1, 0, 0, line FROM klines k
+            WHERE NOT EXISTS (SELECT 1 FROM used u WHERE u.doc_id = k.doc_id AND k.line_no BETWEEN u.s AND u.e))
+        SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY place, sub, e, i) AS line_no, line FROM new""",
     "multiset_line_churn": with_(LINES + """,
         cb AS (SELECT doc_id, line, count(*) AS cb FROM doc_lines GROUP BY ALL),
         ca AS (SELECT doc_id, line, count(*) AS ca FROM edited GROUP BY ALL),

@@ -339,6 +339,13 @@ def q_multiset_line_churn(spark, sf):
     return churn.multiset_line_churn(fixtures.doc_lines(spark, sf), fixtures.edited_lines(spark, sf))
 
 
+@query("ordered_line_churn")
+def q_ordered_line_churn(spark, sf):
+    """ordered churn of documents against a version with deleted, changed and moved lines."""
+    from .operators.line_diff import line_churn
+    return line_churn(fixtures.doc_lines(spark, sf), fixtures.moved_lines(spark, sf))
+
+
 @query("code_stats")
 def q_code_stats(spark, sf):
     return churn.code_stats(fixtures.code_blocks(spark, sf), fixtures.doc_lines(spark, sf))
@@ -399,6 +406,13 @@ def q_apply_patches(spark, sf):
     return apply_patches(_codes(spark, sf), patches, mode="original").withColumn("n_skipped", F.size("skipped")).drop("skipped")
 
 
+@query("splice_line_table")
+def q_splice_line_table(spark, sf):
+    """X7 on line tables: overlapping, superseded and inserting edits of whole documents."""
+    from .operators.splice import splice_lines
+    return splice_lines(_keepends_lines(spark, sf), fixtures.line_edits(spark, sf))[0]
+
+
 def _cascade(spark, sf, **options):
     from .operators.cascade import remediate
     rule_table = fixtures.rules(spark)

@@ -117,6 +117,26 @@ def edited_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.when(F.col("line_no") % 5 == 2, F.upper("line")).otherwise(F.col("line")).alias("line")))
 
 
+def moved_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edited text with every line of ``line_no % 9 = 4`` moved six lines down."""
+    edited = edited_lines(spark, sf_dir)
+    return edited.withColumn("line_no", F.col("line_no") * 10 + F.when(F.col("line_no") % 9 == 4, F.lit(65)).otherwise(F.lit(0)))
+
+
+def line_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edits of line ranges, some overlapping and some of one range: lines with vowels upper-cased, two new lines, insertions."""
+    dl = doc_lines(spark, sf_dir)
+    n = F.col("line_no")
+    kinds = F.filter(F.array(
+        F.when(n % 7 == 3, F.struct(F.lit(1).alias("k"), (n + F.col("doc_id") % 4).cast("int").alias("e"),
+                                   F.translate("line", "aeiou", "AEIOU").alias("b"))),
+        F.when(n % 11 == 5, F.struct(F.lit(2).alias("k"), (n + 1).alias("e"), F.lit("spliced\ntwice").alias("b"))),
+        F.when(n % 13 == 1, F.struct(F.lit(3).alias("k"), (n - 1).alias("e"), F.lit("").alias("b")))), lambda x: x.isNotNull())
+    return dl.select("doc_id", "line_no", F.explode(kinds).alias("x")).select(
+        "doc_id", (F.col("line_no") * 10 + F.col("x.k")).alias("patch_seq"), F.col("line_no").alias("start_line"),
+        F.col("x.e").alias("end_line"), F.col("x.b").alias("block"))
+
+
 # Fixed rule table of the fixture (FIXTURES.md 2.4).
 RULES = [
     ("R001", "HIGH", 'token = "[0-9a-f]{40}"'),
