@@ -458,17 +458,39 @@ DOC_SQL = {
             coalesce(any_value(m.n_blocks), 0) AS n_blocks,
             CAST(count_if(regexp_matches(l.line, '\S')) AS BIGINT) AS sloc
             FROM doc_lines l LEFT JOIN m ON m.doc_id = l.doc_id GROUP BY l.doc_id"""),
-    "page_text_extract": with_(r"""
-        h AS (SELECT page_id, url, regexp_replace(html, '(?s)<!--.*?-->|<script.*?</script>|<style.*?</style>', '', 'g') AS html
-              FROM pages),
-        i AS (SELECT *, regexp_extract(html, '(?s)<article(\s[^>]*)?>(.*?)</article>', 2) AS body FROM h),
-        t AS (SELECT *, regexp_extract_all(regexp_replace(body, '(?s)<li(\s[^>]*)?>.*?</li>|<p\s[^>]*class[^>]*>.*?</p>', '', 'g'),
-                       '(?s)<p(\s[^>]*)?>(.*?)</p>', 2) AS p,
-                     regexp_extract_all(body, '(?s)<h[1-3](\s[^>]*)?>(.*?)</h[1-3]>', 2) AS q FROM i),
-        c AS (SELECT *, array_to_string([x for x in [trim(regexp_replace(y, '<[^>]*>', '', 'g')) for y in p] if x <> ''], chr(10)) AS a,
-                     array_to_string([x for x in [trim(regexp_replace(y, '<[^>]*>', '', 'g')) for y in q] if x <> ''], chr(10)) AS b FROM t)""",
-        """SELECT page_id, url, CASE WHEN NOT regexp_matches(html, '(?s)<article(\\s[^>]*)?>(.*?)</article>') THEN 'docs not found'
-            ELSE nullif(array_to_string([x for x in [a, b] if x <> ''], chr(10)), '') END AS text FROM c"""),
+    "page_text_extract": r"""
+        WITH RECURSIVE tokens AS MATERIALIZED (
+          SELECT page_id, generate_subscripts(x, 1) AS i, unnest(x) AS x, len(x) AS n FROM (SELECT page_id,
+            regexp_extract_all(html, '(?s)<!--.*?-->|<script.*?</script>|<style.*?</style>|<[^>]*>|[^<]+') AS x FROM pages)),
+        tag AS MATERIALIZED (
+          SELECT page_id, i, lower(regexp_extract(x, '^</?([a-zA-Z][a-zA-Z0-9]*)', 1)) AS name,
+            regexp_matches(x, '\sclass[\s=>]') AS classed,
+            CASE WHEN NOT regexp_matches(x, '^</?[a-zA-Z]') OR regexp_matches(x, '^<(script|style|br|meta|img|link|hr|input)') THEN 0
+                 WHEN x[2] = '/' THEN 2 ELSE 1 END AS kind FROM tokens),
+        st AS (
+          SELECT page_id, 0::BIGINT AS i, []::STRUCT(name VARCHAR, pos BIGINT, keep INT, li INT)[] AS stack, 0::BIGINT AS box,
+            []::STRUCT(pos BIGINT, till BIGINT, keep INT)[] AS out FROM pages
+          UNION ALL
+          SELECT page_id, i, CASE kind WHEN 2 THEN stack[:p - 1] WHEN 1 THEN list_append(stack, {'name': name, 'pos': i, 'keep': keep,
+              'li': li + (name = 'li')::INT}) ELSE stack END,
+            CASE WHEN kind = 2 AND box >= p THEN -1 WHEN kind = 1 AND box = 0 AND name = 'article' THEN len(stack) + 1 ELSE box END,
+            CASE WHEN kind = 2 THEN out || [{'pos': e.pos, 'till': i, 'keep': e.keep} for e in stack[p:] if e.keep > 0] ELSE out END
+          FROM (SELECT *, CASE WHEN box <= 0 THEN 0 WHEN name = 'p' AND li = 0 AND NOT classed THEN 1
+                               WHEN name IN ('h1', 'h2', 'h3') THEN 2 ELSE 0 END AS keep
+                FROM (SELECT s.page_id, t.i, s.stack, s.box, s.out, t.kind, t.name, t.classed, coalesce(s.stack[-1].li, 0) AS li,
+                        len(s.stack) + 1 - coalesce(list_position(list_reverse([e.name for e in s.stack]), t.name), 0) AS p
+                      FROM st s JOIN tag t ON t.page_id = s.page_id AND t.i = s.i + 1))),
+        done AS (SELECT st.page_id, st.box, st.out || [{'pos': e.pos, 'till': st.i + 1, 'keep': e.keep} for e in st.stack if e.keep > 0] AS out
+                 FROM st WHERE st.i = coalesce((SELECT max(n) FROM tokens WHERE tokens.page_id = st.page_id), 0)),
+        el AS (SELECT page_id, unnest(out, recursive := true) FROM done),
+        words AS MATERIALIZED (SELECT page_id, i, replace(replace(replace(replace(regexp_replace(x, '^\s+|\s+$', '', 'g'),
+                   '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&') AS w FROM tokens WHERE x[1] <> '<'),
+        texts AS (SELECT el.page_id, el.pos, el.keep, coalesce(string_agg(w.w, '' ORDER BY w.i), '') AS text
+                  FROM el LEFT JOIN words w ON w.page_id = el.page_id AND w.i > el.pos AND w.i < el.till GROUP BY ALL),
+        joined AS (SELECT page_id, coalesce(string_agg(text, chr(10) ORDER BY pos) FILTER (WHERE keep = 1), '')
+                     || coalesce(string_agg(text, chr(10) ORDER BY pos) FILTER (WHERE keep = 2), '') AS text FROM texts GROUP BY page_id)
+        SELECT page_id, url, CASE WHEN box = 0 THEN 'docs not found' ELSE nullif(coalesce(text, ''), '') END AS text
+        FROM pages JOIN done USING (page_id) LEFT JOIN joined USING (page_id)""",
     "apply_patches": with_(LINES + """,
         hit AS (SELECT DISTINCT doc_id, line_no FROM fb),
         up AS (SELECT k.doc_id, k.line_no, CASE WHEN hit.line_no IS NULL THEN k.line ELSE
