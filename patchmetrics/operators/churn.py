@@ -12,14 +12,19 @@ from pyspark.sql import functions as F
 from ..functions.money import half_even_ratio
 
 
-def code_stats(blocks: DataFrame, lines: DataFrame, key: str = "doc_id", line_col: str = "line") -> DataFrame:
+COMMENT = "#"
+
+
+def code_stats(blocks: DataFrame, lines: DataFrame, key: str = "doc_id", line_col: str = "line",
+               comment: str = COMMENT) -> DataFrame:
     """``(key, avg_cyclomatic_complexity, n_blocks, sloc)`` per document.
 
     Mean block complexity, half-even to two places, 0 without blocks; ``sloc`` = lines that hold more than white
-    space. Both sides are pre-aggregated to one row per document before they meet.
+    space and whose first other character does not start a comment (``comment``). Both sides are pre-aggregated to one row per document before they meet.
     """
     b = blocks.groupBy(key).agg(F.sum("complexity").alias("_sum"), F.count(F.lit(1)).alias("n_blocks"))
-    n = lines.groupBy(key).agg(F.count_if(F.col(line_col).rlike(r"\S")).alias("sloc"))
+    code = F.col(line_col).rlike(r"\S") & ~F.regexp_replace(line_col, r"^\s+", "").startswith(comment)
+    n = lines.groupBy(key).agg(F.count_if(code).alias("sloc"))
     mean = half_even_ratio(F.col("_sum"), F.col("n_blocks"), 2, percent=False)
     return n.join(b, key, "left").select(
         key, F.coalesce(mean, F.lit(0).cast("decimal(18,2)")).alias("avg_cyclomatic_complexity"),

@@ -6,6 +6,8 @@ Each entry is plain SQL over the pre-registered views (``lineitem``, ``orders``,
 
 from __future__ import annotations
 
+from .operators.audit import PRICING_PER_1M
+
 # ----------------------------------------------------------------------------------------------- CTE blocks
 ATTEMPTS = r"""
 keyed AS (
@@ -125,6 +127,13 @@ AUDIT_SQL = {
     "attempt_normalize": "SELECT * FROM norm",
     "attempt_cost": """SELECT file_uid, vulnerability_id, attempt_seq, model, pricing_model, prompt_tokens,
         completion_tokens, cost_usd FROM priced""",
+    "attempt_cost_by_model": f"""SELECT m.model, count(*)::BIGINT AS attempts, sum(n.prompt_tokens)::BIGINT AS prompt_tokens,
+        sum(n.completion_tokens)::BIGINT AS completion_tokens, sum(CAST(round(CAST((n.prompt_tokens * m.input + n.completion_tokens * m.output)
+          AS DECIMAL(24,3)) * CAST(0.000001 AS DECIMAL(7,6)), 6) AS DECIMAL(18,6)))::DECIMAL(18,6) AS cost_usd
+        FROM norm n JOIN (VALUES {", ".join(f"({i}, '{m}', CAST({a} AS DECIMAL(9,3)), CAST({b} AS DECIMAL(9,3)))"
+                                            for i, (m, a, b) in enumerate([*PRICING_PER_1M, ("unlisted-model", "0", "0")]))}) AS m(i, model, input, output)
+          ON m.i = (n.prompt_tokens + n.attempt_seq) % {len(PRICING_PER_1M) + 1}
+        GROUP BY m.model""",
     "attempt_sequence": """SELECT file_uid, vulnerability_id, level, attempt_seq,
         CAST(row_number() OVER (PARTITION BY file_uid ORDER BY level, attempt_seq) AS BIGINT) AS seq FROM norm""",
     "attempt_union_levels": """SELECT file_uid, vulnerability_id, attempt_seq, level, model, status, cost_usd
@@ -337,6 +346,19 @@ def _template_sql(code: str, strategy: str) -> str:
     return " || ".join(parts)
 
 
+def _plan_sql() -> str:
+    """The plan prompt of ``code``, ``test_id`` and ``scraped`` columns."""
+    import string
+    from .operators.cascade import DEFAULT_PLAN_TEMPLATE
+    fields = {"code_snippet": "coalesce(code, '')", "issue": "test_id", "documentation": "scraped"}
+    parts = []
+    for literal, name, _spec, _conv in string.Formatter().parse(DEFAULT_PLAN_TEMPLATE):
+        parts.append("'" + literal.replace("'", "''") + "'")
+        if name:
+            parts.append(fields[name])
+    return " || ".join(parts)
+
+
 def _cascade_sql() -> str:
     """Two levels over one-line contexts: reply per finding, last reply of a line wins, verify per document and rule."""
     mask = "regexp_replace(s.line, '[a-z0-9.]+@[a-z]+', '[email]', 'g')"
@@ -456,7 +478,7 @@ DOC_SQL = {
                      count(*) AS n_blocks FROM bl GROUP BY doc_id)""",
         r"""SELECT l.doc_id, coalesce(any_value(m.avg_cyclomatic_complexity), 0) AS avg_cyclomatic_complexity,
             coalesce(any_value(m.n_blocks), 0) AS n_blocks,
-            CAST(count_if(regexp_matches(l.line, '\S')) AS BIGINT) AS sloc
+            CAST(count_if(regexp_matches(l.line, '^\s*[^\s#]')) AS BIGINT) AS sloc
             FROM doc_lines l LEFT JOIN m ON m.doc_id = l.doc_id GROUP BY l.doc_id"""),
     "page_text_extract": r"""
         WITH RECURSIVE tokens AS MATERIALIZED (
@@ -532,6 +554,15 @@ DOC_SQL = {
     "prompt_projection": f"""SELECT u.conv_id, u.turn, {_template_sql('u.text', 'a.text')} AS prompt
         FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn + 1 = u.turn
         WHERE u.role = 'user' AND a.role = 'assistant'""",
+    "plan_prompts": with_(LINES + f""",
+        nl AS (SELECT doc_id, max(line_no) AS n FROM klines GROUP BY doc_id),
+        c AS (SELECT fb.doc_id, fb.line_no, fb.test_id, fb.severity, string_agg(k.line, '' ORDER BY k.line_no) AS code
+              FROM fb LEFT JOIN klines k ON k.doc_id = fb.doc_id AND k.line_no BETWEEN fb.line_no - 5 AND fb.line_no + 5 GROUP BY ALL),
+        pk AS (SELECT url, html, {DOC_REWRITE.format(u='url')} AS k FROM pages),
+        docs AS (SELECT k, arg_min({H1}, {{'moved': url <> k, 'url': url}}) AS t FROM pk GROUP BY k),
+        p AS (SELECT c.*, CASE WHEN g.url IS NULL OR g.url = '' THEN 'No documentation URL provided.' WHEN docs.t IS NULL THEN 'docs not found'
+                ELSE docs.t END AS scraped FROM c LEFT JOIN pages g ON g.page_id = c.doc_id LEFT JOIN docs ON docs.k = {DOC_REWRITE.format(u='g.url')})""",
+        f"""SELECT doc_id, line_no, test_id, severity, {STRIP.format(x=REPLY_UNFENCE.format(x='(' + _plan_sql() + ')'))} AS strategy FROM p"""),
     "attach_responses": f"""SELECT u.conv_id, u.turn, CAST(length(u.text) AS INTEGER) AS prompt_chars, a.text AS reply,
         {STRIP.format(x=REPLY_UNFENCE.format(x='a.text'))} AS reply_clean
         FROM conversations u LEFT JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1

@@ -24,30 +24,19 @@ def build_log(spark: SparkSession, sf_dir: str) -> DataFrame:
                                  timestamp=F.lit("1970-01-01T00:00:00"))
 
 
-def audit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The report stage's input: the audit log, built once per session and checkpointed.
+def long_form(spark: SparkSession, sf_dir: str, stored: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The report's input, built from the attempts anew: ``(files, traces of valid files, attempts of valid files)``.
 
-    The reference's report reads a stored log file; here the stored copy is a parquet table under
-    ``spark.checkpoint.dir``.
+    Flat rows only: no nested record of a hot file is ever built, shuffled or read for the report. ``stored`` writes the
+    three tables first, for a report that reads them several times.
     """
     from ..sources.store import materialize
-    return fixtures.memo(spark, sf_dir, "audit_log", lambda: materialize(build_log(spark, sf_dir), "audit_log"))
 
-
-def long_form(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The report's input: ``(files, traces of valid files, attempts of valid files)``, stored once per session.
-
-    Flat rows only: no nested record of a hot file is ever built, shuffled or read for the report.
-    """
-    from ..sources.store import materialize
-
-    def build():
-        files, vulns, attempts = audit.long_form_log(priced_attempts(spark, sf_dir), fixtures.file_facts(spark, sf_dir))
+    files, vulns, attempts = audit.long_form_log(priced_attempts(spark, sf_dir), fixtures.file_facts(spark, sf_dir))
+    if stored:
         files = materialize(files, "report_files")
-        return (files, materialize(report.of_valid_files(files, vulns), "report_traces"),
-                materialize(report.of_valid_files(files, attempts), "report_attempts"))
-
-    return fixtures.memo(spark, sf_dir, "long_form", build)
+    vulns, attempts = report.of_valid_files(files, vulns), report.of_valid_files(files, attempts)
+    return (files, materialize(vulns, "report_traces"), materialize(attempts, "report_attempts")) if stored else (files, vulns, attempts)
 
 
 def valid_records(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,6 +35,18 @@ def q_attempt_cost(spark, sf):
                                                 "pricing_model", "prompt_tokens", "completion_tokens", "cost_usd")
 
 
+@query("attempt_cost_by_model")
+def q_attempt_cost_by_model(spark, sf):
+    """S8 + J1 + X8 over the whole rate card: attempts dealt over every listed model and one that is not listed."""
+    norm = audit.normalize_attempts(fixtures.attempts(spark, sf))
+    models = [m for m, *_ in audit.PRICING_PER_1M] + [fixtures.UNLISTED_MODEL]
+    dealt = F.element_at(F.array(*map(F.lit, models)), ((F.col("prompt_tokens") + F.col("attempt_seq")) % len(models) + 1).cast("int"))
+    priced = audit.price_attempts(norm.withColumn("model", dealt).withColumn("pricing_model", dealt))
+    return priced.groupBy("model").agg(
+        F.count(F.lit(1)).alias("attempts"), F.sum("prompt_tokens").alias("prompt_tokens"),
+        F.sum("completion_tokens").alias("completion_tokens"), F.sum("cost_usd").cast("decimal(18,6)").alias("cost_usd"))
+
+
 @query("attempt_sequence")
 def q_attempt_sequence(spark, sf):
     norm = audit.normalize_attempts(fixtures.attempts(spark, sf)).select(
@@ -103,7 +115,7 @@ def q_audit_log_nested(spark, sf):
 # ------------------------------------------------------------------ report (C4)
 @query("audit_flatten")
 def q_audit_flatten(spark, sf):
-    return report.flatten(ap.audit_log(spark, sf)).drop("vulnerabilities")
+    return report.flatten(ap.build_log(spark, sf)).drop("vulnerabilities")
 
 
 @query("audit_dataset_counts")
@@ -119,12 +131,12 @@ def q_valid_file_semi_join(spark, sf):
 
 @query("explode_vulnerabilities")
 def q_explode_vulnerabilities(spark, sf):
-    return ap.long_form(spark, sf)[1]
+    return report.explode_vulnerabilities(report.valid_entries(ap.build_log(spark, sf)))
 
 
 @query("explode_attempts")
 def q_explode_attempts(spark, sf):
-    return ap.long_form(spark, sf)[2]
+    return report.explode_attempts(report.valid_entries(ap.build_log(spark, sf)))
 
 
 @query("vuln_fix_rate")
@@ -179,12 +191,12 @@ def q_success_by_test_id(spark, sf):
 
 @query("kpi_report")
 def q_kpi_report(spark, sf):
-    return report.kpi_report_flat(*ap.long_form(spark, sf))
+    return report.kpi_report_flat(*ap.long_form(spark, sf, stored=True))
 
 
 @query("kpi_rendered")
 def q_kpi_rendered(spark, sf):
-    return report.render_report(report.kpi_report_flat(*ap.long_form(spark, sf))).select("section", "metric", "key", "line")
+    return report.render_report(report.kpi_report_flat(*ap.long_form(spark, sf, stored=True))).select("section", "metric", "key", "line")
 
 
 # ------------------------------------------------------------------ corpus and text (C1, X-functions)
@@ -380,6 +392,21 @@ def q_prompt_projection(spark, sf):
                                                      fix_strategy=F.col("fix_strategy")).alias("prompt"))
 
 
+@query("plan_prompts")
+def q_plan_prompts(spark, sf):
+    """Findings with their line windows and documentation as plan prompts; the replies are the prompts themselves."""
+    from .operators.cascade import plan_findings
+    d = read_table(spark, sf, "documents", ["doc_id", "text"])
+    p = read_table(spark, sf, "pages", ["page_id", "url", "html"])
+    found = fixtures.rule_findings(spark, sf)
+    contexts = context.line_window_context(found, _keepends_lines(spark, sf), _FKEYS, counts=context.document_line_counts(d))
+    linked = found.join(p.select(F.col("page_id").alias("doc_id"), F.col("url").alias("more_info_url")), "doc_id", "left")
+    docs = p.select("url", pages.h1_headings("html").alias("text"))
+    planned = plan_findings(linked, contexts.select(*_FKEYS, "code"), docs,
+                            lambda prompts: prompts.select(*_FKEYS, F.col("prompt").alias("reply")), _FKEYS)
+    return planned.select(*_FKEYS, "severity", "strategy")
+
+
 @query("attach_responses")
 def q_attach_responses(spark, sf):
     from .operators.cascade import attach_responses

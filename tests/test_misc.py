@@ -37,3 +37,13 @@ def test_spread_and_materialize(spark):
     assert ensure_parallelism(many) is many                                   # enough splits: untouched
     stored = materialize(spread.withColumn("x", F.col("k") * 2), "t")
     assert stored.count() == 1000 and stored.agg(F.sum("x")).first()[0] == 999000
+
+
+def test_sloc_leaves_out_blank_and_comment_lines(spark):
+    from patchmetrics.operators.churn import code_stats
+    text = ["a = 1", "", "  ", "# note", "\t# note", "b  # tail", "#", "x"]
+    lines = spark.createDataFrame([(1, i, t) for i, t in enumerate(text)] + [(2, 0, "-- sql"), (2, 1, "# md")], "doc_id long, line_no int, line string")
+    blocks = spark.createDataFrame([(1, "f", 3), (1, "g", 4)], "doc_id long, name string, complexity long")
+    got = {r.doc_id: (float(r.avg_cyclomatic_complexity), r.n_blocks, r.sloc) for r in code_stats(blocks, lines).collect()}
+    assert got == {1: (3.5, 2, 3), 2: (0.0, 0, 1)}
+    assert {r.doc_id: r.sloc for r in code_stats(blocks, lines, comment="--").collect()} == {1: 6, 2: 1}

@@ -93,7 +93,7 @@ def test_half_even_rounding(spark):
 def test_round_trip_report(spark):
     from patchmetrics.plans import audit_pipeline as ap
     from tests.conftest import SF_SMALL
-    log = ap.audit_log(spark, SF_SMALL)
+    log = ap.build_log(spark, SF_SMALL)
     path = os.path.join(tempfile.mkdtemp(prefix="pm-rt-"), "log")
     append_audit_log(log, path)
     back = read_audit_log(spark, path)
