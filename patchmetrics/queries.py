@@ -203,6 +203,7 @@ def q_kpi_rendered(spark, sf):
 from .functions import text as T  # noqa: E402
 from .operators import churn, context, corpus, findings, pages  # noqa: E402
 from .operators.cascade import DEFAULT_PATCH_TEMPLATE, fill_template  # noqa: E402
+from .sources.io import ORDER_COLS  # noqa: E402
 from .sources.tables import read_table  # noqa: E402
 
 
@@ -213,8 +214,8 @@ def q_corpus_language_filter(spark, sf):
 
 @query("corpus_prepare")
 def q_corpus_prepare(spark, sf):
-    prepared = corpus.prepare_corpus(fixtures.raw_samples(spark, sf), lang="en", code_col="chosen",
-                                     order_cols=["doc_id"])
+    prepared = corpus.prepare_corpus(fixtures.raw_samples(spark, sf, source_order=True), lang="en", code_col="chosen",
+                                     order_cols=ORDER_COLS)
     return prepared.select("sample_id", "doc_id", "filename", "code")
 
 

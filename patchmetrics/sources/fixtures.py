@@ -94,14 +94,19 @@ def file_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("o_orderkey") % 120).alias("ast_churn"), (F.col("o_orderkey") % 4).alias("vuln_count_after"))
 
 
-def raw_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = read_table(spark, sf_dir, "documents", ["doc_id", "lang", "text"])
+def raw_samples(spark: SparkSession, sf_dir: str, source_order: bool = False) -> DataFrame:
+    """Fenced samples; ``source_order`` reads the files as they are split, with the columns of their order."""
+    from .io import ORDER_COLS, with_source_order
+    if source_order:
+        d = with_source_order(read_table(spark, sf_dir, "documents", spread=False)).select("doc_id", "lang", "text", *ORDER_COLS)
+    else:
+        d = read_table(spark, sf_dir, "documents", ["doc_id", "lang", "text"])
     nl = F.lit("\n")
     chosen = (F.when(F.col("doc_id") % 7 == 0, F.lit("```python\n   \n```"))
               .when(F.col("doc_id") % 3 == 0, F.concat(F.lit("```python\n"), F.col("text"), F.lit("\n```")))
               .when(F.col("doc_id") % 3 == 1, F.concat(F.lit("```"), nl, F.col("text"), nl, F.lit("```  ")))
               .otherwise(F.col("text")))
-    return d.select("doc_id", "lang", chosen.alias("chosen"))
+    return d.select("doc_id", "lang", chosen.alias("chosen"), *(ORDER_COLS if source_order else []))
 
 
 def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

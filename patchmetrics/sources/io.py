@@ -10,20 +10,25 @@ from pyspark.sql import functions as F
 
 from ..schemas import AUDIT_LOG_DDL, CORPUS_DDL
 
-ORDER_COLS = ["_src_file", "_src_block", "_src_pos"]
+ORDER_COLS = ["_src_file", "_src_block"]
+
+
+def with_source_order(df: DataFrame) -> DataFrame:
+    """``df``, a file scan, with the columns ``_src_file, _src_block``: the file and the first byte of the scanned split.
+
+    Rows of one split are read in file order by one task, so these two and the place within the split are the corpus
+    order (``operators.corpus.index_by_source_order``).
+    """
+    return df.select("*", F.col("_metadata.file_path").alias("_src_file"), F.col("_metadata.file_block_start").alias("_src_block"))
 
 
 def read_corpus_jsonl(spark: SparkSession, path: str, schema: str = CORPUS_DDL) -> DataFrame:
     """JSON Lines corpus with a stable corpus order.
 
-    ``_src_file, _src_block, _src_pos`` order rows as they appear in the files (file path, split start, position
-    within the scan task), which is what ``prepare_corpus(order_cols=ORDER_COLS)`` needs for the reference's
-    0-based row index. Blank lines produce no row.
+    ``_src_file, _src_block`` (``with_source_order``) give rows their place in the files, which is what
+    ``prepare_corpus(order_cols=ORDER_COLS)`` needs for the 0-based row index. Blank lines produce no row.
     """
-    df = spark.read.schema(schema).json(path)
-    return df.select("*", F.col("_metadata.file_path").alias("_src_file"),
-                     F.col("_metadata.file_block_start").alias("_src_block"),
-                     F.monotonically_increasing_id().alias("_src_pos"))
+    return with_source_order(spark.read.schema(schema).json(path))
 
 
 def read_audit_log(spark: SparkSession, path: str) -> DataFrame:
