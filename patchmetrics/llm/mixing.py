@@ -11,7 +11,9 @@ for what then remains are passed over, and further runs go on until no document
 of a source, then rows only in the range where the budget ends, so a hot source never stands in one task.
 
 Defined cases: a null or empty text has size 0 and is taken 0 words; sources may be null; an empty table gives an
-empty result; rows repeating a ``doc_id`` share one key, and in ``mix`` the larger of their copies.
+empty result; rows repeating a ``doc_id`` with equal texts share one key, and ``mix`` takes them alike; very long texts
+count whole; rows of equal key are taken in the order of their place. ``mix`` returns the columns of its input whatever
+their names; ``sample_words`` reads three columns and returns its own.
 """
 
 from __future__ import annotations
@@ -77,27 +79,29 @@ def _take(rows: DataFrame, budgets: DataFrame, scratch: Scratch, ranges: int) ->
     return inside.unionByName(last)
 
 
-def sample_words(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """``doc_id, size, source_size, target, copies, taken`` per row of ``docs(doc_id, text, source)``."""
-    spark = docs.sparkSession
+def _keyed(docs: DataFrame, size: str, key: str) -> DataFrame:
+    """``docs`` with the size and the exponential key of each row's text."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     name = F.concat(F.lit(SEED + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     u = (F.conv(F.substring(F.md5(name), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
-                       text.alias("text")).withColumn("size", word_count(F.col("text")))
-    rows = rows.select("doc_id", "source", "size", (-F.log(u) / quality(F.col("text"), F.col("size"))).alias("key"))
+    return docs.withColumn(size, word_count(text)).withColumn(key, -F.log(u) / quality(text, F.col(size)))
+
+
+def _plan(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """``rows(doc_id, source, size, key, row)``, ``targets(source, source_size, target, epochs)``, the ``row`` numbers that
+    the first run takes, and those that later runs take."""
+    ranges = max(64, shuffle_partitions(docs.sparkSession))
+    rows = _keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text"),
+                  "size", "key").drop("text")
     rows = scratch.save(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
     targets = scratch.save(source_targets(rows, scratch), "targets", narrow=True)
     share = F.col("target") / F.col("source_size")
     epochs = F.when(F.col("source_size") > 0, F.floor(share + 1e-12)).otherwise(0)
     targets = targets.withColumn("epochs", epochs)
     budgets = targets.select("source", F.greatest(F.lit(0.0), F.col("target") - F.col("epochs") * F.col("source_size")).alias("budget"))
-    ranges = max(64, shuffle_partitions(spark))
     left = rows.where("size > 0").select("row", "source", "size", "key")
-    chosen = None
-    while chosen is None or not left.isEmpty():
-        got = _take(left, budgets, scratch, ranges)
-        chosen = scratch.save(got if chosen is None else chosen.unionByName(got), "chosen", narrow=True)
+    first = chosen = scratch.save(_take(left, budgets, scratch, ranges), "chosen", narrow=True)
+    while True:
         used = chosen.groupBy("source").agg(F.sum("size").alias("used")).withColumnRenamed("source", "s")
         all_ = targets.select("source", (F.col("target") - F.col("epochs") * F.col("source_size")).alias("all"))
         budgets = scratch.save(all_.join(used, F.col("source").eqNullSafe(F.col("s")), "left")
@@ -106,8 +110,17 @@ def sample_words(docs: DataFrame, scratch: Scratch) -> DataFrame:
         fits = budgets.withColumnRenamed("source", "s")
         left = scratch.save(rest.join(fits, F.col("source").eqNullSafe(F.col("s"))).where("size <= budget")
                             .select("row", "source", "size", "key"), "left", narrow=True)
+        if left.isEmpty():
+            break
+        chosen = scratch.save(chosen.unionByName(_take(left, budgets, scratch, ranges)), "chosen", narrow=True)
+    return rows, targets, first.select("row"), chosen.join(first, "row", "left_anti").select("row")
+
+
+def sample_words(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """``doc_id, size, source_size, target, copies, taken`` per row of ``docs(doc_id, text, source)``."""
+    rows, targets, first, later = _plan(docs, scratch)
     t = targets.withColumnRenamed("source", "s")
-    out = (rows.join(chosen.select("row", F.lit(1).alias("more")), "row", "left")
+    out = (rows.join(first.unionByName(later).withColumn("more", F.lit(1)), "row", "left")
            .join(t, F.col("source").eqNullSafe(F.col("s"))))
     copies = (F.col("epochs") + F.coalesce("more", F.lit(0))).cast("long")
     return out.select("doc_id", "size", "source_size", "target", copies.alias("copies"),
@@ -115,13 +128,26 @@ def sample_words(docs: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """``docs`` with each row repeated as often as the mix takes it (rows of size 0 go)."""
+    """``docs`` with each row repeated as often as the mix takes it (rows of size 0 go).
+
+    The first run takes a source's documents up to one key, so a row's copies follow from its own key and its source's
+    cut; only what later runs fill in (less than one large document per source) is a table of ids. Both are small and
+    meet the texts by Spark's size rules, as a rule without moving them.
+    """
     scratch = Scratch(docs.sparkSession, "mix")
-    of, copies, copy = fresh(docs, "_of", "_copies", "_copy")
-    taken = (sample_words(docs, scratch).where("taken > 0").groupBy(F.col("doc_id").alias(of))
-             .agg(F.max("copies").alias(copies)))
-    out = docs.join(scratch.save(taken, "copies", narrow=True), F.col("doc_id").eqNullSafe(F.col(of)))
-    return out.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))).drop(copy, copies, of)
+    rows, targets, first, later = _plan(docs, scratch)
+    size, key, s, epochs, cut, of, of_key, copy = fresh(docs, "_size", "_key", "_s", "_epochs", "_cut", "_of", "_of_key", "_copy")
+    cuts = rows.join(first, "row", "left_semi").groupBy(F.col("source").alias("_cs")).agg(F.max("key").alias("_cut"))
+    of_source = scratch.save(targets.join(cuts, F.col("source").eqNullSafe(F.col("_cs")), "left").select(
+        F.col("source").alias(s), F.col("epochs").cast("long").alias(epochs), F.coalesce("_cut", F.lit(-1.0)).alias(cut)),
+        "cuts", narrow=True)
+    filled = scratch.save(rows.join(later, "row", "left_semi").select(F.col("doc_id").alias(of), F.col("key").alias(of_key)).distinct(),
+                          "filled", narrow=True)
+    at = _keyed(docs, size, key).where(F.col(size) > 0).join(of_source, F.col("source").cast("string").eqNullSafe(F.col(s)))
+    at = at.join(filled, F.col("doc_id").cast("long").eqNullSafe(F.col(of)) & (F.col(key) == F.col(of_key)), "left")
+    copies = F.col(epochs) + F.when((F.col(key) <= F.col(cut)) | F.col(of_key).isNotNull(), 1).otherwise(0)
+    return (at.withColumn(copy, copies).where(F.col(copy) > 0)
+            .withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copy)))).select(*[at[c] for c in docs.columns]))
 
 
 def op4_mix_sources(spark, sf_dir: str) -> DataFrame:

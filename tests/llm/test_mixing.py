@@ -88,6 +88,18 @@ def test_mix_repeats_rows(spark):
     mixed = mixing.mix(df)
     assert mixed.columns == df.columns
     assert mixed.count() * 4 == words["taken"].sum()
+    copies = {r["doc_id"]: r["count"] for r in mixed.groupBy("doc_id").count().collect()}
+    assert copies == {d: c for d, c in zip(words["doc_id"], words["copies"]) if c}
+
+
+def test_mix_takes_what_the_sample_takes(spark):
+    """Sources of many sizes with runs that fill in small documents, empty texts and a null source."""
+    rng = random.Random(8)
+    rows = [(i, "w " * min(3000, int(rng.lognormvariate(3, 2))), rng.choice([None, "a", "b", "c", "d"])) for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = {r["doc_id"]: r["copies"] for r in mixing.sample_words(df, Scratch(spark, "t")).collect() if r["taken"]}
+    got = {r["doc_id"]: r["count"] for r in mixing.mix(df).groupBy("doc_id").count().collect()}
+    assert got == want
 
 
 def test_odd_rows_and_empty_table(spark):
