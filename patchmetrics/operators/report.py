@@ -10,6 +10,8 @@ integer half-even rounding (``functions.money.half_even_ratio``) so two engines
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -242,13 +244,18 @@ def kpi_report_flat(files: DataFrame, vulns: DataFrame, attempts: DataFrame,
     -- however hot -- is gathered into one task. ``restrict_to_valid`` applies J2 to ``vulns``/``attempts``
     (semi join on the distinct ids of files with vulnerabilities) when they are not already restricted.
     """
-    c = F.col
     if restrict_to_valid:
         vulns, attempts = of_valid_files(files, vulns), of_valid_files(files, attempts)
+    return report_rows(file_state(files), attempt_state(attempts), trace_state(vulns))
+
+
+def file_state(files: DataFrame) -> DataFrame:
+    """All file-level sums of the report as one row; rows of several inputs add up (``add_states``)."""
+    c = F.col
     valid = c("vuln_count") > 0
     on_valid = lambda x: F.when(valid, x)
     ccd = c("cc_after").cast("decimal(18,2)") - c("cc_before").cast("decimal(18,2)")
-    fl = files.agg(
+    return files.agg(
         F.count(F.lit(1)).alias("loaded"), F.count_if(valid).alias("analyzed"),
         F.sum(on_valid(c("fixed_count"))).alias("fixed"), F.sum(on_valid(c("vuln_count"))).alias("detected"),
         F.count_if(valid & (c("vuln_count") == c("fixed_count"))).alias("remediated"),
@@ -256,7 +263,33 @@ def kpi_report_flat(files: DataFrame, vulns: DataFrame, attempts: DataFrame,
         F.sum(on_valid(c("normalized_loc_churn"))).alias("lc_sum"), F.count(on_valid(c("normalized_loc_churn"))).alias("lc_n"),
         F.sum(on_valid(c("ast_churn"))).alias("ac_sum"), F.count(on_valid(c("ast_churn"))).alias("ac_n"),
         F.sum(on_valid(ccd)).cast("decimal(18,2)").alias("cc_sum"), F.count(on_valid(ccd)).alias("cc_n"))
-    nul = F.lit(None)
+
+
+def attempt_state(attempts: DataFrame) -> DataFrame:
+    """All attempt-level sums of the report as one row."""
+    c = F.col
+    ok = c("status") == "SUCCESS"
+    return attempts.agg(
+        F.sum(F.when(ok, c("total_tokens"))).alias("t"), F.count_if(ok).alias("n"),
+        *[F.count_if(c("level") == lv).alias(f"a{lv}") for lv in LEVELS],
+        *[F.count_if(ok & (c("level") == lv)).alias(f"s{lv}") for lv in LEVELS])
+
+
+def trace_state(vulns: DataFrame) -> DataFrame:
+    """Cases and fixed cases of every severity (``gid`` 1) and of every rule (``gid`` 2)."""
+    return vulns.groupingSets([["severity"], ["test_id"]], "severity", "test_id").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("status") == "FIXED").alias("fixed"), F.grouping_id().alias("gid"))
+
+
+def add_states(states: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """State rows of several inputs as the state of all of them: every column is a sum, null where no input has a value."""
+    sums = [F.sum(f.name).cast(f.dataType).alias(f.name) for f in states.schema if f.name not in keys]
+    return states.groupBy(*keys).agg(*sums).select(*states.columns) if keys else states.agg(*sums)
+
+
+def report_rows(fl: DataFrame, at: DataFrame, by: DataFrame) -> DataFrame:
+    """The report from its three states."""
+    c, nul = F.col, F.lit(None)
     file_rows = fl.select(F.explode(F.array(
         _report_row("dataset", "loaded", nul, c("loaded"), nul, c("loaded")),
         _report_row("dataset", "analyzed", nul, c("analyzed"), nul, c("analyzed")),
@@ -271,18 +304,11 @@ def kpi_report_flat(files: DataFrame, vulns: DataFrame, attempts: DataFrame,
         _report_row("quality", "avg_complexity_change", nul, c("cc_sum"), c("cc_n"), _ratio(c("cc_sum"), c("cc_n"))),
     )).alias("r")).select("r.*")
 
-    ok = c("status") == "SUCCESS"
-    at = attempts.agg(
-        F.sum(F.when(ok, c("total_tokens"))).alias("t"), F.count_if(ok).alias("n"),
-        *[F.count_if(c("level") == lv).alias(f"a{lv}") for lv in LEVELS],
-        *[F.count_if(ok & (c("level") == lv)).alias(f"s{lv}") for lv in LEVELS])
     attempt_rows = at.select(F.explode(F.array(
         *[_report_row("tiers", "level_success_rate", F.lit(lv), c(f"s{lv}"), c(f"a{lv}"), _pct(c(f"s{lv}"), c(f"a{lv}")))
           for lv in LEVELS],
         _report_row("cost", "avg_tokens_per_fix", nul, c("t"), c("n"), _ratio(c("t"), c("n"))))).alias("r")).select("r.*")
 
-    by = vulns.groupingSets([["severity"], ["test_id"]], "severity", "test_id").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(c("status") == "FIXED").alias("fixed"), F.grouping_id().alias("gid"))
     vuln_rows = by.select(F.when(c("gid") == 1, _report_row("severity", "fixed_share_pct", c("severity"), c("fixed"),
                                                              c("n"), half_even_ratio(c("fixed"), c("n"), 2)))
                           .otherwise(_report_row("rule", "success_rate_pct", c("test_id"), c("fixed"), c("n"),
