@@ -255,7 +255,7 @@ def _kpi_sql() -> str:
     return "\nUNION ALL\n".join(parts)
 
 
-AUDIT_SQL["kpi_report"] = _kpi_sql()
+AUDIT_SQL["kpi_report"] = AUDIT_SQL["incremental_report"] = _kpi_sql()
 
 
 def _rendered_sql() -> str:

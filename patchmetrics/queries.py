@@ -194,6 +194,22 @@ def q_kpi_report(spark, sf):
     return report.kpi_report_flat(*ap.long_form(spark, sf, stored=True))
 
 
+@query("incremental_report")
+def q_incremental_report(spark, sf):
+    """S6 + C4: the nested log appended in three batches (each twice), reported from the batches' states."""
+    import uuid
+    from .session import ensure_checkpoint_dir
+    from .sources import log_store
+    from .sources.store import materialize
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/audit-log-{uuid.uuid4().hex}"
+    log = materialize(ap.build_log(spark, sf), "audit_log")
+    for b in range(3):
+        part = log.where(F.pmod(F.col("meta.file_uid").cast("long"), F.lit(3)) == b)
+        for _ in range(2):
+            log_store.append_batch(part, path, f"batch-{b}")
+    return log_store.report_of_batches(spark, path)
+
+
 @query("kpi_rendered")
 def q_kpi_rendered(spark, sf):
     return report.render_report(report.kpi_report_flat(*ap.long_form(spark, sf, stored=True))).select("section", "metric", "key", "line")

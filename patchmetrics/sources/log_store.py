@@ -1,13 +1,13 @@
 """S6 + C4: an audit log that grows by batches, may be appended twice, and is reported from additive states.
 
 ``append_batch`` writes a batch (its records as JSON Lines and the report's states over them) into a folder of its own and
-then commits it by creating one manifest file named after the batch. Readers see the folders named by manifests only, so
+then commits it with one manifest file named after the batch. Readers see the folders named by manifests only, so
 
 * a failed or half-written append leaves nothing visible;
 * appending a batch again, after a rerun or a lost reply, changes nothing;
 * of two writers of one batch the first to commit wins.
 
-Creating a file that must not exist is the one atomic step asked of the file system (HDFS and local disks have it).
+Renaming a file to a name that must not exist is the one atomic step asked of the file system (as HDFS has it).
 
 The report's figures are sums, so a batch stores one row of file sums, one of attempt sums and one row per severity and
 rule. What is not additive is kept as rows: a record of a file without vulnerabilities contributes its traces if another
@@ -78,17 +78,23 @@ def append_batch(log: DataFrame, path: str, batch: str) -> bool:
 
 
 def _commit(spark: SparkSession, path: str, batch: str, folder: str) -> bool:
+    """Name ``folder`` in the batch's manifest: written beside it, then renamed to a name that must not exist."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     fs, manifest = _fs(spark, _manifest(path, batch))
+    _, draft = _fs(spark, f"{path.rstrip('/')}/manifests/_{uuid.uuid4().hex}")
+    out = fs.create(draft, False)
+    out.write(bytearray(json.dumps({"batch": batch, "folder": folder}), "utf-8"))
+    out.close()
+    options = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
     try:
-        out = fs.create(manifest, False)
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), conf).rename(draft, manifest, options)
     except Exception:
         if not fs.exists(manifest):
             raise
         _, lost = _fs(spark, f"{path.rstrip('/')}/{folder}")
         fs.delete(lost, True)                          # another writer of this batch was first
+        fs.delete(draft, False)
         return False
-    out.write(bytearray(json.dumps({"batch": batch, "folder": folder}), "utf-8"))
-    out.close()
     return True
 
 
