@@ -346,6 +346,27 @@ def _template_sql(code: str, strategy: str) -> str:
     return " || ".join(parts)
 
 
+SPANS = LINES.strip() + r""",
+        src AS (SELECT doc_id, line_no, (line_no * 7 + doc_id) % 17 AS k, length(line) AS n FROM doc_lines),
+        code AS (SELECT doc_id, line_no, CASE k WHEN 0 THEN '@mark' || line_no WHEN 1 THEN 'def f' || line_no || '(a):'
+              WHEN 5 THEN '    def g' || line_no || '(b):' WHEN 11 THEN 'x' || line_no || ' = 1' WHEN 12 THEN '    async def h' || line_no || '(c):'
+              WHEN 14 THEN 'class C' || line_no || ':' ELSE repeat(' ', (4 * (1 + k % 3))::INT) || 'v' || line_no || ' = ' || n END AS line
+            FROM src WHERE k NOT IN (8, 9)),
+        c AS (SELECT *, length(line) - length(ltrim(line, ' ')) AS i, line LIKE '@%' AS deco,
+                lag(line_no) OVER (PARTITION BY doc_id ORDER BY line_no) AS prev,
+                max(CASE WHEN line NOT LIKE '@%' THEN line_no END) OVER (PARTITION BY doc_id ORDER BY line_no
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS plain,
+                max(line_no) OVER (PARTITION BY doc_id) AS last_line FROM code),
+        d AS (SELECT *, regexp_extract(line, '^ *(async )?def (\w+)\(', 2) AS name FROM c WHERE regexp_matches(line, '^ *(async )?def ')),
+        nx AS (SELECT d.doc_id, d.line_no, min(c.line_no) AS nxt FROM d JOIN c ON c.doc_id = d.doc_id AND c.line_no > d.line_no AND c.i <= d.i
+               GROUP BY ALL),
+        sp AS (SELECT d.doc_id, CASE WHEN d.line LIKE '%async %' THEN 'async function' ELSE 'function' END AS kind, d.name,
+            coalesce((SELECT min(x.line_no) FROM c x WHERE x.doc_id = d.doc_id AND x.deco AND x.line_no < d.line_no AND x.line_no > coalesce(d.plain, 0)),
+                     d.line_no)::INTEGER AS start_line,
+            coalesce((SELECT x.prev FROM c x WHERE x.doc_id = d.doc_id AND x.line_no = nx.nxt), d.last_line)::INTEGER AS end_line,
+            d.line_no AS def_line FROM d LEFT JOIN nx ON nx.doc_id = d.doc_id AND nx.line_no = d.line_no)"""
+
+
 def _plan_sql() -> str:
     """The plan prompt of ``code``, ``test_id`` and ``scraped`` columns."""
     import string
@@ -471,6 +492,11 @@ DOC_SQL = {
               FROM f LEFT JOIN nl ON nl.doc_id = f.doc_id)""",
         """SELECT b.*, coalesce((SELECT string_agg(k.line, '' ORDER BY k.line_no) FROM klines k
             WHERE k.doc_id = b.doc_id AND k.line_no BETWEEN b.start_line AND b.end_line), '') AS code FROM b"""),
+    "function_spans": "WITH " + SPANS + " SELECT * FROM sp",
+    "function_span_context": "WITH " + SPANS + """
+        SELECT l.doc_id, l.line_no, max(sp.start_line)::INTEGER AS span_start, arg_max(sp.end_line, sp.start_line)::INTEGER AS span_end
+        FROM doc_lines l LEFT JOIN sp ON sp.doc_id = l.doc_id AND l.line_no BETWEEN sp.start_line AND sp.end_line
+        WHERE l.line_no % 10 = 3 GROUP BY l.doc_id, l.line_no""",
     "code_stats": with_(LINES + f""",
         bl AS (SELECT doc_id, (line_no - 1) // 10 AS b, count_if(contains(line, 'the')) + 1 AS complexity
                FROM doc_lines GROUP BY ALL),

@@ -362,6 +362,23 @@ def q_function_context(spark, sf):
                                               counts=context.document_line_counts(d))
 
 
+@query("function_spans")
+def q_function_spans(spark, sf):
+    """functions of documents in the form of source code, from their line tables."""
+    from .operators.spans import function_spans
+    return function_spans(fixtures.source_lines(spark, sf))
+
+
+@query("function_span_context")
+def q_function_span_context(spark, sf):
+    """F1 + J5: the innermost function around every tenth line of those documents."""
+    from .operators.intervals import innermost_span
+    from .operators.spans import function_spans
+    lines = fixtures.source_lines(spark, sf)
+    asked = lines.where("line_no % 10 = 3").select("doc_id", "line_no")
+    return innermost_span(asked, function_spans(lines))
+
+
 # ------------------------------------------------------------------ churn and code statistics
 @query("multiset_line_churn")
 def q_multiset_line_churn(spark, sf):

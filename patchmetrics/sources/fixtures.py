@@ -122,6 +122,18 @@ def edited_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.when(F.col("line_no") % 5 == 2, F.upper("line")).otherwise(F.col("line")).alias("line")))
 
 
+def source_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines in the form of source code, one per document line: decorated and nested functions, classes, comments, blanks."""
+    dl = doc_lines(spark, sf_dir)
+    n, k = F.col("line_no"), F.pmod(F.col("line_no") * 7 + F.col("doc_id"), F.lit(17))
+    number = lambda prefix, suffix: F.concat(F.lit(prefix), n.cast("string"), F.lit(suffix))
+    line = (F.when(k == 0, number("@mark", "")).when(k == 1, number("def f", "(a):")).when(k == 5, number("    def g", "(b):"))
+            .when(k == 8, number("        # note ", "")).when(k == 9, F.lit("")).when(k == 11, number("x", " = 1"))
+            .when(k == 12, number("    async def h", "(c):")).when(k == 14, number("class C", ":"))
+            .otherwise(F.concat(F.repeat(F.lit(" "), (F.lit(4) * (1 + k % 3)).cast("int")), number("v", " = "), F.length("line").cast("string"))))
+    return dl.select("doc_id", "line_no", line.alias("line"))
+
+
 def moved_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The edited text with every line of ``line_no % 9 = 4`` moved six lines down."""
     edited = edited_lines(spark, sf_dir)
