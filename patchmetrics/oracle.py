@@ -589,6 +589,10 @@ DOC_SQL = {
         p AS (SELECT c.*, CASE WHEN g.url IS NULL OR g.url = '' THEN 'No documentation URL provided.' WHEN docs.t IS NULL THEN 'docs not found'
                 ELSE docs.t END AS scraped FROM c LEFT JOIN pages g ON g.page_id = c.doc_id LEFT JOIN docs ON docs.k = {DOC_REWRITE.format(u='g.url')})""",
         f"""SELECT doc_id, line_no, test_id, severity, {STRIP.format(x=REPLY_UNFENCE.format(x='(' + _plan_sql() + ')'))} AS strategy FROM p"""),
+    "answer_distinct_prompts": """SELECT conv_id, turn, sha256(text) AS digest, 'answer to: ' || substr(text, 1, 40) AS reply,
+        CASE WHEN text IS NOT NULL THEN 'stop' END AS finish_reason, length(text)::BIGINT AS prompt_tokens,
+        CASE WHEN text IS NOT NULL THEN 1 END::BIGINT AS completion_tokens, CASE WHEN text IS NOT NULL THEN 0.5 END::DOUBLE AS duration_s
+        FROM conversations""",
     "attach_responses": f"""SELECT u.conv_id, u.turn, CAST(length(u.text) AS INTEGER) AS prompt_chars, a.text AS reply,
         {STRIP.format(x=REPLY_UNFENCE.format(x='a.text'))} AS reply_clean
         FROM conversations u LEFT JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1

@@ -452,6 +452,24 @@ def q_attach_responses(spark, sf):
         "conv_id", "turn", F.length("prompt").alias("prompt_chars"), "reply", "reply_clean")
 
 
+@query("answer_distinct_prompts")
+def q_answer_distinct_prompts(spark, sf):
+    """J8 + F7: the texts of all turns as prompts, each distinct one answered once and joined back; then asked again."""
+    import uuid
+    from .operators.replies import answer_once
+    from .session import ensure_checkpoint_dir
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/answers-{uuid.uuid4().hex}"
+    requests = _turns(spark, sf).select("conv_id", "turn", F.col("text").alias("prompt"))
+
+    def responder(prompts):
+        return prompts.select("digest", F.concat(F.lit("answer to: "), F.substring("prompt", 1, 40)).alias("reply"),
+                              F.lit("stop").alias("finish_reason"), F.length("prompt").cast("long").alias("prompt_tokens"),
+                              F.lit(1).cast("long").alias("completion_tokens"), F.lit(0.5).alias("duration_s"))
+
+    answer_once(requests.where("turn % 2 = 0"), responder, path)
+    return answer_once(requests, responder, path).drop("prompt")
+
+
 # ------------------------------------------------------------------ splicing and the cascade
 def _codes(spark, sf):
     return read_table(spark, sf, "documents", ["doc_id", "text"]).withColumnRenamed("text", "code")

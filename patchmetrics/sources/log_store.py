@@ -74,10 +74,10 @@ def append_batch(log: DataFrame, path: str, batch: str) -> bool:
     stored = read_audit_log(spark, f"{at}/log")       # the states are those of the records as written
     for name, table in _states(stored).items():
         table.write.parquet(f"{at}/{name}")
-    return _commit(spark, path, batch, folder)
+    return commit(spark, path, batch, folder)
 
 
-def _commit(spark: SparkSession, path: str, batch: str, folder: str) -> bool:
+def commit(spark: SparkSession, path: str, batch: str, folder: str) -> bool:
     """Name ``folder`` in the batch's manifest: written beside it, then renamed to a name that must not exist."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     fs, manifest = _fs(spark, _manifest(path, batch))

@@ -50,14 +50,14 @@ def test_failed_and_competing_appends(spark, tmp_path, monkeypatch):
     with pytest.raises(ValueError):
         log_store.report_of_batches(spark, path)
     log_store.append_batch(log_df(spark, LOG[:1]), path, "b0")
-    monkeypatch.setattr(log_store, "_commit", lambda *a: (_ for _ in ()).throw(RuntimeError("driver died")))
+    monkeypatch.setattr(log_store, "commit", lambda *a: (_ for _ in ()).throw(RuntimeError("driver died")))
     with pytest.raises(RuntimeError):
         log_store.append_batch(log_df(spark, LOG[1:]), path, "b1")
     monkeypatch.undo()
     assert log_store.committed(spark, path).keys() == {"b0"} and log_store.read_batches(spark, path).count() == 1   # nothing visible
     assert log_store.append_batch(log_df(spark, LOG[1:]), path, "b1")
     os.makedirs(f"{path}/batches/late")
-    assert not log_store._commit(spark, path, "b1", "batches/late") and not os.path.exists(f"{path}/batches/late")
+    assert not log_store.commit(spark, path, "b1", "batches/late") and not os.path.exists(f"{path}/batches/late")
     assert log_store.read_batches(spark, path).count() == len(LOG)
     for bad in ("", "a/b", "_x", ".x"):
         with pytest.raises(ValueError):
