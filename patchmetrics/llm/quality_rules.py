@@ -1,15 +1,19 @@
 """Host-level quality rules: rule failures by domain, empirical-Bayes shrinkage, verdicts joined back.
 
 A document's own rules decide ``base_failed``. The failures of each host (``source``; a null source is a host of its
-own) are shrunk with a beta prior fitted to all hosts by the method of moments, so a small host is judged mostly by
-the prior. A host whose shrunken failure rate exceeds ``HOST_LIMIT`` drops all its documents.
+own) are taken as beta-binomial: the prior's mean ``m`` is the failure rate of all documents, its strength follows from the
+variance of the host rates *beyond* what sampling alone gives (analysis of variance; without such an excess the prior is as
+strong as can be and all hosts get rates near ``m``). A host is judged bad, and all its documents go, when its posterior
+rate less ``SIGMAS`` posterior deviations still exceeds ``min(2 m, (1 + m) / 2)``: twice the usual rate, or half way from it to
+1. So a small host is judged by the prior, a large one by its own record, and hosts that differ by chance only are left.
 
 The per-text work is one Arrow pass; repeated 8-word windows are found exactly by naming windows of 1, 2, 4 and 8
 words through ``np.unique`` (no hashing of windows). Failures are pre-aggregated before the shuffle, and the verdicts
 of rejected hosts -- one row each -- are joined by the source, with skewed sources split.
 
-Defined cases: null or empty texts have no words and fail; an empty table gives an empty result; repeated rows count
-each; a null ``doc_id`` is carried along.
+Defined cases: null or empty texts have no words and fail; very long texts are measured whole; an empty table gives an
+empty result; repeated rows count each; a null ``doc_id`` is carried along; a single host is never judged; further columns
+of the input, whatever their names, are neither read nor returned.
 """
 
 from __future__ import annotations
@@ -25,7 +29,9 @@ from .common import WHITE_SPACE, Scratch, blocks, documents
 WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
-HOST_LIMIT = 0.5
+SIGMAS = 2.33            # one-sided 99 per cent
+TIMES = 2.0              # a bad host fails so many times as often as all documents
+STRONGEST = 1e6          # prior strength, in documents, where hosts differ by chance only
 
 _FIELDS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -70,20 +76,23 @@ def _measure(batches):
 
 
 def host_rates(marks: DataFrame) -> DataFrame:
-    """``source, n, failed, rate``: failure rate of each host, shrunk by the beta prior of all hosts.
-
-    With host rates of mean ``m`` and variance ``v`` (over hosts), the prior has strength
-    ``m (1 - m) / v - 1``, at least 1; it pulls the rate of a host of ``n`` documents to ``m`` by ``strength / n``.
-    """
+    """``source, n, failed, rate, bad``: each host's posterior failure rate and verdict."""
     hosts = marks.groupBy("source").agg(F.count("*").alias("n"), F.sum(F.col("base_failed").cast("long")).alias("failed"))
-    each = F.col("failed") / F.col("n")
-    m, v = hosts.agg(F.avg(each), F.var_samp(each)).first()
-    m, v = m or 0.0, v or 0.0
-    strength = max(1.0, m * (1 - m) / v - 1) if v > 0 else 1.0
-    return hosts.withColumn("rate", (F.col("failed") + F.lit(strength * m)) / (F.col("n") + F.lit(strength)))
-
-
-def host_rules(docs: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
+    n, f = F.col("n"), F.col("failed")
+    all_, bad, count, squares = hosts.agg(F.sum(n), F.sum(f), F.count("*"), F.sum(n.cast("double") * n)).first()
+    m = bad / all_ if all_ else 0.0
+    within, spread = m * (1 - m), (all_ - squares / all_) if all_ else 0.0
+    between = hosts.agg(F.sum(n * F.pow(f / n - F.lit(m), 2))).first()[0] or 0.0
+    excess = (between - (count - 1) * within) / spread if spread > 0 else 0.0
+    strength = min(STRONGEST, max(1.0, within / excess - 1)) if excess > 0 else STRONGEST
+    a, b = f + F.lit(strength * m), n - f + F.lit(strength * (1 - m))
+    rate, total = a / (a + b), a + b
+    deviation = F.sqrt(a * b / (total * total * (total + 1)))
+    limit = min(TIMES * m, (1 + m) / 2)
+    return hosts.select("source", "n", "failed", rate.alias("rate"), (rate - SIGMAS * deviation > limit).alias("bad"))
+
+
+def host_rules(docs: DataFrame) -> DataFrame:
     """``doc_id``, the five counts, ``base_failed``, ``kept`` and the host's shrunken ``host_rate``."""
     scratch = Scratch(docs.sparkSession, "host-rules")
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
@@ -91,10 +100,10 @@ def host_rules(docs: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
     failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT)
     marks = scratch.save(plain.mapInArrow(_measure, "doc_id long, source string, " + ", ".join(f"{f} long" for f in _FIELDS))
                          .withColumn("base_failed", failed), "marks")
-    hosts = scratch.save(host_rates(marks).select(F.col("source").alias("host"), F.col("rate").alias("host_rate")), "hosts")
+    hosts = scratch.save(host_rates(marks).select(F.col("source").alias("host"), F.col("rate").alias("host_rate"), "bad"), "hosts",
+                         narrow=True)
     out = marks.join(hosts, F.col("source").eqNullSafe(F.col("host")), "left")
-    return out.select("doc_id", *_FIELDS, "base_failed",
-                      (~F.col("base_failed") & (F.col("host_rate") <= limit)).alias("kept"), "host_rate")
+    return out.select("doc_id", *_FIELDS, "base_failed", (~F.col("base_failed") & ~F.col("bad")).alias("kept"), "host_rate")
 
 
 def op9_host_rules(spark, sf_dir: str) -> DataFrame:

@@ -163,10 +163,13 @@ m AS (SELECT doc_id, source, len(w)::BIGINT AS n_words, length(array_to_string(w
       FROM d LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id)),
 b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m),
 h AS (SELECT source, count(*) AS n, sum(base_failed::INT) AS f FROM b GROUP BY 1),
-e AS (SELECT avg(f / n) AS mu, coalesce(var_samp(f / n), 0) AS v FROM h),
-k AS (SELECT mu, CASE WHEN v > 0 THEN greatest(1, mu * (1 - mu) / v - 1) ELSE 1 END AS k FROM e),
-r AS (SELECT source, (f + k * mu) / (n + k) AS rate FROM h, k)
+e AS (SELECT sum(f)::DOUBLE / sum(n) AS m, sum(n)::DOUBLE AS t, count(*) AS hosts, sum(n::DOUBLE * n) AS q FROM h),
+x AS (SELECT any_value(m) AS m, CASE WHEN any_value(t - q / t) > 0 THEN (sum(n * pow(f / n - m, 2)) - (any_value(hosts) - 1) * any_value(m * (1 - m)))
+        / any_value(t - q / t) ELSE 0 END AS excess FROM h, e),
+k AS (SELECT m, CASE WHEN excess > 0 THEN least(1e6, greatest(1, m * (1 - m) / excess - 1)) ELSE 1e6 END AS k FROM x),
+p AS (SELECT source, m, f + k * m AS a, n - f + k * (1 - m) AS b FROM h, k),
+r AS (SELECT source, a / (a + b) - 2.33 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) > least(2 * m, (1 + m) / 2) AS bad FROM p)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND rate <= 0.5 AS kept
+       NOT base_failed AND NOT bad AS kept
 FROM b JOIN r ON b.source IS NOT DISTINCT FROM r.source""",
 }
