@@ -234,13 +234,21 @@ def build_audit_log(priced: DataFrame, facts: DataFrame, dataset: str | None = N
         F.sum("n_leftover").alias("leftover_count"),
         F.collect_list(F.struct(F.col("first_seq"), trace.alias("t"))).alias("_traces"))
     j = facts.join(with_leftovers(per_file, leftovers), "file_uid", "left")
+    return j.select(*record_columns(facts.columns, F.transform(F.array_sort("_traces"), lambda x: x["t"]), dataset,
+                                    implementation_version, language, timestamp, pipeline_duration))
+
+
+def record_columns(fact_columns: list[str], vulnerabilities: Column, dataset: str | None = None,
+                   implementation_version: str = "v1.0.0", language: str = "python", timestamp: Column | None = None,
+                   pipeline_duration: Column | None = None) -> list[Column]:
+    """The columns of an audit record over file facts joined with the roll-up of the file's traces."""
     z = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint")
     vuln_count = z("fixed_count") + z("leftover_count")
     ts = timestamp if timestamp is not None else F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
-    ds = F.lit(dataset) if dataset is not None else (F.col("dataset") if "dataset" in facts.columns else F.lit(""))
+    ds = F.lit(dataset) if dataset is not None else (F.col("dataset") if "dataset" in fact_columns else F.lit(""))
     dur = pipeline_duration if pipeline_duration is not None else (
-        F.col("duration_s").cast("double") if "duration_s" in facts.columns else F.lit(0.0))
-    return j.select(
+        F.col("duration_s").cast("double") if "duration_s" in fact_columns else F.lit(0.0))
+    return [
         F.struct(F.col("file_uid").cast("string").alias("file_uid"), ds.alias("dataset"),
                  F.lit(implementation_version).alias("implementation_version"), ts.alias("timestamp"),
                  dur.alias("total_pipeline_duration_s")).alias("meta"),
@@ -256,8 +264,7 @@ def build_audit_log(priced: DataFrame, facts: DataFrame, dataset: str | None = N
                  F.col("normalized_loc_churn").cast("bigint").alias("normalized_loc_churn"),
                  F.col("ast_churn").cast("bigint").alias("ast_churn")).alias("security_summary"),
         F.coalesce(F.col("total_cost_usd"), F.lit(0).cast(COST_TYPE)).alias("total_cost_usd"),
-        F.coalesce(F.transform(F.array_sort("_traces"), lambda x: x["t"]),
-                   F.array().cast(f"array<{_trace_ddl()}>")).alias("vulnerabilities"))
+        F.coalesce(vulnerabilities, F.array().cast(f"array<{_trace_ddl()}>")).alias("vulnerabilities")]
 
 
 def _trace_ddl() -> str:
