@@ -4,13 +4,17 @@
    ones. Only narrow piece rows are written.
 2. The histogram of piece lengths (at most ``max_len`` numbers) goes to the driver. Patterns of one to three lengths
    that fill a sequence exactly are enumerated, their repeat counts are fitted to the histogram by non-negative least
-   squares (accelerated projected gradient), rounded down and held to the lengths still there. What is left is packed
-   best-fit decreasing, on counts per length, never piece by piece.
+   squares. The fit is an active-set one with column generation, so it rests on few patterns with large counts (no
+   more than there are lengths) instead of spreading over all of them. Counts are rounded to the nearest, held to the
+   pieces still there, and once more by one where pieces are left. What is left then is packed best-fit decreasing, on
+   counts per length, never piece by piece. Patterns of the smallest counts are given back to the residuals where that
+   saves sequences.
 3. Pieces of one length are interchangeable: each is numbered within its length (hash buckets split a hot length) and
    finds its sequence and offset in the plan by its number. The plan's size is bounded by ``max_len`` alone.
 
-Defined cases: null and empty texts are the one end token; an empty table gives an empty result; rows repeating a
-``doc_id`` (also null) are packed each, with equal pieces.
+Defined cases: null and empty texts are the one end token; very long texts are encoded whole and cut; an empty table
+gives an empty result; rows repeating a ``doc_id`` (also null) are packed each, with equal pieces; pieces of equal length
+are numbered by id, piece and ids; further columns of the input, whatever their names, are neither read nor returned.
 """
 
 from __future__ import annotations
@@ -28,7 +32,8 @@ from .common import Scratch, blocks, documents, shuffle_partitions
 
 MAX_LEN = 1024
 END_ID = 2
-STEPS = 300
+ROUNDS, COARSE = 24, 8   # times that the fit takes in new patterns
+SHARES = (0, 0.02, 0.05, 0.1, 0.2, 0.35, 0.5, 0.75, 1)   # of the pattern sequences that may be given back
 SPECIAL = {"<|endoftext|>": 50256}   # fixed value: the vocabulary's one special token
 
 
@@ -101,41 +106,78 @@ def _pieces(path: str, max_len: int, end_id: int):
     return run
 
 
-def patterns(max_len: int) -> np.ndarray:
-    """All patterns of one to three lengths (descending, padded with 0) that fill ``max_len`` exactly."""
-    a, b = np.meshgrid(np.arange(1, max_len), np.arange(0, max_len), indexing="ij")
+def patterns(hist: np.ndarray, max_len: int) -> np.ndarray:
+    """All patterns of two or three lengths of ``hist`` (descending, padded with 0) that fill ``max_len`` exactly."""
+    have = np.flatnonzero(hist[1:max_len]) + 1
+    a, b = np.meshgrid(have, np.append(0, have), indexing="ij")
     c = max_len - a - b
     keep = (a >= b) & (b >= c) & (c >= 0)
-    return np.vstack([[[max_len, 0, 0]], np.stack([a[keep], b[keep], c[keep]], 1)])
+    a, b, c = a[keep], b[keep], c[keep]
+    keep = (c == 0) | (hist[c] > 0)
+    return np.stack([a[keep], b[keep], c[keep]], 1)
 
 
-def fit_repeats(pats: np.ndarray, hist: np.ndarray, steps: int = STEPS) -> np.ndarray:
-    """Non-negative least squares: repeats ``x`` with ``sum_p x_p [lengths of p]`` near ``hist`` (index = length).
+def fit_repeats(pats: np.ndarray, hist: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+    """Non-negative least squares: ``(patterns in use, repeats)`` with ``sum_p x_p [lengths of p]`` near ``hist``.
 
-    Lengths count by their size, since a long piece left over costs more room. Accelerated projected gradient.
+    Lengths count by their size, since a long piece left over costs more room. A round takes in the patterns of the
+    steepest descent that share no length and solves for all patterns in use; what would go below zero leaves (at once in
+    the first ``COARSE`` rounds, later one step at a time, as active-set methods do).
     """
     size = len(hist)
     weight = np.arange(size) / (size - 1)
-    weight[0] = 0.0
+    goal = hist * weight
+    used, x, matrix = np.zeros(0, np.int64), np.zeros(0), np.zeros((size, 0))
+    for turn in range(rounds):
+        gradient = (weight * (goal - matrix @ x))[pats].sum(axis=1)
+        gradient[used] = 0
+        new, taken = [], np.zeros(size, bool)
+        for p in np.argsort(-gradient, kind="stable")[:20 * size]:
+            if gradient[p] <= 1e-6:
+                break
+            lengths = pats[p][pats[p] > 0]
+            if not taken[lengths].any():
+                taken[lengths] = True
+                new.append(p)
+        if not new:
+            break
+        used, x = np.append(used, new), np.append(x, np.zeros(len(new)))
+        matrix = np.zeros((size, len(used)))
+        for j in range(3):
+            np.add.at(matrix, (pats[used, j], np.arange(len(used))), weight[pats[used, j]])
+        square, right = matrix.T @ matrix, matrix.T @ goal
+        square[np.diag_indices(len(used))] += 1e-8
+        while len(used):
+            best = np.linalg.solve(square, right)
+            low = best <= 1e-9
+            if not low.any():
+                x = best
+                break
+            if turn < COARSE:
+                used, x, matrix, square, right = used[~low], best[~low], matrix[:, ~low], square[~low][:, ~low], right[~low]
+                continue
+            # Go towards the solution until the first repeats reach zero; their patterns leave.
+            x = x + np.min(x[low] / np.maximum(x[low] - best[low], 1e-300)) * (best - x)
+            keep = ~low | (x > 1e-9)
+            used, x, matrix, square, right = used[keep], x[keep], matrix[:, keep], square[keep][:, keep], right[keep]
+    return used, x
+
 
-    def forward(x):
-        return sum(np.bincount(pats[:, j], x, size) for j in range(3)) * weight
+def round_repeats(pats: np.ndarray, x: np.ndarray, hist: np.ndarray) -> np.ndarray:
+    """Whole repeats of each pattern, near ``x`` and never more than ``hist`` holds pieces for."""
+    left, times = hist.copy(), np.zeros(len(pats), np.int64)
 
-    def back(r):
-        return (weight * r)[pats].sum(1)
+    def take(p: int, n: int) -> None:
+        lengths, each = np.unique(pats[p][pats[p] > 0], return_counts=True)
+        n = int(min(n, (left[lengths] // each).min()))
+        left[lengths] -= n * each
+        times[p] += n
 
-    v = np.ones(len(pats))
-    for _ in range(20):
-        v = back(forward(v))
-        top = np.linalg.norm(v)
-        v /= top
-    x = y = np.zeros(len(pats))
-    t, goal = 1.0, hist * weight
-    for _ in range(steps):
-        new = np.maximum(0, y - back(forward(y) - goal) / (1.05 * top))
-        t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        y, x, t = new + (t - 1) / t_new * (new - x), new, t_new
-    return x
+    for p in np.argsort(-x, kind="stable"):
+        take(p, int(np.rint(x[p])))
+    for p in np.argsort(-(x % 1), kind="stable"):
+        take(p, 1)
+    return times
 
 
 def best_fit(hist: np.ndarray, max_len: int) -> list[tuple[tuple[tuple[int, int], ...], int]]:
@@ -163,23 +205,39 @@ def best_fit(hist: np.ndarray, max_len: int) -> list[tuple[tuple[tuple[int, int]
     return [(tuple(c), n) for groups in spaces.values() for c, n in groups]
 
 
+def pattern_groups(hist: np.ndarray, max_len: int) -> list[tuple[tuple[tuple[int, int], ...], int]]:
+    """``(((length, times), ...), sequences)`` groups that hold all of ``hist``: fitted patterns, then packed residuals."""
+    left = hist.copy()
+    full, left[max_len] = int(left[max_len]), 0
+    pats = patterns(left, max_len)
+    used, x = fit_repeats(pats, left.astype(float)) if len(pats) else (np.zeros(0, np.int64), np.zeros(0))
+    pats = pats[used]
+    times = round_repeats(pats, x, left)
+    order, best = np.argsort(times, kind="stable"), None
+    for share in SHARES:                        # patterns of the smallest counts first
+        kept, give = times.copy(), int(share * times.sum())
+        for p in order:
+            back = min(give, int(kept[p]))
+            kept[p], give = kept[p] - back, give - back
+        rest = left.copy()
+        for j in range(3):
+            np.subtract.at(rest, pats[:, j], np.where(pats[:, j] > 0, kept, 0))
+        residual = best_fit(rest, max_len)
+        total = int(kept.sum()) + sum(n for _, n in residual)
+        if best is None or total < best[0]:
+            best = total, kept, residual
+    _, kept, residual = best
+    groups = [(((max_len, 1),), full)] if full else []
+    for p, n in zip(pats, kept):
+        if n:
+            lengths, each = np.unique(p[p > 0], return_counts=True)
+            groups.append((tuple(zip(lengths.tolist(), each.tolist())), int(n)))
+    return groups + residual
+
+
 def plan(hist: np.ndarray, max_len: int = MAX_LEN) -> dict[int, np.ndarray]:
     """For each length, rows ``(first number, first sequence, times in a sequence, offset)`` in order of number."""
-    left = hist.astype(np.int64).copy()
-    pats = patterns(max_len)
-    pats = pats[((left[pats] > 0) | (pats == 0)).all(axis=1)]
-    groups: list[tuple[tuple[tuple[int, int], ...], int]] = []
-    if len(pats):
-        x = fit_repeats(pats, left.astype(float))
-        for p in np.argsort(-x, kind="stable"):
-            if x[p] < 1:
-                break
-            lengths, times = np.unique(pats[p][pats[p] > 0], return_counts=True)
-            n = int(min(int(x[p]), (left[lengths] // times).min()))
-            if n:
-                left[lengths] -= n * times
-                groups.append((tuple(zip(lengths.tolist(), times.tolist())), n))
-    groups += best_fit(left, max_len)
+    groups = pattern_groups(hist.astype(np.int64), max_len)
     rows: dict[int, list[tuple[int, int, int, int]]] = {}
     given: dict[int, int] = {}
     first = 0

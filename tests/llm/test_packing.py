@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -113,6 +114,62 @@ def test_patterns_fit_a_histogram_made_of_patterns():
     assert used and total < 2000 * 1.02
 
 
+def groups_hold(groups, hist):
+    held = np.zeros_like(hist)
+    for contents, n in groups:
+        assert n > 0 and sum(length * times for length, times in contents) < len(hist)
+        for length, times in contents:
+            held[length] += n * times
+    assert (held == hist).all()
+    return sum(n for _, n in groups)
+
+
+def test_most_sequences_come_from_fitted_patterns():
+    """The lengths of sf0.1: at least 80 per cent of the mixed sequences are repeats of fitted patterns, and there are no
+    more sequences than plain best fit decreasing makes."""
+    encode, size = packing.Encoder(packing.default_ranks()), packing.MAX_LEN
+    hist = np.zeros(size + 1, np.int64)
+    for text in pd.read_parquet("/root/testdata/sf0.1/documents.parquet", columns=["text"])["text"].fillna(""):
+        n = len(encode(text)) // 4 + 1
+        hist[size] += n // size
+        hist[n % size] += n % size > 0
+    groups = packing.pattern_groups(hist, size)
+    total = groups_hold(groups, hist)
+    left = hist.copy()
+    left[size] = 0
+    pats = packing.patterns(left, size)
+    used, x = packing.fit_repeats(pats, left.astype(float))
+    assert len(used) <= size and (x > 0).all()
+    fitted = {tuple(zip(*[a.tolist() for a in np.unique(p[p > 0], return_counts=True)])) for p in pats[used]}
+    from_patterns = sum(n for contents, n in groups if contents in fitted)
+    mixed = total - hist[size]
+    assert from_patterns >= 0.8 * mixed
+    assert mixed <= sum(n for _, n in packing.best_fit(left, size))
+    assert total <= np.ceil((hist * np.arange(size + 1)).sum() / size) * 1.001
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 64), st.integers(1, 40)), max_size=25))
+def test_never_more_sequences_than_best_fit(lengths):
+    hist = np.zeros(65, np.int64)
+    for n, times in lengths:
+        hist[n] += times
+    assert groups_hold(packing.pattern_groups(hist, 64), hist) <= sum(n for _, n in packing.best_fit(hist, 64))
+
+
+def test_rounded_repeats_are_near_the_fit_and_never_overdraw():
+    rng = np.random.default_rng(4)
+    hist = rng.integers(0, 60, 129)
+    hist[0] = hist[128] = 0
+    pats = packing.patterns(hist, 128)
+    used, x = packing.fit_repeats(pats, hist.astype(float))
+    times = packing.round_repeats(pats[used], x, hist)
+    left = hist.copy()
+    for p, n in zip(pats[used], times):
+        np.subtract.at(left, p[p > 0], n)
+    assert (left >= 0).all() and (times <= np.rint(x) + 1).all() and times.sum() >= 0.8 * x.sum()
+
+
 def test_odd_rows_and_empty_table(spark, tokenizer):
     rows = packing.pack(odd(spark)).collect()
     check(rows, [plain_ids(tokenizer, r[1]) for r in odd_rows()])
