@@ -127,6 +127,19 @@ AUDIT_SQL = {
     "attempt_normalize": "SELECT * FROM norm",
     "attempt_cost": """SELECT file_uid, vulnerability_id, attempt_seq, model, pricing_model, prompt_tokens,
         completion_tokens, cost_usd FROM priced""",
+    "audit_log_parts": """SELECT CAST(o.o_orderkey AS VARCHAR) AS file_uid, coalesce(p.part, 0)::INTEGER AS part,
+          coalesce(ceil(max(n) OVER (PARTITION BY o.o_orderkey) / 3), 1)::INTEGER AS n_parts,
+          coalesce(max((p.lo > p.first_seq)::INT) OVER (PARTITION BY o.o_orderkey, p.part) = 1, false) AS continues,
+          f.vuln_count, (CASE WHEN p.test_id IS NOT NULL THEN row_number() OVER (PARTITION BY o.o_orderkey, p.part ORDER BY p.first_seq) - 1 END)::INTEGER
+            AS trace_pos, p.test_id, t.status AS trace_status, p.n_attempts, p.total_tokens
+        FROM orders o LEFT JOIN (
+          SELECT file_uid, (place - 1) // 3 AS part, vulnerability_id AS test_id, first_seq, min(attempt_seq) AS lo,
+            count(*)::INTEGER AS n_attempts, sum(total_tokens)::BIGINT AS total_tokens, any_value(n) AS n
+          FROM (SELECT *, row_number() OVER (PARTITION BY file_uid ORDER BY first_seq, attempt_seq) AS place, count(*) OVER (PARTITION BY file_uid) AS n
+                FROM (SELECT *, min(attempt_seq) OVER (PARTITION BY file_uid, vulnerability_id) AS first_seq FROM priced))
+          GROUP BY ALL) p ON p.file_uid = o.o_orderkey
+        LEFT JOIN traces t ON t.file_uid = o.o_orderkey AND t.vulnerability_id = p.test_id
+        JOIN logf f ON f.file_uid = CAST(o.o_orderkey AS VARCHAR)""",
     "attempt_cost_by_model": f"""SELECT m.model, count(*)::BIGINT AS attempts, sum(n.prompt_tokens)::BIGINT AS prompt_tokens,
         sum(n.completion_tokens)::BIGINT AS completion_tokens, sum(CAST(round(CAST((n.prompt_tokens * m.input + n.completion_tokens * m.output)
           AS DECIMAL(24,3)) * CAST(0.000001 AS DECIMAL(7,6)), 6) AS DECIMAL(18,6)))::DECIMAL(18,6) AS cost_usd

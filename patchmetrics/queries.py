@@ -112,6 +112,19 @@ def q_audit_log_nested(spark, sf):
                        F.col("t.total_cost_usd").alias("trace_cost_usd"), "pos", *_attempt_columns("a"))
 
 
+@query("audit_log_parts")
+def q_audit_log_parts(spark, sf):
+    """A1 + A10 in parts of three attempts: the attempts of every part, with the place of the part in its file's chain."""
+    from .operators.record_parts import build_audit_log_parts
+    parts = build_audit_log_parts(ap.priced_attempts(spark, sf), fixtures.file_facts(spark, sf), part_attempts=3,
+                                  timestamp=F.lit("1970-01-01T00:00:00"))
+    traces = parts.select(F.col("meta.file_uid").alias("file_uid"), "part", "n_parts", "continues",
+                          F.col("input_stats.vuln_count").alias("vuln_count"), F.posexplode_outer("vulnerabilities").alias("trace_pos", "t"))
+    return traces.select("file_uid", "part", "n_parts", "continues", "vuln_count", "trace_pos", F.col("t.test_id").alias("test_id"),
+                         F.col("t.status").alias("trace_status"), F.size("t.attempts").alias("n_attempts"),
+                         F.aggregate("t.attempts", F.lit(0).cast("long"), lambda a, x: a + x["tokens"]["total_tokens"]).alias("total_tokens"))
+
+
 # ------------------------------------------------------------------ report (C4)
 @query("audit_flatten")
 def q_audit_flatten(spark, sf):
