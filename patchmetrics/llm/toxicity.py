@@ -4,15 +4,20 @@ A word transducer maps each word to a class (insult, threat, target, negation, r
 plus whole words and stems learned from labelled training rows. Three class transducers -- negation scope, reported
 speech, target reach -- rewrite that stream and are composed once into one deterministic machine. A clause (text up to
 a sentence mark or line end) is scored by its accepting path, so "you idiot" weighs more than an insult alone, and a
-negated or quoted one less. A logistic layer turns the clause scores of a document into a probability.
+negated or quoted one less. A logistic layer turns the clause scores of a document, and the weight that each class of the
+machine's output got, into a probability: so the layer learns from the labels what an aimed, a negated, a quoted or a bare
+insult is worth.
 
-Training uses a bounded hash sample of at most about ``SAMPLE_ROWS`` labelled rows (documented bound); the lexicon is
-learned on three quarters of it and the logistic layer on the rest, so that the layer sees a lexicon that has not seen
-its rows. A learned arc needs several different left neighbours among toxic texts: copies of one toxic text do not make
+Training uses a bounded hash sample of at most about ``SAMPLE_ROWS`` labelled rows (documented bound). The layer is fitted
+out of fold: each half of the sample is read with the lexicon learned on the other half, so no row is seen with arcs that
+it gave itself, and all rows count; the lexicon of the model is learned on both. A learned arc needs several different left neighbours among toxic texts: copies of one toxic text do not make
 its ordinary words insults. Every text is scored whole, in one pass without a shuffle.
 
-Defined cases: null and empty texts have no clause and get the score of a text without matches; rows with a null id
-are not held out and are not trained on; without labels only the seed grammar scores.
+Defined cases: null and empty texts have no clause and get the score of a text without matches; very long texts are read
+whole; rows with a null id are not held out and are not trained on; rows that repeat an id are trained on and scored each;
+without labels only the seed grammar scores; an empty table gives an empty result; arcs of equal strength stay in
+code-point order up to the model's size (``MAX_ARCS``); further columns of the input, whatever their names, are neither
+read nor returned.
 """
 
 from __future__ import annotations
@@ -25,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc32_mod, documents, table
+from .common import Scratch, crc32_mod, documents, table
 
 # Seed words of the classes.
 SEEDS = {
@@ -120,9 +125,13 @@ def arc_of(word: str, lexicon: Lexicon) -> tuple[str, float] | None:
     return got
 
 
-def clause_scores(text: str | None, lexicon: Lexicon, arcs: dict) -> tuple[list[float], int]:
-    """Scores of the matched clauses and the number of clauses. ``arcs`` remembers the arcs of words met before."""
+def read_clauses(text: str | None, lexicon: Lexicon, arcs: dict) -> tuple[list[float], int, dict[str, float]]:
+    """Scores of the matched clauses, the number of clauses, and the weight that each output class got.
+
+    ``arcs`` remembers the arcs of words met before.
+    """
     scores, clauses, state, total, open_ = [], 0, 0, 0.0, False
+    sums = dict.fromkeys(FACTOR, 0.0)
     for token in _TOKEN.findall((text or "").lower()):
         if token in _END:
             clauses += open_
@@ -140,15 +149,25 @@ def clause_scores(text: str | None, lexicon: Lexicon, arcs: dict) -> tuple[list[
                 state = MACHINE[state, "word"][0]
             continue
         state, out = MACHINE[state, arc[0]]
-        total += FACTOR.get(out, 0.0) * arc[1]
+        if out in FACTOR:
+            total += FACTOR[out] * arc[1]
+            sums[out] += arc[1]
     if total > 0:
         scores.append(total)
-    return scores, clauses + open_
+    return scores, clauses + open_, sums
+
+
+def clause_scores(text: str | None, lexicon: Lexicon, arcs: dict) -> tuple[list[float], int]:
+    return read_clauses(text, lexicon, arcs)[:2]
 
 
 def features(text: str | None, lexicon: Lexicon, arcs: dict) -> list[float]:
-    scores, clauses = clause_scores(text, lexicon, arcs)
-    return [np.log1p(sum(scores)), max(scores, default=0.0), np.log1p(len(scores)), len(scores) / max(1, clauses)]
+    scores, clauses, sums = read_clauses(text, lexicon, arcs)
+    return [np.log1p(sum(scores)), max(scores, default=0.0), np.log1p(len(scores)), len(scores) / max(1, clauses),
+            *[np.log1p(s) for s in sums.values()]]
+
+
+FEATURES = 4 + len(FACTOR)
 
 
 def _featurizer(spark: SparkSession, lexicon: Lexicon, layer):
@@ -164,7 +183,7 @@ def _featurizer(spark: SparkSession, lexicon: Lexicon, layer):
                 if len(arcs) > 500_000:
                     arcs.clear()
                 rows.append(features(t, words, arcs))
-            score = _layer(np.array(rows).reshape(-1, 4), weights) if weights is not None else np.zeros(len(rows))
+            score = _layer(np.array(rows).reshape(-1, FEATURES), weights) if weights is not None else np.zeros(len(rows))
             yield pd.DataFrame({"f": rows, "score": score})
 
     return lambda col: run(col.cast("string"))
@@ -177,7 +196,7 @@ def _layer(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
 def fit_layer(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     """Ridge logistic regression by Newton steps; without both classes a fixed layer around one plain insult."""
     if len(set(y.tolist())) < 2:
-        return np.array([-3.0, 3.0, 0.0, 0.0, 0.0])
+        return np.array([-3.0, 3.0, *[0.0] * (FEATURES - 1)])
     a = np.column_stack([np.ones(len(x)), x])
     w = np.zeros(a.shape[1])
     penalty = ridge * np.eye(a.shape[1])
@@ -218,12 +237,15 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     at = F.pmod(F.xxhash64("doc_id", F.lit("toxic sample")), F.lit(1_000_000)) / 1_000_000
     rows = (docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
             .join(marked.where(at < share), "doc_id").select("doc_id", "text", "toxic"))
-    fourth = F.pmod(F.xxhash64("doc_id", F.lit("layer")), F.lit(4)) == 0
-    lexicon = seed_lexicon() | learned_lexicon(rows.where(~fourth))
-    feature = _featurizer(docs.sparkSession, lexicon, None)
-    got = rows.where(fourth).select("toxic", feature(F.col("text"))["f"].alias("f")).toPandas()
-    x = np.array(got["f"].tolist(), float).reshape(-1, 4)
-    return lexicon, fit_layer(x, got["toxic"].to_numpy(float))
+    rows = Scratch(docs.sparkSession, "toxicity").save(rows, "sample")      # read five times
+    first = F.pmod(F.xxhash64("doc_id", F.lit("layer")), F.lit(2)) == 0
+    seen = []
+    for own, other in ((first, ~first), (~first, first)):
+        feature = _featurizer(docs.sparkSession, seed_lexicon() | learned_lexicon(rows.where(other)), None)
+        seen.append(rows.where(own).select("toxic", feature(F.col("text"))["f"].alias("f")).toPandas())
+    got = pd.concat(seen)
+    x = np.array(got["f"].tolist(), float).reshape(-1, FEATURES)
+    return seed_lexicon() | learned_lexicon(rows), fit_layer(x, got["toxic"].to_numpy(float))
 
 
 def score_toxicity(docs: DataFrame, model: tuple[Lexicon, np.ndarray], threshold: float = 0.5) -> DataFrame:

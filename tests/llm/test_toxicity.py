@@ -1,5 +1,6 @@
 import zlib
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from patchmetrics.llm import toxicity as tox
@@ -78,3 +79,27 @@ def test_training_reads_up_to_20_000_rows(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     labels = docs.select("doc_id", F.col("text").contains("zorblax").cast("int").alias("toxic"))
     assert "zorblax" in tox.train(docs, labels)[0]
+
+
+def test_grammar_beats_the_word_list():
+    """Texts with the same insults and threats, toxic when aimed, clean when negated, reported or merely named."""
+    rng = np.random.default_rng(3)
+    insults, threats = tox.SEEDS["insult"].split()[:12], tox.SEEDS["threat"].split()[:6]
+    toxic = ["you {i} .", "go away you utter {i} .", "they are {i} and {i} .", "i will {t} you {t}ed them {t} .", "your {i} brother ."]
+    clean = ["the word {i} is old .", "he said {i} in the book .", "no {i} here never {t} .", "the play has {i} and a {i} .", "one may {t} weeds ."]
+    rows, y = [], []
+    for k in range(600):
+        forms = toxic if k % 2 else clean
+        text = " ".join(forms[rng.integers(len(forms))].format(i=insults[rng.integers(12)], t=threats[rng.integers(6)])
+                        for _ in range(rng.integers(1, 4)))
+        rows.append("plain words come first . " + text)
+        y.append(k % 2)
+    y, arcs = np.array(y, float), {}
+    x = np.array([tox.features(t, LEX, arcs) for t in rows])
+    words = np.zeros_like(x)     # the list: how many words of it a text holds, and their weight
+    for k, t in enumerate(rows):
+        hits = [LEX[w][1] for w in t.split() if w in LEX and LEX[w][0] in ("insult", "threat")]
+        words[k, :2] = np.log1p(len(hits)), np.log1p(sum(hits))
+    half = np.arange(len(y)) % 4 < 2
+    right = [((tox._layer(f[~half], tox.fit_layer(f[half], y[half])) > 0.5) == y[~half]).mean() for f in (x, words)]
+    assert right[0] > 0.95 and right[1] < right[0] - 0.15
