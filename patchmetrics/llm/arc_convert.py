@@ -15,7 +15,9 @@ Payload bytes are never shuffled. Digest groups are pre-aggregated; joins on a d
 tables on both sides, so skewed ones are split.
 
 Defined cases: a null html is an empty payload; a null url becomes ``urn:page:<id>``; blanks and controls of a url are
-percent-encoded; a null page id is carried as ``-``; rows repeating the largest page id of a group are all responses.
+percent-encoded; a null page id is carried as ``-``; rows repeating the largest page id of a group are all responses;
+very long payloads are one record each, read and written whole; an empty table gives an empty result and no archive;
+further columns of the input, whatever their names, are neither read nor returned.
 """
 
 from __future__ import annotations

@@ -14,7 +14,8 @@ no order spans a task. The ranges and the copied ids are as many as partitions.
 Defined cases: a null text is empty; an empty text has the empty fingerprint; a text of fewer than ``K`` letters has
 the hash of all its letters as only anchor; two empty fingerprints are alike (1.0), an empty and another are not
 (0.0); null ids order after all others, rows repeating an id order by the hash of their text; a single document is its
-own next one.
+own next one; an empty table gives an empty result; very long texts are fingerprinted whole; of equal smallest hashes in a window
+one at either edge makes an anchor; further columns of the input, whatever their names, are neither read nor returned.
 """
 
 from __future__ import annotations

@@ -6,7 +6,9 @@ by languages x ``BUCKETS`` -- into a log-probability matrix and broadcasts it. S
 text's n-grams in numpy, whole texts in slices of ``SLICE`` characters.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; without any training row every text is
-``und``; rows with a null id or a null language take no part in training; ties go to the first language by code point.
+``und``; rows with a null id or a null language take no part in training; ties go to the first language by code point;
+very long texts are counted and scored whole; rows that repeat an id count and are scored each; an empty table gives an
+empty result; further columns of the input, whatever their names, are not read, and ``known_language`` passes them through.
 """
 
 from __future__ import annotations

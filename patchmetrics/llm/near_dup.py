@@ -17,7 +17,9 @@ Steps, each a Spark job over written tables:
 The bands are chosen so that a pair at the threshold is missed with probability below ``MISS``.
 Defined cases: a null, empty or word-less text has the empty set and is linked with nothing; a text with fewer words
 than a shingle has its whole word sequence as the one shingle; a row without a ``doc_id`` cannot be named by a link,
-so it stays alone (its component is null, it is kept); rows repeating a ``doc_id`` are one document.
+so it stays alone (its component is null, it is kept); rows repeating a ``doc_id`` are one document;
+very long texts are read whole; ties between hubs go to the smaller id; an empty table gives an empty result; further columns
+of the input, whatever their names, are not read, and ``one_of_each`` passes them through.
 """
 
 from __future__ import annotations

@@ -11,7 +11,9 @@ at least ``ACCEPT`` that touch no base span.
 Texts are read whole, twice (count, apply), without a shuffle of text. All patterns run in linear time.
 
 Defined cases: a null text is empty; an empty text has no span; overlapping candidates of a kind are taken leftmost
-first; rows repeating or lacking a ``doc_id`` are handled one by one.
+first; rows repeating or lacking a ``doc_id`` are handled one by one; an empty
+table gives an empty result and a classifier that accepts nothing further; patterns of equal votes are judged alike; further
+columns of the input, whatever their names, are not read, and ``redacted`` passes them through.
 """
 
 from __future__ import annotations

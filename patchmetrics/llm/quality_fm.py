@@ -10,7 +10,9 @@ features are made on the executors, only sparse vectors travel. Scoring is one p
 
 Defined cases: null and empty texts have only their structure bins; a null ``n_chars`` has a bin of its own; rows with
 a null id are neither held out nor trained on; without labels of both classes every score is the base rate (0.5
-without any label).
+without any label); very long texts are read whole; rows that repeat an id are trained on and scored each, an id with
+several labels counts by the highest; an empty table gives an empty result; further columns of the input, whatever their
+names, are neither read nor returned.
 """
 
 from __future__ import annotations
