@@ -210,23 +210,40 @@ def fit_layer(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return w
 
 
-def learned_lexicon(rows: DataFrame) -> Lexicon:
-    """Insult arcs from ``rows(text, toxic)``: words and stems much likelier in toxic texts, by distinct contexts."""
+def learned_lexicons(rows: DataFrame, scratch: Scratch) -> tuple[Lexicon, Lexicon, Lexicon]:
+    """Insult arcs from ``rows(text, toxic, half)``: words and stems much likelier in toxic texts, by distinct contexts.
+
+    One aggregate gives three lexicons: of the rows of half 0, of half 1, and of all. What a word in a context was seen in
+    (half and label) is four bits of one number.
+    """
     word = F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\w+|[.!?;\n]"), 0)
-    seen = (rows.select("toxic", word.alias("w"))
-            .select("toxic", F.explode(F.arrays_zip(F.col("w").alias("t"), F.concat(F.array(F.lit("")), F.col("w")).alias("c"))).alias("x"))
-            .where("x.t is not null").groupBy(F.col("x.t").alias("t"), F.xxhash64("x.c").alias("c"))
-            .agg(F.max("toxic").alias("a"), F.max(1 - F.col("toxic")).alias("b")))
+    bit = F.element_at(F.array(*[F.lit(1 << i) for i in range(4)]), 2 * F.col("half") + 2 - F.col("toxic"))
+    seen = (rows.select(bit.alias("m"), word.alias("w"))
+            .select("m", F.explode(F.arrays_zip(F.col("w").alias("t"), F.concat(F.array(F.lit("")), F.col("w")).alias("c"))).alias("x"))
+            .where("x.t is not null").groupBy(F.col("x.t").alias("t"), F.xxhash64("x.c").alias("c")).agg(F.bit_or("m").alias("m")))
     arcs = F.array(F.col("t"), *[F.when(F.length("t") > k, F.concat(F.substring("t", 1, k), F.lit("*"))) for k in STEMS])
-    pairs = (seen.select(F.explode(arcs).alias("arc"), "c", "a", "b").where("arc is not null")
-             .groupBy("arc", "c").agg(F.max("a").alias("a"), F.max("b").alias("b")))
-    sums = pairs.groupBy("arc").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    total = rows.agg(F.sum("toxic"), F.sum(1 - F.col("toxic"))).first()
-    bad, good = (total[0] or 0) + 1.0, (total[1] or 0) + 1.0
-    odds = F.log((F.col("a") + 0.5) / bad) - F.log((F.col("b") + 0.5) / good)
-    found = (sums.where(F.col("a") >= MIN_CONTEXTS).withColumn("odds", odds).where(F.col("odds") >= MIN_LOG_ODDS)
-             .orderBy(F.desc(F.col("odds") * F.sqrt("a")), "arc").limit(MAX_ARCS).collect())
-    return {r["arc"]: ("insult", min(6.0, r["odds"])) for r in found if re.match(r"\w", r["arc"])}
+    pairs = (seen.select(F.explode(arcs).alias("arc"), "c", "m").where("arc is not null")
+             .groupBy("arc", "c").agg(F.bit_or("m").alias("m")))
+    has = lambda bits: F.count_if(F.col("m").bitwiseAND(F.lit(bits)) > 0)
+    sums = pairs.groupBy("arc").agg(*[has(bits).alias(name) for name, bits in
+                                      (("a0", 1), ("b0", 2), ("a1", 4), ("b1", 8), ("a2", 5), ("b2", 10))])
+    sums = scratch.save(sums.where(F.col("a2") >= MIN_CONTEXTS), "arcs", narrow=True)
+    counts = {r["half"]: (r["t"], r["n"]) for r in rows.groupBy("half").agg(F.sum("toxic").alias("t"), F.count("*").alias("n")).collect()}
+    out = []
+    for which in (0, 1, 2):
+        own = [v for half, v in counts.items() if which in (half, 2)]
+        bad, good = sum(t for t, _ in own) + 1.0, sum(n - t for t, n in own) + 1.0
+        a, b = F.col(f"a{which}"), F.col(f"b{which}")
+        odds = F.log((a + 0.5) / bad) - F.log((b + 0.5) / good)
+        found = (sums.where(a >= MIN_CONTEXTS).withColumn("odds", odds).where(F.col("odds") >= MIN_LOG_ODDS)
+                 .orderBy(F.desc(F.col("odds") * F.sqrt(a)), "arc").limit(MAX_ARCS).collect())
+        out.append({r["arc"]: ("insult", min(6.0, r["odds"])) for r in found if re.match(r"\w", r["arc"])})
+    return tuple(out)
+
+
+def learned_lexicon(rows: DataFrame) -> Lexicon:
+    """The lexicon of all of ``rows(text, toxic)``."""
+    return learned_lexicons(rows.withColumn("half", F.lit(0)), Scratch(rows.sparkSession, "lexicon"))[2]
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[Lexicon, np.ndarray]:
@@ -237,15 +254,17 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     at = F.pmod(F.xxhash64("doc_id", F.lit("toxic sample")), F.lit(1_000_000)) / 1_000_000
     rows = (docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
             .join(marked.where(at < share), "doc_id").select("doc_id", "text", "toxic"))
-    rows = Scratch(docs.sparkSession, "toxicity").save(rows, "sample")      # read five times
-    first = F.pmod(F.xxhash64("doc_id", F.lit("layer")), F.lit(2)) == 0
+    scratch = Scratch(docs.sparkSession, "toxicity")
+    half = F.pmod(F.xxhash64("doc_id", F.lit("layer")), F.lit(2)).cast("int")
+    rows = scratch.save(rows.select("text", "toxic", half.alias("half")), "sample")      # read four times
+    lexicons = learned_lexicons(rows, scratch)
     seen = []
-    for own, other in ((first, ~first), (~first, first)):
-        feature = _featurizer(docs.sparkSession, seed_lexicon() | learned_lexicon(rows.where(other)), None)
-        seen.append(rows.where(own).select("toxic", feature(F.col("text"))["f"].alias("f")).toPandas())
+    for own in (0, 1):
+        feature = _featurizer(docs.sparkSession, seed_lexicon() | lexicons[1 - own], None)
+        seen.append(rows.where(F.col("half") == own).select("toxic", feature(F.col("text"))["f"].alias("f")).toPandas())
     got = pd.concat(seen)
     x = np.array(got["f"].tolist(), float).reshape(-1, FEATURES)
-    return seed_lexicon() | learned_lexicon(rows), fit_layer(x, got["toxic"].to_numpy(float))
+    return seed_lexicon() | lexicons[2], fit_layer(x, got["toxic"].to_numpy(float))
 
 
 def score_toxicity(docs: DataFrame, model: tuple[Lexicon, np.ndarray], threshold: float = 0.5) -> DataFrame:
