@@ -252,9 +252,10 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
               .groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic")))
     share = min(1.0, sample_rows / max(1, marked.count()))
     at = F.pmod(F.xxhash64("doc_id", F.lit("toxic sample")), F.lit(1_000_000)) / 1_000_000
-    rows = (docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-            .join(marked.where(at < share), "doc_id").select("doc_id", "text", "toxic"))
     scratch = Scratch(docs.sparkSession, "toxicity")
+    sample = scratch.save(marked.where(at < share), "marked", narrow=True)      # about sample_rows rows of two numbers
+    rows = (docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+            .join(F.broadcast(sample), "doc_id").select("doc_id", "text", "toxic"))
     half = F.pmod(F.xxhash64("doc_id", F.lit("layer")), F.lit(2)).cast("int")
     rows = scratch.save(rows.select("text", "toxic", half.alias("half")), "sample")      # read four times
     lexicons = learned_lexicons(rows, scratch)
