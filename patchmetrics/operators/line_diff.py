@@ -26,6 +26,7 @@ import bisect
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..sources.store import materialize
 from .sequence import sequence_within
@@ -56,14 +57,27 @@ def heaviest_increasing(j: list[int], weight: list[int]) -> list[int]:
     return out[::-1]
 
 
-def _choose_runs(ends: pd.DataFrame) -> pd.DataFrame:
-    """One gap: its runs from their first and last anchors (rank ``ri`` before, ``rj`` after); the chosen runs."""
-    first = ends[ends["first"]].sort_values("ri")
-    last = ends[ends["last"]].sort_values("ri")
-    a, b = first["ri"].tolist(), last["ri"].tolist()
-    chosen = heaviest_increasing(first["rj"].tolist(), [y - x + 1 for x, y in zip(a, b)])
-    return pd.DataFrame({"_k": [ends["_k"].iloc[0]] * len(chosen), "_g": pd.Series([ends["_g"].iloc[0]] * len(chosen), dtype="object"),
-                         "lo": [a[k] for k in chosen], "hi": [b[k] for k in chosen]})
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _choose(rj: pd.Series, lo: pd.Series, hi: pd.Series) -> pd.Series:
+    """Per gap, the places of the chosen runs: ``rj`` of their first anchors, ``lo`` and ``hi`` their first and last ``ri``."""
+    def of_gap(js, a, b):
+        if (js[1:] > js[:-1]).all():
+            return list(range(len(js)))       # no run crosses another: all of them
+        return heaviest_increasing(js.tolist(), (b - a + 1).tolist())
+    return pd.Series([of_gap(*x) for x in zip(rj, lo, hi)], dtype="object")
+
+
+def chosen_runs(ends: DataFrame) -> DataFrame:
+    """``_k, _g, lo, hi`` of the chosen runs, from the ends ``_k, _g, ri, rj, first, last`` of all runs.
+
+    A gap is one row with the ends of its runs, and Python takes whole batches of such rows: most gaps are a few runs, and
+    there are more gaps than documents.
+    """
+    of = lambda end, *cols: F.array_sort(F.collect_list(F.when(F.col(end), F.struct(*cols))))
+    gaps = ends.groupBy("_k", "_g").agg(of("first", "ri", "rj").alias("_starts"), of("last", "ri").alias("_stops"))
+    lists = gaps.select("_k", "_g", F.col("_starts.ri").alias("lo"), F.col("_stops.ri").alias("hi"), F.col("_starts.rj").alias("rj"))
+    return lists.withColumn("_c", _choose("rj", "lo", "hi")).select("_k", "_g", F.explode(F.transform(
+        "_c", lambda i: F.struct(F.get("lo", i).alias("lo"), F.get("hi", i).alias("hi")))).alias("_r")).select("_k", "_g", "_r.lo", "_r.hi")
 
 
 def _anchors(rest: DataFrame) -> DataFrame:
@@ -83,8 +97,7 @@ def _anchors(rest: DataFrame) -> DataFrame:
         return met.withColumn(name, F.coalesce(f"_no_{name}", F.lit(True))).drop("_ok", "_og", "_oi", "_oj", f"_no_{name}")
 
     ends = lacks(lacks(ranked, 1, "first"), -1, "last").where("first OR last").select("_k", "_g", "ri", "rj", "first", "last")
-    kind = ranked.schema["_k"].dataType.simpleString()
-    runs = materialize(ends.groupBy("_k", "_g").applyInPandas(_choose_runs, f"_k {kind}, _g string, lo long, hi long"), "runs")
+    runs = materialize(chosen_runs(ends), "runs")
     block = lambda c: F.floor(F.col(c) / BLOCK)
     spread = runs.select(F.col("_k").alias("_rk"), F.col("_g").alias("_rg"), "lo", "hi",
                          F.explode(F.sequence(block("lo"), block("hi"))).alias("_b"))

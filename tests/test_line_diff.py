@@ -139,3 +139,16 @@ def test_heaviest_selection():
         best = max((sum(w[k] for k in range(n) if m >> k & 1) for m in range(1 << n)
                     if all(j[x] < j[y] for x in range(n) for y in range(x + 1, n) if m >> x & 1 and m >> y & 1)), default=0)
         assert sum(w[k] for k in got) == best
+
+
+def test_gaps_choose_their_runs_in_batches(spark, capsys):
+    """Gaps outnumber documents, so Python takes batches of them, not one gap at a time; crossing runs stay exact."""
+    runs = {1: ([(1, 1, 4), (5, 5, 9)], [0, 1]), 2: ([(1, 8, 2), (3, 1, 7), (8, 6, 8)], [1, 2]), 3: ([(1, 2, 1)], [0])}
+    ends = [(k, ".0", lo if e == "first" else hi, rj if e == "first" else rj + hi - lo, e == "first" or lo == hi, e == "last" or lo == hi)
+            for k, (rs, _) in runs.items() for lo, rj, hi in rs for e in (("first",) if lo == hi else ("last", "first"))]
+    chosen = line_diff.chosen_runs(spark.createDataFrame(ends, "_k long, _g string, ri long, rj long, first boolean, last boolean"))
+    want = sorted((k, ".0", rs[c][0], rs[c][2]) for k, (rs, cs) in runs.items() for c in cs)
+    assert sorted(tuple(r) for r in chosen.collect()) == want
+    chosen.explain()
+    plan = capsys.readouterr().out
+    assert "ArrowEvalPython" in plan and "FlatMapGroups" not in plan
