@@ -24,6 +24,7 @@ from ..session import ensure_checkpoint_dir, shuffle_partitions
 from ..sources.store import materialize
 
 _PID, _OWN = "_sq_pid", "_sq_own"
+HOT_ROWS = 200_000     # rows of a group that one task may sort
 
 
 def sequence_within(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "seq",
@@ -56,6 +57,26 @@ def sequence_within(df: DataFrame, keys: Sequence[str], order: Sequence[str], na
         .select(*df.columns, name)
 
 
+def sequences_within(df: DataFrame, group: Sequence[str], ordinals: dict[str, tuple[Sequence[str], Sequence[str]]]) -> DataFrame:
+    """Add several ordinals, ``name -> (keys, order)``, where all ``keys`` hold those of ``group``; else as ``sequence_within``.
+
+    Groups of at most ``HOT_ROWS`` rows are shuffled once, by ``group``, and numbered there for every ordinal. Larger ones
+    are few (rows / ``HOT_ROWS`` at most) and go through ``sequence_within``, so none lands in one task.
+    """
+    names = [f"_sq_g{i}" for i in range(len(group))]
+    sizes = df.groupBy(*[F.col(k).alias(a) for k, a in zip(group, names)]).agg(F.count(F.lit(1)).alias("_sq_n"))
+    hot = materialize(sizes.where(F.col("_sq_n") > HOT_ROWS).select(*names), "hot_groups")
+    same = [F.col(k).eqNullSafe(F.col(a)) for k, a in zip(group, names)]
+    if hot.isEmpty():
+        cold, large = df, None
+    else:
+        cold, large = df.join(F.broadcast(hot), same, "left_anti"), df.join(F.broadcast(hot), same, "left_semi")
+    for name, (keys, order) in sorted(ordinals.items(), key=lambda x: len(x[1][0])):     # the group's own keys first
+        cold = cold.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint"))
+        large = large and sequence_within(large, keys, order, name)
+    return cold if large is None else cold.unionByName(large)
+
+
 def dense_index(df: DataFrame, order: Sequence[str], name: str = "idx", num_partitions: int | None = None) -> DataFrame:
     """Contiguous 0-based index in the global order of ``order``; distributed (no single-partition window)."""
     out = sequence_within(df, [], order, name=name, num_partitions=num_partitions)

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.sequence import sequence_within
+from ..operators.sequence import sequences_within
 from .store import materialize
 from .tables import read_table
 
@@ -48,13 +48,13 @@ def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     def build():
         li = read_table(spark, sf_dir, "lineitem", ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
                                                      "l_quantity", "l_extendedprice", "l_tax", "l_returnflag",
-                                                     "l_linestatus"])
+                                                     "l_linestatus"], spread=False)    # one shuffle, by file, follows
         vid = F.concat(F.lit("B"), (F.lit(100) + (F.col("l_orderkey") * 7 + F.col("l_partkey") % 3) % 20)
                        .cast("string"))
         keyed = li.select(F.col("l_orderkey").alias("file_uid"), vid.alias("vulnerability_id"), *li.columns[1:])
         # row_number() per file and per (file, rule) -- computed without a hot task (operators.sequence).
-        seqd = sequence_within(keyed, ["file_uid"], ATTEMPT_ORDER, "attempt_seq")
-        seqd = sequence_within(seqd, ["file_uid", "vulnerability_id"], ATTEMPT_ORDER, "vuln_seq")
+        seqd = sequences_within(keyed, ["file_uid"], {"attempt_seq": (["file_uid"], ATTEMPT_ORDER),
+                                                      "vuln_seq": (["file_uid", "vulnerability_id"], ATTEMPT_ORDER)})
         first = F.col("vuln_seq") == 1
         qty50 = F.col("l_quantity") == 50
         p = F.when(qty50, F.lit(None)).otherwise(F.floor(F.col("l_quantity") * 40).cast("bigint")

@@ -39,3 +39,19 @@ def test_payload_and_keys_are_untouched(spark):
         own = sorted((r.o, r.n) for r in got if r.k == k)
         assert [n for _, n in own] == list(range(1, len(own) + 1))
     assert "Python" not in sequence_within(df, ["k"], ["o"])._jdf.queryExecution().toString()
+
+
+def test_several_ordinals_share_one_shuffle_and_split_hot_groups(spark, monkeypatch, capsys):
+    from patchmetrics.operators import sequence
+    rows = [(k if k != 4 else None, v % 3, v * 7 % 101) for k in range(5) for v in range(90 if k == 2 else 7)]
+    df = spark.createDataFrame(rows, "k int, g int, o int")
+    ordinals = {"b": (["k", "g"], ["o"]), "a": (["k"], ["o"])}
+    want = sorted(((k, g, o, sum(y[2] <= o for y in rows if y[0] == k), sum(y[2] <= o for y in rows if y[:2] == (k, g)))
+                   for k, g, o in rows), key=str)
+    for hot in (1000, 20, 1):
+        monkeypatch.setattr(sequence, "HOT_ROWS", hot)
+        got = sequence.sequences_within(df, ["k"], ordinals).select("k", "g", "o", "a", "b")
+        assert sorted(map(tuple, got.collect()), key=str) == want
+    monkeypatch.setattr(sequence, "HOT_ROWS", 1000)
+    sequence.sequences_within(df, ["k"], ordinals).explain()
+    assert capsys.readouterr().out.count("Exchange") == 1
