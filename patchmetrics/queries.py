@@ -138,7 +138,9 @@ def q_audit_dataset_counts(spark, sf):
 
 @query("valid_file_semi_join")
 def q_valid_file_semi_join(spark, sf):
-    files = ap.long_form(spark, sf)[0].select("file_uid", "vuln_count", "fixed_count", "n_traces")
+    from .sources.store import materialize
+    # Both sides of the join read the files: written once, not built twice.
+    files = materialize(ap.long_form(spark, sf)[0].select("file_uid", "vuln_count", "fixed_count", "n_traces"), "files")
     return report.of_valid_files(files, files)
 
 
