@@ -272,13 +272,15 @@ def _trace_ddl() -> str:
     return TRACE_DDL
 
 
-def long_form_log(priced: DataFrame, facts: DataFrame, leftovers: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def long_form_log(priced: DataFrame, facts: DataFrame, leftovers: DataFrame | None = None,
+                  traces: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The audit log in long form -- ``(files, vulns, attempts)`` -- built only with map-side-combined aggregates.
 
     Same content as ``build_audit_log`` without nesting, so a file holding a third of all attempts never becomes
-    one giant record; feed it to ``report.kpi_report_flat(..., restrict_to_valid=True)``.
+    one giant record; feed it to ``report.kpi_report_flat(..., restrict_to_valid=True)``. ``traces`` are those of
+    ``vuln_traces(priced)`` if the caller has them already.
     """
-    traces = vuln_traces(priced)
+    traces = vuln_traces(priced) if traces is None else traces
     summary = file_summary(traces, facts, leftovers)
     files = summary.join(facts.select("file_uid", "normalized_loc_churn", "ast_churn", "cc_before", "cc_after"),
                          "file_uid").select(

@@ -28,15 +28,16 @@ def long_form(spark: SparkSession, sf_dir: str, stored: bool = False) -> tuple[D
     """The report's input, built from the attempts anew: ``(files, traces of valid files, attempts of valid files)``.
 
     Flat rows only: no nested record of a hot file is ever built, shuffled or read for the report. ``stored`` writes the
-    three tables first, for a report that reads them several times.
+    traces and files first, for a report that uses all three tables: both are read more than once.
     """
     from ..sources.store import materialize
 
-    files, vulns, attempts = audit.long_form_log(priced_attempts(spark, sf_dir), fixtures.file_facts(spark, sf_dir))
+    priced = priced_attempts(spark, sf_dir)
+    by_trace = materialize(audit.vuln_traces(priced), "report_traces") if stored else None
+    files, vulns, attempts = audit.long_form_log(priced, fixtures.file_facts(spark, sf_dir), traces=by_trace)
     if stored:
         files = materialize(files, "report_files")
-    vulns, attempts = report.of_valid_files(files, vulns), report.of_valid_files(files, attempts)
-    return (files, materialize(vulns, "report_traces"), materialize(attempts, "report_attempts")) if stored else (files, vulns, attempts)
+    return files, report.of_valid_files(files, vulns), report.of_valid_files(files, attempts)
 
 
 def valid_records(spark: SparkSession, sf_dir: str) -> DataFrame:
