@@ -217,10 +217,11 @@ def build_audit_log(priced: DataFrame, facts: DataFrame, dataset: str | None = N
     ``facts`` carries per-file code statistics: ``file_uid, loc_before, loc_after, cc_before, cc_after,
     normalized_loc_churn, ast_churn, vuln_count_after`` and optionally ``dataset`` and ``duration_s``.
     Constant metadata columns come from parameters (P18); the timestamp is stamped once per batch unless given.
-    The two groupings shuffle on ``(file_uid, vulnerability_id)`` and then ``file_uid``; the nested list of a
-    file is its own output record, so its size is that file's number of findings and attempts.
+    The attempts are shuffled once, as narrow rows by ``file_uid``, and nested there; the nested list of a file is its
+    own output record, so its size is that file's number of findings and attempts.
     """
-    per_trace = priced.groupBy("file_uid", "vulnerability_id").agg(
+    of_file = priced.repartition("file_uid")
+    per_trace = of_file.groupBy("file_uid", "vulnerability_id").agg(
         *trace_aggregates(),
         F.collect_list(F.struct("attempt_seq", attempt_struct().alias("a"))).alias("_atts"))
     per_trace = _finish_trace(per_trace)
