@@ -8,7 +8,7 @@ those of the whole file and trace in every part.
 
 A reader needs no part beside another: files are the parts 0, traces are those of all parts but a continued first one,
 attempts are those of all parts (``part_tables``). No step gathers more than one part: an attempt's place in its file is a
-hot-safe running number (``sequence.sequence_within``), everything else is an aggregate or a join per trace.
+hot-safe running number (``sequence.sequences_within``), everything else is an aggregate or a join per trace.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..sources.store import materialize
 from . import audit, report
-from .sequence import sequence_within
+from .sequence import sequences_within
 
 PART_ATTEMPTS = 4096
 
@@ -27,18 +27,20 @@ def build_audit_log_parts(priced: DataFrame, facts: DataFrame, part_attempts: in
                           leftovers: DataFrame | None = None, **record) -> DataFrame:
     """The columns of ``audit.build_audit_log`` and ``part, n_parts, continues``; ``record`` are its other parameters."""
     traces = materialize(audit.vuln_traces(priced), "traces")
-    first = traces.select(F.col("file_uid").alias("_f"), F.col("vulnerability_id").alias("_v"), "first_seq")
-    ordered = priced.join(first, (F.col("file_uid") == F.col("_f")) & (F.col("vulnerability_id") == F.col("_v"))).drop("_f", "_v")
-    placed = sequence_within(ordered, ["file_uid"], ["first_seq", "vulnerability_id", "attempt_seq"], "_place")
+    shown = ["severity", "confidence_score", "status", "fixed_at_level", "time_to_remediation_s", "total_cost_usd"]
+    whole_trace = traces.select(F.col("file_uid").alias("_f"), F.col("vulnerability_id").alias("_v"), "first_seq",
+                                F.struct(*shown).alias("_trace"))
+    known = priced.select("file_uid", "vulnerability_id", "attempt_seq", audit.attempt_struct().alias("_a")).join(
+        whole_trace, (F.col("file_uid") == F.col("_f")) & (F.col("vulnerability_id") == F.col("_v"))).drop("_f", "_v")
+    # The numbering shuffles by file; both groupings of a part find its rows together already.
+    placed = sequences_within(known, ["file_uid"], {"_place": (["file_uid"], ["first_seq", "vulnerability_id", "attempt_seq"])})
     placed = placed.withColumn("part", F.floor((F.col("_place") - 1) / part_attempts).cast("int"))
 
     inner = placed.groupBy("file_uid", "vulnerability_id", "part").agg(
-        F.min("attempt_seq").alias("_from"), F.transform(F.array_sort(F.collect_list(F.struct("attempt_seq", audit.attempt_struct().alias("a")))),
-                                                         lambda x: x["a"]).alias("attempts"))
-    trace = F.struct(F.col("vulnerability_id").alias("test_id"), "severity", "confidence_score", "status", "fixed_at_level",
-                     "time_to_remediation_s", "total_cost_usd", "attempts")
-    known = inner.join(traces, ["file_uid", "vulnerability_id"])
-    parts = known.groupBy(F.col("file_uid").alias("_pf"), "part").agg(
+        F.min("attempt_seq").alias("_from"), F.first("first_seq").alias("first_seq"), F.first("_trace").alias("_trace"),
+        F.transform(F.array_sort(F.collect_list(F.struct("attempt_seq", F.col("_a").alias("a")))), lambda x: x["a"]).alias("attempts"))
+    trace = F.struct(F.col("vulnerability_id").alias("test_id"), *[F.col(f"_trace.{c}").alias(c) for c in shown], "attempts")
+    parts = inner.groupBy(F.col("file_uid").alias("_pf"), "part").agg(
         F.max(F.col("_from") > F.col("first_seq")).alias("continues"),
         F.transform(F.array_sort(F.collect_list(F.struct("first_seq", "vulnerability_id", trace.alias("t")))), lambda x: x["t"]).alias("_traces"))
 
