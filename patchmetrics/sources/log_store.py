@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from ..operators import report
 from .io import read_audit_log
+from .store import materialize
 
 TABLES = ("files", "attempts", "traces", "valid_ids", "open_traces", "open_attempts")
 
@@ -52,14 +53,29 @@ def committed(spark: SparkSession, path: str) -> dict[str, str]:
     return {r["batch"]: f"{path.rstrip('/')}/{r['folder']}" for r in rows}
 
 
+def _marked(log: DataFrame) -> DataFrame:
+    """The records of a batch parsed once, with ``in_valid``: some record of the batch has vulnerabilities in that file."""
+    trace = lambda v: F.struct(v["test_id"].alias("test_id"), v["severity"].alias("severity"), v["status"].alias("status"),
+                               F.transform(v["attempts"], attempt).alias("attempts"))
+    attempt = lambda x: F.struct(x["level"].alias("level"), x["status"].alias("status"),
+                                 F.struct(x["tokens"]["total_tokens"].alias("total_tokens")).alias("tokens"))
+    read = materialize(log.select(F.struct("meta.file_uid").alias("meta"), "input_stats", "security_summary", "total_cost_usd",
+                                  F.transform("vulnerabilities", trace).alias("vulnerabilities")), "batch_records")
+    valid = report.valid_files(read).select(F.col("meta.file_uid").alias("_uid"), F.lit(True).alias("in_valid")).distinct()
+    known = read.join(valid, F.col("meta.file_uid") == F.col("_uid"), "left").drop("_uid")
+    return materialize(known.withColumn("in_valid", F.coalesce("in_valid", F.lit(False))), "batch_marked")
+
+
 def _states(log: DataFrame) -> dict[str, DataFrame]:
-    files, vulns, attempts = report.log_tables(log)
-    valid = files.where("vuln_count > 0").select("file_uid").distinct()
+    known = _marked(log)
+    files = report.log_tables(known)[0]
+    entries = known.where("in_valid")
     # Records of files that no record of this batch makes valid: settled when all batches are known.
-    waiting = log.join(valid, F.col("meta.file_uid") == F.col("file_uid"), "left_anti")
-    return {"files": report.file_state(files), "attempts": report.attempt_state(attempts), "traces": report.trace_state(vulns),
-            "valid_ids": valid, "open_traces": report.explode_vulnerabilities(waiting),
-            "open_attempts": report.explode_attempts(waiting)}
+    waiting = known.where("NOT in_valid")
+    return {"files": report.file_state(files), "attempts": report.attempt_state(report.explode_attempts(entries)),
+            "traces": report.trace_state(report.explode_vulnerabilities(entries)),
+            "valid_ids": files.where("vuln_count > 0").select("file_uid").distinct(),
+            "open_traces": report.explode_vulnerabilities(waiting), "open_attempts": report.explode_attempts(waiting)}
 
 
 def append_batch(log: DataFrame, path: str, batch: str) -> bool:

@@ -62,3 +62,12 @@ def test_failed_and_competing_appends(spark, tmp_path, monkeypatch):
     for bad in ("", "a/b", "_x", ".x"):
         with pytest.raises(ValueError):
             log_store.append_batch(log_df(spark, LOG), path, bad)
+
+
+def test_a_batch_is_parsed_once(spark):
+    """No state of a batch reads its JSON again."""
+    from patchmetrics.schemas import AUDIT_LOG_DDL
+
+    log = spark.range(3).select(F.lit(None).cast(f"struct<{AUDIT_LOG_DDL}>").alias("x")).select("x.*")
+    read = [t.inputFiles() for t in log_store._states(log).values()]
+    assert all(read) and all("batch_marked" in f for files in read for f in files)
