@@ -11,7 +11,9 @@ lines, of which the lines behind the first count as code.
 "The next line indented no deeper" is found in two levels: within a block of lines, and for a function that leaves its
 block by the first such line of every later block, one row per block and per indent at which functions of the document
 start. The other neighbours (previous code line, start of a run of decorators) are running maxima in the same two levels.
-No array holds more than one block, and a document of any length is spread over many tasks.
+No array holds more than one block, and a document of any length is spread over many tasks. Both sides of every join grow
+with the documents, though their files may look small enough to broadcast: the joins ask for a merge, so that no table
+goes through the driver.
 """
 
 from __future__ import annotations
@@ -40,7 +42,7 @@ def _last_before(rows: DataFrame, value: Column, name: str) -> DataFrame:
     earlier = Window.partitionBy("_k").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     carried = totals.select(F.col("_k").alias("_ck"), F.col("_b").alias("_cb"), F.max("_t").over(earlier).alias("_carry"))
     own = F.max("_v").over(Window.partitionBy("_k", "_b").orderBy("_n").rowsBetween(Window.unboundedPreceding, -1))
-    both = rows.withColumn("_own", own).join(carried, (F.col("_k") == F.col("_ck")) & (F.col("_b") == F.col("_cb")))
+    both = rows.withColumn("_own", own).join(carried.hint("merge"), (F.col("_k") == F.col("_ck")) & (F.col("_b") == F.col("_cb")))
     return both.withColumn(name, F.greatest("_own", "_carry")).drop("_v", "_own", "_carry", "_ck", "_cb")
 
 
@@ -66,20 +68,20 @@ def function_spans(lines: DataFrame, key: str = "doc_id", line_col: str = "line"
     first = lambda after, indent: F.array_min(F.transform(
         F.filter("_ends", lambda x: (x["n"] > after) & (x["i"] <= indent)), lambda x: x["n"]))
     indents = defs.select(F.col("_k").alias("_ik"), F.col("_i").alias("_level")).distinct()
-    firsts = blocks.join(indents, F.col("_k") == F.col("_ik")).select("_k", "_b", "_level", first(F.lit(0), F.col("_level")).alias("_first"))
+    firsts = blocks.join(indents.hint("merge"), F.col("_k") == F.col("_ik")).select("_k", "_b", "_level", first(F.lit(0), F.col("_level")).alias("_first"))
     later = Window.partitionBy("_k", "_level").orderBy("_b").rowsBetween(1, Window.unboundedFollowing)
     carry = firsts.select(F.col("_k").alias("_ck"), F.col("_b").alias("_cb"), "_level", F.min("_first").over(later).alias("_carry"))
-    own = defs.join(blocks, ["_k", "_b"]).withColumn("_own", first(F.col("_n"), F.col("_i"))).drop("_ends")
-    open_ = own.join(carry, (F.col("_k") == F.col("_ck")) & (F.col("_b") == F.col("_cb")) & (F.col("_i") == F.col("_level")), "left")
+    own = defs.join(blocks.hint("merge"), ["_k", "_b"]).withColumn("_own", first(F.col("_n"), F.col("_i"))).drop("_ends")
+    open_ = own.join(carry.hint("merge"), (F.col("_k") == F.col("_ck")) & (F.col("_b") == F.col("_cb")) & (F.col("_i") == F.col("_level")), "left")
     found = open_.select("_k", "_n", "_name", "_async", F.coalesce("_own", "_carry").alias("_next"))
 
     at_next = before.select(F.col("_k").alias("_nk"), F.col("_n").alias("_nn"), F.col("_prev").alias("_end"))
     final = code.groupBy("_k").agg(F.max("_n").alias("_last"))
     runs = before.where("_deco").groupBy(F.col("_k").alias("_rk"), F.coalesce("_plain", F.lit(0)).alias("_rp")).agg(F.min("_n").alias("_top"))
     above = before.where("_name <> ''").select(F.col("_k").alias("_ak"), F.col("_n").alias("_an"), F.coalesce("_plain", F.lit(0)).alias("_ap"))
-    out = (found.join(at_next, (F.col("_k") == F.col("_nk")) & (F.col("_next") == F.col("_nn")), "left")
-           .join(final, "_k").join(above, (F.col("_k") == F.col("_ak")) & (F.col("_n") == F.col("_an")))
-           .join(runs, (F.col("_k") == F.col("_rk")) & (F.col("_ap") == F.col("_rp")) & (F.col("_top") < F.col("_n")), "left"))
+    out = (found.join(at_next.hint("merge"), (F.col("_k") == F.col("_nk")) & (F.col("_next") == F.col("_nn")), "left")
+           .join(final.hint("merge"), "_k").join(above.hint("merge"), (F.col("_k") == F.col("_ak")) & (F.col("_n") == F.col("_an")))
+           .join(runs.hint("merge"), (F.col("_k") == F.col("_rk")) & (F.col("_ap") == F.col("_rp")) & (F.col("_top") < F.col("_n")), "left"))
     return out.select(F.col("_k").alias(key), F.when(F.col("_async"), "async function").otherwise("function").alias("kind"),
                       F.col("_name").alias("name"), F.coalesce("_top", "_n").cast("int").alias("start_line"),
                       F.coalesce("_end", "_last").cast("int").alias("end_line"), F.col("_n").cast("int").alias("def_line"))

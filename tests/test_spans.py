@@ -79,3 +79,9 @@ def test_spans_feed_the_context_join(spark):
     out = context.function_or_window_context(finds, spans.function_spans(lines), lines, ["doc_id", "line_no", "test_id"])
     got = {r["line_no"]: (r["context_type"], r["start_line"], r["end_line"]) for r in out.collect()}
     assert got == {1: ("window", 1, 6), 3: ("function", 3, 7), 6: ("function", 5, 6), 7: ("function", 3, 7), 10: ("window", 5, 10)}
+
+
+def test_tables_that_grow_with_the_documents_are_not_broadcast(spark, capsys):
+    docs = spark.createDataFrame([(1, "def f(a):\n    x = 1\ny = 2")], "doc_id long, text string")
+    spans.function_spans(context.explode_lines(docs)).explain()
+    assert "Broadcast" not in capsys.readouterr().out
