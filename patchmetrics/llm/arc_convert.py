@@ -73,6 +73,20 @@ def read_file(path: str) -> bytes:
         return f.read()
 
 
+def gunzip(data: bytes, step: int = 1 << 14) -> bytes:
+    """All members of ``data``; what follows a member is looked at in steps, never copied whole once per member."""
+    out, at, view = [], 0, memoryview(data)
+    while at < len(data):
+        member = zlib.decompressobj(31)
+        while not member.eof:
+            if at >= len(data):
+                raise EOFError("the last gzip member is cut short")
+            piece = view[at:at + step]
+            out.append(member.decompress(piece))
+            at += len(piece) - len(member.unused_data)
+    return b"".join(out)
+
+
 def sha1(data: bytes) -> str:
     return hashlib.sha1(data).hexdigest()
 
@@ -178,7 +192,7 @@ def _index_arc(batches):
     for b in batches:
         for path in b.column("path").to_pylist():
             rows = []
-            for i, (header, body) in enumerate(parse_arc(gzip.decompress(read_file(path)))):
+            for i, (header, body) in enumerate(parse_arc(gunzip(read_file(path)))):
                 _, fields, payload = http_parts(body)
                 rows.append((path, i, page_of(fields), header["URL"], header["Archive-date"], len(payload), sha1(payload)))
             yield _batch(rows, INDEX)
@@ -252,7 +266,7 @@ def _convert(folder: str):
                                     "Content-Type": "application/warc-fields"},
                                    f"format: WARC File Format 1.1\r\nconverted-from: ARC version {version}\r\n".encode())
                 members = [gzip.compress(info, LEVEL, mtime=0)]
-                for i, (header, body) in enumerate(parse_arc(gzip.decompress(read_file(path)))):
+                for i, (header, body) in enumerate(parse_arc(gunzip(read_file(path)))):
                     members.append(gzip.compress(convert_record(header, body, refers.get(i), i in refers), LEVEL, mtime=0))
                 data = b"".join(members)
                 write_file(f"{folder}/{name}", data)
@@ -265,7 +279,7 @@ def _read_warc(batches):
     for b in batches:
         for path in b.column("path").to_pylist():
             rows = []
-            for h, block in parse_warc(gzip.decompress(read_file(path))):
+            for h, block in parse_warc(gunzip(read_file(path))):
                 if h["warc-type"] == "warcinfo":
                     continue
                 _, fields, payload = http_parts(block)

@@ -79,3 +79,13 @@ def test_odd_rows_and_empty_table(spark):
     assert {r["refers_to"] for r in rows} == {None, 2}
     none = arc.write_arc(df.limit(0), s)
     assert arc.read_warc(arc.convert(none, arc.choose_responses(arc.index_arc(none, s), s), s), s).count() == 0
+
+
+@pytest.mark.parametrize("step", [1, 7, 1 << 14])
+def test_members_are_read_in_steps(step):
+    """What follows a member is never copied whole for it, whatever the sizes of members and steps."""
+    members = [gzip.compress(x, 1, mtime=0) for x in (b"", b"a" * 50, bytes(range(256)) * 40, b"", b"end")]
+    assert arc.gunzip(b"".join(members), step) == gzip.decompress(b"".join(members))
+    assert arc.gunzip(b"", step) == b""
+    with pytest.raises(EOFError):
+        arc.gunzip(b"".join(members)[:-9], step)
