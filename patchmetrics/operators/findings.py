@@ -129,6 +129,26 @@ def required_literal(pattern: str) -> str | None:
     return best or None
 
 
+def literal_and_tail(pattern: str) -> tuple[str, str] | None:
+    """``(literal, tail)`` of a pattern that is a literal followed by a tail (maybe empty), each matching by itself.
+
+    The pattern matches a text iff the literal ends somewhere at a place where the tail matches. None for patterns that
+    ``required_literal`` does not understand or that begin otherwise, and for ``\\G``, which depends on earlier matches.
+    """
+    if required_literal(pattern) is None or "\\G" in pattern:
+        return None
+    literal, i, n = "", 0, len(pattern)
+    while i < n:
+        escaped = pattern[i] == "\\" and i + 1 < n and not pattern[i + 1].isalnum()
+        if pattern[i] in _META and not escaped:
+            break
+        end = i + 2 if escaped else i + 1
+        if end < n and pattern[end] in "*+?{":
+            break                  # the quantifier belongs to this character
+        literal, i = literal + pattern[end - 1], end
+    return (literal, pattern[i:]) if literal else None
+
+
 def scan_lines(lines: DataFrame, rules: DataFrame, line_col: str = "line",
                keys=("doc_id", "line_no")) -> DataFrame:
     """``lines JOIN rules ON regexp_like(line, pattern)`` as a narrow map.
