@@ -316,7 +316,7 @@ def q_rule_scan_findings(spark, sf):
 
 @query("rule_catalogue_scan")
 def q_rule_catalogue_scan(spark, sf):
-    """J11 with hundreds to thousands of rules: findings per rule and document, through the q-gram index."""
+    """J11 with hundreds to thousands of rules: findings per rule and document, through the literal index."""
     from .operators.rule_index import scan_lines_indexed
     found = scan_lines_indexed(fixtures.doc_lines(spark, sf), fixtures.rule_catalogue(spark, sf))
     return found.groupBy("doc_id", "test_id").agg(F.count(F.lit(1)).alias("n_lines"), F.min("line_no").alias("first_line"))
