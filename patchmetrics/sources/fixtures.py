@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.sequence import sequences_within
-from .store import materialize
+from .store import materialize, shuffles_freed
 from .tables import read_table
 
 _MEMO: dict[tuple, DataFrame] = {}
@@ -76,7 +76,8 @@ def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
             .otherwise("LOW").alias("severity"),
             F.when(F.col("l_partkey") % 2 == 0, "HIGH").otherwise("MEDIUM").alias("confidence"),
         )
-        return materialize(out, "attempts")
+        with shuffles_freed(spark):
+            return materialize(out, "attempts")
 
     return memo(spark, sf_dir, "attempts", build)
 

@@ -1,7 +1,7 @@
 """S6 + C4: an audit log that grows by batches, may be appended twice, and is reported from additive states.
 
-``append_batch`` writes a batch (its records as JSON Lines and the report's states over them) into a folder of its own and
-then commits it with one manifest file named after the batch. Readers see the folders named by manifests only, so
+``append_batch`` writes a batch (its records as gzipped JSON Lines and the report's states over them) into a folder of its own
+and then commits it with one manifest file named after the batch. Readers see the folders named by manifests only, so
 
 * a failed or half-written append leaves nothing visible;
 * appending a batch again, after a rerun or a lost reply, changes nothing;
@@ -25,9 +25,10 @@ from pyspark.sql import functions as F
 
 from ..operators import report
 from .io import read_audit_log
-from .store import materialize
+from .store import materialize, release, shuffles_freed
 
 TABLES = ("files", "attempts", "traces", "valid_ids", "open_traces", "open_attempts")
+FILE_RECORDS = 100_000     # records of one file: a gzipped file is read by one task
 
 
 def _fs(spark: SparkSession, path: str):
@@ -53,21 +54,27 @@ def committed(spark: SparkSession, path: str) -> dict[str, str]:
     return {r["batch"]: f"{path.rstrip('/')}/{r['folder']}" for r in rows}
 
 
-def _marked(log: DataFrame) -> DataFrame:
-    """The records of a batch parsed once, with ``in_valid``: some record of the batch has vulnerabilities in that file."""
+def _marked(log: DataFrame, written: list[str] | None = None) -> DataFrame:
+    """The records of a batch parsed once, with ``in_valid``: some record of the batch has vulnerabilities in that file.
+
+    A record with vulnerabilities settles that itself; only the others are shuffled, to the ids of the valid files.
+    """
     trace = lambda v: F.struct(v["test_id"].alias("test_id"), v["severity"].alias("severity"), v["status"].alias("status"),
                                F.transform(v["attempts"], attempt).alias("attempts"))
     attempt = lambda x: F.struct(x["level"].alias("level"), x["status"].alias("status"),
                                  F.struct(x["tokens"]["total_tokens"].alias("total_tokens")).alias("tokens"))
+    own = F.col("meta.file_uid").isNotNull() & F.coalesce(F.col("input_stats.vuln_count") > 0, F.lit(False))
     read = materialize(log.select(F.struct("meta.file_uid").alias("meta"), "input_stats", "security_summary", "total_cost_usd",
-                                  F.transform("vulnerabilities", trace).alias("vulnerabilities")), "batch_records")
-    valid = report.valid_files(read).select(F.col("meta.file_uid").alias("_uid"), F.lit(True).alias("in_valid")).distinct()
-    known = read.join(valid, F.col("meta.file_uid") == F.col("_uid"), "left").drop("_uid")
-    return materialize(known.withColumn("in_valid", F.coalesce("in_valid", F.lit(False))), "batch_marked")
+                                  F.transform("vulnerabilities", trace).alias("vulnerabilities"), own.alias("in_valid")),
+                       "batch_marked", written)
+    valid = report.valid_files(read).select(F.col("meta.file_uid").alias("_uid")).distinct()
+    rest = read.where("NOT in_valid").join(valid, F.col("meta.file_uid") == F.col("_uid"), "left")
+    settled = materialize(rest.withColumn("in_valid", F.col("_uid").isNotNull()).drop("_uid"), "batch_marked_rest", written)
+    return read.where("in_valid").unionByName(settled)
 
 
-def _states(log: DataFrame) -> dict[str, DataFrame]:
-    known = _marked(log)
+def _states(log: DataFrame, written: list[str] | None = None) -> dict[str, DataFrame]:
+    known = _marked(log, written)
     files = report.log_tables(known)[0]
     entries = known.where("in_valid")
     # Records of files that no record of this batch makes valid: settled when all batches are known.
@@ -79,17 +86,25 @@ def _states(log: DataFrame) -> dict[str, DataFrame]:
 
 
 def append_batch(log: DataFrame, path: str, batch: str) -> bool:
-    """Append ``log`` as ``batch``; False (and nothing written) if that batch is there already."""
+    """Append ``log`` as ``batch``; False (and nothing written) if that batch is there already.
+
+    The lines are gzipped (their keys repeat in every attempt), and what a batch needs beside its folder goes with it.
+    """
     spark = log.sparkSession
     fs, manifest = _fs(spark, _manifest(path, batch))
     if fs.exists(manifest):
         return False
     folder = f"batches/{batch}-{uuid.uuid4().hex}"
     at = f"{path.rstrip('/')}/{folder}"
-    log.write.json(f"{at}/log")
-    stored = read_audit_log(spark, f"{at}/log")       # the states are those of the records as written
-    for name, table in _states(stored).items():
-        table.write.parquet(f"{at}/{name}")
+    written: list[str] = []
+    with shuffles_freed(spark):
+        try:
+            log.write.option("maxRecordsPerFile", FILE_RECORDS).json(f"{at}/log", compression="gzip")
+            stored = read_audit_log(spark, f"{at}/log")       # the states are those of the records as written
+            for name, table in _states(stored, written).items():
+                table.write.parquet(f"{at}/{name}")
+        finally:
+            release(spark, written)
     return commit(spark, path, batch, folder)
 
 

@@ -71,3 +71,57 @@ def test_a_batch_is_parsed_once(spark):
     log = spark.range(3).select(F.lit(None).cast(f"struct<{AUDIT_LOG_DDL}>").alias("x")).select("x.*")
     read = [t.inputFiles() for t in log_store._states(log).values()]
     assert all(read) and all("batch_marked" in f for files in read for f in files)
+
+
+def _files(folder):
+    return {os.path.join(d, f) for d, _, names in os.walk(folder) for f in names if f.startswith("part-")}
+
+
+def test_an_append_leaves_its_packed_batch_and_nothing_else(spark, tmp_path, monkeypatch):
+    """The lines are gzipped, and no table that served a batch's states stays, also when the append fails."""
+    from patchmetrics.session import ensure_checkpoint_dir
+
+    shared = ensure_checkpoint_dir(spark).removeprefix("file:")
+    many = [{**r, "meta": {**r["meta"], "file_uid": f"{r['meta']['file_uid']}{i}"}} for i in range(300) for r in LOG]
+    plain, path, before = str(tmp_path / "plain"), str(tmp_path / "log"), _files(shared)
+    log_df(spark, many).coalesce(1).write.json(plain)
+    assert log_store.append_batch(log_df(spark, many).coalesce(1), path, "b0")
+    lines = {f for f in _files(path) if os.path.basename(os.path.dirname(f)) == "log"}
+    assert lines and all(f.endswith(".json.gz") for f in lines)
+    assert sum(map(os.path.getsize, lines)) * 5 < sum(map(os.path.getsize, _files(plain)))
+    assert rows(log_store.read_batches(spark, path)) == rows(log_df(spark, many))
+    assert _files(shared) == before
+    states = log_store._states
+    monkeypatch.setattr(log_store, "_states", lambda *a: (states(*a), 1 / 0))
+    with pytest.raises(ZeroDivisionError):
+        log_store.append_batch(log_df(spark, LOG), path, "b1")
+    assert _files(shared) == before
+
+
+def test_shuffles_of_a_write_go_when_it_ends(spark):
+    from patchmetrics.sources import store
+
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    with pytest.raises(KeyError), store.shuffles_freed(spark):
+        assert spark.conf.get(key) == "true"
+        raise KeyError
+    assert spark.conf.get(key) == "false"
+
+
+def test_records_without_id_or_count_are_of_no_valid_file(spark, tmp_path):
+    """Only records with both settle their file; the others are of a valid file when another record of it is."""
+    uid = lambda r, u: {**r, "meta": {**r["meta"], "file_uid": u}}
+    count = lambda r, n: {**r, "input_stats": {**r["input_stats"], "vuln_count": n}}
+    log = [*LOG, uid(LOG[0], None), count(LOG[0], None), count(uid(LOG[3], "d"), None), count(uid(LOG[3], None), 0), LOG[2], LOG[0]]
+    path = str(tmp_path / "log")
+    log_store.append_batch(log_df(spark, log), path, "b0")
+    assert rows(log_store.report_of_batches(spark, path)) == rows(report.kpi_report(log_df(spark, log)))
+
+
+def test_a_batch_of_the_nested_log_nests_its_own_files_only(spark):
+    """The filter of a batch stands below the shuffles of both the attempts and the file facts."""
+    log = ap.build_log(spark, SF_SMALL)
+    plan = log.where(F.pmod(F.col("meta.file_uid").cast("long"), F.lit(3)) == 1)._jdf.queryExecution().optimizedPlan().toString()
+    lines = plan.splitlines()
+    filters = [i for i, x in enumerate(lines) if "pmod" in x]
+    assert len(filters) == 2 and all("Relation" in lines[i + 1] for i in filters)
